@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import prefix_bpe, sos_packing, token_counts
+from footgrid.llm import media_source, prefix_bpe, sos_packing, token_counts, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back through their index."""
+    return warc_index.archived(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
@@ -29,10 +34,17 @@ def op6_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op7_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as media members and read back by the data source."""
+    return media_source.stored_features(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_index": op2_warc_index,
     "op3_token_counts": op3_token_counts,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_sos_packing": op6_sos_packing,
+    "op7_media_source": op7_media_source,
 }
 
 #: No query here is expressible in SQL; tests hold each against a brute-force version.
