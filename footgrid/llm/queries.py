@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import media_source, prefix_bpe, sos_packing, token_counts, warc_index
+from footgrid.llm import media_source, prefix_bpe, simhash_bits, sos_packing, token_counts, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,18 @@ def op7_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_source.stored_features(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash_bits.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_index": op2_warc_index,
     "op3_token_counts": op3_token_counts,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_sos_packing": op6_sos_packing,
     "op7_media_source": op7_media_source,
+    "op10_simhash_bits": op10_simhash_bits,
 }
 
 #: No query here is expressible in SQL; tests hold each against a brute-force version.
