@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import media_source, prefix_bpe, simhash_bits, sos_packing, token_counts, warc_index
+from footgrid.llm import media_source, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings of 400 bytes that repeat."""
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back through their index."""
     return warc_index.archived(_table(spark, sf_dir, "pages"))
@@ -45,6 +50,7 @@ def op10_simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_index": op2_warc_index,
     "op3_token_counts": op3_token_counts,
     "op5_prefix_bpe": op5_prefix_bpe,
