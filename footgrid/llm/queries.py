@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import media_source, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
+from footgrid.llm import line_crf, media_source, nbsvm_toxicity, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and line-label verdict of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.line_quality(docs, line_crf.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their round trip, as digests."""
     return prefix_bpe.id_digests(_table(spark, sf_dir, "documents"))
@@ -44,6 +50,11 @@ def op7_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_source.stored_features(_table(spark, sf_dir, "documents"))
 
 
+def op8_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return nbsvm_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_bits.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -53,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_index": op2_warc_index,
     "op3_token_counts": op3_token_counts,
+    "op4_line_crf": op4_line_crf,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_sos_packing": op6_sos_packing,
     "op7_media_source": op7_media_source,
+    "op8_nbsvm_toxicity": op8_nbsvm_toxicity,
     "op10_simhash_bits": op10_simhash_bits,
 }
 
