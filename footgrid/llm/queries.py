@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import line_crf, media_source, nbsvm_toxicity, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
+from footgrid.llm import line_crf, media_source, nbsvm_toxicity, pii_boost, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op8_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii_boost.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_bits.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sos_packing": op6_sos_packing,
     "op7_media_source": op7_media_source,
     "op8_nbsvm_toxicity": op8_nbsvm_toxicity,
+    "op9_pii_boost": op9_pii_boost,
     "op10_simhash_bits": op10_simhash_bits,
 }
 
