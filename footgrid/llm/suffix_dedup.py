@@ -55,7 +55,7 @@ from footgrid.llm.common import new_folder, sha256_hex, written
 LENGTH = 400
 STARTS = 256
 GRAM = 24
-BLOCK = 50
+BLOCK = 100
 #: Windows hashed at once: their places fit the low 20 bits.
 CHUNK = (1 << 20) - 1024
 BATCH_BYTES = 2 << 20
@@ -90,7 +90,7 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(table[data] * powers[: len(data)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, size: int) -> np.ndarray:
+    def of(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         return _mixed((self.sums[starts + size] - self.sums[starts]) * self.inverse[starts])
 
     def all(self, size: int) -> np.ndarray:
@@ -100,11 +100,11 @@ class Hashes:
 
 
 def records_of(data: np.ndarray, row: np.ndarray, left: np.ndarray, length: int, starts: int) -> tuple[np.ndarray, ...]:
-    """First and last start, anchor and bucket of each record in a buffer of texts
-    laid end to end. ``row``: the text of each byte; ``left``: bytes of it from there on."""
+    """First and last start, anchor, bucket and segment's hash of each record in a buffer of
+    texts laid end to end. ``row``: the text of each byte; ``left``: bytes of it from there on."""
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     hashes = Hashes(data)
     grams = hashes.all(GRAM)[: n + starts - 1]
     # The hash's high bits, then the place: the smallest is the leftmost of the smallest.
@@ -122,7 +122,7 @@ def records_of(data: np.ndarray, row: np.ndarray, left: np.ndarray, length: int,
     keep = anchor[lo] >= 0
     lo, hi = lo[keep], hi[keep]
     at = anchor[lo]
-    return lo, hi, at, hashes.of(at, length - starts + 1)
+    return lo, hi, at, hashes.of(at, length - starts + 1), hashes.of(lo, hi - lo + length)
 
 
 def buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,44 +189,50 @@ def merged_blocks(symbols: np.ndarray, before: np.ndarray, orders: list[np.ndarr
     return suffixes, block, common
 
 
-def sorted_suffixes(symbols: np.ndarray, left: np.ndarray, rounds: int) -> np.ndarray:
+def sorted_suffixes(symbols: np.ndarray, left: np.ndarray, stride: np.ndarray, rounds: int, block: int) -> np.ndarray:
     """Suffixes of one shard, sorted by their first ``rounds`` symbols (or more)
-    by doubling. ``left``: bytes from each place to the end of its segment."""
-    rank, step, covered = symbols.astype(np.int64), BLOCK, 1
+    by doubling. ``left``: bytes from each place to the end of its segment;
+    ``stride``: how far on in the arrays the place one symbol later is."""
+    rank, covered = symbols.astype(np.int64), 1
     while covered < rounds:
         follow = np.zeros_like(rank)
-        inside = np.flatnonzero(left >= step)
-        follow[inside] = rank[inside + step]
+        inside = np.flatnonzero(left >= covered * block)
+        follow[inside] = rank[inside + covered * stride[inside]]
         key = rank * (int(rank.max()) + 1) + follow
         order = np.argsort(key, kind="stable")
         new = np.zeros(len(key), dtype=np.int64)
         new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank, step, covered = new, 2 * step, 2 * covered
+        rank, covered = new, 2 * covered
     return np.argsort(rank, kind="stable")
 
 
-def repeated_in(segments: list[bytes], owned: np.ndarray, weight: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_in(segments: list[bytes], owned: np.ndarray, weight: np.ndarray, length: int, shard_bytes: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes that repeated strings cover: segment, start and end of each.
 
-    ``owned``: how many starts of each segment, from its first byte, are its own."""
+    ``owned``: how many starts of each segment, from its first byte, are its own. A suffix
+    is read in steps of ``block`` bytes, so where a segment owns fewer starts than
+    that, only the places a whole number of steps after them are suffixes."""
     sizes = np.array([len(s) + 1 for s in segments], dtype=np.int64)  # with the empty suffix at the end
     base = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
-    segment = np.repeat(np.arange(len(segments)), sizes)
-    place = np.arange(total) - base[segment]
+    stride = np.minimum(owned, block)
+    place = np.arange(total) - np.repeat(base, sizes)
+    used = np.flatnonzero(place % block < np.repeat(stride, sizes))
+    segment = np.repeat(np.arange(len(segments)), sizes)[used]
+    place, stride = place[used], stride[segment]
     left = sizes[segment] - 1 - place
-    real = np.flatnonzero(left >= BLOCK)
-    hashes = np.concatenate([Hashes(data[at : at + CHUNK + BLOCK]).all(BLOCK)[:CHUNK] for at in range(0, total, CHUNK)])
-    symbols = np.zeros(total, dtype=np.int32)
-    symbols[real] = np.unique(hashes[real], return_inverse=True)[1] + 1
-    before = np.zeros(total, dtype=np.int32)
-    inner = np.flatnonzero(place >= BLOCK)
-    before[inner] = symbols[inner - BLOCK]
-    cut = np.flatnonzero(np.diff(base // shard_bytes)) + 1
-    edges = [0, *base[cut].tolist(), total]
-    rounds = length // BLOCK
-    orders = [a + sorted_suffixes(symbols[a:b], left[a:b], rounds) for a, b in zip(edges, edges[1:])]
+    real = np.flatnonzero(left >= block)
+    hashes = np.concatenate([Hashes(data[at : at + CHUNK + block]).all(block)[:CHUNK] for at in range(0, total, CHUNK)])
+    symbols = np.zeros(len(used), dtype=np.int32)
+    symbols[real] = np.unique(hashes[used[real]], return_inverse=True)[1] + 1
+    before = np.zeros(len(used), dtype=np.int32)
+    inner = np.flatnonzero(place >= block)
+    before[inner] = symbols[inner - stride[inner]]
+    cut = np.searchsorted(segment, np.flatnonzero(np.diff(base // shard_bytes)) + 1)
+    edges = [0, *cut.tolist(), len(used)]
+    rounds = length // block
+    orders = [a + sorted_suffixes(symbols[a:b], left[a:b], stride[a:b], rounds, block) for a, b in zip(edges, edges[1:])]
     suffixes, block, _ = merged_blocks(symbols, before, orders, rounds)
     weights = np.where(place < owned[segment], weight[segment], 0)[suffixes]
     repeated = (np.bincount(block, weights)[block] >= 2) & (weights > 0)
@@ -301,37 +307,37 @@ def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH, starts: int = STARTS, bucket_bytes: int = BUCKET_BYTES, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``t`` and ``spans``: the removed byte ranges (start, end), maximal and in order, of each text that has any."""
-    if length % BLOCK or starts & (starts - 1) or length < starts + GRAM:
-        raise ValueError(f"length is a multiple of {BLOCK} and at least starts + {GRAM}; starts is a power of two")
+    if length % BLOCK or length < 2 * BLOCK or starts & (starts - 1) or length < starts + GRAM:
+        raise ValueError(f"length is a multiple of {BLOCK}, twice that at least, and at least starts + {GRAM}; starts is a power of two")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, bodies = batch.column("t"), batch.column("n"), batch.column("body").to_pylist()
             for data, row, left, place in buffers(bodies, length):
-                lo, hi, at, bucket = records_of(data, row, left, length, starts)
+                lo, hi, at, bucket, segment = records_of(data, row, left, length, starts)
                 rows = pa.array(row[lo])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), n.take(rows), pa.array(bucket.view(np.int64)), pa.array(place[lo].astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32))], ["t", "n", "bucket", "lo", "owned", "shift"]
+                    [ids.take(rows), n.take(rows), pa.array(bucket.view(np.int64)), pa.array(place[lo].astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32)), pa.array(segment.view(np.int64))],
+                    ["t", "n", "bucket", "lo", "owned", "shift", "segment_id"],
                 )
 
-    found = texts.select("t", "n", "body").mapInArrow(records, "t binary, n long, bucket long, lo int, owned int, shift int")
-    often = found.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") >= 2).select("bucket")
-    candidates = found.drop("n").join(often, "bucket").groupBy("t").agg(F.collect_list(F.struct("bucket", "lo", "owned", "shift")).alias("records"))
-    candidates = written(candidates, "candidates")
+    found = written(texts.select("t", "n", "body").mapInArrow(records, "t binary, n long, bucket long, lo int, owned int, shift int, segment_id long"), "records")
+    # Written, so that the join below has a shuffle on either side and a hot bucket can be split.
+    often = written(found.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") >= 2).select("bucket"), "often")
+    candidates = written(found.join(often, "bucket"), "candidates")
+    # One text for each segment; equal segments are added up.
+    segment = candidates.groupBy("bucket", "segment_id", "shift", "owned").agg(F.sum("n").alias("n"), F.min(F.struct("t", "lo")).alias("at"))
+    sources = segment.groupBy("at.t").agg(F.collect_list(F.struct("bucket", "segment_id", "shift", "owned", "n", "at.lo")).alias("records"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("bucket", "segment_id", "shift", "owned", "n")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         for batch in batches:
-            for t, n, body, rows in zip(*(batch.column(c).to_pylist() for c in ("t", "n", "body", "records"))):
+            for body, rows in zip(batch.column("body").to_pylist(), batch.column("records").to_pylist()):
                 pieces = [body[r["lo"] : r["lo"] + r["owned"] + length - 1] for r in rows]
-                longs = lambda x, k: pa.array([r[x] for r in rows], k)
-                ids = np.array([xxhash.xxh64_intdigest(p) for p in pieces], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t] * len(rows), pa.binary()), pa.array([n] * len(rows), pa.int64()), longs("bucket", pa.int64()), longs("lo", pa.int32()), longs("owned", pa.int32()), longs("shift", pa.int32()), pa.array(ids), pa.array(pieces, pa.binary())],
-                    ["t", "n", "bucket", "lo", "owned", "shift", "segment_id", "segment"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[x] for r in rows], k) for x, k in zip(names, kinds)), pa.array(pieces, pa.binary())], [*names, "segment"])
 
-    whole = texts.join(candidates, "t").mapInArrow(cut, "t binary, n long, bucket long, lo int, owned int, shift int, segment_id long, segment binary")
-    segments = whole.groupBy("bucket", "segment_id", "shift", "owned", "segment").agg(F.sum("n").alias("n"))
+    segments = texts.join(sources, "t").select("body", "records").mapInArrow(cut, "bucket long, segment_id long, shift int, owned int, n long, segment binary")
     segments = written(segments, "segments")
     large = segments.groupBy("bucket").agg(F.sum(F.octet_length("segment")).alias("size")).where(F.col("size") > bucket_bytes).select("bucket", F.lit(True).alias("large"))
     marked = segments.join(large, "bucket", "left")
@@ -341,7 +347,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, starts: int = STARTS,
     twice = single.groupBy("bucket", "string_id").agg(F.sum("n").alias("all")).where(F.col("all") >= 2).select("bucket", "string_id")
     hot = single.join(twice, ["bucket", "string_id"]).select("bucket", "segment_id", "shift", "start", (F.col("start") + length).cast("int").alias("end"))
     runs = written(usual.union(hot), "runs")
-    places = whole.select("t", "bucket", "segment_id", "shift", "lo").join(runs, ["bucket", "segment_id", "shift"])
+    places = candidates.select("t", "bucket", "segment_id", "shift", "lo").join(runs, ["bucket", "segment_id", "shift"])
     return places.groupBy("t").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end")))).alias("spans"))
 
 
