@@ -160,4 +160,12 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT CASE WHEN n % 3 = 0 THEN 'stations' ELSE 'stops' END, '-' FROM e WHERE k = 'signup' UNION ALL SELECT 'green', '-' FROM e WHERE k = 'purchase') SELECT dataset, highway, count(*) AS n, CAST(0 AS BIGINT) AS barriers FROM d GROUP BY ALL""",
     "osm_query_text": f"WITH s(o, dataset, q) AS (VALUES {_SELECTORS}), e AS (SELECT o, dataset, q FROM s UNION ALL SELECT min(o), 'all', q FROM s GROUP BY q) SELECT dataset, '[out:xml][timeout:60];(' || string_agg(q || '(1.5,2.5,3.5,4.5);', '' ORDER BY o) || ');(._;>;);out body;' AS ql FROM e GROUP BY dataset",
     "osm_way_coords": "WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS way_id, o_orderkey AS k FROM orders WHERE o_orderkey < 1500), p AS (SELECT way_id, pos, id FROM w, LATERAL (VALUES (0, k % 900), (1, (k * 3 + 1) % 900), (2, (k * 7 + 2) % 900), (3, CASE WHEN k % 2 = 0 THEN k % 900 ELSE (k + 5) % 900 END)) v(pos, id)), q AS (SELECT way_id, pos, user_id, event_id FROM p JOIN events ON event_id = id WHERE event_id % 7 <> 0) SELECT way_id, count(*) AS n_pts, count(*) >= 4 AND arg_min(user_id, pos) = arg_max(user_id, pos) AND arg_min(event_id, pos) = arg_max(event_id, pos) AS closed FROM q GROUP BY way_id HAVING count(*) >= 2",
+    "feature_measures": f"WITH {_BOXES} SELECT pid, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0) + 2 * (y1 - y0) AS outline, CAST(CASE WHEN y0 / 400 - 10 >= 0 THEN 32600 ELSE 32700 END + floor((x0 / 50 - 90 + 180) / 6) % 60 + 1 AS INTEGER) AS epsg FROM boxes",
+    "clip_difference": "SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 < 8 AND o_custkey % 3 <> 0",
+    "barrier_corridors": f"WITH {_CELLS}, {_ROWS}, l AS (SELECT p_partkey AS fid, p_partkey * 37 % 9000 AS x0, p_partkey * 53 % (n * 100) AS y0, 10.0::DOUBLE * p_size AS dx, 7.0::DOUBLE * p_size AS dy, n FROM part, nr WHERE p_partkey % 40 = 1), d AS (SELECT fid, r, c, x0, y0, dx, dy, (c + 0.5) * 100.0::DOUBLE AS px, n * 100.0::DOUBLE - (r + 0.5) * 100.0::DOUBLE AS py FROM l, grid), t AS (SELECT *, greatest(0, least(1, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS u FROM d) SELECT fid, r, c FROM t WHERE sqrt((px - x0 - u * dx) ** 2 + (py - y0 - u * dy) ** 2) <= 150",
+    "existing_fabric": f"WITH {_CELLS}, {_SEEDS} SELECT r, c, CAST(CASE WHEN state = -1 THEN 0 WHEN (r, c) IN (SELECT (r, c) FROM seeds) THEN 5 WHEN origin = 0 THEN 1 WHEN origin = 1 THEN 4 ELSE 0 END AS INTEGER) AS plan FROM grid",
+    "stage_codes": f"WITH {_CELLS} SELECT r, c, CAST(CASE WHEN origin = 1 THEN 7 WHEN origin = 0 THEN 8 WHEN state = -1 THEN 255 ELSE state END AS INTEGER) AS code FROM grid",
+    "likelihood_shown": f"WITH {_MEMBERS}, p AS (SELECT r, c, round(avg((state = 1)::INT), 6) AS p FROM members GROUP BY r, c) SELECT r, c, round(0.3 + 0.7 * p, 6) AS opacity FROM p WHERE p > 0.04",
+    "ensemble_presets": "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey * 5 <= 30 THEN 10 WHEN n_nationkey * 5 <= 75 THEN 50 ELSE 100 END AS INTEGER) AS runs FROM nation",
+    "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built-up areas', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'streets', 'Streets', 'line'), (4, 'railways', 'Railways', 'line'), (5, 'stations', 'Stations', 'point'), (6, 'stops', 'Bus stops', 'point'), (7, 'industrial', 'Industrial land', 'polygon'), (8, 'unbuildable', 'Unbuildable land', 'polygon')) t(ord, dataset, label, kind)",
 }

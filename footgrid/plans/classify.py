@@ -27,6 +27,23 @@ def marked_existing(plan: DataFrame, centre: Column, old_centre: Column, old_bui
     return plan.withColumn("plan", code.cast("int"))
 
 
+def existing_fabric(cells: DataFrame, seed: Column) -> DataFrame:
+    """r, c, plan of what was there before: fixed green, old built land, old centres; unbuildable land is none."""
+    code = F.when(F.col("state") == -1, 0).when(seed, 5).when(F.col("origin") == 0, 1).when(F.col("origin") == 1, 4).otherwise(0)
+    return cells.select("r", "c", code.cast("int").alias("plan"))
+
+
+def stage_codes(cells: DataFrame) -> DataFrame:
+    """r, c, code of a growth panel: old fabric as it is marked, else the bare state."""
+    code = F.when(F.col("origin") == 1, 7).when(F.col("origin") == 0, 8).when(F.col("origin") == 2, 9).when(F.col("state") == -1, 255).otherwise(F.col("state"))
+    return cells.select("r", "c", code.cast("int").alias("code"))
+
+
+def shown_likelihood(surfaces: DataFrame, least: float = 0.04) -> DataFrame:
+    """r, c, opacity of the cells likely enough to be drawn."""
+    return surfaces.where(F.col("p_built") > least).select("r", "c", F.round(0.30 + 0.70 * F.col("p_built"), 6).alias("opacity"))
+
+
 def pruned(plan: DataFrame, least: int, keys: Sequence[str] = ()) -> DataFrame:
     """Settlements (queen components of urban cells) of fewer than ``max(least, 4)`` cells that hold nothing old become green."""
     k = list(keys)

@@ -35,3 +35,34 @@ def fixed_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFr
     rule = widths.select(F.lit(1).alias("line_no"), F.repeat(F.lit("-"), total.cast("int")).alias("line"))
     body = numbered.crossJoin(F.broadcast(widths)).select("line_no", line(lambda c: F.col(c)).alias("line"))
     return head.union(rule).union(body)
+
+
+#: What the dispersal dial is called in reports.
+DISPERSAL_LABELS = {"off": "No new settlements", "moderate": "Some new settlements", "aggressive": "Many new settlements"}
+
+
+def share_of_target(population: Column, target: float) -> Column:
+    """Residents as a share of the target, as text."""
+    return F.concat(number(population), F.lit(" ("), percent(population / target), F.lit(" of target)"))
+
+
+def header_lines(run: DataFrame) -> DataFrame:
+    """line_no, line of a report's head, from one row: name, dispersal, runs, target, at (a timestamp)."""
+    label = F.coalesce(F.create_map(*[F.lit(x) for kv in DISPERSAL_LABELS.items() for x in kv])[F.col("dispersal")], F.col("dispersal"))
+    lines = F.array(
+        F.concat(F.lit("Scenario: "), F.coalesce("name", F.lit("-"))), F.concat(F.lit("Written: "), F.date_format("at", "yyyy-MM-dd HH:mm")), F.concat(F.lit("Dispersal: "), label),
+        F.concat(F.lit("Runs: "), number(F.col("runs"))), F.concat(F.lit("Target population: "), number(F.col("target"))),
+    )
+    return run.select(F.posexplode(lines).alias("line_no", "line"))
+
+
+def audit_sentence(summary: DataFrame) -> DataFrame:
+    """One line on all centre areas."""
+    n = lambda c: number(F.col(c))
+    text = F.concat(n("n"), F.lit(" centre areas ("), n("n_new"), F.lit(" new) serve between "), n("served_min"), F.lit(" and "), n("served_max"), F.lit(" homes, the middle one "), n("served_median"), F.lit("."))
+    return summary.select(F.lit(0).alias("line_no"), text.alias("line"))
+
+
+def cleanup_delta(raw: DataFrame, options: DataFrame) -> DataFrame:
+    """option, removed: built cells that an option has fewer than the raw growth (one row)."""
+    return options.crossJoin(F.broadcast(raw.select(F.col("built_cells").alias("raw")))).select("option", (F.col("raw") - F.col("built_cells")).alias("removed"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footgrid.functions import codes, params, tags
-from footgrid.operators import components as comp, neighbours as nb, raster, walk
+from footgrid.operators import components as comp, geometry, neighbours as nb, raster, walk
 from footgrid.plans import centres, classify, growth, report, score, tiers
 from footgrid.sources import bridge
 
@@ -92,6 +92,30 @@ def slope_bands(spark, sf_dir):
     return raster.slope_bands(raster.slopes(heights, 30.0))
 
 
+@query
+def feature_measures(spark, sf_dir):
+    """Area and outline of rectangles as rings, with the zone and the query order of their lower corner taken as degrees."""
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rings = bridge.boxes(spark, sf_dir).withColumn("ring", F.array(xy("x0", "y0"), xy("x1", "y0"), xy("x1", "y1"), xy("x0", "y1"), xy("x0", "y0")))
+    lon, lat = F.col("x0") / 50 - 90, F.col("y0") / 400 - 10
+    return rings.select("pid", geometry.ring_area(F.col("ring")).alias("area"), geometry.line_length(F.col("ring")).alias("outline"), geometry.utm_epsg(lon, lat).alias("epsg"))
+
+
+@query
+def clip_difference(spark, sf_dir):
+    """Cells of green inside the extent and outside built land, in cell space."""
+    layers = _layers(spark, sf_dir)
+    return geometry.without(geometry.clipped(layers.where("green").select("r", "c"), layers.where("extent")), layers.where("built"))
+
+
+@query
+def barrier_corridors(spark, sf_dir):
+    """Cells within 150 m of lines."""
+    k, height = F.col("p_partkey"), bridge.n_rows(spark, sf_dir) * G
+    lines = bridge.table(spark, sf_dir, "part").where("p_partkey % 40 = 1").select(k.alias("fid"), (k * 37 % 9000).cast("double").alias("x0"), (k * 53 % height).cast("double").alias("y0"), (k * 37 % 9000 + 10 * F.col("p_size")).cast("double").alias("x1"), (k * 53 % height + 7 * F.col("p_size")).cast("double").alias("y1"))
+    return raster.buffered_line_cells(lines, bridge.cells(spark, sf_dir), float(G), 0.0, float(height), 150.0)
+
+
 # Tagged map features
 
 
@@ -255,6 +279,21 @@ def state_to_plan(spark, sf_dir):
     return _plan(spark, sf_dir).select("r", "c", "plan")
 
 
+@query
+def existing_fabric(spark, sf_dir):
+    return classify.existing_fabric(_seeded(spark, sf_dir), F.col("seed"))
+
+
+@query
+def stage_codes(spark, sf_dir):
+    return classify.stage_codes(bridge.cells(spark, sf_dir))
+
+
+@query
+def likelihood_shown(spark, sf_dir):
+    return classify.shown_likelihood(growth.likelihood(bridge.members(spark, sf_dir)))
+
+
 @query
 def class_counts(spark, sf_dir):
     return growth.class_counts(bridge.members(spark, sf_dir))
@@ -427,6 +466,18 @@ def density_check(spark, sf_dir):
     return params.tier_check(rows)
 
 
+@query
+def ensemble_presets(spark, sf_dir):
+    n = bridge.table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), params.nearest_preset(F.col("n_nationkey") * 5).alias("runs"))
+
+
+@query
+def dataset_catalogue(spark, sf_dir):
+    """The datasets in display order."""
+    return spark.createDataFrame([(i, d, *tags.CATALOGUE[d]) for i, d in enumerate(tags.ORDER)], "ord int, dataset string, label string, kind string")
+
+
 @query
 def frames(spark, sf_dir):
     """Classes of a series of steps, each valid for a year."""
@@ -445,6 +496,16 @@ def growth_run(spark, sf_dir):
     return growth.ensemble(growth.template(spark, sf_dir), _run_params(), 11, [0])
 
 
+@query
+def steps_to_target(spark, sf_dir):
+    return growth.to_target(growth.ensemble(growth.template(spark, sf_dir), _run_params(), 11, [0, 1]), _run_params().target)
+
+
+@query
+def proximity_seeding(spark, sf_dir):
+    return centres.proximity(_plan(spark, sf_dir), G, CENTRE_M)
+
+
 @query
 def growth_ensemble(spark, sf_dir):
     return growth.class_counts(growth.ensemble(growth.template(spark, sf_dir), _run_params(), 11, range(4)).select("member", "r", "c", "state"))
