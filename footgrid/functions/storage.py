@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def kept(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_and_seen(df: DataFrame, *metrics: Column, name: str = "step") -> tuple[DataFrame, dict]:
+    """``kept``, and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    out = kept(df.observe(seen, *metrics), name)
+    return out, seen.get

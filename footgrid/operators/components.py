@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from footgrid.functions.codes import QUEEN, ROOK, ring
-from footgrid.functions.storage import kept
+from footgrid.functions.storage import kept, kept_and_seen
 from footgrid.operators.tiles import TILE, grid_of, on_tiles
 
 SHIFT = 32
@@ -48,13 +48,13 @@ def _starred(edges: DataFrame, keys: Sequence[str], large: bool) -> DataFrame:
 
 def joined_labels(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, node, root for all nodes on edges (a, b): alternating stars until nothing changes."""
-    edges, before = kept(edges.where("a <> b").distinct(), "edges"), None
-    while True:
-        edges = kept(_starred(_starred(edges, keys, True), keys, False), "edges")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*keys, "a", "b")), F.lit(0))).first())
-        if state == before:
-            return edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+    metrics = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "a", "b")).alias("mix")]
+    edges, seen = kept_and_seen(edges.where("a <> b").distinct(), *metrics, name="edges")
+    before = None
+    while seen["n"] and seen != before:
+        before = seen
+        edges, seen = kept_and_seen(_starred(_starred(edges, keys, True), keys, False), *metrics, name="edges")
+    return edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def components(cells: DataFrame, queen: bool = True, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-TILE = 128
+TILE = 256
 
 
 def with_tiles(cells: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
