@@ -78,5 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_bits": op10_simhash_bits,
 }
 
-#: No query here is expressible in SQL; tests hold each against a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are not expressible in SQL; tests hold each against a brute-force version.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_index": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN strlen(h) >= 100 AND least <> page_id THEN least END AS refers_to FROM p""",
+}
