@@ -127,3 +127,18 @@ def tier_check(rows: DataFrame) -> DataFrame:
     falling = (n["d_high"] > n["d_medium"]) & (n["d_medium"] > n["d_low"]) & (n["d_low"] > 0)
     message = F.when(missing, "not a number").when(~falling, "densities must fall").when(F.abs(total - 1) > 1e-3, "shares must sum to 1").otherwise("")
     return rows.select("id", message.alias("message"), F.when(~missing, F.round(total, 6)).alias("total"), F.when(~missing, F.round(mean, 6)).alias("mean"))
+
+
+def run_check(rows: DataFrame) -> DataFrame:
+    """id, problem of parameter rows (block_m, walk_m, target, span_m, build, p_high, p_medium, p_low, d_high, d_medium, d_low):
+    the first rule that a run's ``Params`` would reject, or an empty text."""
+    c = F.col
+    outside = lambda *names: F.exists(F.array(*map(c, names)), lambda x: (x < 0) | (x > 1))
+    rules = (
+        (~(c("block_m") > 0), "block"), (c("walk_m") < c("block_m"), "walk"), ((c("span_m") < 0) | (c("target") <= 0), "span or target"), (outside("build", "p_high", "p_medium", "p_low"), "probability"),
+        (F.bround(c("p_high") + c("p_medium") + c("p_low"), 2) != 1, "shares"), (~((c("d_high") > c("d_medium")) & (c("d_medium") > c("d_low")) & (c("d_low") > 0)), "densities"),
+    )
+    problem = F.lit("")
+    for bad, name in reversed(rules):
+        problem = F.when(bad, name).otherwise(problem)
+    return rows.select("id", problem.alias("problem"))

@@ -142,3 +142,19 @@ def buffered_line_cells(edges: DataFrame, cells: DataFrame, block: float, x_min:
     t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x0")) * dx + (py - F.col("y0")) * dy) / square)))
     near = F.hypot(px - F.col("x0") - t * dx, py - F.col("y0") - t * dy) <= width
     return box.where(near).select("fid", "r", "c").distinct().join(cells.select("r", "c"), ["r", "c"], "left_semi").select("fid", "r", "c")
+
+
+def large_enough_extent(grids: DataFrame, walk_m: float) -> DataFrame:
+    """``grids`` (rows, cols, block_m) with ``ok``: both sides longer than twice the walk."""
+    side = lambda k: F.col(k) * F.col("block_m") > 2 * walk_m
+    return grids.withColumn("ok", side("rows") & side("cols"))
+
+
+def inner_row_points(burned_cells: DataFrame, key: str = "pid") -> DataFrame:
+    """A cell inside each polygon: the middle of the widest stretch of its middle row (ties: the first stretch)."""
+    rows = burned_cells.groupBy(key).agg(F.floor((F.min("r") + F.max("r")) / 2).cast("int").alias("r"))
+    line = burned_cells.join(rows, [key, "r"])
+    island = F.col("c") - F.row_number().over(W.partitionBy(key).orderBy("c"))
+    spans = line.withColumn("i", island).groupBy(key, "r", "i").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    best = spans.groupBy(key, "r").agg(F.min(F.struct((F.col("a") - F.col("b")).alias("w"), F.col("a"), F.col("b"))).alias("s"))
+    return best.select(key, "r", F.floor((F.col("s.a") + F.col("s.b")) / 2).cast("int").alias("c"))

@@ -168,4 +168,9 @@ ORACLE_SQL: dict[str, str] = {
     "likelihood_shown": f"WITH {_MEMBERS}, p AS (SELECT r, c, round(avg((state = 1)::INT), 6) AS p FROM members GROUP BY r, c) SELECT r, c, round(0.3 + 0.7 * p, 6) AS opacity FROM p WHERE p > 0.04",
     "ensemble_presets": "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey * 5 <= 30 THEN 10 WHEN n_nationkey * 5 <= 75 THEN 50 ELSE 100 END AS INTEGER) AS runs FROM nation",
     "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built-up areas', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'streets', 'Streets', 'line'), (4, 'railways', 'Railways', 'line'), (5, 'stations', 'Stations', 'point'), (6, 'stops', 'Bus stops', 'point'), (7, 'industrial', 'Industrial land', 'polygon'), (8, 'unbuildable', 'Unbuildable land', 'polygon')) t(ord, dataset, label, kind)",
+    "elevation_heights": "WITH t AS (SELECT p_partkey % 7 - 3 AS y, p_partkey % 10 AS a, p_partkey % 9 AS b, CAST(p_partkey AS DOUBLE) AS h FROM part WHERE p_partkey < 630) SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, coalesce(h, 0) AS h FROM orders LEFT JOIN t ON o_orderkey % 7 - 3 = y AND o_orderkey % 5 = 2 AND o_orderkey % 10 = a AND o_orderkey % 9 = b",
+    "extent_guard": "SELECT n_nationkey AS id, n_nationkey * 3 + 1 AS rows, 40 - n_nationkey AS cols, CAST(50 AS DOUBLE) AS block_m, (n_nationkey * 3 + 1) * 50 > 800 AND (40 - n_nationkey) * 50 > 800 AS ok FROM nation",
+    "inner_row_points": f"WITH {_BOXES}, b AS (SELECT pid, CAST(ceil((n * 100 - y1) / 100 - 0.5) AS INTEGER) AS r0, CAST(ceil((n * 100 - y0) / 100 - 0.5) AS INTEGER) - 1 AS r1, CAST(ceil(x0 / 100 - 0.5) AS INTEGER) AS c0, CAST(ceil(x1 / 100 - 0.5) AS INTEGER) - 1 AS c1, y0, y1, n FROM boxes, nr), k AS (SELECT pid, CAST(floor((n * 100 - y1) / 100 - 0.5) AS INTEGER) + 1 AS r0, CAST(floor((n * 100 - y0) / 100 - 0.5) AS INTEGER) AS r1, c0, c1 FROM b) SELECT pid, CAST(floor((r0 + r1) / 2.0) AS INTEGER) AS r, CAST(floor((c0 + c1) / 2.0) AS INTEGER) AS c FROM k WHERE r0 <= r1 AND c0 <= c1",
+    "run_check": "SELECT n_nationkey AS id, CASE WHEN n_nationkey - 1 <= 0 THEN 'block' WHEN n_nationkey - 1 > 10 THEN 'walk' WHEN n_nationkey % 9 <= 0 THEN 'span or target' WHEN n_nationkey % 4 / 2.5 > 1 THEN 'probability' WHEN n_nationkey % 5 = 0 THEN 'shares' WHEN n_nationkey % 3 <> 2 THEN 'densities' ELSE '' END AS problem FROM nation",
+    "growth_seed_union": f"WITH {_SEEDS}, st AS (SELECT DISTINCT CAST(event_id * 31 % n AS INTEGER) AS r, CAST((user_id * 17 + event_id) % 100 AS INTEGER) AS c FROM events, nr WHERE event_type = 'signup') SELECT ord, r, c FROM seeds UNION ALL SELECT CAST(r * 100 + c + (SELECT max(ord) FROM seeds) + 1 AS BIGINT), r, c FROM st WHERE (r, c) NOT IN (SELECT (r, c) FROM seeds)",
 }

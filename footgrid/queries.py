@@ -116,6 +116,29 @@ def barrier_corridors(spark, sf_dir):
     return raster.buffered_line_cells(lines, bridge.cells(spark, sf_dir), float(G), 0.0, float(height), 150.0)
 
 
+@query
+def elevation_heights(spark, sf_dir):
+    """Heights of cells from tiles, some missing; the tile's name is part of the key."""
+    from footgrid.sources import dem
+
+    k = F.col("o_orderkey")
+    cells = bridge.table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 100").cast("int").alias("r"), (k % 100).cast("int").alias("c"), dem.tile_name((k % 7 - 3).cast("double") + 0.5, (k % 5 - 2).cast("double") + 0.25).alias("tile"), (k % 10).alias("row"), (k % 9).alias("col"))
+    tiles = bridge.table(spark, sf_dir, "part").where("p_partkey < 630").select(dem.tile_name((F.col("p_partkey") % 7 - 3).cast("double"), F.lit(0.0)).alias("tile"), (F.col("p_partkey") % 10).alias("row"), (F.col("p_partkey") % 9).alias("col"), F.col("p_partkey").cast("double").alias("h"))
+    return dem.heights(cells, tiles)
+
+
+@query
+def extent_guard(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return raster.large_enough_extent(bridge.table(spark, sf_dir, "nation").select(n.alias("id"), (n * 3 + 1).alias("rows"), (40 - n).alias("cols"), F.lit(50.0).alias("block_m")), 400.0)
+
+
+@query
+def inner_row_points(spark, sf_dir):
+    boxes = bridge.boxes(spark, sf_dir)
+    return raster.inner_row_points(raster.burned(raster.box_edges(boxes), float(G), 0.0, float(bridge.n_rows(spark, sf_dir) * G)))
+
+
 # Tagged map features
 
 
@@ -478,6 +501,23 @@ def dataset_catalogue(spark, sf_dir):
     return spark.createDataFrame([(i, d, *tags.CATALOGUE[d]) for i, d in enumerate(tags.ORDER)], "ord int, dataset string, label string, kind string")
 
 
+@query
+def run_check(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return params.run_check(
+        bridge.table(spark, sf_dir, "nation").select(
+            n.alias("id"), (n - 1).cast("double").alias("block_m"), F.lit(10.0).alias("walk_m"), (n % 9).cast("double").alias("target"), F.lit(0.0).alias("span_m"), (n % 4 / 2.5).alias("build"), F.lit(0.25).alias("p_high"), F.lit(0.25).alias("p_medium"),
+            F.when(n % 5 == 0, 0.75).otherwise(0.5).alias("p_low"), F.lit(3.0).alias("d_high"), (n % 3).cast("double").alias("d_medium"), F.lit(1.0).alias("d_low"),
+        )
+    )
+
+
+@query
+def growth_seed_union(spark, sf_dir):
+    stations = bridge.stops(spark, sf_dir, "signup").select((F.col("r") * 100 + F.col("c")).cast("long").alias("ord"), "r", "c")
+    return growth.growth_seeds(bridge.seeds(spark, sf_dir), stations)
+
+
 @query
 def frames(spark, sf_dir):
     """Classes of a series of steps, each valid for a year."""
