@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,20 +49,5 @@ def encoded(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return ["".encode() if x is None else x for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, so that what a
-    task holds doesn't depend on how many long texts meet in one batch."""
-    for batch in batches:
-        size = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.large_binary())]
-        start = total = 0
-        for i, n in enumerate(size):
-            if total and total + n > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

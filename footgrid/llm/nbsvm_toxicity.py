@@ -5,7 +5,8 @@ either end, hashed to ``2**BITS`` places, each present or not. From all labelled
 training rows come, for each place, the numbers of toxic and of other documents
 that hold it. The logarithm of the ratio of the two (smoothed) rates scales
 the feature. A place whose two rates differ by less than ``LEAST_Z`` standard errors
-says nothing about the label and is scaled to zero. A logistic regression with a
+says nothing about the label and is scaled to zero, and so are all but the
+``MOST_PLACES`` places that say most: the model's size is a parameter. A logistic regression with a
 ridge penalty is then fitted on the scaled features of a sample of the training rows,
 of about ``sample_rows`` rows (a documented bound: rows are taken by a hash
 of doc_id below a cut-off), and scores every whole text.
@@ -31,6 +32,7 @@ from footgrid.llm.common import encoded, written
 BITS = 18
 SIZES = (3, 4, 5, 6)
 LEAST_Z = 4.0
+MOST_PLACES = 4096
 SMOOTHING = 1.0
 SAMPLE_ROWS = 12_000
 RIDGE = 1e-3
@@ -92,12 +94,14 @@ def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def log_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
-    """Naive Bayes log-count ratio of each place; 0 where the rates hardly differ."""
+    """Naive Bayes log-count ratio of each place; 0 where the rates hardly differ, and where others tell more."""
     p, q = toxic / n_toxic, other / n_other
     pooled = (toxic + other) / (n_toxic + n_other)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_toxic + 1 / n_other))
     ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((other + SMOOTHING) / (n_other + 2 * SMOOTHING))
-    return np.where(np.abs(p - q) / error >= LEAST_Z, ratio, 0.0)
+    z = np.abs(p - q) / error
+    least = max(LEAST_Z, float(np.partition(z, -MOST_PLACES)[-MOST_PLACES]))
+    return np.where(z >= least, ratio, 0.0)
 
 
 def fitted(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -106,9 +110,9 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, ridge
     scale = ratios[used]
     of = np.zeros(len(ratios), np.int64)
     of[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = of[np.concatenate(rows)] if len(row) else np.zeros(0, np.int64)
-    value = scale[col]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = of[np.concatenate(rows)].astype(np.int32) if len(row) else np.zeros(0, np.int32)
+    value = scale.astype(np.float32)[col]
     n = len(rows)
     share = min(max(float(labels.mean()), 1 / (2 * n)), 1 - 1 / (2 * n))
     weight = np.where(labels == 1, np.sqrt((1 - share) / share), 1.0)  # a rare label counts more, though not as much as the other in all

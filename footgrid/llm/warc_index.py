@@ -30,7 +30,6 @@ gives an empty result.
 from __future__ import annotations
 
 import bisect
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
