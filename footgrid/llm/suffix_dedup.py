@@ -58,9 +58,9 @@ GRAM = 24
 BLOCK = 100
 #: Windows hashed at once: their places fit the low 20 bits.
 CHUNK = (1 << 20) - 1024
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SHARD_BYTES = 256 << 10
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -165,26 +165,26 @@ def merged_blocks(symbols: np.ndarray, before: np.ndarray, orders: list[np.ndarr
     shard = np.repeat(np.arange(len(orders), dtype=np.uint16), sizes)
     empties = np.array([int((symbols[o] == 0).sum()) for o in orders])
     top = np.repeat(np.arange(len(orders), dtype=np.uint16), empties)
-    block = np.zeros(len(shard), dtype=np.int64)
+    block = np.zeros(len(shard), dtype=np.int32)
     common = np.full(len(shard), -1, dtype=np.int16)
     for h in range(rounds):
         # Row i of a shard in the interleave is row i of its transform.
-        by_shard = np.argsort(shard, kind="stable")
         symbol = np.empty_like(transform)
-        symbol[by_shard] = transform
-        rows = np.flatnonzero(symbol)
+        symbol[np.argsort(shard, kind="stable")] = transform
+        rows = np.flatnonzero(symbol).astype(np.int32)
         rows = rows[np.argsort(symbol[rows], kind="stable")]
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (symbol[rows][1:] != symbol[rows][:-1]) | (block[rows][1:] != block[rows][:-1])
+        new[1:] = np.diff(symbol[rows]) != 0
+        new[1:] |= np.diff(block[rows]) != 0
         shard = np.concatenate((top, shard[rows]))
-        block = np.concatenate((np.zeros(len(top), dtype=np.int64), np.cumsum(new)))
+        block = np.concatenate((np.zeros(len(top), dtype=np.int32), np.cumsum(new, dtype=np.int32)))
         bounds = np.concatenate((np.zeros(len(top), dtype=bool), new))
         seen = int((common >= 0).sum())
         common[bounds & (common < 0)] = h
         if int((common >= 0).sum()) == seen and h:
             break
     common[common < 0] = rounds
-    suffixes = np.empty(len(shard), dtype=np.int64)
+    suffixes = np.empty(len(shard), dtype=np.int32)
     suffixes[np.argsort(shard, kind="stable")] = np.concatenate(orders)
     return suffixes, block, common
 
@@ -203,7 +203,7 @@ def sorted_suffixes(symbols: np.ndarray, left: np.ndarray, stride: np.ndarray, r
         new = np.zeros(len(key), dtype=np.int64)
         new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         rank, covered = new, 2 * covered
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable").astype(np.int32)
 
 
 def repeated_in(segments: list[bytes], owned: np.ndarray, weight: np.ndarray, length: int, shard_bytes: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,27 +212,33 @@ def repeated_in(segments: list[bytes], owned: np.ndarray, weight: np.ndarray, le
     ``owned``: how many starts of each segment, from its first byte, are its own. A suffix
     is read in steps of ``block`` bytes, so where a segment owns fewer starts than
     that, only the places a whole number of steps after them are suffixes."""
-    sizes = np.array([len(s) + 1 for s in segments], dtype=np.int64)  # with the empty suffix at the end
-    base = np.cumsum(sizes) - sizes
+    sizes = np.array([len(s) + 1 for s in segments], dtype=np.int32)  # with the empty suffix at the end
+    base = np.cumsum(sizes, dtype=np.int32) - sizes  # a task holds a few MB: places fit 32 bits
     total = int(sizes.sum())
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
-    stride = np.minimum(owned, block)
-    place = np.arange(total) - np.repeat(base, sizes)
-    used = np.flatnonzero(place % block < np.repeat(stride, sizes))
-    segment = np.repeat(np.arange(len(segments)), sizes)[used]
+    stride = np.minimum(owned, block).astype(np.int32)
+    place = np.arange(total, dtype=np.int32) - np.repeat(base, sizes)
+    used = np.flatnonzero(place % block < np.repeat(stride, sizes)).astype(np.int32)
+    segment = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)[used]
     place, stride = place[used], stride[segment]
     left = sizes[segment] - 1 - place
     real = np.flatnonzero(left >= block)
-    hashes = np.concatenate([Hashes(data[at : at + CHUNK + block]).all(block)[:CHUNK] for at in range(0, total, CHUNK)])
+    hashes = np.empty(len(real), dtype=np.uint64)
+    for at in range(0, total, CHUNK):
+        a, b = np.searchsorted(used[real], [at, at + CHUNK])
+        if a < b:
+            hashes[a:b] = Hashes(data[at : at + CHUNK + block]).all(block)[used[real[a:b]] - at]
     symbols = np.zeros(len(used), dtype=np.int32)
-    symbols[real] = np.unique(hashes[used[real]], return_inverse=True)[1] + 1
+    symbols[real] = np.unique(hashes, return_inverse=True)[1] + 1
     before = np.zeros(len(used), dtype=np.int32)
     inner = np.flatnonzero(place >= block)
     before[inner] = symbols[inner - stride[inner]]
+    del hashes, real, inner, used
     cut = np.searchsorted(segment, np.flatnonzero(np.diff(base // shard_bytes)) + 1)
-    edges = [0, *cut.tolist(), len(used)]
+    edges = [0, *cut.tolist(), len(symbols)]
     rounds = length // block
     orders = [a + sorted_suffixes(symbols[a:b], left[a:b], stride[a:b], rounds, block) for a, b in zip(edges, edges[1:])]
+    del left, stride
     suffixes, block, _ = merged_blocks(symbols, before, orders, rounds)
     weights = np.where(place < owned[segment], weight[segment], 0)[suffixes]
     repeated = (np.bincount(block, weights)[block] >= 2) & (weights > 0)
