@@ -141,7 +141,8 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, ridge
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weights by place and intercept, learnt from the rows that are not held out."""
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out())
-    train = written(docs.select("doc_id", "text").where(~held_out()).join(marked, "doc_id"), "train")
+    # Labels grow with the documents, so they are never broadcast.
+    train = written(docs.select("doc_id", "text").where(~held_out()).join(marked.hint("merge"), "doc_id"), "train")
     toxic, other, n_toxic, n_other = _counts(train)
     none = np.zeros(1 << BITS)
     if not n_toxic or not n_other:
