@@ -1,0 +1,141 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+
+A fingerprint of 64 bits is too short for this: at 0.8 two SimHashes differ in ten bits on
+average and in up to about twenty. Candidates come from min-hashes instead: ``BANDS`` groups of
+``ROWS`` least values of the shingle set under random maps. Two texts of similarity s
+share a group with probability 1 - (1 - s**ROWS)**BANDS, so one pair of 20 million is
+missed at 0.8, fewer above. Each candidate is then held against the texts
+themselves, and only pairs that reach ``least`` are linked.
+
+Rounds: first each text of a group is compared with the group's smallest; then, of texts
+that share a group and are not yet connected, every pair whose set sizes allow ``least``.
+So a large cluster costs about a comparison a text, not one a pair, and no
+candidate is left out unless its ends are connected already.
+
+Texts are compared in lower case (A-Z), words split at white space; texts equal in that are one
+node, with its smallest id. Null and empty texts are one node; texts with fewer words than a
+shingle are one shingle. Whole texts count. Rows with a null doc_id are left out; a doc_id
+names one text. Repeated rows and extra columns don't matter. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from footgrid.llm.common import encoded, written
+from footgrid.llm.components import components
+
+SIZE = 5
+LEAST = 0.8
+BANDS, ROWS = 32, 4
+#: Shingles mapped at once.
+CHUNK = 1 << 18
+
+
+def shingles(data: bytes, size: int = SIZE) -> np.ndarray:
+    """Distinct hashes of a UTF-8 text's word shingles, in order; none if it has no word."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())], dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two results of ``shingles``; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A key for each band of each set (none empty)."""
+    rng = np.random.default_rng(5)
+    factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    values = np.concatenate(sets)
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    least = np.stack([np.minimum.reduceat((values ^ s) * f, first) for f, s in zip(factors, shifts)], axis=1)
+    return np.array([[xxhash.xxh64_intdigest(row[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)] for row in least], dtype=np.uint64)
+
+
+def _sketches(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(ids: list, same: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+            keys = [[]] * len(sets)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            if full:
+                for i, k in zip(full, _bands([sets[i] for i in full]).view(np.int64)):
+                    keys[i] = k.tolist()
+            columns = [pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "keys"])
+
+        for batch in batches:
+            ids, same, sets, held = [], [], [], 0
+            for i, data in zip(batch.column("doc_id").to_pylist(), encoded(batch)):
+                ids.append(i)
+                same.append(hashlib.sha256(b" ".join(data.lower().split())).digest()[:16])
+                sets.append(shingles(data, size))
+                held += len(sets[-1])
+                if held >= CHUNK:
+                    yield done(ids, same, sets)
+                    ids, same, sets, held = [], [], [], 0
+            yield done(ids, same, sets)
+
+    return work
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            for i, j, x, y in zip(a, b, encoded(batch, "text_a"), encoded(batch, "text_b")):
+                if i != last:
+                    last, own = i, shingles(x, size)
+                if jaccard(own, shingles(y, size)) >= least:
+                    out.append((i, j))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+
+
+def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
+    """``doc_id`` and ``component_id``, the smallest doc_id reachable by links of at least ``least``."""
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    own = written(named.mapInArrow(_sketches(size), "doc_id long, same binary, n long, keys array<long>"), "sketches")
+    nodes = own.groupBy("same").agg(F.min("doc_id").alias("node"))
+    every = own.select("doc_id", "same").join(nodes, "same").select("doc_id", "node")
+    sketches = own.join(nodes, "same").where("doc_id = node").dropDuplicates(["node", "same"])
+    dealt = sketches.select("node", "n", F.explode("keys").alias("k"))
+    shared = dealt.groupBy("k").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    dealt = written(dealt.join(shared, "k"), "dealt")
+    texts = named.join(dealt.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = written(texts, "texts")
+    fits = lambda m, n: F.least(m, n) >= least * F.greatest(m, n)
+    stars = dealt.where(F.col("node") != F.col("first.node")).where(fits(F.col("n"), F.col("first.n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    edges = written(_verified(stars, texts, size, least), "links")
+    roots = written(components(edges), "roots")
+    dealt = dealt.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
+    # Groups that are one component by now are done.
+    open_ = dealt.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
+    dealt = written(dealt.join(open_, "k", "left_semi"), "open")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    rest = x.join(y, F.expr("x.k = y.k AND x.node < y.node AND x.root <> y.root")).where(fits(F.col("x.n"), F.col("y.n")))
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    edges = edges.union(written(_verified(rest, texts, size, least), "links"))
+    roots = written(components(edges), "roots")
+    return every.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
