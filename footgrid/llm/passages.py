@@ -1,0 +1,107 @@
+"""Removal of passages of over 50 words that occur more than once.
+
+Every byte from the first to the last word of a run of ``WORDS`` words that starts anywhere
+else too (in any text, its own included) is removed, whatever its length in bytes;
+runs never cross texts and are judged on the input. Words are split at ASCII white space,
+whose kind and amount don't count. Equal texts are one text with a weight.
+
+The work is spread as in ``suffix_dedup``, with words for bytes: of a run's first ``STARTS``
+words the one where the ``GRAM`` words of smallest hash begin is its anchor, successive runs
+with one anchor are a record, and the ``WORDS - STARTS + 1`` words from the anchor on, which
+all its runs hold, name its bucket. Buckets that weigh two or more are
+the candidates; their runs are counted one by one, by a hash of 64 bits beside the bucket's own.
+Nothing is sampled.
+
+Null and empty texts and those of fewer words: nothing is removed. Repeated rows are copies
+of each other. Rows with a null doc_id and extra columns are kept. Empty table: no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from footgrid.llm.common import written
+from footgrid.llm.suffix_dedup import BASE, _mixed, _without, distinct_texts
+
+WORDS = 51
+STARTS = 26
+GRAM = 4
+
+
+def word_hashes(body: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in body.split()], dtype=np.uint64)
+
+
+def word_places(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    data = np.frombuffer(body, dtype=np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Of every run of ``k`` words."""
+    if k == 1:
+        return words
+    half = k // 2
+    a, b = run_hashes(words, half), run_hashes(words, k - half)
+    n = max(0, len(words) - k + 1)
+    return _mixed(a[:n] * np.uint64(BASE) + b[half : half + n])
+
+
+def records_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, first run and number of runs of each record."""
+    n = len(words) - WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = run_hashes(words, GRAM)[: n + STARTS - 1]
+    anchor = np.lib.stride_tricks.sliding_window_view(grams, STARTS).argmin(axis=1) + np.arange(n)
+    lo = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
+    return run_hashes(words, WORDS - STARTS + 1)[anchor[lo]], lo, np.diff(np.append(lo, n))
+
+
+def repeated_passages(texts: DataFrame) -> DataFrame:
+    """``t`` and ``spans``: the removed byte ranges (start, end), in order, of each text that has any."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, n, body in zip(*(batch.column(c).to_pylist() for c in ("t", "n", "body"))):
+                bucket, lo, owned = records_of(word_hashes(body))
+                m = len(lo)
+                yield pa.RecordBatch.from_arrays([pa.array([t] * m, pa.binary()), pa.array(np.full(m, n, np.int64)), pa.array(bucket.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(owned.astype(np.int32))], ["t", "n", "bucket", "lo", "owned"])
+
+    found = written(texts.select("t", "n", "body").mapInArrow(records, "t binary, n long, bucket long, lo int, owned int"), "records")
+    often = written(found.groupBy("bucket").agg(F.sum("n").alias("all")).where("all >= 2").select("bucket"), "often")
+    candidates = found.join(often, "bucket").groupBy("t").agg(F.collect_list(F.struct("bucket", "lo", "owned")).alias("records"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, n, body, rows in zip(*(batch.column(c).to_pylist() for c in ("t", "n", "body", "records"))):
+                first, last = word_places(body)
+                owned = np.array([r["owned"] for r in rows])
+                at = np.concatenate([np.arange(r["lo"], r["lo"] + r["owned"]) for r in rows])
+                m = len(at)
+                ids = run_hashes(word_hashes(body), WORDS)[at]
+                bucket = np.repeat(np.array([r["bucket"] for r in rows], dtype=np.int64), owned)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * m, pa.binary()), pa.array(np.full(m, n, np.int64)), pa.array(bucket), pa.array(ids.view(np.int64)), pa.array(first[at].astype(np.int32)), pa.array(last[at + WORDS - 1].astype(np.int32))],
+                    ["t", "n", "bucket", "run_id", "start", "end"],
+                )
+
+    single = written(texts.join(candidates, "t").select("t", "n", "body", "records").mapInArrow(runs, "t binary, n long, bucket long, run_id long, start int, end int"), "runs")
+    twice = single.groupBy("bucket", "run_id").agg(F.sum("n").alias("all")).where("all >= 2").select("bucket", "run_id")
+    repeated = single.join(twice, ["bucket", "run_id"])
+    return repeated.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """The documents without the passages that repeat."""
+    texts = distinct_texts(docs, 2 * WORDS - 1)  # bytes of the shortest run
+    return _without(docs, texts, repeated_passages(texts))

@@ -388,10 +388,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, **tuning) -> DataFrame
     return base.join(removed, "t", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own_sha256").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, **tuning) -> DataFrame:
+def _without(docs: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; a character that a removed run cuts through goes whole."""
-    texts = distinct_texts(docs, length)
-    kept = _kept(texts, repeated_runs(texts, length, **tuning)).select("t", F.col("kept").alias("_kept"))
+    kept = _kept(texts, spans).select("t", F.col("kept").alias("_kept"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,3 +400,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **tuning) -> DataFram
     kept = written(kept.mapInArrow(clean, "t binary, _kept string"), "kept")
     out = docs.withColumn("_t", text_id()).join(kept.withColumnRenamed("t", "_t"), "_t", "left")
     return out.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, **tuning) -> DataFrame:
+    """The documents without the bytes that repeated strings cover."""
+    texts = distinct_texts(docs, length)
+    return _without(docs, texts, repeated_runs(texts, length, **tuning))
