@@ -1,4 +1,4 @@
-"""The pipeline's repeated passages against brute force."""
+"""Repeated passages of words against brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-import corpus_pipeline as p
+from footgrid.llm.suffix_dedup import WORDS, without_repeats
 
 
 def cleaned(texts):
@@ -35,9 +35,10 @@ def test_passages_of_over_fifty_words_go(spark):
     texts = [text(rng.randint(0, 90)) + "\n" + q + " " + text(rng.randint(0, 90)) for q in passages for _ in range(3)]
     texts += [passages[0].replace(" ", "\n "), passages[2] + " " + passages[2], "same " * 70, text(600), "", None, "y" * 500, text(80)]
     texts += [texts[-1]]
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in p.repeated_passages(spark, docs, "").collect()}
+    docs = spark.createDataFrame([(i, t, b"x", 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, t binary, doc int, kept string")
+    assert without_repeats(docs, WORDS).columns == docs.columns
+    got = {r.doc_id: r.text for r in without_repeats(docs, WORDS).collect()}
     want = cleaned(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert want[0] != texts[0] and want[3] != texts[3] and want[9] == texts[9]
-    assert p.repeated_passages(spark, docs.where("false"), "").count() == 0
+    assert without_repeats(docs.where("false"), WORDS).count() == 0

@@ -163,10 +163,27 @@ def brute_removed(texts: list[bytes], length: int) -> list[tuple[int, int, str]]
     return out
 
 
-@pytest.mark.parametrize("tuning", [{}, {"bucket_bytes": 100}, {"batch_bytes": 500, "shard_bytes": 300}])
+def brute_passages(texts: list[bytes], length: int = 51) -> list[tuple[int, int]]:
+    """Maximal runs of words that repeated runs of ``length`` words cover, and their words."""
+    words = [b.split() for b in texts]
+    starts = Counter(tuple(w[k : k + length]) for w in words for k in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        runs: list[list[int]] = []
+        for k in range(len(w) - length + 1):
+            if starts[tuple(w[k : k + length])] > 1:
+                if runs and k < runs[-1][1]:
+                    runs[-1][1] = k + length
+                else:
+                    runs.append([k, k + length])
+        out.append((len(runs), sum(b - a for a, b in runs)))
+    return out
+
+
+@pytest.mark.parametrize("tuning", [{}, {"bucket_units": 100}, {"batch_bytes": 500, "shard_units": 300}])
 def test_repeated_strings(docs, rows, no_docs, tuning):
     texts = [(r[1] or "").encode() for r in rows]
-    want = [(r[0], len(b), *x) for r, b, x in zip(rows, texts, brute_removed(texts, 400))]
+    want = [(r[0], len(b), *x, *y) for r, b, x, y in zip(rows, texts, brute_removed(texts, 400), brute_passages(texts))]
     got = suffix_dedup.repeated_spans(docs, **tuning)
     same(got.collect(), want)
     if not tuning:
@@ -175,13 +192,37 @@ def test_repeated_strings(docs, rows, no_docs, tuning):
         assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+TINY = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+@pytest.mark.parametrize("limit", [1 << 18, 3000, 1])
+def test_a_passage_that_most_texts_continue_differently(spark, limit):
+    """A hot bucket, with and without cuts, and with joins that are split wherever they may be."""
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, ends = text(110), [text(2) for _ in range(4)]
+    texts = [f"{text(rnd.randint(0, 60))} {rnd.choice(ends)} {passage} {rnd.choice(ends)} {text(rnd.randint(0, 60))}" for _ in range(150)] + [text(200) for _ in range(30)]
+    data = [t.encode() for t in texts]
+    for k, v in TINY.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffix_dedup.repeated_spans(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(7), bucket_units=limit).collect()
+    finally:
+        for k in TINY:
+            spark.conf.unset(k)
+    same(got, [(i, len(b), *x, *y) for i, (b, x, y) in enumerate(zip(data, brute_removed(data, 400), brute_passages(data)))])
+
+
 def test_merged_transforms_give_intervals_and_prefixes():
     import numpy as np
 
     rnd = np.random.default_rng(3)
-    segments = [bytes(rnd.choice([97, 98], 900)) for _ in range(3)]
-    segments.append(segments[0][:300] + segments[1][:600])
-    at, start, end = suffix_dedup.repeated_in(segments, np.array([len(s) - 399 for s in segments]), np.ones(4, int), 400, 700)
+    segments = [rnd.choice(np.array([97, 98], np.uint8), 900) for _ in range(3)]
+    segments.append(np.concatenate((segments[0][:300], segments[1][:600])))
+    at, start, end = suffix_dedup.repeated_in(segments, np.array([len(s) - 399 for s in segments]), np.ones(4, int), suffix_dedup.BYTES, 700)
     got = sorted(zip(at.tolist(), start.tolist(), end.tolist()))
     assert got == [(1, 0, 600), (3, 300, 900)]
 
