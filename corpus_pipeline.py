@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footgrid.llm import near_copies, nbsvm_toxicity, passages, pii_boost, sos_packing
+from footgrid.llm import near_copies, nbsvm_toxicity, pii_boost, sos_packing, suffix_dedup
 from footgrid.llm.common import new_folder
 
 SCORE = "_toxicity"
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words that occur more than once are taken out of the texts."""
-    return _counted(passages.without_passages(docs))
+    return _counted(suffix_dedup.without_repeats(docs, suffix_dedup.WORDS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
