@@ -18,15 +18,25 @@ what has run over), and a block is abandoned once all its lanes are beyond
 the radius. A bucket emits only a spanning forest of its links, one row for
 each fingerprint at most; components are then joined over all buckets.
 
-Null and empty texts have fingerprint zero and are linked like any other; texts
-with fewer words than a shingle are one shingle. Whole texts count, and repeated
-shingles count again. Repeated rows share a component. Rows whose doc_id is null
+Texts alike by words (``similar_texts``): links are pairs whose sets of five-word shingles have a
+Jaccard similarity of at least 0.8. Two fingerprints of such texts differ in ten bits on
+average, so no bands of theirs bring them together: buckets come from ``BANDS`` groups of ``ROWS`` least
+values of the shingle set under random maps instead. Two texts of similarity s share one with probability
+1 - (1 - s**ROWS)**BANDS, so three pairs of a million are missed at 0.8, fewer above. In a bucket the fingerprints are compared bit-sliced
+as above, within ``RADIUS``: first with the bucket's least node only, which costs a comparison a text, then, in
+buckets of texts that are not all connected by then, with each other; large ones part by part, none left out. Pairs that are near are held
+against the texts themselves, and those that reach 0.8 are linked.
+
+Null and empty texts have fingerprint zero and are linked like any other (``similar_texts``: texts
+without a word are one); texts with fewer words than a shingle are one shingle. Whole texts count, and repeated
+shingles count again (``similar_texts``: once). Repeated rows share a component. Rows whose doc_id is null
 get a row too; they don't name a component unless all its ids are null. Extra columns are
-ignored. An empty table gives no rows.
+ignored, and kept by ``without_near_copies`` whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,12 +46,18 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from footgrid.llm.common import encoded, written
-from footgrid.llm.components import components
+from footgrid.llm.suffix_dedup import text_id
+from footgrid.operators.components import joined_labels
 
 SEED = 42
 LANES = 8192
 BUCKET_LIMIT = 20_000
 CHUNK = 1 << 15
+#: Of 64 bits, for texts alike by 0.8: they differ in 10 on average, in more than this once in some ten million pairs.
+RADIUS = 26
+BANDS, ROWS = 24, 4
+#: Shingles mapped at once.
+SHINGLES = 1 << 18
 
 
 def fingerprint(data: bytes, size: int = 3) -> int:
@@ -73,10 +89,62 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
 
 
+def _planes(values: np.ndarray) -> tuple[list[int], int]:
+    """The fingerprints' bits stored vertically, an integer for each bit with a lane for each fingerprint; all lanes."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(len(values), 64)
+    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    return [int.from_bytes(p.tobytes(), "little") for p in packed], (1 << len(values)) - 1
+
+
+def within(own: list[int], planes: list[int], full: int, order, radius: int) -> int:
+    """Lanes within ``radius`` of a fingerprint with the bits ``own``.
+
+    Each lane has a counter, kept in bit planes too, that starts so far below its overflow that the bit after
+    the radius overflows it. The block is abandoned once all lanes have."""
+    size = radius.bit_length()
+    short = (1 << size) - 1 - radius
+    counter = [full if short >> k & 1 else 0 for k in range(size)]
+    beyond = 0
+    for b in order:
+        carry = planes[b] ^ full if own[b] else planes[b]
+        for k in range(size):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            if not carry:
+                break
+        else:
+            beyond |= carry
+            if beyond == full:
+                return 0
+    return full & ~beyond
+
+
+def _lanes(mask: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def near_lanes(values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint that has any, the later ones within the radius."""
+    m = len(values)
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(m, 64)
+    blocks = [(at, *_planes(values[at : at + LANES])) for at in range(0, m, LANES)]
+    varied = np.flatnonzero((bits != bits[:1]).any(axis=0)).tolist()
+    for i in range(m):
+        own, found = bits[i].tolist(), []
+        for at, planes, full in blocks:
+            if at + LANES <= i + 1:
+                continue
+            mask = within(own, planes, full, varied, radius)
+            if at <= i:
+                mask &= ~((1 << (i - at + 1)) - 1)
+            if mask:
+                found.append(at + np.flatnonzero(_lanes(mask, full.bit_length())))
+        if found:
+            yield i, np.concatenate(found)
+
+
 def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between distinct fingerprints (unsigned), as pairs."""
-    m = len(values)
-    root = list(range(m))
+    root = list(range(len(values)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -84,49 +152,11 @@ def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    bits = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(m, 64)
-    blocks = []
-    for at in range(0, m, LANES):
-        part = bits[at : at + LANES]
-        packed = np.packbits(part.T, axis=1, bitorder="little")
-        blocks.append((at, (1 << len(part)) - 1, [int.from_bytes(p.tobytes(), "little") for p in packed]))
-    varied = np.flatnonzero((bits != bits[0]).any(axis=0)).tolist()
-    out = []
-    for i in range(m):
-        own = bits[i].tolist()
-        for at, full, planes in blocks:
-            if at + LANES <= i:
-                continue
-            # Bits of a lane's counter: counts[k] has weight 2**k; a lane that has passed the radius stays in `beyond`.
-            ones = twos = beyond = 0
-            for b in varied:
-                differ = planes[b] ^ full if own[b] else planes[b]
-                carry = ones & differ
-                ones ^= differ
-                beyond |= twos & carry
-                twos ^= carry
-                beyond |= _over(ones, twos, radius)
-                if beyond == full:
-                    break
-            near = full & ~beyond
-            if at <= i:
-                near &= ~((1 << (i - at + 1)) - 1)
-            while near:
-                low = near & -near
-                j = at + low.bit_length() - 1
-                near ^= low
-                a, b = top(i), top(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    for i in range(m):
-        if (a := top(i)) != i:
-            out.append((i, a))
-    return out
-
-
-def _over(ones: int, twos: int, radius: int) -> int:
-    """Lanes whose two-bit counter has passed ``radius`` (0, 1 or 2)."""
-    return ones & twos if radius == 2 else twos if radius == 1 else ones | twos
+    for i, near in near_lanes(values, radius):
+        for j in near.tolist():
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
+    return [(i, a) for i in range(len(values)) if (a := top(i)) != i]
 
 
 def _band(fp, first: int, bits: int):
@@ -141,8 +171,6 @@ def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
 
 def fingerprint_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints in ``fp`` within ``radius``, a forest for each bucket."""
-    if radius not in (0, 1, 2):
-        raise ValueError("the counters hold a radius of 0, 1 or 2")
     fp, bands = F.col("fp"), _cuts(64, radius + 2)
     pairs = list(combinations(range(len(bands)), 2))
     left_over = {p: [b for i, band in enumerate(bands) if i not in p for b in range(band[0], band[0] + band[1])] for p in pairs}
@@ -206,9 +234,175 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, bucket_limi
     """``doc_id``, ``fingerprint`` (hex), ``component_id`` (smallest doc_id reachable)."""
     own = written(fingerprints(docs, size), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(components(fingerprint_links(nodes.select("fp"), radius, bucket_limit)), "roots")
+    roots = written(joined_labels(fingerprint_links(nodes.select("fp"), radius, bucket_limit)), "roots")
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_values(data: bytes, size: int) -> np.ndarray:
+    """Distinct hashes of a UTF-8 text's word shingles, in order; none if it has no word."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())], dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two results of ``shingle_values``; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A bucket for each band of each set (none empty)."""
+    rng = np.random.default_rng(5)
+    factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    values = np.concatenate(sets)
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    least = np.stack([np.minimum.reduceat((values ^ s) * f, first) for f, s in zip(factors, shifts)], axis=1)
+    return np.array([[xxhash.xxh64_intdigest(row[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)] for row in least], dtype=np.uint64)
+
+
+def _majority(values: np.ndarray) -> int:
+    """Fingerprint of a set of shingles."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(values)).tobytes())
+
+
+def _sketches(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(ids: list, same: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+            keys: list[list[int]] = [[]] * len(sets)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            if full:
+                for i, k in zip(full, _keys([sets[i] for i in full]).view(np.int64)):
+                    keys[i] = k.tolist()
+            fps = np.array([_majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [pa.array(ids, pa.binary()), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["t", "node", "n", "fp", "keys"])
+
+        for batch in batches:
+            ids, same, sets, held = [], [], [], 0
+            for t, data in zip(batch.column("t").to_pylist(), encoded(batch)):
+                ids.append(t)
+                same.append(hashlib.sha256(b" ".join(data.lower().split())).digest()[:16])
+                sets.append(shingle_values(data, size))
+                held += len(sets[-1])
+                if held >= SHINGLES:
+                    yield done(ids, same, sets)
+                    ids, same, sets, held = [], [], [], 0
+            yield done(ids, same, sets)
+
+    return work
+
+
+def _near_first(radius: int):
+    """Of rows with two fingerprints, those within the radius; a batch is one set of lanes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "first_fp"))
+            near = np.concatenate([np.zeros(0, bool), *(_lanes(within([0] * 64, *_planes((x ^ y)[at : at + LANES]), range(64), radius), min(LANES, len(x) - at)) for at in range(0, len(x), LANES))])
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return work
+
+
+def _near_pairs(radius: int, least: float):
+    """Pairs of a bucket within the radius whose roots differ and whose sizes allow ``least``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            node, n, fp, root, side = (list(c) for c in list(zip(*rows))[2:])
+            sizes, sides, same = np.array(n), np.array(side), np.unique(np.array(root, dtype=object), return_inverse=True)[1]
+            for i, j in near_lanes(np.array(fp, dtype=np.int64).view(np.uint64), radius):
+                j = j[(same[j] != same[i]) & (np.minimum(sizes[j], sizes[i]) >= least * np.maximum(sizes[j], sizes[i])) & ((sides[j] != sides[i]) | (sides[i] == 0))]
+                if len(j):
+                    pairs = [sorted((node[i], node[k])) for k in j.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "cell", "node", "n", "fp", "root", "side"))):
+                if held and held[-1][:2] != row[:2]:
+                    yield from done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from done(held)
+
+    return work
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            for i, j, x, y in zip(a, b, encoded(batch, "text_a"), encoded(batch, "text_b")):
+                if i != last:
+                    last, own = i, shingle_values(x, size)
+                if jaccard(own, shingle_values(y, size)) >= least:
+                    out.append((i, j))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
+
+
+def similar_texts(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``t`` (``text_id`` of each different text) and ``root``, the same for texts that links of at least ``least`` connect."""
+    texts = docs.select(text_id().alias("t"), "text")
+    own = written(texts.mapInArrow(_sketches(size), "t binary, node binary, n int, fp long, keys array<long>"), "sketches")
+    every = written(own.select("t", "node").distinct(), "every")
+    sketches = own.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    dealt = written(sketches.select("node", "n", "fp", F.explode("keys").alias("k")), "dealt")
+    shared = dealt.groupBy("k").agg(F.min(F.struct("node", "n", "fp")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    dealt = written(dealt.join(shared, "k"), "shared")
+    fits = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
+    one = dealt.where(F.col("node") != F.col("first.node")).where(fits).select(F.col("first.node").alias("a"), F.col("node").alias("b"), "fp", F.col("first.fp").alias("first_fp")).dropDuplicates(["a", "b"])
+    stars = written(one.mapInArrow(_near_first(radius), "a binary, b binary"), "stars")
+    # One text for each node that shares a bucket.
+    named = every.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    chosen = written(texts.join(named, "t").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    links = written(_verified(stars, chosen, size, least), "links")
+    roots = written(joined_labels(links), "roots")
+    placed = dealt.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Buckets that are one component by now are done.
+    open_ = placed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("k", F.ceil(F.col("size") / bucket_limit).cast("int").alias("parts"))
+    rest = placed.join(open_, "k").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    # A large bucket is compared part by part: a cell for each two parts, and every node goes to the cells of its part.
+    cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("k", F.struct(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).alias("cell"), "node", "n", "fp", "root", F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"))
+    cells = written(cells, "cells")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_near_pairs(radius, least), "a binary, b binary").distinct()
+    links = links.union(written(_verified(pairs.join(stars, ["a", "b"], "left_anti"), chosen, size, least), "links"))
+    roots = written(joined_labels(links), "roots")
+    return every.join(roots, "node", "left").select("t", F.coalesce("root", "node").alias("root"))
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of similar texts: that with the smallest doc_id (null last), then the smallest
+    ``text_id``, then the smallest digest of the other columns. Rows equal in all of them stay once."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    others = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = own.select("doc", text_id(F.col("doc.text")).alias("t"), F.sha2(F.to_json(F.struct(*others)) if others else F.lit(""), 256).alias("tie"))
+    found = written(similar_texts(docs.select("text"), size, least), "similar")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t", "tie")
+    first = rows.select("doc.doc_id", "t", "tie").join(found, "t").groupBy("root").agg(F.min(rank).alias("first")).select("first.*")
+    left = rows.join(first.select("t", F.col("doc_id").alias("least"), F.col("tie").alias("its")), "t").where(F.col("doc.doc_id").eqNullSafe(F.col("least")) & (F.col("tie") == F.col("its")))
+    return left.dropDuplicates(["t"]).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -484,7 +484,9 @@ def repeated_spans(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS,
     counted = written(_counted(repeated_runs(texts, passages, **tuning), passages), "passages")
     base = docs.select("doc_id", text_id().alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("own_sha256"))
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passages", "n_passage_words")]
-    return base.join(removed, "t", "left").join(counted, "t", "left").select("doc_id", "n_bytes", *counts[:2], F.coalesce("kept_sha256", "own_sha256").alias("kept_sha256"), *counts[2:])
+    # One join for the documents, whose copies share a key that it can split.
+    found = written(removed.join(counted, "t", "full"), "found")
+    return base.join(found, "t", "left").select("doc_id", "n_bytes", *counts[:2], F.coalesce("kept_sha256", "own_sha256").alias("kept_sha256"), *counts[2:])
 
 
 def without_repeats(docs: DataFrame, unit: Unit = BYTES, **tuning) -> DataFrame:

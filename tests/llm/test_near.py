@@ -1,4 +1,4 @@
-"""The pipeline's near copies against brute force."""
+"""Near copies by words against brute force."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from itertools import combinations
 
 import pytest
 
-import corpus_pipeline as p
-from footgrid.llm import near_copies
+from footgrid.llm import simhash_bits
 
 
 def shingle_set(text):
@@ -52,10 +51,32 @@ def rows():
     return list(enumerate(texts))
 
 
-def test_near_copies_go_and_clean_documents_stay(spark, rows):
-    table = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
-    got = [r.doc_id for r in p.near_duplicates(spark, table, "").collect()]
-    want = kept_by_brute_force(rows)
+CLASHING = "doc_id long, text string, t string, node int, root string, doc string, tie int, first string, least int"
+
+
+@pytest.mark.parametrize("limit", [20_000, 5])
+def test_near_copies_go_and_clean_documents_stay(spark, rows, limit, monkeypatch):
+    monkeypatch.setattr(simhash_bits.similar_texts, "__defaults__", (5, 0.8, simhash_bits.RADIUS, limit))
+    wide = [(i, t, *("x", 1, "r", "d", 2, "f", i)) for i, t in rows]
+    other = (rows[3][0], "quite another text of the same id", "x", 1, "r", "d", 2, "f", 0)
+    table = spark.createDataFrame([*wide, wide[0], wide[0], other, (None, rows[1][1], *wide[0][2:]), (None, "a text that has no id", *wide[0][2:])], CLASHING).repartition(5)
+    out = simhash_bits.without_near_copies(table)
+    assert out.columns == table.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    texts = dict(rows)
+    want = [(i, texts[i]) for i in kept_by_brute_force(rows)] + [(other[0], other[1]), (None, "a text that has no id")]
     assert len(rows) - len(want) > 60
-    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
-    assert near_copies.near_copies(table.where("false")).count() == 0
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert simhash_bits.without_near_copies(table.where("false")).count() == 0
+
+
+def test_lanes_within_any_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    values = np.concatenate((values, values ^ np.uint64(0b1011), values ^ np.uint64(0xFFFF << 20)))
+    for radius in (0, 1, 2, 3, 16, 26, 31, 40):
+        got = {(i, j) for i, near in simhash_bits.near_lanes(values, radius) for j in near.tolist()}
+        assert got == {(i, j) for i in range(180) for j in range(i + 1, 180) if (int(values[i]) ^ int(values[j])).bit_count() <= radius}
