@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footgrid.llm import near_copies, nbsvm_toxicity, pii_boost, sos_packing, suffix_dedup
+from footgrid.llm import nbsvm_toxicity, pii_boost, simhash_bits, sos_packing, suffix_dedup
 from footgrid.llm.common import new_folder
 
 SCORE = "_toxicity"
@@ -28,10 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts alike by 0.8 in five-word shingles, the document with the smallest id stays, once."""
-    found = near_copies.near_copies(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    return simhash_bits.without_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
