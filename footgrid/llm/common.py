@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine), a temporary folder is made once
-    and set as the checkpoint folder of the context.
+    Where it is unset and everything runs in one process (tests), a temporary folder is made once
+    and set as the checkpoint folder of the context; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="footgrid-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -10,9 +10,9 @@ lines; a text is kept if its base rules hold and the share is at least ``LEAST_S
 
 The weights are learnt by gradient steps on the exact likelihood (forward and
 backward sums). Lines of documents labelled good count as content, those of documents
-labelled bad as boilerplate. Two documents are laid end to end as one training sequence, so
-that changes are seen. About ``SAMPLE_ROWS`` labelled documents of at most ``SAMPLE_LINES``
-lines are used (a documented bound: rows are taken by a hash of doc_id below a
+labelled bad as boilerplate. Two pieces of up to ``SEQUENCE_LINES`` lines are laid end to end as one training
+sequence, so that changes are seen. About ``SAMPLE_ROWS`` labelled documents, with all their lines, are
+used (a documented bound: rows are taken by a hash of doc_id below a
 cut-off); every document is decoded, whole.
 
 Null and empty texts have no words and fail. Repeated rows get equal results. Null or other
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, functions as F
 from footgrid.llm.common import encoded
 
 SAMPLE_ROWS = 4000
-SAMPLE_LINES = 64
+SEQUENCE_LINES = 64
 LEAST_SHARE = 0.5
 STEPS = 200
 RIDGE = 1e-3
+SETTLED = 1e-3
 SYMBOLS = b"#*$%&|<>"
 #: Upper ends (exclusive) of the bins of each feature.
 BINS = {
@@ -134,40 +135,60 @@ class Field:
         return np.array(out[::-1])
 
 
-def fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, ridge: float = RIDGE) -> Field:
-    """Maximum likelihood with a ridge, by steps scaled to each weight's past gradients."""
-    longest, n = max(len(y) for _, y in sequences), len(sequences)
-    bins, labels, there = np.zeros((longest, n, len(BINS)), np.int64), np.zeros((longest, n), np.int64), np.zeros((longest, n), bool)
-    for j, (x, y) in enumerate(sequences):
-        bins[: len(y), j], labels[: len(y), j], there[: len(y), j] = x, y, True
-    size = [2 * N_BINS, 4, 2]
-    weights, past = np.zeros(sum(size)), np.full(sum(size), 1e-8)
-    total = there.sum()
-    for _ in range(steps):
-        emit, move, begin = (p.reshape(s) for p, s in zip(np.split(weights, np.cumsum(size)[:-1]), ((N_BINS, 2), (2, 2), (2,))))
+class _Group:
+    """Sequences of like lengths, padded to the longest."""
+
+    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]]):
+        longest, n = max(len(y) for _, y in sequences), len(sequences)
+        self.bins, self.labels, self.there = np.zeros((longest, n, len(BINS)), np.int64), np.zeros((longest, n), np.int64), np.zeros((longest, n), bool)
+        for j, (x, y) in enumerate(sequences):
+            self.bins[: len(y), j], self.labels[: len(y), j], self.there[: len(y), j] = x, y, True
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (self.labels[:-1][self.there[1:]], self.labels[1:][self.there[1:]]), 1)
+
+    def gradient(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, float]:
+        """Of the likelihood's logarithm, by forward and backward sums; and that logarithm."""
+        bins, labels, there = self.bins, self.labels, self.there
         e = emit[bins].sum(axis=2)
-        forward, backward = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
+        forward, backward = np.zeros(e.shape), np.zeros(e.shape)
         forward[0] = begin + e[0]
-        for t in range(1, longest):
+        for t in range(1, len(e)):
             f = np.logaddexp(forward[t - 1, :, :1] + move[0], forward[t - 1, :, 1:] + move[1]) + e[t]
             forward[t] = np.where(there[t][:, None], f, forward[t - 1])
-        for t in range(longest - 2, -1, -1):
+        for t in range(len(e) - 2, -1, -1):
             after = e[t + 1] + backward[t + 1]
             g = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
             backward[t] = np.where(there[t + 1][:, None], g, backward[t + 1])
         norm = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
         share = np.exp(forward + backward - norm[:, None])
-        gap = np.where(there[..., None], np.eye(2)[labels] - share, 0)
+        gold = np.eye(2)[labels]
+        gap = np.where(there[..., None], gold - share, 0)
         g_emit = np.stack([sum(np.bincount(bins[..., k].ravel(), gap[..., c].ravel(), N_BINS) for k in range(len(BINS))) for c in (0, 1)], axis=1)
         pair = forward[:-1, :, :, None] + move + (e[1:] + backward[1:])[:, :, None, :] - norm[:, None, None]
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[:-1][there[1:]], labels[1:][there[1:]]), 1)
-        g_move = seen - np.exp(pair[there[1:]]).sum(axis=0)
-        gradient = np.concatenate((g_emit.ravel(), g_move.ravel(), gap[0].sum(axis=0))) / total - ridge * weights
+        g_move = self.seen - np.exp(pair[there[1:]]).sum(axis=0)
+        reached = (e * gold)[there].sum() + (self.seen * move).sum() + begin[labels[0]].sum() - norm.sum()
+        return np.concatenate((g_emit.ravel(), g_move.ravel(), gap[0].sum(axis=0))), float(reached)
+
+
+def fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, ridge: float = RIDGE, settled: float = SETTLED) -> Field:
+    """Maximum likelihood with a ridge, by steps scaled to each weight's past gradients, until five of
+    them raise the logarithm of the likelihood by less than ``settled`` a line."""
+    by_size: dict[int, list] = {}
+    for x, y in sequences:
+        by_size.setdefault(len(y).bit_length(), []).append((x, y))
+    groups = [_Group(g) for _, g in sorted(by_size.items())]
+    weights = np.zeros(2 * N_BINS + 6)
+    past, total, reached = np.full(len(weights), 1e-8), sum(len(y) for _, y in sequences), []
+    parts = lambda: [p.reshape(s) for p, s in zip(np.split(weights, (2 * N_BINS, 2 * N_BINS + 4)), ((N_BINS, 2), (2, 2), (2,)))]
+    for _ in range(steps):
+        found = [g.gradient(*parts()) for g in groups]
+        gradient = sum(g for g, _ in found) / total - ridge * weights
+        reached.append(sum(r for _, r in found) / total)
+        if len(reached) > 5 and reached[-1] - reached[-6] < settled:
+            break
         past += gradient**2
         weights = weights + 0.3 * gradient / np.sqrt(past)
-    emit, move, begin = (p.reshape(s) for p, s in zip(np.split(weights, np.cumsum(size)[:-1]), ((N_BINS, 2), (2, 2), (2,))))
-    return Field(emit, move, begin)
+    return Field(*parts())
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
@@ -181,10 +202,12 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [measured(d)[1] for d in encoded(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array([x.astype("<i8").tobytes() if 0 < len(x) <= SAMPLE_LINES else None for x in found], pa.binary())], ["doc_id", "quality", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array([x.astype("<i1").tobytes() for x in found], pa.binary())], ["doc_id", "quality", "bins"])
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(lines, "doc_id long, quality int, bins binary").where("bins IS NOT NULL").collect())  # about sample_rows rows
-    by_label = [[np.frombuffer(b, dtype="<i8").reshape(-1, len(BINS)) for _, q, b in rows if q == c] for c in (0, 1)]
+    rows = sorted(tuple(r) for r in sample.mapInArrow(lines, "doc_id long, quality int, bins binary").collect())  # about sample_rows rows
+    whole = [(q, np.frombuffer(b, dtype="<i1").reshape(-1, len(BINS)).astype(np.int64)) for _, q, b in rows]
+    # Long documents are several sequences; no line is left out.
+    by_label = [[x[at : at + SEQUENCE_LINES] for q, x in whole if q == c for at in range(0, len(x), SEQUENCE_LINES)] for c in (0, 1)]
     if not all(by_label):
         return Field(np.tile([0.0, 1.0], (N_BINS, 1)), np.zeros((2, 2)), np.zeros(2))
     random = np.random.default_rng(4)

@@ -23,6 +23,7 @@ a directory without members and no rows.
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import uuid
 import zlib
@@ -151,7 +152,7 @@ class MediaReader(DataSourceReader):
             ends = np.append(offsets, at)
             rows, held = [], 0
             for i in range(first, last):
-                rows.append(self.member(f, partition.path, int(offsets[i]), int(ends[i + 1] - offsets[i])))
+                rows.append(self.member(f, system, partition.path, int(offsets[i]), int(ends[i + 1] - offsets[i])))
                 held += len(rows[-1][4] or b"")
                 if held >= self.batch_bytes:
                     yield self.batch(rows)
@@ -159,12 +160,13 @@ class MediaReader(DataSourceReader):
             if rows:
                 yield self.batch(rows)
 
-    def member(self, f, path: str, offset: int, size: int) -> tuple:
-        """One member by its own offset; an error of reading or checking is tried again."""
+    def member(self, f, system: fs.FileSystem, path: str, offset: int, size: int) -> tuple:
+        """One member by its own offset; after an error of reading or checking it is read from the archive opened anew."""
         error = None
-        for _ in range(1 + self.retries):
+        for turn in range(1 + self.retries):
             try:
-                data = f.read_at(size, offset)
+                with system.open_input_file(path) if turn else contextlib.nullcontext(f) as source:
+                    data = source.read_at(size, offset)
                 mark, doc_id, has_id, n_bytes, n_media, crc = struct.unpack_from(MEMBER, data)
                 media = data[struct.calcsize(MEMBER) : struct.calcsize(MEMBER) + n_media]
                 if mark != MARK or len(media) != n_media or zlib.crc32(media) != crc:
@@ -194,8 +196,8 @@ def feature_of(payload: bytes) -> str:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def media_features(members: DataFrame) -> DataFrame:
-    """Digests and features of the payloads in ``media``; a bad member keeps its error."""
+def media_features(members: DataFrame, strict: bool = False) -> DataFrame:
+    """Digests and features of the payloads in ``media``; a bad member keeps its error or, if ``strict``, fails the query."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
@@ -203,6 +205,8 @@ def media_features(members: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, n_bytes, media, error in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "error"))):
+                if error is not None and strict:
+                    raise OSError(f"a member could not be read: {error}")
                 if error is not None:
                     rows.append((doc_id, *[None] * 7, error))
                     continue
@@ -219,4 +223,4 @@ def stored_features(docs: DataFrame) -> DataFrame:
     folder = new_folder(spark, "media")
     write_members(docs, folder)
     spark.dataSource.register(MediaArchives)
-    return media_features(spark.read.format("media_archives").load(folder))
+    return media_features(spark.read.format("media_archives").load(folder), strict=True)

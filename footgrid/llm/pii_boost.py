@@ -7,11 +7,12 @@ different kinds may overlap. A base span that passes its rule is kept as it is.
 
 The rest are candidates: base spans that fail their rule, secrets and numbers. A
 span has features of its format (length, shares of digits, capitals and letters, separators,
-hexadecimal or not) and of its context (a naming word, an assignment sign or a quote before
+hexadecimal or not) and of its context (a quote or a space before
 it). Gradient-boosted trees learn from weak labels: base spans that pass or fail
-their rules, and secrets with or without a name or a known prefix. The rules' own sums are
-no features, so the trees learn how such data look. The threshold is calibrated
-on documents that the trees haven't seen: the least at which ``LEAST_PRECISION`` of the
+their rules, and secrets with or without a known prefix or an assigned name before them. Neither the rules' sums
+nor the names and prefixes are features, so the trees can't restate the labels: they learn how
+such data look, and find those without a name too. The threshold is calibrated
+on all documents that the trees haven't seen: the least at which ``LEAST_PRECISION`` of the
 spans above are labelled personal. Candidates at or above it that overlap no kept base
 span are added under their own kinds (a failed base span as ``number``).
 
@@ -50,7 +51,7 @@ BASE = ("email", "ip", "card", "phone")
 NEEDS = {"email": "@", "phone": "+", "ip": "."}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|phone|tel|mobile|card|account|iban|ssn)[^A-Za-z0-9]{0,4}$"
-FEATURES = ("length", "digits", "capitals", "letters", "separators", "hexadecimal", "named", "assigned")
+FEATURES = ("length", "digits", "capitals", "letters", "separators", "hexadecimal", "quoted", "spaced")
 SAMPLE_ROWS = 20_000
 LEAST_PRECISION = 0.98
 SPAN = "struct<start:int,end:int,before:string,match:string>"
@@ -121,7 +122,7 @@ def _described(kind: str, s: Column) -> Column:
         label = F.lit(None).cast("double")
     values = {
         "length": length.cast("double"), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "letters": share("[^A-Za-z]"), "separators": share("[A-Za-z0-9]"),
-        "hexadecimal": match.rlike("^[0-9a-f]+$").cast("double"), "named": named.cast("double"), "assigned": assigned.cast("double"),
+        "hexadecimal": match.rlike("^[0-9a-f]+$").cast("double"), "quoted": before.rlike("[\"'`]$").cast("double"), "spaced": before.rlike("[ \\t\\n]$").cast("double"),
     }
     return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), label.alias("label"), *[values[f].alias(f) for f in FEATURES])
 
@@ -170,9 +171,10 @@ def trained(found: DataFrame, n_docs: int, sample_rows: int = SAMPLE_ROWS, round
     from pyspark.ml.feature import VectorAssembler
 
     cut = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, n_docs)))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    spans = found.where(place < cut).select("doc_id", F.explode(F.concat(*PATTERNS)).alias("s")).select("doc_id", "s.*").where("label IS NOT NULL")
-    spans = written(spans.withColumn("seen", F.xxhash64("doc_id", F.lit(1)) % 2 == 0).drop("doc_id"), "spans")
+    # Half of the sample is seen by the trees; the spans of all other documents calibrate the threshold.
+    seen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut) & (F.xxhash64("doc_id", F.lit(1)) % 2 == 0)
+    spans = found.select(seen.alias("seen"), F.explode(F.concat(*PATTERNS)).alias("s")).select("seen", "s.*").where("label IS NOT NULL")
+    spans = written(spans, "spans")
     labels = {r["label"] for r in spans.where("seen").select("label").distinct().collect()}  # two values at most
     if len(labels) < 2:
         return None
@@ -221,19 +223,25 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = proposed(docs)
     spans = personal_spans(found, trained(found, found.count()))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span of their texts replaced by its kind in angle brackets.
 
     Overlapping spans are one, named by the first."""
-    found = proposed(docs, tuple(docs.columns))
-    spans = personal_spans(found, trained(found, found.count()), tuple(docs.columns))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # The documents' other columns travel in one, so that none of their names can clash.
+    own = docs.select("doc_id", "text", F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("doc"))
+    keep = ("doc_id", "text", "doc")
+    found = proposed(own, keep)
+    spans = personal_spans(found, trained(found, found.count()), keep)
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = spans.withColumn("_order", order)
     step = """aggregate(_order, named_struct('pos', 0, 'out', CAST(array() AS array<string>)),
         (acc, s) -> named_struct('pos', greatest(acc.pos, s.end), 'out', CASE WHEN s.start < acc.pos THEN acc.out
             ELSE concat(acc.out, array(substring(text, acc.pos + 1, s.start - acc.pos), concat('<', upper(s.kind), '>'))) END),
         acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1)))"""
-    return spans.select(*[F.when(F.size("_order") > 0, F.expr(step)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size("_order") > 0, F.expr(step)).otherwise(F.col("text"))
+    column = lambda c: text if c == "text" else F.col(c) if c == "doc_id" else F.col("doc").getField(f"c{others.index(c)}")
+    return spans.select(*[column(c).alias(c) for c in docs.columns])

@@ -214,8 +214,9 @@ class IndexReader:
             b += 1
 
 
-def lookup(wanted: DataFrame, folder: str, parts: list[tuple[str, int, str]], partitions: int) -> DataFrame:
-    """Captures of ``wanted`` (key, page_id), read from the archives by byte range."""
+def lookup(wanted: DataFrame, folder: str, parts: list[tuple[str, int, str]], partitions: int, all_there: bool = False) -> DataFrame:
+    """Captures of ``wanted`` (key, page_id), read from the archives by byte range. Those that the
+    index doesn't hold give no row or, where all must be there, an error."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder, parts)
@@ -225,6 +226,8 @@ def lookup(wanted: DataFrame, folder: str, parts: list[tuple[str, int, str]], pa
                 place = reader.find(key, -1 if page_id is None else page_id)
                 if place:
                     rows.append(place)
+                elif all_there:
+                    raise ValueError(f"the index has lost the capture of page {page_id}, key {key}")
             yield _batch(rows, "file string, offset long, length long")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,4 +257,4 @@ def archived(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     captures = write_archives(pages, folder)
     parts = write_index(captures, folder, n)
-    return lookup(pages.select(url_key(F.col("url")).alias("key"), "page_id"), folder, parts, n)
+    return lookup(pages.select(url_key(F.col("url")).alias("key"), "page_id"), folder, parts, n, all_there=True)

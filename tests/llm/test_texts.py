@@ -302,6 +302,32 @@ def holds(kind: str, m: str) -> bool:
     return True
 
 
+def test_added_spans_are_secrets_with_and_without_a_name(spark):
+    """Names label the training spans only; of the spans added, 98 of 100 are planted secrets, and few of those are missed."""
+    import random
+
+    rnd, texts, planted = random.Random(4), [], set()
+    for i in range(900):
+        token, digits = "".join(rnd.choice("0123456789abcdef") for _ in range(40)), "".join(rnd.choice("123456789") for _ in range(16))
+        before, body, after = [("note token = \"", token, "\" end"), ("the value is \"", token, "\" here"), ("order ", digits, " sent"), ("see 10.0.0.7 and ", digits, " or a@b.org")][kind := 1 if i % 200 == 7 else 0 if i % 2 else 2 + i // 2 % 2]
+        texts.append((i, before + body + after))
+        if kind < 2:
+            planted.add((i, f"secret:{len(before)}:{len(before) + 40}"))
+    rows = pii_boost.personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    added = {(r.doc_id, s) for r in rows for s in r.spans.split(",") if s.startswith(("secret", "number"))}
+    assert len(added & planted) >= 0.98 * len(added) and len(added & planted) >= 0.95 * len(planted)
+    assert all((i, "secret:14:54") in added for i in range(7, 900, 200))
+    assert all(r.n_spans == len([s for s in r.spans.split(",") if s]) for r in rows)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "email", "ip", "_email", "s", "n", "base", "added", "_order", "doc", "numbers", "a.b"]
+    table = spark.createDataFrame([(1, "mail a.b@c.org now", *range(11)), (None, None, *range(11))], "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names[2:]))
+    out = pii_boost.redacted(table)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "mail <EMAIL> now", *range(11)), (None, None, *range(11))], key=str)
+
+
 def test_base_personal_data(spark, docs, rows, no_docs):
     extra = ["a@b.c_d@e.f @x.y a@b..c a@b-c.d@e.f.", "1.2.3.4.5.6.7.8 01.002.255.0256 1.2.3", "+12 345 (6)7--8.9 +1 +22 ()3 4444444444444444 4444-4444 4444 4448", "5" * 3000 + "." + "a" * 3000 + "@" + "b" * 300, "é 日 a@b.c " * 600, "9 " * 700]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
