@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from footgrid.llm import nbsvm_toxicity, pii_boost, simhash_bits, sos_packing, suffix_dedup
 from footgrid.llm.common import new_folder
 
-SCORE = "_toxicity"
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text, if the table has both."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -22,8 +19,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay."""
-    model = nbsvm_toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return nbsvm_toxicity.scored(docs, *model, column=SCORE).where(F.col(SCORE) < 0.5).select(*docs.columns)
+    return nbsvm_toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
