@@ -24,8 +24,9 @@ average, so no bands of theirs bring them together: buckets come from ``BANDS``
 values of the shingle set under random maps instead. Two texts of similarity s share one with probability
 1 - (1 - s**ROWS)**BANDS, so three pairs of a million are missed at 0.8, fewer above. In a bucket the fingerprints are compared bit-sliced
 as above, within ``RADIUS``: first with the bucket's least node only, which costs a comparison a text, then, in
-buckets of texts that are not all connected by then, with each other; large ones part by part, none left out. Pairs that are near are held
-against the texts themselves, and those that reach 0.8 are linked.
+buckets of texts that are not all connected by then, with each other; large ones part by part, none left out. Those that are near are held
+against each other's whole sets of shingles (hashes of 32 bits), and linked at 0.8. A bucket emits no pairs but a
+forest of its links.
 
 Null and empty texts have fingerprint zero and are linked like any other (``similar_texts``: texts
 without a word are one); texts with fewer words than a shingle are one shingle. Whole texts count, and repeated
@@ -56,8 +57,8 @@ CHUNK = 1 << 15
 #: Of 64 bits, for texts alike by 0.8: they differ in 10 on average, in more than this once in some ten million pairs.
 RADIUS = 26
 BANDS, ROWS = 24, 4
-#: Shingles mapped at once.
-SHINGLES = 1 << 18
+#: Shingles mapped at once; of a cell's part at most; pairs of a hub that one place compares.
+SHINGLES, CELL_SHINGLES, HUB_PAIRS = 1 << 18, 1 << 21, 2000
 
 
 def fingerprint(data: bytes, size: int = 3) -> int:
@@ -287,8 +288,9 @@ def _sketches(size: int):
                 for i, k in zip(full, _keys([sets[i] for i in full]).view(np.int64)):
                     keys[i] = k.tolist()
             fps = np.array([_majority(s) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.binary()), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["t", "node", "n", "fp", "keys"])
+            short = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+            columns = [pa.array(ids, pa.binary()), pa.array(same, pa.binary()), pa.array([len(s) for s in short], pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in short], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["t", "node", "n", "fp", "keys", "set"])
 
         for batch in batches:
             ids, same, sets, held = [], [], [], 0
@@ -317,56 +319,84 @@ def _near_first(radius: int):
     return work
 
 
+def _set(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, dtype=np.uint32)
+
+
 def _near_pairs(radius: int, least: float):
-    """Pairs of a bucket within the radius whose roots differ and whose sizes allow ``least``."""
+    """Links of a bucket's cell between roots: a forest, so a link for each root at most.
+
+    Fingerprints within the radius are held against each other's shingles, unless sizes rule ``least`` out or links have joined them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            node, n, fp, root, side = (list(c) for c in list(zip(*rows))[2:])
-            sizes, sides, same = np.array(n), np.array(side), np.unique(np.array(root, dtype=object), return_inverse=True)[1]
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            node, fp, root, side, stored = list(zip(*rows))[2:]
+            sets, sides = [_set(x) for x in stored], np.array(side)
+            sizes = np.array([len(x) for x in sets])
+            names = {r: i for i, r in enumerate(dict.fromkeys(root))}
+            own, up, out = [names[r] for r in root], list(range(len(names))), []
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
             for i, j in near_lanes(np.array(fp, dtype=np.int64).view(np.uint64), radius):
-                j = j[(same[j] != same[i]) & (np.minimum(sizes[j], sizes[i]) >= least * np.maximum(sizes[j], sizes[i])) & ((sides[j] != sides[i]) | (sides[i] == 0))]
-                if len(j):
-                    pairs = [sorted((node[i], node[k])) for k in j.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
+                j = j[(np.minimum(sizes[j], sizes[i]) >= least * np.maximum(sizes[j], sizes[i])) & ((sides[j] != sides[i]) | (sides[i] == 0))]
+                for k in j.tolist():
+                    x, y = top(own[i]), top(own[k])
+                    if x != y and jaccard(sets[i], sets[k]) >= least:
+                        up[max(x, y)] = min(x, y)
+                        out.append((node[i], node[k]))
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "cell", "node", "n", "fp", "root", "side"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "cell", "node", "fp", "root", "side", "set"))):
                 if held and held[-1][:2] != row[:2]:
-                    yield from done(held)
+                    yield done(held)
                     held = []
                 held.append(row)
         if held:
-            yield from done(held)
+            yield done(held)
 
     return work
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+def _like_hub(least: float):
+    """Links of hubs: a hub's row (``b`` is null) comes first, those to hold against it after it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
+        hub = np.zeros(0, np.uint32)
         for batch in batches:
             out = []
-            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            for i, j, x, y in zip(a, b, encoded(batch, "text_a"), encoded(batch, "text_b")):
-                if i != last:
-                    last, own = i, shingle_values(x, size)
-                if jaccard(own, shingle_values(y, size)) >= least:
-                    out.append((i, j))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+            for a, b, stored in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set"))):
+                if b is None:
+                    hub = _set(stored)
+                elif jaccard(hub, _set(stored)) >= least:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    return work
+
 
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
+def _verified(stars: DataFrame, sets: DataFrame, least: float, parts: int) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough. A hub ``a`` of many pairs is dealt to several
+    places, each of which gets its shingles once."""
+    hubs = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("places"))
+    none = F.lit(None).cast("binary")
+    own = hubs.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), none.alias("b"), "set")
+    others = stars.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"), "b").join(sets, F.col("b") == F.col("node")).select("a", "place", "b", "set")
+    return own.union(others).repartition(parts, "a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first()).mapInArrow(_like_hub(least), "a binary, b binary")
 
 
-def similar_texts(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def similar_texts(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """``t`` (``text_id`` of each different text) and ``root``, the same for texts that links of at least ``least`` connect."""
-    texts = docs.select(text_id().alias("t"), "text")
-    own = written(texts.mapInArrow(_sketches(size), "t binary, node binary, n int, fp long, keys array<long>"), "sketches")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(text_id().alias("t"), "text").mapInArrow(_sketches(size), "t binary, node binary, n int, fp long, keys array<long>, set binary")
+    own = written(own, "sketches")
     every = written(own.select("t", "node").distinct(), "every")
     sketches = own.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     dealt = written(sketches.select("node", "n", "fp", F.explode("keys").alias("k")), "dealt")
@@ -375,23 +405,21 @@ def similar_texts(docs: DataFrame, size: int = 5, least: float = 0.8, radius: in
     fits = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
     one = dealt.where(F.col("node") != F.col("first.node")).where(fits).select(F.col("first.node").alias("a"), F.col("node").alias("b"), "fp", F.col("first.fp").alias("first_fp")).dropDuplicates(["a", "b"])
     stars = written(one.mapInArrow(_near_first(radius), "a binary, b binary"), "stars")
-    # One text for each node that shares a bucket.
-    named = every.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
-    chosen = written(texts.join(named, "t").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    links = written(_verified(stars, chosen, size, least), "links")
+    sets = written(own.select("node", "set").join(dealt.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    links = written(_verified(stars, sets, least, parts), "links")
     roots = written(joined_labels(links), "roots")
     placed = dealt.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Buckets that are one component by now are done.
-    open_ = placed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("k", F.ceil(F.col("size") / bucket_limit).cast("int").alias("parts"))
+    placed = written(placed, "placed")
+    open_ = placed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("size")).where("low < high").select("k", F.ceil(F.col("size") / cell_shingles).cast("int").alias("parts"))
     rest = placed.join(open_, "k").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # A large bucket is compared part by part: a cell for each two parts, and every node goes to the cells of its part.
     cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("k", F.struct(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).alias("cell"), "node", "n", "fp", "root", F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"))
-    cells = written(cells, "cells")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_near_pairs(radius, least), "a binary, b binary").distinct()
-    links = links.union(written(_verified(pairs.join(stars, ["a", "b"], "left_anti"), chosen, size, least), "links"))
-    roots = written(joined_labels(links), "roots")
+    cell = F.shiftleft(F.least("part", "other").cast("long"), 32).bitwiseOR(F.greatest("part", "other").cast("long"))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    cells = cells.select("k", cell.alias("cell"), "node", "fp", "root", side.alias("side")).join(sets, "node").select("k", "cell", "node", "fp", "root", "side", "set")
+    more = cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_near_pairs(radius, least), "a binary, b binary")
+    roots = written(joined_labels(links.union(written(more, "links"))), "roots")
     return every.join(roots, "node", "left").select("t", F.coalesce("root", "node").alias("root"))
 
 

@@ -94,7 +94,7 @@ WORDS = Unit(51, 32, 4, 17, words=True)
 #: How much narrower the records of a hot bucket get each time.
 NARROWER = 16
 #: Windows hashed at once: their places fit the low 20 bits.
-CHUNK = (1 << 20) - 1024
+CHUNK = (1 << 19) - 1024
 BATCH_BYTES = 1 << 20
 SHARD_UNITS = 256 << 10
 BUCKET_UNITS = 256 << 10
