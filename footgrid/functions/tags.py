@@ -6,38 +6,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: By polygon dataset, the values of each key that a feature must have one of (None: any).
-POLYGONS: dict[str, dict[str, tuple[str, ...] | None]] = {
-    "built": {"building": None, "landuse": ("residential", "commercial", "retail")},
-    "green": {"leisure": ("park", "garden", "nature_reserve"), "landuse": ("forest", "meadow", "grass"), "natural": ("wood", "grassland")},
-    "industrial": {"landuse": ("industrial", "quarry", "landfill")},
-    "unbuildable": {"natural": ("water", "wetland"), "aeroway": ("aerodrome",), "landuse": ("military", "cemetery")},
-    "centres": {"landuse": ("retail", "commercial"), "place": ("square",)},
+AREA, LINE, POINT = ("way", "relation"), ("way",), ("node",)
+#: What each dataset is extracted by, in display order: kinds of element, key, accepted values (none listed: any).
+SELECTORS: dict[str, tuple[tuple[tuple[str, ...], str, tuple[str, ...]], ...]] = {
+    "built": ((AREA, "landuse", ("residential", "commercial", "retail")),),
+    "green": (
+        (AREA, "leisure", ("park", "garden", "recreation_ground", "nature_reserve")),
+        (AREA, "landuse", ("grass", "meadow", "forest", "recreation_ground", "village_green")),
+        (AREA, "natural", ("wood", "scrub", "grassland", "heath")),
+    ),
+    "centres": ((AREA, "landuse", ("retail", "commercial")),),
+    "industrial": ((AREA, "landuse", ("industrial",)),),
+    "streets": ((LINE, "highway", ()),),
+    "railways": ((LINE, "railway", ("rail", "light_rail", "subway", "tram")),),
+    "stops": ((POINT, "highway", ("bus_stop",)), (POINT, "public_transport", ("stop_position", "platform"))),
+    "stations": ((POINT, "railway", ("station", "halt", "tram_stop")), (POINT, "public_transport", ("station",))),
+    "unbuildable": (
+        (AREA, "natural", ("water",)),
+        (AREA, "waterway", ("riverbank", "dock")),
+        (AREA, "aeroway", ("aerodrome", "apron", "terminal", "runway", "helipad")),
+        (AREA, "landuse", ("military", "quarry", "landfill", "industrial")),
+        (AREA, "military", ()),
+        (LINE, "highway", ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link")),
+        (LINE, "railway", ("rail", "light_rail", "subway", "tram")),
+        (LINE, "waterway", ("river", "canal", "stream")),
+    ),
 }
-STREETS = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified")
-WALK_ONLY = ("footway", "path", "steps", "cycleway")
-BARRIER_HIGHWAYS = ("motorway", "trunk")
-BARRIER_WATER = ("river", "canal")
-RAIL = ("rail", "light_rail", "subway")
-ORDER = ("built", "green", "centres", "streets", "railways", "stations", "stops", "industrial", "unbuildable")
+ORDER = tuple(SELECTORS)
 #: Label and kind of geometry of each dataset, in display order.
 CATALOGUE = {
-    "built": ("Built-up areas", "polygon"), "green": ("Green space", "polygon"), "centres": ("Centres", "polygon"), "streets": ("Streets", "line"), "railways": ("Railways", "line"),
-    "stations": ("Stations", "point"), "stops": ("Bus stops", "point"), "industrial": ("Industrial land", "polygon"), "unbuildable": ("Unbuildable land", "polygon"),
+    "built": ("Built (residential fabric)", "polygon"), "green": ("Green space", "polygon"), "centres": ("Centres", "polygon"), "industrial": ("Industrial land", "polygon"), "streets": ("Street network", "line"),
+    "railways": ("Railways", "line"), "stops": ("Public-transport stops", "point"), "stations": ("Rail / tram stations", "point"), "unbuildable": ("Unbuildable (water, airports, military, industrial)", "polygon"),
 }
 
-_PAIR = r'"((?:[^"\\]|\\.)*)"=>"((?:[^"\\]|\\.)*)"'
+_PAIR = r'"((?:[^"\\]|\\.)*)"\s*=>\s*"((?:[^"\\]|\\.)*)"'
 
 
 def parsed(text: Column) -> Column:
-    """Map of an HSTORE text's pairs; escapes undone; null and empty texts give an empty map. Of equal keys the last counts."""
-    undone = lambda x: F.regexp_replace(x, r"\\(.)", "$1")
+    """Map of an HSTORE text's pairs, with blanks round the arrows or not; escaped quotes and backslashes are undone;
+    null and empty texts give an empty map. Of equal keys the last counts."""
+    undone = lambda x: F.replace(F.replace(x, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     whole = F.coalesce(text, F.lit(""))
     keys = F.transform(F.regexp_extract_all(whole, F.lit(_PAIR), 1), undone)
     values = F.transform(F.regexp_extract_all(whole, F.lit(_PAIR), 2), undone)
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+    # By key, the last first: a pair counts if the one before has another key.
+    pairs = F.array_sort(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("turn"), p["v"].alias("v"))))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.get(pairs, i - 1)["k"]).alias("before"))), lambda x: ~x["p"]["k"].eqNullSafe(x["before"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["p"]["k"].alias("key"), x["p"]["v"].alias("value"))))
 
 
 def merged(native: Column, other: Column) -> Column:
@@ -46,54 +61,49 @@ def merged(native: Column, other: Column) -> Column:
     return F.map_concat(filled, other)
 
 
-def _any(tags: Column, wanted: dict[str, tuple[str, ...] | None]) -> Column:
+def _any(dataset: str, kinds: tuple[str, ...], tags: Column) -> Column:
+    """Whether tags meet one of a dataset's selectors of these kinds of element."""
     out = F.lit(False)
-    for key, values in wanted.items():
-        v = F.try_element_at(tags, F.lit(key))
-        out = out | (v.isNotNull() if values is None else F.coalesce(v.isin(*values), F.lit(False)))
+    for own, key, values in SELECTORS[dataset]:
+        if own == kinds:
+            v = F.try_element_at(tags, F.lit(key))
+            out = out | (F.coalesce(v.isin(*values), F.lit(False)) if values else v.isNotNull())
     return out
 
 
 def matches(dataset: str, tags: Column) -> Column:
-    """Whether a feature with these tags belongs to a dataset."""
-    get = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    if dataset in POLYGONS:
-        return _any(tags, POLYGONS[dataset])
-    if dataset == "streets":
-        return get("highway").isin(*STREETS)
-    if dataset == "railways":
-        return get("railway").isin(*RAIL)
-    if dataset == "stations":
-        return get("railway").isin("station", "halt", "tram_stop") | (get("public_transport") == "station")
-    if dataset == "stops":
-        return (get("highway") == "bus_stop") | (get("public_transport") == "platform")
-    raise ValueError(f"no dataset {dataset!r}")
+    """Whether a feature with these tags belongs to a dataset, whatever its geometry."""
+    kind = {"polygon": AREA, "line": LINE, "point": POINT}[CATALOGUE[dataset][1]]
+    found = _any(dataset, kind, tags)
+    return found & (F.try_element_at(tags, F.lit("highway")) != "") if dataset == "streets" else found
 
 
 def is_barrier(tags: Column) -> Column:
     """Whether a line cannot be walked across."""
-    get = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    return get("highway").isin(*BARRIER_HIGHWAYS) | get("railway").isin(*RAIL) | get("waterway").isin(*BARRIER_WATER)
+    return _any("unbuildable", LINE, tags)
 
 
-def routed(features: DataFrame) -> DataFrame:
-    """Each feature once for every dataset that it matches; streets keep their class."""
-    found = F.array_compact(F.array(*[F.when(matches(d, F.col("tags")), d) for d in ORDER]))
+def routed(features: DataFrame, kind: str | None = None) -> DataFrame:
+    """Each feature once for every dataset that it matches; streets keep their class.
+
+    ``kind`` names a column with the feature's geometry (``point``, ``line``, or ``polygon`` for closed rings): a feature then
+    goes only to datasets of its kind, and lines that are barriers to the unbuildable land too."""
+    def wanted(d: str) -> Column:
+        own = matches(d, F.col("tags"))
+        if kind is None:
+            return own
+        fits = own & (F.col(kind) == CATALOGUE[d][1])
+        return fits | (is_barrier(F.col("tags")) & (F.col(kind) == "line")) if d == "unbuildable" else fits
+
+    found = F.array_compact(F.array(*[F.when(wanted(d), d) for d in ORDER]))
     out = features.withColumn("dataset", F.explode(found))
     return out.withColumn("highway", F.when(F.col("dataset") == "streets", F.try_element_at(F.col("tags"), F.lit("highway"))))
 
 
 def dataset_selectors(dataset: str) -> list[str]:
     """The query selectors of a dataset, in order."""
-    if dataset in POLYGONS:
-        return [f'{kind}["{k}"]' if v is None else f'{kind}["{k}"~"^({"|".join(v)})$"]' for k, v in POLYGONS[dataset].items() for kind in ("way", "relation")]
-    if dataset == "streets":
-        return [f'way["highway"~"^({"|".join(STREETS)})$"]']
-    if dataset == "railways":
-        return [f'way["railway"~"^({"|".join(RAIL)})$"]']
-    if dataset == "stations":
-        return ['node["railway"~"^(station|halt|tram_stop)$"]', 'node["public_transport"="station"]']
-    return ['node["highway"="bus_stop"]', 'node["public_transport"="platform"]']
+    test = lambda k, v: f'["{k}"]' if not v else f'["{k}"="{v[0]}"]' if len(v) == 1 else f'["{k}"~"^({"|".join(v)})$"]'
+    return [kind + test(key, values) for kinds, key, values in SELECTORS[dataset] for kind in kinds]
 
 
 def selectors(spark: SparkSession) -> DataFrame:
@@ -107,5 +117,5 @@ def query_texts(spark: SparkSession, south: float, west: float, north: float, ea
     one = selectors(spark)
     every = one.groupBy("selector").agg(F.min("ord").alias("ord")).select("ord", F.lit("all").alias("dataset"), "selector")
     box = f"({south},{west},{north},{east})"
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "selector"))), lambda s: F.concat(s["selector"], F.lit(f"{box};"))), "")
-    return one.union(every).groupBy("dataset").agg(F.concat(F.lit("[out:xml][timeout:60];("), body, F.lit(");(._;>;);out body;")).alias("ql"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "selector"))), lambda s: F.concat(F.lit("  "), s["selector"], F.lit(f"{box};"))), "\n")
+    return one.union(every).groupBy("dataset").agg(F.concat(F.lit("[out:xml][timeout:60];\n(\n"), body, F.lit("\n);\n(._;>;);\nout body;\n")).alias("ql"))

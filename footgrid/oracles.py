@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from footgrid.functions import tags
-
 _OFFSETS = "offs(dr, dc, s, g) AS (VALUES (1,-1,0,1),(1,0,1,0),(1,1,0,1),(0,1,1,0),(-1,1,0,1),(-1,0,1,0),(-1,-1,0,1),(0,-1,1,0))"
 _ROWS = "nr AS (SELECT count(*) // 100 AS n FROM orders)"
 _CELLS = """raw AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, o_custkey AS k, o_totalprice AS p,
@@ -16,7 +14,7 @@ _MEMBERS = f"""{_CELLS}, own AS (SELECT CAST(l_linenumber AS INTEGER) AS member,
   members AS (SELECT m.member, grid.r, grid.c, CASE WHEN state = -1 THEN -1 WHEN f = 'A' THEN 0 WHEN f = 'N' THEN 1 WHEN f IS NOT NULL THEN 2 ELSE state END AS state, origin
     FROM grid CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS member) m LEFT JOIN own ON own.member = m.member AND own.r = grid.r AND own.c = grid.c)"""
 _BOXES = f"""{_ROWS}, boxes AS (SELECT p_partkey AS pid, CAST(p_partkey * 37 % 9000 AS DOUBLE) AS x0, CAST(p_partkey * 53 % (n * 100 - 600) AS DOUBLE) AS y0,
-    CAST(p_partkey * 37 % 9000 + 20 * p_size + 7 AS DOUBLE) AS x1, CAST(p_partkey * 53 % (n * 100 - 600) + 11 * p_size + 3 AS DOUBLE) AS y1 FROM part, nr WHERE p_partkey % 4 = 0)"""
+    CAST(p_partkey * 37 % 9000 + 20 * p_size + 7 AS DOUBLE) AS x1, CAST(p_partkey * 53 % (n * 100 - 600) + 11 * p_size + 3 AS DOUBLE) AS y1 FROM part, nr)"""
 
 
 def _labels(name: str, cells: str, queen: bool, key: str = "") -> str:
@@ -89,7 +87,40 @@ def _bad(k: str) -> str:
 
 
 #: The selectors as they stand in the tag table; grouping, order and repeats are the query's own work.
-_SELECTORS = ", ".join(f"({i}, '{d}', '{q}')" for i, (d, q) in enumerate((d, q) for d in tags.ORDER for q in tags.dataset_selectors(d)))
+_QL = {  # as the selectors are defined; w: way, r: relation, n: node
+    "built": ['wr["landuse"~"^(residential|commercial|retail)$"]'],
+    "green": ['wr["leisure"~"^(park|garden|recreation_ground|nature_reserve)$"]', 'wr["landuse"~"^(grass|meadow|forest|recreation_ground|village_green)$"]', 'wr["natural"~"^(wood|scrub|grassland|heath)$"]'],
+    "centres": ['wr["landuse"~"^(retail|commercial)$"]'],
+    "industrial": ['wr["landuse"="industrial"]'],
+    "streets": ['w["highway"]'],
+    "railways": ['w["railway"~"^(rail|light_rail|subway|tram)$"]'],
+    "stops": ['n["highway"="bus_stop"]', 'n["public_transport"~"^(stop_position|platform)$"]'],
+    "stations": ['n["railway"~"^(station|halt|tram_stop)$"]', 'n["public_transport"="station"]'],
+    "unbuildable": [
+        'wr["natural"="water"]', 'wr["waterway"~"^(riverbank|dock)$"]', 'wr["aeroway"~"^(aerodrome|apron|terminal|runway|helipad)$"]', 'wr["landuse"~"^(military|quarry|landfill|industrial)$"]', 'wr["military"]',
+        'w["highway"~"^(motorway|motorway_link|trunk|trunk_link|primary|primary_link)$"]', 'w["railway"~"^(rail|light_rail|subway|tram)$"]', 'w["waterway"~"^(river|canal|stream)$"]',
+    ],
+}
+_ELEMENT = {"w": "way", "r": "relation", "n": "node"}
+_FLAT = [(d, _ELEMENT[e] + x[x.index("[") :]) for d, xs in _QL.items() for x in xs for e in x[: x.index("[")]]
+_SELECTORS = ", ".join(f"({i}, '{d}', '{q}')" for i, (d, q) in enumerate(_FLAT))
+_KINDS = ", ".join(
+    f"({k}, '{d}', '{kind}')"
+    for k, found in enumerate(
+        ("point stops, line streets", "line streets, line unbuildable", "line streets", "", "line railways, line unbuildable", "point stations", "point stops", "point stations", "line unbuildable", "polygon unbuildable",
+         "polygon unbuildable", "polygon green", "", "polygon unbuildable", "polygon industrial, polygon unbuildable", "polygon green", "", "polygon built, polygon centres", "polygon green", "polygon green", "polygon unbuildable", "polygon unbuildable", "")
+    )
+    for kind, d in (x.split() for x in found.split(", ") if x)
+)
+_PCT, _NUM = (lambda v: f"coalesce(CAST(CAST(round_even(100 * ({v}), 0) AS BIGINT) AS VARCHAR) || '%', '-')"), (lambda v: f"coalesce(format('{{:,}}', CAST(round_even({v}, 0) AS BIGINT)), '-')")
+_OPTION_ROWS = [
+    ("population accommodated", _NUM("a * 0.5::DOUBLE")), ("share of target", _PCT("a * 0.5::DOUBLE / 1000")), ("built cells (incl. existing)", _NUM("n::DOUBLE")), ("mixed-use centre areas", _NUM("d::DOUBLE")),
+    ("served coverage (centre AND green)", _PCT("a / (a + b)")), ("centre coverage", _PCT("a / (n * 97)")), ("green coverage", _PCT("b / (n * 89)")), ("unserved homes", _PCT("1 - a / (a + b)")), ("avg walk to a centre (m)", _NUM("a / n")),
+    ("avg walk to green (m)", _NUM("CASE WHEN k <> 2 THEN b / n END")), ("mean walk, served homes: centre (m)", _NUM("CASE WHEN k <> 1 THEN a / 7 END")), ("mean walk, served homes: green (m)", _NUM("b::DOUBLE")),
+    ("m2 mixed-use centre / person", _NUM("b * 10 / a")), ("m2 walkable green / person", _NUM("a * 3.0::DOUBLE")), ("homes served per centre area", _NUM("d::DOUBLE")), ("compactness", _PCT("d / (n * 5)")),
+    ("transit coverage (reported only)", _PCT("b / (a + b)")), ("avg walk to a stop (m)", "'-'"),
+]
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,7 +162,7 @@ ORACLE_SQL: dict[str, str] = {
     "compactness": f"WITH RECURSIVE {_PLAN}, b AS (SELECT r, c FROM plan WHERE plan >= 2), n AS (SELECT count(*) AS n FROM b), s AS (SELECT count(*) AS s FROM b JOIN b d ON abs(b.r - d.r) + abs(b.c - d.c) = 1 AND d.r BETWEEN b.r - 1 AND b.r + 1) SELECT n AS built_cells, round(s / (4.0::DOUBLE * n), 6) AS compactness FROM n, s",
     "provision": f"WITH RECURSIVE {_PLAN}, k AS (SELECT count(*) FILTER (plan IN (2, 3)) * 28.5::DOUBLE AS people, count(*) FILTER (plan = 3) AS a, count(*) FILTER (plan = 1 AND origin <> 0) AS b FROM plan) SELECT round(people, 4) AS population, round(a * 10000 / people, 4) AS centre_m2_per_person, round(b * 10000 / people, 4) AS green_m2_per_person FROM k",
     "efficiency": f"WITH RECURSIVE {_FIELDS} SELECT round(count(*) FILTER (plan >= 2 AND cd <= 800) / count(*) FILTER (plan IN (3, 5))::DOUBLE, 4) AS centre_efficiency, round(count(*) FILTER (plan >= 2 AND gd <= 400) / count(*) FILTER (park)::DOUBLE, 4) AS green_efficiency FROM dist",
-    "transit": f"WITH RECURSIVE {_PLAN}, st AS (SELECT DISTINCT CAST(event_id * 31 % n AS INTEGER) AS r, CAST((user_id * 17 + event_id) % 100 AS INTEGER) AS c FROM events, nr WHERE event_type IN ('view', 'signup') AND event_id * 31 % n % 10 = 0), t AS (SELECT p.r, p.c, st.r IS NOT NULL AS target, plan <> 0 AS open FROM plan p LEFT JOIN st USING (r, c)), {_walk('w', 't', 8)}, d AS (SELECT CASE WHEN o < 1000000 THEN 100.0::DOUBLE * (o + d * sqrt(2.0)) END AS x FROM w JOIN plan USING (r, c) WHERE plan >= 2) SELECT round(avg(coalesce(x <= 600, false)::INT), 4) AS transit_coverage, round(avg(CASE WHEN x <= 600 THEN x END), 4) AS transit_walk_mean FROM d",
+    "transit": f"WITH RECURSIVE {_PLAN}, st AS (SELECT DISTINCT CAST(event_id * 31 % n AS INTEGER) AS r, CAST((user_id * 17 + event_id) % 100 AS INTEGER) AS c FROM events, nr WHERE event_type IN ('view', 'signup')), t AS (SELECT p.r, p.c, st.r IS NOT NULL AS target, plan <> 0 AS open FROM plan p LEFT JOIN st USING (r, c)), {_walk('w', 't', 8)}, d AS (SELECT CASE WHEN o < 1000000 THEN 100.0::DOUBLE * (o + d * sqrt(2.0)) END AS x FROM w JOIN plan USING (r, c) WHERE plan >= 2) SELECT round(avg(coalesce(x <= 600, false)::INT), 4) AS transit_coverage, round(avg(CASE WHEN x <= 600 THEN x END), 4) AS transit_walk_mean FROM d",
     "centre_audit": f"WITH RECURSIVE {_AUDIT} SELECT row, col, cells, served, mean_dist, old FROM audit",
     "audit_summary": f"WITH RECURSIVE {_AUDIT} SELECT count(*) AS n, count(*) FILTER (NOT old) AS n_new, min(served) AS served_min, CAST(floor(median(served)) AS BIGINT) AS served_median, max(served) AS served_max, min(served) FILTER (NOT old) AS new_min, CAST(floor(median(served) FILTER (NOT old)) AS BIGINT) AS new_median, max(served) FILTER (NOT old) AS new_max, round(median(mean_dist), 4) AS walk_median FROM audit",
     "weakest5": f"WITH RECURSIVE {_AUDIT} SELECT row, col, cells, served, mean_dist FROM audit WHERE NOT old ORDER BY served, root LIMIT 5",
@@ -156,19 +187,25 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT id, 'leisure', 'park' FROM e WHERE k = 'purchase' UNION ALL SELECT id, 'name', 'the "green" one' FROM e WHERE k = 'purchase' UNION ALL SELECT id, 'waterway', 'river' FROM e WHERE k = 'error' AND n % 2 = 0),
         nat AS (SELECT id, 'name' AS key, 'native ' || u AS value FROM e WHERE u > 0 UNION ALL SELECT id, 'highway', 'track' FROM e)
         SELECT * FROM own UNION ALL SELECT nat.* FROM nat ANTI JOIN own ON own.id = nat.id AND own.key = nat.key""",
-    "osm_route": """WITH e AS (SELECT event_id AS n, event_type AS k FROM events), d AS (SELECT 'streets' AS dataset, 'residential' AS highway FROM e WHERE k = 'view' UNION ALL SELECT 'built', '-' FROM e WHERE k = 'click' UNION ALL SELECT CASE WHEN n % 2 = 0 THEN 'centres' ELSE 'industrial' END, '-' FROM e WHERE k = 'click'
-        UNION ALL SELECT CASE WHEN n % 3 = 0 THEN 'stations' ELSE 'stops' END, '-' FROM e WHERE k = 'signup' UNION ALL SELECT 'green', '-' FROM e WHERE k = 'purchase') SELECT dataset, highway, count(*) AS n, CAST(0 AS BIGINT) AS barriers FROM d GROUP BY ALL""",
-    "osm_query_text": f"WITH s(o, dataset, q) AS (VALUES {_SELECTORS}), e AS (SELECT o, dataset, q FROM s UNION ALL SELECT min(o), 'all', q FROM s GROUP BY q) SELECT dataset, '[out:xml][timeout:60];(' || string_agg(q || '(1.5,2.5,3.5,4.5);', '' ORDER BY o) || ');(._;>;);out body;' AS ql FROM e GROUP BY dataset",
-    "osm_way_coords": "WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS way_id, o_orderkey AS k FROM orders WHERE o_orderkey < 1500), p AS (SELECT way_id, pos, id FROM w, LATERAL (VALUES (0, k % 900), (1, (k * 3 + 1) % 900), (2, (k * 7 + 2) % 900), (3, CASE WHEN k % 2 = 0 THEN k % 900 ELSE (k + 5) % 900 END)) v(pos, id)), q AS (SELECT way_id, pos, user_id, event_id FROM p JOIN events ON event_id = id WHERE event_id % 7 <> 0) SELECT way_id, count(*) AS n_pts, count(*) >= 4 AND arg_min(user_id, pos) = arg_max(user_id, pos) AND arg_min(event_id, pos) = arg_max(event_id, pos) AS closed FROM q GROUP BY way_id HAVING count(*) >= 2",
+    "osm_route": """WITH e AS (SELECT event_id AS n, event_type AS k FROM events), d AS (SELECT 'streets' AS dataset, 'residential' AS highway FROM e WHERE k = 'view'
+        UNION ALL SELECT unnest(CASE WHEN n % 2 = 0 THEN ['built', 'centres'] ELSE ['industrial', 'unbuildable'] END), '-' FROM e WHERE k = 'click'
+        UNION ALL SELECT CASE WHEN n % 3 = 0 THEN 'stations' ELSE 'stops' END, '-' FROM e WHERE k = 'signup' UNION ALL SELECT 'streets', 'bus_stop' FROM e WHERE k = 'signup' AND n % 3 <> 0
+        UNION ALL SELECT 'green', '-' FROM e WHERE k = 'purchase') SELECT dataset, highway, count(*) AS n, CAST(0 AS BIGINT) AS barriers FROM d GROUP BY ALL""",
+    "osm_route_kinds": f"WITH t(u, dataset, kind) AS (VALUES {_KINDS}) SELECT dataset, kind, count(*) AS n FROM events JOIN t ON user_id % 23 = u AND kind = CASE event_id % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'line' ELSE 'polygon' END GROUP BY ALL",
+    "options_table": "WITH s AS (SELECT n_regionkey AS k, count(*) AS n, sum(c_custkey % 97)::DOUBLE AS a, sum(c_custkey % 89)::DOUBLE AS b, sum(c_custkey % 5)::DOUBLE AS d FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), m AS (SELECT r_name, s.* FROM region JOIN s ON r_regionkey = k), x AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS ord, '{label}' AS metric, r_name, {sql} AS v FROM m" for i, (label, sql) in enumerate(_OPTION_ROWS))
+    + ") SELECT ord, metric, " + ", ".join(f"""max(CASE WHEN r_name = '{r}' THEN v END) AS "{r}\"""" for r in _REGIONS) + " FROM x GROUP BY ord, metric",
+    "osm_query_text": f"WITH s(o, dataset, q) AS (VALUES {_SELECTORS}), e AS (SELECT o, dataset, q FROM s UNION ALL SELECT min(o), 'all', q FROM s GROUP BY q) SELECT dataset, '[out:xml][timeout:60];' || chr(10) || '(' || chr(10) || string_agg('  ' || q || '(1.5,2.5,3.5,4.5);', chr(10) ORDER BY o) || chr(10) || ');' || chr(10) || '(._;>;);' || chr(10) || 'out body;' || chr(10) AS ql FROM e GROUP BY dataset",
+    "osm_way_coords": "WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS way_id, o_orderkey AS k, (SELECT count(*) FROM events) AS n FROM orders), p AS (SELECT way_id, pos, id FROM w, LATERAL (VALUES (0, k % n), (1, (k * 3 + 1) % n), (2, (k * 7 + 2) % n), (3, CASE WHEN k % 2 = 0 THEN k % n ELSE (k + 5) % n END)) v(pos, id)), q AS (SELECT way_id, pos, user_id, event_id FROM p JOIN events ON event_id = id WHERE event_id % 7 <> 0) SELECT way_id, count(*) AS n_pts, count(*) >= 4 AND arg_min(user_id, pos) = arg_max(user_id, pos) AND arg_min(event_id, pos) = arg_max(event_id, pos) AS closed FROM q GROUP BY way_id HAVING count(*) >= 2",
     "feature_measures": f"WITH {_BOXES} SELECT pid, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0) + 2 * (y1 - y0) AS outline, CAST(CASE WHEN y0 / 400 - 10 >= 0 THEN 32600 ELSE 32700 END + floor((x0 / 50 - 90 + 180) / 6) % 60 + 1 AS INTEGER) AS epsg FROM boxes",
     "clip_difference": "SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 < 8 AND o_custkey % 3 <> 0",
-    "barrier_corridors": f"WITH {_CELLS}, {_ROWS}, l AS (SELECT p_partkey AS fid, p_partkey * 37 % 9000 AS x0, p_partkey * 53 % (n * 100) AS y0, 10.0::DOUBLE * p_size AS dx, 7.0::DOUBLE * p_size AS dy, n FROM part, nr WHERE p_partkey % 40 = 1), d AS (SELECT fid, r, c, x0, y0, dx, dy, (c + 0.5) * 100.0::DOUBLE AS px, n * 100.0::DOUBLE - (r + 0.5) * 100.0::DOUBLE AS py FROM l, grid), t AS (SELECT *, greatest(0, least(1, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS u FROM d) SELECT fid, r, c FROM t WHERE sqrt((px - x0 - u * dx) ** 2 + (py - y0 - u * dy) ** 2) <= 150",
+    "barrier_corridors": f"WITH {_CELLS}, {_ROWS}, l AS (SELECT p_partkey AS fid, p_partkey * 37 % 9000 AS x0, p_partkey * 53 % (n * 100) AS y0, 10.0::DOUBLE * p_size AS dx, 7.0::DOUBLE * p_size AS dy, n FROM part, nr), d AS (SELECT fid, r, c, x0, y0, dx, dy, (c + 0.5) * 100.0::DOUBLE AS px, n * 100.0::DOUBLE - (r + 0.5) * 100.0::DOUBLE AS py FROM l, grid), t AS (SELECT *, greatest(0, least(1, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS u FROM d) SELECT fid, r, c FROM t WHERE sqrt((px - x0 - u * dx) ** 2 + (py - y0 - u * dy) ** 2) <= 150",
     "existing_fabric": f"WITH {_CELLS}, {_SEEDS} SELECT r, c, CAST(CASE WHEN state = -1 THEN 0 WHEN (r, c) IN (SELECT (r, c) FROM seeds) THEN 5 WHEN origin = 0 THEN 1 WHEN origin = 1 THEN 4 ELSE 0 END AS INTEGER) AS plan FROM grid",
     "stage_codes": f"WITH {_CELLS} SELECT r, c, CAST(CASE WHEN origin = 1 THEN 7 WHEN origin = 0 THEN 8 WHEN state = -1 THEN 255 ELSE state END AS INTEGER) AS code FROM grid",
     "likelihood_shown": f"WITH {_MEMBERS}, p AS (SELECT r, c, round(avg((state = 1)::INT), 6) AS p FROM members GROUP BY r, c) SELECT r, c, round(0.3 + 0.7 * p, 6) AS opacity FROM p WHERE p > 0.04",
     "ensemble_presets": "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey * 5 <= 30 THEN 10 WHEN n_nationkey * 5 <= 75 THEN 50 ELSE 100 END AS INTEGER) AS runs FROM nation",
     "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built-up areas', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'streets', 'Streets', 'line'), (4, 'railways', 'Railways', 'line'), (5, 'stations', 'Stations', 'point'), (6, 'stops', 'Bus stops', 'point'), (7, 'industrial', 'Industrial land', 'polygon'), (8, 'unbuildable', 'Unbuildable land', 'polygon')) t(ord, dataset, label, kind)",
-    "elevation_heights": "WITH t AS (SELECT p_partkey % 7 - 3 AS y, p_partkey % 10 AS a, p_partkey % 9 AS b, CAST(p_partkey AS DOUBLE) AS h FROM part WHERE p_partkey < 630) SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, coalesce(h, 0) AS h FROM orders LEFT JOIN t ON o_orderkey % 7 - 3 = y AND o_orderkey % 5 = 2 AND o_orderkey % 10 = a AND o_orderkey % 9 = b",
+    "elevation_heights": "WITH t AS (SELECT p_partkey % 7 - 3 AS y, p_partkey % 10 AS a, p_partkey % 9 AS b, CAST(max(p_partkey) AS DOUBLE) AS h FROM part GROUP BY ALL) SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, coalesce(h, 0) AS h FROM orders LEFT JOIN t ON o_orderkey % 7 - 3 = y AND o_orderkey % 5 = 2 AND o_orderkey % 10 = a AND o_orderkey % 9 = b",
     "extent_guard": "SELECT n_nationkey AS id, n_nationkey * 3 + 1 AS rows, 40 - n_nationkey AS cols, CAST(50 AS DOUBLE) AS block_m, (n_nationkey * 3 + 1) * 50 > 800 AND (40 - n_nationkey) * 50 > 800 AS ok FROM nation",
     "inner_row_points": f"WITH {_BOXES}, b AS (SELECT pid, CAST(ceil((n * 100 - y1) / 100 - 0.5) AS INTEGER) AS r0, CAST(ceil((n * 100 - y0) / 100 - 0.5) AS INTEGER) - 1 AS r1, CAST(ceil(x0 / 100 - 0.5) AS INTEGER) AS c0, CAST(ceil(x1 / 100 - 0.5) AS INTEGER) - 1 AS c1, y0, y1, n FROM boxes, nr), k AS (SELECT pid, CAST(floor((n * 100 - y1) / 100 - 0.5) AS INTEGER) + 1 AS r0, CAST(floor((n * 100 - y0) / 100 - 0.5) AS INTEGER) AS r1, c0, c1 FROM b) SELECT pid, CAST(floor((r0 + r1) / 2.0) AS INTEGER) AS r, CAST(floor((c0 + c1) / 2.0) AS INTEGER) AS c FROM k WHERE r0 <= r1 AND c0 <= c1",
     "run_check": "SELECT n_nationkey AS id, CASE WHEN n_nationkey - 1 <= 0 THEN 'block' WHEN n_nationkey - 1 > 10 THEN 'walk' WHEN n_nationkey % 9 <= 0 THEN 'span or target' WHEN n_nationkey % 4 / 2.5 > 1 THEN 'probability' WHEN n_nationkey % 5 = 0 THEN 'shares' WHEN n_nationkey % 3 <> 2 THEN 'densities' ELSE '' END AS problem FROM nation",

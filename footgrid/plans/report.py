@@ -21,6 +21,45 @@ def options_pivot(metrics: DataFrame, option: str, names: list[str], options: li
     return long.groupBy("metric").pivot(option, options).agg(F.first("value"))
 
 
+#: Rows of the comparison in order: label, format (``pct`` or ``num``) and metric.
+OPTION_ROWS = (
+    ("population accommodated", "num", "population"),
+    ("share of target", "pct", "share"),
+    ("built cells (incl. existing)", "num", "built_cells"),
+    ("mixed-use centre areas", "num", "n_centres"),
+    ("served coverage (centre AND green)", "pct", "served_coverage"),
+    ("centre coverage", "pct", "centre_coverage"),
+    ("green coverage", "pct", "green_coverage"),
+    ("unserved homes", "pct", "unserved_fraction"),
+    ("avg walk to a centre (m)", "num", "centre_access"),
+    ("avg walk to green (m)", "num", "green_access"),
+    ("mean walk, served homes: centre (m)", "num", "centre_walk_mean"),
+    ("mean walk, served homes: green (m)", "num", "green_walk_mean"),
+    ("m2 mixed-use centre / person", "num", "centre_m2_per_person"),
+    ("m2 walkable green / person", "num", "green_m2_per_person"),
+    ("homes served per centre area", "num", "centre_efficiency"),
+    ("compactness", "pct", "compactness"),
+    ("transit coverage (reported only)", "pct", "transit_coverage"),
+    ("avg walk to a stop (m)", "num", "transit_access"),
+)
+
+
+def options_table(metrics: DataFrame, option: str, options: list[str], target: float) -> DataFrame:
+    """ord, metric, and a text column for each option (a row of ``metrics``). Metrics that are missing, null or infinite
+    are ``-``, so the rows stay the same; the two of transit are there only if ``transit_coverage`` is."""
+    own = metrics.withColumn("share", F.col("population") / target if target else F.lit(None).cast("double"))
+    rows = OPTION_ROWS if "transit_coverage" in metrics.columns else OPTION_ROWS[:-2]
+
+    def text(kind: str, name: str) -> Column:
+        v = F.col(name).cast("double") if name in own.columns else F.lit(None).cast("double")
+        v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        return percent(v) if kind == "pct" else number(v)
+
+    cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(label).alias("metric"), text(kind, name).alias("value")) for i, (label, kind, name) in enumerate(rows)])
+    long = own.select(F.col(option).alias("option"), F.explode(cells).alias("x")).select("option", "x.*")
+    return long.groupBy("ord", "metric").pivot("option", options).agg(F.first("value"))
+
+
 def fixed_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """line_no, line: a table in columns as wide as their longest entry, the first to the left and the others to the right.
 

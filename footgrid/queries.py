@@ -112,7 +112,7 @@ def clip_difference(spark, sf_dir):
 def barrier_corridors(spark, sf_dir):
     """Cells within 150 m of lines."""
     k, height = F.col("p_partkey"), bridge.n_rows(spark, sf_dir) * G
-    lines = bridge.table(spark, sf_dir, "part").where("p_partkey % 40 = 1").select(k.alias("fid"), (k * 37 % 9000).cast("double").alias("x0"), (k * 53 % height).cast("double").alias("y0"), (k * 37 % 9000 + 10 * F.col("p_size")).cast("double").alias("x1"), (k * 53 % height + 7 * F.col("p_size")).cast("double").alias("y1"))
+    lines = bridge.table(spark, sf_dir, "part").select(k.alias("fid"), (k * 37 % 9000).cast("double").alias("x0"), (k * 53 % height).cast("double").alias("y0"), (k * 37 % 9000 + 10 * F.col("p_size")).cast("double").alias("x1"), (k * 53 % height + 7 * F.col("p_size")).cast("double").alias("y1"))
     return raster.buffered_line_cells(lines, bridge.cells(spark, sf_dir), float(G), 0.0, float(height), 150.0)
 
 
@@ -123,8 +123,9 @@ def elevation_heights(spark, sf_dir):
 
     k = F.col("o_orderkey")
     cells = bridge.table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 100").cast("int").alias("r"), (k % 100).cast("int").alias("c"), dem.tile_name((k % 7 - 3).cast("double") + 0.5, (k % 5 - 2).cast("double") + 0.25).alias("tile"), (k % 10).alias("row"), (k % 9).alias("col"))
-    tiles = bridge.table(spark, sf_dir, "part").where("p_partkey < 630").select(dem.tile_name((F.col("p_partkey") % 7 - 3).cast("double"), F.lit(0.0)).alias("tile"), (F.col("p_partkey") % 10).alias("row"), (F.col("p_partkey") % 9).alias("col"), F.col("p_partkey").cast("double").alias("h"))
-    return dem.heights(cells, tiles)
+    key = F.col("p_partkey")
+    places = bridge.table(spark, sf_dir, "part").select(dem.tile_name((key % 7 - 3).cast("double"), F.lit(0.0)).alias("tile"), (key % 10).alias("row"), (key % 9).alias("col"), key.cast("double").alias("h"))
+    return dem.heights(cells, places.groupBy("tile", "row", "col").agg(F.max("h").alias("h")))
 
 
 @query
@@ -149,7 +150,7 @@ def _tag_text():
         F.when(kind == "view", F.concat(q("highway", "residential"), F.lit(","), q("name", F.concat(F.lit("a, "), n.cast("string")))))
         .when(kind == "click", F.concat(q("building", "yes"), F.lit(","), q("landuse", F.when(n % 2 == 0, "retail").otherwise("industrial"))))
         .when(kind == "signup", F.when(n % 3 == 0, q("railway", "station")).otherwise(q("highway", "bus_stop")))
-        .when(kind == "purchase", F.concat(q("leisure", "park"), F.lit(","), q("name", r"the \"green\" one")))
+        .when(kind == "purchase", F.concat(F.lit('"leisure" => "park"'), F.lit(","), q("name", r"the \"green\" one")))
         .otherwise(F.when(n % 2 == 0, q("waterway", "river")).otherwise(F.lit("")))
     )
     return own
@@ -168,6 +169,23 @@ def osm_route(spark, sf_dir):
     return tags.routed(e).groupBy("dataset", F.coalesce("highway", F.lit("-")).alias("highway")).agg(F.count(F.lit(1)).alias("n"), F.sum(tags.is_barrier(F.col("tags")).cast("long")).alias("barriers"))
 
 
+#: Tags of which the features of ``osm_route_kinds`` have one each.
+KIND_TAGS = (
+    ("highway", "bus_stop"), ("highway", "primary_link"), ("highway", "residential"), ("highway", ""), ("railway", "tram"), ("railway", "halt"), ("public_transport", "stop_position"), ("public_transport", "station"),
+    ("waterway", "stream"), ("waterway", "dock"), ("natural", "water"), ("natural", "heath"), ("natural", "wetland"), ("landuse", "quarry"), ("landuse", "industrial"), ("landuse", "village_green"), ("landuse", "cemetery"),
+    ("landuse", "commercial"), ("leisure", "garden"), ("leisure", "recreation_ground"), ("aeroway", "helipad"), ("military", "yes"), ("building", "yes"),
+)
+
+
+@query
+def osm_route_kinds(spark, sf_dir):
+    """Features by dataset where each dataset takes its own kind of geometry."""
+    pairs = F.array(*[F.create_map(F.lit(k), F.lit(v)) for k, v in KIND_TAGS])
+    kinds = F.array(*map(F.lit, ("point", "line", "polygon")))
+    e = bridge.table(spark, sf_dir, "events").select(F.get(pairs, F.col("user_id") % len(KIND_TAGS)).alias("tags"), F.get(kinds, F.col("event_id") % 3).alias("kind"))
+    return tags.routed(e, "kind").groupBy("dataset", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def osm_query_text(spark, sf_dir):
     return tags.query_texts(spark, 1.5, 2.5, 3.5, 4.5)
@@ -178,9 +196,9 @@ def osm_way_coords(spark, sf_dir):
     from footgrid.sources import osm
 
     nodes = bridge.table(spark, sf_dir, "events").where("event_id % 7 <> 0").select(F.col("event_id").cast("string").alias("id"), (F.col("user_id") / 10.0).alias("lon"), (F.col("event_id") / 100.0).alias("lat"))
-    k = F.col("o_orderkey")
-    refs = F.array(k % 900, (k * 3 + 1) % 900, (k * 7 + 2) % 900, F.when(k % 2 == 0, k % 900).otherwise((k + 5) % 900))
-    ways = bridge.table(spark, sf_dir, "orders").where("o_orderkey < 1500").select(k.cast("string").alias("way_id"), F.transform(refs, lambda x: x.cast("string")).alias("refs"))
+    k, n = F.col("o_orderkey"), bridge.table(spark, sf_dir, "events").count()
+    refs = F.array(k % n, (k * 3 + 1) % n, (k * 7 + 2) % n, F.when(k % 2 == 0, k % n).otherwise((k + 5) % n))
+    ways = bridge.table(spark, sf_dir, "orders").select(k.cast("string").alias("way_id"), F.transform(refs, lambda x: x.cast("string")).alias("refs"))
     return osm.way_coordinates(ways, nodes).select("way_id", F.size("points").cast("long").alias("n_pts"), osm.is_closed(F.col("points")).alias("closed"))
 
 
@@ -377,7 +395,7 @@ def efficiency(spark, sf_dir):
 
 @query
 def transit(spark, sf_dir):
-    stops = bridge.stops(spark, sf_dir, "view").union(bridge.stops(spark, sf_dir, "signup")).where("r % 10 = 0").distinct()
+    stops = bridge.stops(spark, sf_dir, "view").union(bridge.stops(spark, sf_dir, "signup")).distinct()
     return score.transit(_plan(spark, sf_dir), stops, G, CENTRE_M, 600.0)
 
 
@@ -435,6 +453,23 @@ def options_pivot(spark, sf_dir):
     return report.options_pivot(scores, "option", ["centre_coverage", "green_coverage", "served_coverage", "access_cost"], ["m1", "m3", "m5"])
 
 
+@query
+def options_table(spark, sf_dir):
+    """Every metric row of the comparison, an option for each region; some metrics are missing."""
+    k = F.col("c_custkey")
+    joined = bridge.table(spark, sf_dir, "customer").join(bridge.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sums = joined.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.sum(k % 97).alias("a"), F.sum(k % 89).alias("b"), F.sum(k % 5).alias("d"))
+    of = bridge.table(spark, sf_dir, "region").join(sums, F.col("n_regionkey") == F.col("r_regionkey"))
+    metrics = of.select(
+        F.col("r_name").alias("option"), (F.col("a") * 0.5).alias("population"), F.col("n").alias("built_cells"), F.col("d").alias("n_centres"), (F.col("a") / (F.col("a") + F.col("b"))).alias("served_coverage"),
+        (F.col("a") / (F.col("n") * 97)).alias("centre_coverage"), (F.col("b") / (F.col("n") * 89)).alias("green_coverage"), (1 - F.col("a") / (F.col("a") + F.col("b"))).alias("unserved_fraction"),
+        (F.col("a") / F.col("n")).alias("centre_access"), F.when(F.col("r_regionkey") != 2, F.col("b") / F.col("n")).alias("green_access"), F.when(F.col("r_regionkey") == 1, F.lit(float("inf"))).otherwise(F.col("a") / 7.0).alias("centre_walk_mean"),
+        (F.col("b") * 1.0).alias("green_walk_mean"), (F.col("b") * 10.0 / F.col("a")).alias("centre_m2_per_person"), (F.col("a") * 3.0).alias("green_m2_per_person"), F.col("d").cast("double").alias("centre_efficiency"),
+        (F.col("d") / (F.col("n") * 5)).alias("compactness"), (F.col("b") / (F.col("a") + F.col("b"))).alias("transit_coverage"),
+    )
+    return report.options_table(metrics, "option", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], 1000.0)
+
+
 @query
 def tiers_rollup(spark, sf_dir):
     cells = bridge.cells(spark, sf_dir).where("density > 0")

@@ -59,7 +59,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis-parallel rectangles in metres: pid, x0, y0, x1, y1 (y grows upwards)."""
     height = n_rows(spark, sf_dir) * BLOCK_M
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    p = table(spark, sf_dir, "part")
     x0, y0 = F.col("p_partkey") * 37 % 9000, F.col("p_partkey") * 53 % (height - 600)
     return p.select(F.col("p_partkey").alias("pid"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 20 * F.col("p_size") + 7).cast("double").alias("x1"), (y0 + 11 * F.col("p_size") + 3).cast("double").alias("y1"))
 

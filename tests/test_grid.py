@@ -249,3 +249,30 @@ def test_entry_gives_one_row(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tags_parse_with_blanks_and_the_last_of_equal_keys(spark):
+    from footgrid.functions import tags
+
+    text = r'"a" => "1","b"=>"x, \"y\" \\z","a"  =>  "2","c"=>""'
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(tags.parsed(F.col("t")).alias("m")).collect()
+    assert [dict(r.m) for r in rows] == [{"a": "2", "b": 'x, "y" \\z', "c": ""}, {}, {}]
+
+
+def test_features_go_to_datasets_of_their_kind(spark):
+    from footgrid.functions import tags
+
+    rows = [({"highway": "bus_stop"}, "point"), ({"highway": "trunk_link"}, "line"), ({"building": "yes"}, "polygon"), ({"landuse": "quarry"}, "polygon"), ({"military": ""}, "polygon"), ({"landuse": "retail"}, "line"), ({"waterway": "stream"}, "line"), ({"highway": ""}, "line")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, tags map<string,string>, kind string")
+    got = sorted((r.id, r.dataset) for r in tags.routed(df, "kind").collect())
+    assert got == [(0, "stops"), (1, "streets"), (1, "unbuildable"), (3, "unbuildable"), (4, "unbuildable"), (6, "unbuildable")]
+    assert (0, "streets") in {(r.id, r.dataset) for r in tags.routed(df).collect()}
+
+
+def test_the_options_table_keeps_its_rows(spark):
+    from footgrid.plans import report
+
+    metrics = spark.createDataFrame([("x", 1234.5, float("inf"), None)], "option string, population double, centre_walk_mean double, compactness double")
+    rows = {r.metric: r.x for r in report.options_table(metrics, "option", ["x"], 2000.0).collect()}
+    assert len(rows) == 16 and rows["population accommodated"] == "1,234" and rows["share of target"] == "62%"
+    assert {rows["mean walk, served homes: centre (m)"], rows["compactness"], rows["green coverage"]} == {"-"}
