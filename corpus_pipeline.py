@@ -1,8 +1,10 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Each stage takes all that its predecessor kept, and all but the last return the
-columns of ``documents``. Rows with a null doc_id pass every filter but toxicity's
-as they are; an empty table passes through all stages.
+columns of ``documents``, whatever the other columns are called. Rows of one doc_id with different texts are
+different documents; equal rows are one after the near copies. Rows with a null doc_id are documents like any other (of like
+texts, one with an id stays before one without). Null and empty texts are one group of copies. An empty table
+passes through all stages.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike by 0.8 in five-word shingles, the document with the smallest id stays, once."""
+    """Of each component of texts alike by 0.8 in five-word shingles one document stays, that with the smallest id (ties: the smallest digest of the text, then of the other columns)."""
     return simhash_bits.without_near_copies(docs)
 
 
@@ -50,7 +52,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Stages of this kind cannot be written in SQL; a test holds the rows against a brute-force version.
+#: Stages of this kind cannot be written in SQL; tests/llm/test_pipeline.py holds the rows of all five against a brute-force version.
 ORACLE_SQL = None
 
 
