@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footgrid.functions.codes import QUEEN
+from footgrid.functions.codes import QUEEN, ROOK
 from footgrid.operators.tiles import TILE, grid_of, on_tiles
 
 ROOT2 = float(np.sqrt(2.0))
@@ -24,7 +24,7 @@ def steps_within(bound: float, block: float) -> int:
     return int(np.floor(bound / block + 1e-9))
 
 
-def relaxed(start: np.ndarray, open_: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+def relaxed(start: np.ndarray, open_: np.ndarray, bound: float, moves=QUEEN) -> tuple[np.ndarray, np.ndarray]:
     """Straight and diagonal steps of the shortest walks from ``start`` over ``open_`` cells, in the last two axes.
 
     Both ``FAR`` where no walk of length ``bound`` (in blocks) or less ends."""
@@ -35,7 +35,7 @@ def relaxed(start: np.ndarray, open_: np.ndarray, bound: float) -> tuple[np.ndar
     limit = bound + 1e-9
     while True:
         changed = False
-        for dr, dc in QUEEN:
+        for dr, dc in moves:
             to = (..., slice(max(0, dr), rows + min(0, dr)), slice(max(0, dc), cols + min(0, dc)))
             of = (..., slice(max(0, -dr), rows + min(0, -dr)), slice(max(0, -dc), cols + min(0, -dc)))
             slant = dr != 0 and dc != 0
@@ -68,19 +68,54 @@ def walk_field(cells: DataFrame, target: Column, blocked: Column, bound_m: float
     return found.withColumn("dist", F.lit(float(block_m)) * (F.col("n_orth") + F.col("n_diag") * F.lit(ROOT2)))
 
 
-def open_walk_field(targets: DataFrame, cells: DataFrame, bound_m: float, block_m: float) -> DataFrame:
-    """The same where nothing is blocked: a walk takes min(|dr|, |dc|) diagonal steps and the rest straight."""
-    n = steps_within(bound_m, block_m)
-    steps = [(a, b, abs(abs(a) - abs(b)), min(abs(a), abs(b))) for a in range(-n, n + 1) for b in range(-n, n + 1)]
-    near = [x for x in steps if x[2] + x[3] * ROOT2 <= bound_m / block_m + 1e-9]
-    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(s).alias("s"), F.lit(d).alias("d")) for a, b, s, d in near])
-    spread = targets.select("r", "c").distinct().select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.explode(offsets).alias("x"))
-    length = F.col("x.s") + F.col("x.d") * F.lit(ROOT2)
-    best = spread.groupBy((F.col("tr") + F.col("x.dr")).alias("r"), (F.col("tc") + F.col("x.dc")).alias("c")).agg(F.min(F.struct(length.alias("len"), F.col("x.s").alias("s"), F.col("x.d").alias("d"))).alias("b"))
-    return cells.select("r", "c").join(best, ["r", "c"]).select("r", "c", F.col("b.s").alias("n_orth"), F.col("b.d").alias("n_diag"), (F.lit(float(block_m)) * F.col("b.len")).alias("dist"))
+def open_walk_field(targets: DataFrame, cells: DataFrame, bound_m: float, block_m: float, tile: int = TILE) -> DataFrame:
+    """The same where nothing is blocked, not even places without a cell; targets need no cell either."""
+    halo, limit = steps_within(bound_m, block_m), bound_m / block_m
+    marked = cells.select("r", "c", F.lit(False).alias("target")).union(targets.select("r", "c", F.lit(True)))
+
+    def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+        start = grid_of(rows[rows["target"]], r0, c0, "target", halo, False, bool, tile)
+        known = ~grid_of(rows[~rows["target"]], r0, c0, "target", halo, True, bool, tile)
+        own = (slice(halo, halo + tile), slice(halo, halo + tile))
+        s, d = (x[own] for x in relaxed(start, np.ones_like(start), limit))
+        r, c = np.nonzero((s < FAR) & known[own])
+        return pd.DataFrame({"r": r + r0, "c": c + c0, "n_orth": s[r, c], "n_diag": d[r, c]})
+
+    found = on_tiles(marked, work, "r int, c int, n_orth int, n_diag int", halo, (), tile)
+    return found.withColumn("dist", F.lit(float(block_m)) * (F.col("n_orth") + F.col("n_diag") * F.lit(ROOT2)))
+
 
+def served_by_area(cells: DataFrame, area: Column, home: Column, blocked: Column, bound_m: float, block_m: float, tile: int = TILE) -> DataFrame:
+    """area, served, n_orth, n_diag: for each area (a number; null where a cell is in none) the ``home`` cells within its own
+    walk, and the straight and diagonal steps of all their walks.
 
-def _windows(rows: pd.DataFrame, r0: int, c0: int, halo: int, limit: float, tile: int):
+    A tile walks from each area that has cells in its halo, within their box and the reach about it, and counts its own cells
+    only, so that a row for each tile and area is all that is shuffled on."""
+    halo, limit = steps_within(bound_m, block_m), bound_m / block_m
+    marked = cells.select("r", "c", F.coalesce(area, F.lit(-1)).alias("area"), F.coalesce(home, F.lit(False)).alias("home"), (~blocked).alias("open"))
+
+    def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+        open_ = grid_of(rows, r0, c0, "open", halo, False, bool, tile)
+        homes = np.zeros_like(open_)
+        own = (slice(halo, halo + tile), slice(halo, halo + tile))
+        homes[own] = grid_of(rows, r0, c0, "home", halo, False, bool, tile)[own]
+        out = []
+        for area, group in rows[rows["area"] >= 0].groupby("area"):
+            a, b = group["r"].to_numpy() - r0 + halo, group["c"].to_numpy() - c0 + halo
+            a0, b0 = max(0, a.min() - halo), max(0, b.min() - halo)
+            box = (slice(a0, a.max() + halo + 1), slice(b0, b.max() + halo + 1))
+            start = np.zeros_like(open_[box])
+            start[a - a0, b - b0] = True
+            s, d = relaxed(start, open_[box], limit)
+            hit = (s < FAR) & homes[box]
+            out.append((area, hit.sum(), s[hit].sum(), d[hit].sum()))
+        return pd.DataFrame(out, columns=["area", "served", "n_orth", "n_diag"])
+
+    parts = on_tiles(marked, work, "area long, served long, n_orth long, n_diag long", halo, (), tile)
+    return parts.groupBy("area").agg(*[F.sum(k).alias(k) for k in ("served", "n_orth", "n_diag")])
+
+
+def _windows(rows: pd.DataFrame, r0: int, c0: int, halo: int, limit: float, tile: int, moves=QUEEN, stop_after: int | None = None):
     """Reached cells around each of a tile's own sources, some sources at a time."""
     path = grid_of(rows, r0, c0, "path", halo, False, bool, tile)
     end = grid_of(rows, r0, c0, "end", halo, False, bool, tile)
@@ -93,29 +128,41 @@ def _windows(rows: pd.DataFrame, r0: int, c0: int, halo: int, limit: float, tile
         start = np.zeros((len(part), side, side), dtype=bool)
         start[:, halo, halo] = True
         walkable, wanted = path[index], end[index]
-        s, d = relaxed(start, walkable, limit)
+        s, d = relaxed(start, walkable, limit, moves)
         reached = s < FAR
-        # A wanted cell that is not walked on is reached by one more step from a walked one, or from the source.
         length = np.where(reached, s + d * ROOT2, np.inf)
-        rim = reached.copy()
-        for dr, dc in QUEEN:
+        # Walked cells look at their neighbours in the order of their own lengths (ties: row by row). A wanted
+        # cell counts from the first look at it, whether it is walked on or not.
+        turn = np.zeros(length.shape, dtype=np.int64)
+        if stop_after is not None:
+            order = np.argsort(length.reshape(len(part), -1), axis=1, kind="stable")
+            np.put_along_axis(turn.reshape(len(part), -1), order, np.arange(side * side)[None, :], axis=1)
+        seen = np.full(length.shape, FAR, dtype=np.int64)
+        seen[:, halo, halo] = 0
+        for dr, dc in moves:
             to = (slice(None), slice(max(0, dr), side + min(0, dr)), slice(max(0, dc), side + min(0, dc)))
             of = (slice(None), slice(max(0, -dr), side + min(0, -dr)), slice(max(0, -dc), side + min(0, -dc)))
-            rim[to] |= length[of] + (ROOT2 if dr and dc else 1.0) <= limit + 1e-9
-        yield part, rim & wanted
+            near = length[of] + (ROOT2 if dr and dc else 1.0) <= limit + 1e-9
+            seen[to] = np.minimum(seen[to], np.where(near, turn[of], FAR))
+        seen[~wanted] = FAR
+        last = np.sort(seen.reshape(len(part), -1), axis=1)[:, stop_after - 1, None, None] if stop_after is not None else FAR
+        yield part, (seen < FAR) & (seen <= last)
 
 
 def _reach_input(cells: DataFrame, source: Column, path: Column, end: Column, keys: Sequence[str]) -> DataFrame:
     return cells.select(*keys, "r", "c", source.alias("source"), path.alias("path"), end.alias("end"))
 
 
-def reach(cells: DataFrame, source: Column, path: Column, end: Column, bound_m: float, block_m: float, tile: int = TILE) -> DataFrame:
-    """sr, sc, r, c: cells of ``end`` that a walk over ``path`` joins to each source within the bound."""
+def reach(cells: DataFrame, source: Column, path: Column, end: Column, bound_m: float, block_m: float, tile: int = TILE, rook: bool = False, stop_after: int | None = None) -> DataFrame:
+    """sr, sc, r, c: cells of ``end`` that a walk over ``path`` joins to each source within the bound.
+
+    ``rook``: straight steps only. ``stop_after``: a source's walk ends once it has seen that many cells of ``end`` (a source that
+    is one counts; what the last step sees counts whole)."""
     halo, limit = steps_within(bound_m, block_m), bound_m / block_m
 
     def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
         parts = [np.zeros((4, 0), np.int64)]
-        for at, hit in _windows(rows, r0, c0, halo, limit, tile):
+        for at, hit in _windows(rows, r0, c0, halo, limit, tile, ROOK if rook else QUEEN, stop_after):
             i, a, b = np.nonzero(hit)
             sr, sc = at[i, 0] + r0, at[i, 1] + c0
             parts.append(np.stack([sr, sc, sr + a - halo, sc + b - halo]))

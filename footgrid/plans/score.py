@@ -13,7 +13,7 @@ from footgrid.functions.codes import BUILT_CODES, CENTRE_CODES
 from footgrid.functions.storage import kept
 from footgrid.operators.components import large_components
 from footgrid.operators.neighbours import neighbours
-from footgrid.operators.walk import walk_field
+from footgrid.operators.walk import ROOT2, served_by_area, walk_field
 from footgrid.plans.classify import centre_areas
 
 
@@ -82,22 +82,13 @@ def transit(plan: DataFrame, stops: DataFrame, block_m: float, bound_m: float, t
 
 
 def centre_audit(plan: DataFrame, block_m: float, bound_m: float) -> DataFrame:
-    """A row for each centre area: its mean place (rounded half to even), cells, homes within the walk, their mean walk, whether it is old.
-
-    Each area's own walk: its cells as targets, the area as a key, over the cells in reach of the area's box."""
-    from footgrid.operators.walk import steps_within
-
-    reach = steps_within(bound_m, block_m)
+    """A row for each centre area: its mean place (rounded half to even), cells, homes within the walk, their mean walk, whether it is old."""
     areas = kept(centre_areas(plan).join(plan.select("r", "c", "plan"), ["r", "c"]), "areas")
     about = areas.groupBy("root").agg(F.bround(F.avg("r")).cast("int").alias("row"), F.bround(F.avg("c")).cast("int").alias("col"), F.count(F.lit(1)).alias("cells"), F.max((F.col("plan") == 5)).alias("old"))
-    # The cells in reach of an area: its cells' squares of the reach, each place once.
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    ring = areas.select("root", F.col("r").alias("ar"), F.col("c").alias("ac"), F.explode(steps).alias("dr")).select("root", (F.col("ar") + F.col("dr")).alias("r"), "ac").distinct()
-    near = ring.select("root", "r", "ac", F.explode(steps).alias("dc")).select("root", "r", (F.col("ac") + F.col("dc")).alias("c")).distinct()
-    own = areas.select("root", "r", "c", F.lit(True).alias("own"))
-    cells = near.join(plan.select("r", "c", "plan"), ["r", "c"]).join(own, ["root", "r", "c"], "left").select("root", "r", "c", "plan", F.coalesce("own", F.lit(False)).alias("own"))
-    field = walk_field(cells, F.col("own"), F.col("plan") == 0, bound_m, block_m, ("root",))
-    served = field.join(plan.where(F.col("plan").isin(*BUILT_CODES)).select("r", "c"), ["r", "c"]).groupBy("root").agg(F.count(F.lit(1)).alias("served"), F.round(F.avg("dist"), 4).alias("mean_dist"))
+    cells = plan.select("r", "c", "plan").join(areas.select("r", "c", "root"), ["r", "c"], "left")
+    found = served_by_area(cells, F.col("root"), F.col("plan").isin(*BUILT_CODES), F.col("plan") == 0, bound_m, block_m)
+    walks = F.lit(float(block_m)) * (F.col("n_orth") + F.col("n_diag") * F.lit(ROOT2))
+    served = found.select(F.col("area").alias("root"), "served", F.when(F.col("served") > 0, F.round(walks / F.col("served"), 4)).alias("mean_dist"))
     return about.join(served, "root", "left").select("root", "row", "col", "cells", F.coalesce("served", F.lit(0)).cast("long").alias("served"), "mean_dist", "old")
 
 
