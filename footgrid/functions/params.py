@@ -112,7 +112,7 @@ def expanded(scenarios: DataFrame, overrides: DataFrame) -> DataFrame:
     swap = (F.col("preset") == "compact") & (F.col("dispersal") == "off")
     dispersal = F.when(swap, "moderate").otherwise(F.coalesce("o_dispersal", "dispersal"))
     isolated = F.create_map(*[F.lit(x) for kv in DISPERSAL.items() for x in kv])[F.col("dispersal")]
-    out = every.select("scenario", "preset", dispersal.alias("dispersal"), F.coalesce("o_high", "high").alias("high"), F.coalesce("o_centre_walk_m", "centre_walk_m").alias("centre_walk_m"), F.greatest(F.col("grid_size_m"), F.ceil(F.col("span_m") / 150 / 5) * 5.0).alias("block_m"))
+    out = every.select("scenario", "preset", dispersal.alias("dispersal"), F.coalesce("o_high", "high").alias("high"), F.coalesce("o_centre_walk_m", "centre_walk_m").alias("centre_walk_m"), preview_block(F.col("grid_size_m"), F.col("span_m")).alias("block_m"))
     return out.withColumn("p_isolated", isolated)
 
 
@@ -142,3 +142,37 @@ def run_check(rows: DataFrame) -> DataFrame:
     for bad, name in reversed(rules):
         problem = F.when(bad, name).otherwise(problem)
     return rows.select("id", problem.alias("problem"))
+
+
+def preview_block(block_m: Column, span_m: Column, most: int = 150) -> Column:
+    """Metres a cell of a preview: the run's own, or the multiple of five at which the longer side has ``most`` cells at most."""
+    return F.greatest(block_m, F.ceil(span_m / most / 5) * 5.0)
+
+
+def run_name(text: Column) -> Column:
+    """A run's name without blanks around it and the raster's suffix; null where it is empty or holds what a file's name can't."""
+    name = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\.tif$", "")
+    return F.when((name != "") & ~name.rlike(r'[/\\:*?"<>|]'), name)
+
+
+def next_folder(base: str, used: set[str]) -> str:
+    """``base``, or the first of ``base_2``, ``base_3``, ... that no run has used."""
+    name, n = base, 1
+    while name in used:
+        n += 1
+        name = f"{base}_{n}"
+    return name
+
+
+def selection_progress(done: Column, total: Column) -> Column:
+    """Percent of a run after ``done`` of ``total`` candidates: the selection takes what is between 40 and 99."""
+    return 40.0 + 59.0 * done / F.greatest(total, F.lit(1))
+
+
+def reference_system_problem(projected: Column, area: tuple[Column, Column, Column, Column], extents: tuple[Column, Column, Column, Column]) -> Column:
+    """Why a coordinate system can't be used: it isn't projected, or its area of use misses the extents (boxes of degrees:
+    xmin, ymin, xmax, ymax; unknown ones are let through). Empty where it can."""
+    from footgrid.operators.geometry import overlaps
+
+    meets = F.coalesce(overlaps(area, extents), F.lit(True))
+    return F.when(~F.coalesce(projected, F.lit(False)), "not projected").when(~meets, "outside").otherwise("")

@@ -39,6 +39,11 @@ CATALOGUE = {
     "railways": ("Railways", "line"), "stops": ("Public-transport stops", "point"), "stations": ("Rail / tram stations", "point"), "unbuildable": ("Unbuildable (water, airports, military, industrial)", "polygon"),
 }
 
+#: Classes of ways that are for walking or service, not shown among the streets.
+WALK_ONLY = ("footway", "path", "cycleway", "steps", "track", "service")
+#: The run's input that each dataset fills; those of other datasets are left to the user.
+INPUT_SLOTS = {"extents": "extents", "built": "built", "green": "green", "unbuildable": "unbuildable", "centres": "centre_seeds", "stops": "transit_stops", "stations": "stations"}
+
 _PAIR = r'"((?:[^"\\]|\\.)*)"\s*=>\s*"((?:[^"\\]|\\.)*)"'
 
 
@@ -100,6 +105,22 @@ def routed(features: DataFrame, kind: str | None = None) -> DataFrame:
     return out.withColumn("highway", F.when(F.col("dataset") == "streets", F.try_element_at(F.col("tags"), F.lit("highway"))))
 
 
+def streets_shown(features: DataFrame) -> DataFrame:
+    """Streets without the classes for walking only; features of no class stay."""
+    return features.where(~F.coalesce(F.col("highway").isin(*WALK_ONLY), F.lit(False)))
+
+
+def filled_slots(layers: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """slot, layer: the layer (dataset, layer; of several the last by name) that each input of a run takes. An input that is
+    ``chosen`` (slot, layer) already stays as it is, but for the extents."""
+    slots = F.create_map(*[F.lit(x) for kv in INPUT_SLOTS.items() for x in kv])
+    found = layers.select(F.try_element_at(slots, F.col("dataset")).alias("slot"), "layer").where("slot IS NOT NULL").groupBy("slot").agg(F.max("layer").alias("layer"))
+    if chosen is None:
+        return found
+    both = found.join(chosen.select("slot", F.col("layer").alias("own")), "slot", "full")
+    return both.select("slot", F.when(F.col("slot") == "extents", F.coalesce("layer", "own")).otherwise(F.coalesce("own", "layer")).alias("layer"))
+
+
 def dataset_selectors(dataset: str) -> list[str]:
     """The query selectors of a dataset, in order."""
     test = lambda k, v: f'["{k}"]' if not v else f'["{k}"="{v[0]}"]' if len(v) == 1 else f'["{k}"~"^({"|".join(v)})$"]'

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Smallest polygon (square metres) and line (metres) worth keeping.
@@ -86,3 +89,93 @@ def hull_candidates(points: DataFrame, slices: int = 64) -> DataFrame:
     turns = [2 * math.pi * i / slices for i in range(slices)]
     ends = points.agg(*[F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias(f"p{i}") for i, a in enumerate(turns)])
     return ends.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(slices)])).alias("p")).select("p.*").distinct()
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of a convex hull's corners, against the clock from the lowest of the leftmost; points on its sides left out."""
+    order = np.lexsort((y, x))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    order = order[keep]
+    if len(order) < 3:
+        return order
+    sides = []
+    for way in (order, order[::-1]):
+        chain: list[int] = []
+        for p in way:
+            while len(chain) > 1:
+                a, b = chain[-2:]
+                if (x[b] - x[a]) * (y[p] - y[a]) > (y[b] - y[a]) * (x[p] - x[a]):
+                    break
+                chain.pop()
+            chain.append(p)
+        sides += chain[:-1]
+    return np.array(sides)
+
+
+def convex_hull(points: DataFrame) -> DataFrame:
+    """ord, x, y: the corners of the convex hull of all points x, y, against the clock. Null places are left out; no points is no rows.
+
+    Each task keeps the hull of its own points, so that only hulls, which have few corners, meet in the one task that joins them."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.DataFrame({"x": [], "y": []}, dtype=float)
+        for batch in batches:
+            both = pd.concat([own, batch])
+            own = both.iloc[_hull(both["x"].to_numpy(), both["y"].to_numpy())]
+        yield own
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        at = _hull(rows["x"].to_numpy(), rows["y"].to_numpy())
+        return pd.DataFrame({"ord": np.arange(len(at)), "x": rows["x"].to_numpy()[at], "y": rows["y"].to_numpy()[at]})
+
+    places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return places.mapInPandas(part, "x double, y double").groupBy(F.lit(0).alias("all")).applyInPandas(whole, "ord int, x double, y double")
+
+
+def buffered_hull(points: DataFrame, width: float, quarter: int = 16) -> DataFrame:
+    """``convex_hull`` widened on all sides, round corners as ``quarter`` sides for each right angle."""
+    turns = [math.pi / 2 * i / quarter for i in range(4 * quarter)]
+    around = F.explode(F.array(*[F.struct((F.col("x") + width * math.cos(a)).alias("x"), (F.col("y") + width * math.sin(a)).alias("y")) for a in turns]))
+    return convex_hull(convex_hull(points).select(around.alias("p")).select("p.*"))
+
+
+def _thinned(x: np.ndarray, y: np.ndarray, within: float, least: int) -> np.ndarray:
+    """Positions of a line's points that stay: the farthest from each chord as long as it is farther than ``within``."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    spans = [(0, len(x) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        square = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / square, 0, 1) if square else np.zeros(len(px))
+        far = np.hypot(px - t * dx, py - t * dy)
+        m = int(far.argmax())
+        if far[m] > within or keep.sum() < least:
+            keep[a + 1 + m] = True
+            spans += [(a, a + 1 + m), (a + 1 + m, b)]
+    return np.flatnonzero(keep)
+
+
+def simplified(features: DataFrame, within: float = 6.0) -> DataFrame:
+    """``features`` with thinner ``rings``: no point left out lies farther than ``within`` from the line that stays. Closed rings keep
+    four points at least. A small step for each feature; the rest of the row passes through."""
+    names = features.columns
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["rings"] = [None if rings is None else [_ring(r) for r in rings] for rings in batch["rings"]]
+            yield batch[names]
+
+    def _ring(points):
+        if len(points) < 3:
+            return points
+        x, y = np.array([p["x"] for p in points], float), np.array([p["y"] for p in points], float)
+        closed = x[0] == x[-1] and y[0] == y[-1]
+        return [points[i] for i in _thinned(x, y, within, 4 if closed else 2)]
+
+    return features.mapInPandas(work, features.schema)

@@ -158,3 +158,17 @@ def inner_row_points(burned_cells: DataFrame, key: str = "pid") -> DataFrame:
     spans = line.withColumn("i", island).groupBy(key, "r", "i").agg(F.min("c").alias("a"), F.max("c").alias("b"))
     best = spans.groupBy(key, "r").agg(F.min(F.struct((F.col("a") - F.col("b")).alias("w"), F.col("a"), F.col("b"))).alias("s"))
     return best.select(key, "r", F.floor((F.col("s.a") + F.col("s.b")) / 2).cast("int").alias("c"))
+
+
+def block_plan(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """r, c, plan of a grid of rectangles ``ord, r0, r1, c0, c1, code`` (ends not included); of several the last counts, none is 0."""
+    filled = blocks.select("ord", "code", "c0", "c1", F.explode(F.expr("CASE WHEN r0 < r1 THEN sequence(r0, r1 - 1) END")).alias("r")).select("ord", "code", "r", F.explode(F.expr("CASE WHEN c0 < c1 THEN sequence(c0, c1 - 1) END")).alias("c"))
+    last = filled.groupBy("r", "c").agg(F.max_by("code", "ord").alias("code"))
+    return cells.select("r", "c").join(last, ["r", "c"], "left").select("r", "c", F.coalesce("code", F.lit(0)).cast("int").alias("plan"))
+
+
+def overlap_check(a: DataFrame, b: DataFrame, block_m: float, most_m2: float = 1.0) -> DataFrame:
+    """overlap_m2, ok: the area of the cells that two layers share, which must be below ``most_m2``."""
+    shared = a.select("r", "c").distinct().join(b.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    area = (F.count(F.lit(1)) * block_m * block_m).cast("double")
+    return shared.agg(area.alias("overlap_m2"), (area < most_m2).alias("ok"))

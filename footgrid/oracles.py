@@ -204,10 +204,33 @@ ORACLE_SQL: dict[str, str] = {
     "stage_codes": f"WITH {_CELLS} SELECT r, c, CAST(CASE WHEN origin = 1 THEN 7 WHEN origin = 0 THEN 8 WHEN state = -1 THEN 255 ELSE state END AS INTEGER) AS code FROM grid",
     "likelihood_shown": f"WITH {_MEMBERS}, p AS (SELECT r, c, round(avg((state = 1)::INT), 6) AS p FROM members GROUP BY r, c) SELECT r, c, round(0.3 + 0.7 * p, 6) AS opacity FROM p WHERE p > 0.04",
     "ensemble_presets": "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey * 5 <= 30 THEN 10 WHEN n_nationkey * 5 <= 75 THEN 50 ELSE 100 END AS INTEGER) AS runs FROM nation",
-    "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built-up areas', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'streets', 'Streets', 'line'), (4, 'railways', 'Railways', 'line'), (5, 'stations', 'Stations', 'point'), (6, 'stops', 'Bus stops', 'point'), (7, 'industrial', 'Industrial land', 'polygon'), (8, 'unbuildable', 'Unbuildable land', 'polygon')) t(ord, dataset, label, kind)",
+    "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built (residential fabric)', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'industrial', 'Industrial land', 'polygon'), (4, 'streets', 'Street network', 'line'), (5, 'railways', 'Railways', 'line'), (6, 'stops', 'Public-transport stops', 'point'), (7, 'stations', 'Rail / tram stations', 'point'), (8, 'unbuildable', 'Unbuildable (water, airports, military, industrial)', 'polygon')) t(ord, dataset, label, kind)",
     "elevation_heights": "WITH t AS (SELECT p_partkey % 7 - 3 AS y, p_partkey % 10 AS a, p_partkey % 9 AS b, CAST(max(p_partkey) AS DOUBLE) AS h FROM part GROUP BY ALL) SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, coalesce(h, 0) AS h FROM orders LEFT JOIN t ON o_orderkey % 7 - 3 = y AND o_orderkey % 5 = 2 AND o_orderkey % 10 = a AND o_orderkey % 9 = b",
     "extent_guard": "SELECT n_nationkey AS id, n_nationkey * 3 + 1 AS rows, 40 - n_nationkey AS cols, CAST(50 AS DOUBLE) AS block_m, (n_nationkey * 3 + 1) * 50 > 800 AND (40 - n_nationkey) * 50 > 800 AS ok FROM nation",
     "inner_row_points": f"WITH {_BOXES}, b AS (SELECT pid, CAST(ceil((n * 100 - y1) / 100 - 0.5) AS INTEGER) AS r0, CAST(ceil((n * 100 - y0) / 100 - 0.5) AS INTEGER) - 1 AS r1, CAST(ceil(x0 / 100 - 0.5) AS INTEGER) AS c0, CAST(ceil(x1 / 100 - 0.5) AS INTEGER) - 1 AS c1, y0, y1, n FROM boxes, nr), k AS (SELECT pid, CAST(floor((n * 100 - y1) / 100 - 0.5) AS INTEGER) + 1 AS r0, CAST(floor((n * 100 - y0) / 100 - 0.5) AS INTEGER) AS r1, c0, c1 FROM b) SELECT pid, CAST(floor((r0 + r1) / 2.0) AS INTEGER) AS r, CAST(floor((c0 + c1) / 2.0) AS INTEGER) AS c FROM k WHERE r0 <= r1 AND c0 <= c1",
     "run_check": "SELECT n_nationkey AS id, CASE WHEN n_nationkey - 1 <= 0 THEN 'block' WHEN n_nationkey - 1 > 10 THEN 'walk' WHEN n_nationkey % 9 <= 0 THEN 'span or target' WHEN n_nationkey % 4 / 2.5 > 1 THEN 'probability' WHEN n_nationkey % 5 = 0 THEN 'shares' WHEN n_nationkey % 3 <> 2 THEN 'densities' ELSE '' END AS problem FROM nation",
     "growth_seed_union": f"WITH {_SEEDS}, st AS (SELECT DISTINCT CAST(event_id * 31 % n AS INTEGER) AS r, CAST((user_id * 17 + event_id) % 100 AS INTEGER) AS c FROM events, nr WHERE event_type = 'signup') SELECT ord, r, c FROM seeds UNION ALL SELECT CAST(r * 100 + c + (SELECT max(ord) FROM seeds) + 1 AS BIGINT), r, c FROM st WHERE (r, c) NOT IN (SELECT (r, c) FROM seeds)",
+    "burn_rings": f"WITH {_ROWS}, d AS (SELECT p_partkey AS pid, p_partkey * 37 % 9000 + 0.37::DOUBLE AS x, p_partkey * 53 % (n * 100) + 0.19::DOUBLE AS y, p_size * 10 + 33 AS a, p_size * 7 + 21 AS b, n FROM part, nr), k AS (SELECT pid, x, y, a, b, n, unnest(range(-10, 120)) AS c FROM d), m AS (SELECT *, unnest(range(CAST(floor(n - (y + b) / 100) AS BIGINT) - 1, CAST(ceil(n - (y - b) / 100) AS BIGINT) + 1)) AS r FROM k WHERE abs((c + 0.5) * 100 - x) <= a) SELECT pid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM m WHERE abs((c + 0.5) * 100 - x) * b + abs(n * 100 - (r + 0.5) * 100 - y) * a < a * b",
+    "compose_check": "WITH s AS (SELECT count(*) FILTER (o_custkey % 3 = 0 AND o_orderpriority = '1-URGENT') * 10000.0::DOUBLE AS a FROM orders) SELECT 'raw' AS layer, a AS overlap_m2, a < 1 AS ok FROM s UNION ALL SELECT 'cut', 0.0::DOUBLE, true",
+    "street_filter": "SELECT h AS highway, count(*) AS n FROM (SELECT ['residential', 'footway', 'primary', 'path', 'cycleway', 'tertiary', 'steps', 'track', 'service', 'living_street', NULL][user_id % 11 + 1] AS h FROM events) WHERE h IS NULL OR h IN ('residential', 'primary', 'tertiary', 'living_street') GROUP BY h",
+    "input_slots": "WITH s(k, slot) AS (VALUES (0, 'built'), (1, 'green'), (2, 'centre_seeds'), (6, 'transit_stops'), (7, 'stations'), (8, 'unbuildable'), (9, 'extents')), f AS (SELECT slot, max(n_name) AS layer FROM nation JOIN s ON n_nationkey % 10 = k GROUP BY slot) SELECT slot, CASE slot WHEN 'green' THEN 'AMERICA' ELSE layer END AS layer FROM f UNION ALL SELECT 'terrain', 'ASIA'",
+    "run_names": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 NOT IN (1, 2) THEN n_name END AS name FROM nation",
+    "selection_progress": "SELECT n_nationkey AS id, round(40 + 59.0::DOUBLE * (n_nationkey % 4) / greatest(1, n_nationkey % 5), 6) AS percent FROM nation",
+    "crs_guard": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 1 THEN 'not projected' WHEN n_nationkey <> 20 AND NOT (n_nationkey * 6 - 80 <= 9 AND n_nationkey * 6 - 74 >= -3) THEN 'outside' WHEN n_nationkey = 20 AND n_nationkey * 6 - 74 < -3 THEN 'outside' ELSE '' END AS problem FROM nation",
+    "block_plan": f"WITH {_CELLS}, {_ROWS}, b AS (SELECT p_partkey AS k, p_partkey * 7 % n AS r0, p_partkey * 13 % 100 AS c0, p_size % 9 AS h, p_size % 6 AS w FROM part, nr), f AS (SELECT g.r, g.c, max(k) AS k FROM grid g JOIN b ON g.r >= r0 AND g.r < r0 + h AND g.c >= c0 AND g.c < c0 + w GROUP BY g.r, g.c) SELECT g.r, g.c, CAST(coalesce(k % 5 + 1, 0) AS INTEGER) AS plan FROM grid g LEFT JOIN f ON f.r = g.r AND f.c = g.c",
+    "drawn_density": f"WITH {_CELLS} SELECT r, c, round(density * 100, 6) AS per_km2 FROM grid WHERE density > 0",
+    "raw_pre_plan": f"WITH RECURSIVE {_MEMBER_SCORES}, best AS (SELECT member FROM scores ORDER BY access_cost NULLS LAST, member LIMIT 1) SELECT m.r, m.c, CAST(CASE WHEN state = 2 THEN 3 WHEN plan = 2 AND origin = 1 THEN 4 ELSE plan END AS INTEGER) AS plan FROM ms m JOIN mplan USING (member, r, c) JOIN best USING (member)",
+    "geojson_lines": f"""WITH {_BOXES}, b AS (SELECT pid, round(x0 / 7, 1) AS x0, round(y0 / 7, 1) AS y0, round(CASE WHEN pid % 50 = 0 THEN x0 / 7 + 0.01 ELSE x1 / 7 END, 1) AS x1, round(y1 / 7, 1) AS y1 FROM boxes)
+        SELECT pid AS fid, '{{"type":"Feature","properties":{{"name":"' || pid || '"}},"geometry":{{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]}}}}' AS value FROM b WHERE x1 > x0 AND y1 > y0""",
 }
+_ROOK = "offs(dr, dc, s, g) AS (VALUES (1,0,1,0),(0,1,1,0),(-1,0,1,0),(0,-1,1,0))"
+ORACLE_SQL["reach_rook"] = ORACLE_SQL["reach_mask"].replace(_OFFSETS, _ROOK)
+#: A source's walked cells look about in the order of their lengths; what is seen up to the third built cell's turn counts.
+ORACLE_SQL["reach_first"] = (
+    ORACLE_SQL["reach_mask"].partition(", h AS (")[0]
+    + """, k AS (SELECT src, r, c, o, d, row_number() OVER (PARTITION BY src ORDER BY o + d * sqrt(2.0), r, c) - 1 AS turn FROM w WHERE o < 1000000),
+      a AS (SELECT k.src, g.r, g.c, min(CASE WHEN x.s + x.g = 0 THEN 0 ELSE turn END) AS seen FROM k, (SELECT dr, dc, s, g FROM offs UNION ALL SELECT 0, 0, 0, 0) x JOIN grid g ON g.r = k.r + x.dr AND g.c = k.c + x.dc
+        WHERE g.state = 1 AND (x.s + x.g > 0 OR o + d = 0) AND k.o + x.s + (k.d + x.g) * sqrt(2.0) <= 4 + 1e-9 GROUP BY k.src, g.r, g.c),
+      l AS (SELECT src, max(seen) FILTER (n = 3) AS last FROM (SELECT src, seen, row_number() OVER (PARTITION BY src ORDER BY seen) AS n FROM a) GROUP BY src)
+      SELECT CAST(a.src // 1000 AS INTEGER) AS sr, CAST(a.src % 1000 AS INTEGER) AS sc, r, c FROM a JOIN l ON l.src = a.src WHERE last IS NULL OR seen <= last"""
+)

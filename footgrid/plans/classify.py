@@ -69,3 +69,15 @@ def absorbed(plan: DataFrame, least: int, keys: Sequence[str] = ()) -> DataFrame
 def centre_areas(plan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, r, c, root of centre cells: queen components of centres."""
     return components(plan.where(F.col("plan").isin(*CENTRE_CODES)), True, keys)
+
+
+def raw_plan(states: DataFrame, block_m: float, span_m: float) -> DataFrame:
+    """r, c, plan of a member as it grew (r, c, state, origin), before any clean-up: its own centres shown, old fabric marked."""
+    coded = state_to_plan(states, block_m, span_m).join(states.select("r", "c", "state", "origin"), ["r", "c"])
+    shown = coded.withColumn("plan", F.when(F.col("state") == 2, 3).otherwise(F.col("plan")))
+    return marked_existing(shown, F.lit(False), F.lit(False), F.col("origin") == 1).select("r", "c", "plan")
+
+
+def drawn_per_km2(density: Column, block_m: float) -> Column:
+    """Persons a square kilometre from persons a block."""
+    return density / (block_m * block_m / 1e6)

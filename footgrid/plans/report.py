@@ -105,3 +105,9 @@ def audit_sentence(summary: DataFrame) -> DataFrame:
 def cleanup_delta(raw: DataFrame, options: DataFrame) -> DataFrame:
     """option, removed: built cells that an option has fewer than the raw growth (one row)."""
     return options.crossJoin(F.broadcast(raw.select(F.col("built_cells").alias("raw")))).select("option", (F.col("raw") - F.col("built_cells")).alias("removed"))
+
+
+def option_record(label: Column, short: Column, metrics: Column, n_centres: Column, tiers: Column | None = None) -> Column:
+    """An option's entry: its label, its column's header, its metrics, its centres and, if a tiered plan was written, its tiers."""
+    rest = tiers if tiers is not None else F.lit(None).cast("string")
+    return F.struct(label.alias("label"), short.alias("short"), metrics.alias("metrics"), n_centres.alias("n_centres"), rest.alias("tiers"))

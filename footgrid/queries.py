@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from footgrid.functions import codes, params, tags
 from footgrid.operators import components as comp, geometry, neighbours as nb, raster, walk
 from footgrid.plans import centres, classify, growth, report, score, tiers
-from footgrid.sources import bridge
+from footgrid.sources import bridge, geojson
 
 G = bridge.BLOCK_M
 CENTRE_M, GREEN_M, SPAN_M = 800.0, 400.0, 400.0
@@ -559,6 +559,121 @@ def frames(spark, sf_dir):
     return growth.frame_counts(bridge.members(spark, sf_dir).withColumnRenamed("member", "step"), 2025)
 
 
+# Small rules of runs and layers
+
+
+@query
+def burn_rings(spark, sf_dir):
+    """Cells of slanted polygons."""
+    k, height = F.col("p_partkey"), bridge.n_rows(spark, sf_dir) * G
+    x, y = (k * 37 % 9000) + 0.37, (k * 53 % height) + 0.19
+    a, b = F.col("p_size") * 10.0 + 33, F.col("p_size") * 7.0 + 21
+    at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    zero = F.lit(0.0)
+    rings = bridge.table(spark, sf_dir, "part").select(k.alias("pid"), F.array(F.array(at(a, zero), at(zero, b), at(-a, zero), at(zero, -b), at(a, zero))).alias("rings"))
+    return raster.burned(raster.ring_edges(rings, "pid"), float(G), 0.0, float(height))
+
+
+@query
+def compose_check(spark, sf_dir):
+    """What built land and green share, before and after the green is cut."""
+    layers = _layers(spark, sf_dir)
+    built, green = layers.where("built"), layers.where("green")
+    checks = {"raw": green, "cut": geometry.without(green.select("r", "c"), built)}
+    one, two = (raster.overlap_check(built, g, float(G)).select(F.lit(k).alias("layer"), "overlap_m2", "ok") for k, g in checks.items())
+    return one.union(two)
+
+
+#: Classes of ways that ``street_filter`` deals out.
+WAY_CLASSES = ("residential", "footway", "primary", "path", "cycleway", "tertiary", "steps", "track", "service", "living_street", None)
+
+
+@query
+def street_filter(spark, sf_dir):
+    e = bridge.table(spark, sf_dir, "events").select(F.get(F.array(*map(F.lit, WAY_CLASSES)), F.col("user_id") % len(WAY_CLASSES)).alias("highway"))
+    return tags.streets_shown(e).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def input_slots(spark, sf_dir):
+    """Layers of the catalogue's datasets by the input that they fill."""
+    names = F.array(*map(F.lit, (*tags.ORDER, "extents")))
+    n = F.col("n_nationkey")
+    layers = bridge.table(spark, sf_dir, "nation").select(F.get(names, n % (len(tags.ORDER) + 1)).alias("dataset"), F.col("n_name").alias("layer"))
+    chosen = bridge.table(spark, sf_dir, "region").select(F.get(F.array(*map(F.lit, ("extents", "green", "terrain"))), F.col("r_regionkey")).alias("slot"), F.col("r_name").alias("layer")).where("slot IS NOT NULL")
+    return tags.filled_slots(layers, chosen)
+
+
+@query
+def run_names(spark, sf_dir):
+    n = F.col("n_nationkey")
+    text = F.when(n % 5 == 0, F.concat(F.lit("  "), F.col("n_name"), F.lit(".tif "))).when(n % 5 == 1, F.concat(F.col("n_name"), F.lit("/a"))).when(n % 5 == 2, F.lit(" .tif")).otherwise(F.col("n_name"))
+    return bridge.table(spark, sf_dir, "nation").select(n.alias("id"), params.run_name(text).alias("name"))
+
+
+@query
+def selection_progress(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return bridge.table(spark, sf_dir, "nation").select(n.alias("id"), F.round(params.selection_progress(n % 4, n % 5), 6).alias("percent"))
+
+
+@query
+def crs_guard(spark, sf_dir):
+    n = F.col("n_nationkey").cast("double")
+    area = (n * 6 - 80, F.lit(0.0), n * 6 - 74, F.lit(84.0))
+    box = (F.lit(-3.0), F.lit(40.0), F.when(n != 20, 9.0), F.lit(50.0))
+    return bridge.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), params.reference_system_problem(F.col("n_nationkey") % 4 != 1, area, box).alias("problem"))
+
+
+@query
+def block_plan(spark, sf_dir):
+    k, rows = F.col("p_partkey").cast("int"), bridge.n_rows(spark, sf_dir)
+    blocks = bridge.table(spark, sf_dir, "part").select(k.alias("ord"), (k * 7 % rows).alias("r0"), (k * 7 % rows + F.col("p_size") % 9).alias("r1"), (k * 13 % 100).alias("c0"), (k * 13 % 100 + F.col("p_size") % 6).alias("c1"), (k % 5 + 1).alias("code"))
+    return raster.block_plan(bridge.cells(spark, sf_dir), blocks)
+
+
+@query
+def drawn_density(spark, sf_dir):
+    return bridge.cells(spark, sf_dir).where("density > 0").select("r", "c", F.round(classify.drawn_per_km2(F.col("density"), float(G)), 6).alias("per_km2"))
+
+
+@query
+def raw_pre_plan(spark, sf_dir):
+    """The plan of the best member before any clean-up."""
+    best = growth.best_member(_member_scores(spark, sf_dir)).select("member")
+    states = bridge.members(spark, sf_dir).join(F.broadcast(best), "member", "left_semi")  # one row
+    return classify.raw_plan(states.join(bridge.cells(spark, sf_dir).select("r", "c", "origin"), ["r", "c"]).select("r", "c", "state", "origin"), G, SPAN_M)
+
+
+@query
+def geojson_lines(spark, sf_dir):
+    """JSON features of rectangles, snapped; those that collapse are dropped."""
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0 = F.col("x0") / 7, F.col("y0") / 7
+    x1, y1 = F.when(F.col("pid") % 50 == 0, x0 + 0.01).otherwise(F.col("x1") / 7), F.col("y1") / 7
+    rings = F.array(F.array(xy(x0, y0), xy(x1, y0), xy(x1, y1), xy(x0, y1), xy(x0, y0)))
+    rows = bridge.boxes(spark, sf_dir).select(F.lit("boxes").alias("dataset"), F.col("pid").alias("fid"), F.lit("Polygon").alias("geom_type"), rings.alias("rings"), F.create_map(F.lit("name"), F.col("pid").cast("string")).alias("props"))
+    return geojson.as_lines(rows).select("fid", "value")
+
+
+@query
+def reach_rook(spark, sf_dir):
+    return walk.reach(_seeded(spark, sf_dir), F.col("seed"), F.col("state") == 0, F.col("state") >= 0, 400.0, G, rook=True)
+
+
+@query
+def reach_first(spark, sf_dir):
+    """Walks that end once they have seen three built cells."""
+    return walk.reach(_seeded(spark, sf_dir), F.col("seed"), F.col("state") == 0, F.col("state") == 1, 400.0, G, stop_after=3)
+
+
+@query
+def extent_hull(spark, sf_dir):
+    """The corners of the convex hull of all rectangles; no SQL, held against a brute-force version in the tests."""
+    corners = F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")]))
+    return geometry.convex_hull(bridge.boxes(spark, sf_dir).select(corners.alias("p")).select("p.*"))
+
+
 # Growth and centres
 
 

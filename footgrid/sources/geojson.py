@@ -8,9 +8,11 @@ POINT, LINE, POLYGON, MULTI = "array<double>", "array<array<double>>", "array<ar
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """dataset (the file's name), fid, geom_type, rings (arrays of x, y), props of every feature of the
+    """dataset (the file's name, or the folder's as ``write_collections`` writes it), fid, geom_type, rings (arrays of x, y), props of every feature of the
     FeatureCollections at ``path`` (a file, folder or pattern). Features without coordinates are skipped; no features is no rows."""
-    body = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("dataset"))
+    found = spark.read.text(path, wholetext=True)
+    name = F.col("dataset").cast("string") if "dataset" in found.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    body = found.select("value", name.alias("dataset"))
     shape = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
     rows = body.select("dataset", F.posexplode(F.from_json("value", shape)["features"]).alias("fid", "f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
@@ -25,8 +27,47 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.size("rings") > 0)
 
 
+def extents(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of every ``extents*.geojson`` of a folder, with ``extent``: the rest of the file's name, ``main`` where there is none."""
+    found = features(spark, f"{folder.rstrip('/')}/extents*.geojson")
+    rest = F.regexp_replace(F.replace(F.col("dataset"), F.lit("extents"), F.lit("")), "^_+|_+$", "")
+    return found.withColumn("extent", F.when(rest == "", "main").otherwise(rest))
+
+
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size of the files that an archive of a scenario takes: caches (``_*``) and personal projects (``*.qgz``) stay out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size")).where(~name.startswith("_") & ~name.endswith(".qgz"))
+
+
+def snapped(rows: DataFrame, grid: int = 1) -> DataFrame:
+    """Coordinates rounded to ``grid`` decimals; features that collapse (polygons to no area, lines to one place) are dropped."""
+    from footgrid.operators.geometry import line_length, ring_area
+
+    at = lambda p: F.struct(F.round(p["x"], grid).alias("x"), F.round(p["y"], grid).alias("y"))
+    out = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, at)))
+    area = F.abs(ring_area(F.get("rings", 0)))
+    return out.where(F.when(F.col("geom_type") == "Polygon", area > 0).when(F.col("geom_type") == "LineString", line_length(F.get("rings", 0)) > 0).otherwise(F.size("rings") > 0))
+
+
 def as_lines(rows: DataFrame) -> DataFrame:
-    """A JSON feature for each row, coordinates snapped to 0.1."""
-    snap = lambda p: F.array(F.round(p["x"], 1), F.round(p["y"], 1))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: F.transform(r, snap)).alias("coordinates"))
-    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("props").alias("properties"), geometry.alias("geometry"))).alias("value"))
+    """dataset, fid, value: a JSON feature for each point, line or polygon, coordinates snapped to 0.1; others raise."""
+    place = lambda p: F.array(p["x"], p["y"])
+    rings = F.transform("rings", lambda r: F.transform(r, place))
+    kind = F.col("geom_type")
+    coordinates = F.when(kind == "Point", F.to_json(rings[0][0])).when(kind == "LineString", F.to_json(rings[0])).when(kind == "Polygon", F.to_json(rings)).otherwise(F.raise_error(F.concat(F.lit("split first: "), kind)))
+    value = F.concat(F.lit('{"type":"Feature","properties":'), F.coalesce(F.to_json("props"), F.lit("{}")), F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    return snapped(rows).select("dataset", "fid", value.alias("value"))
+
+
+def write_collections(rows: DataFrame, path: str, metadata: dict[str, str], per_file: int = 50_000) -> None:
+    """FeatureCollections with their metadata, a folder for each dataset and files of about ``per_file`` features each, so that no
+    task holds a whole dataset. ``features`` reads them back."""
+    import json
+
+    numbered = as_lines(rows)
+    sizes = numbered.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / per_file).alias("parts"))  # a row for each dataset
+    dealt = numbered.join(sizes, "dataset").withColumn("part", F.pmod(F.xxhash64("fid"), F.col("parts")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fid", "value"))), lambda x: x["value"]), ",")
+    body = F.concat(F.lit('{"type":"FeatureCollection","metadata":' + json.dumps(metadata, separators=(",", ":")) + ',"features":['), listed, F.lit("]}"))
+    dealt.groupBy("dataset", "part").agg(body.alias("value")).select("dataset", "value").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("dataset").text(path)

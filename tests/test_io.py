@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import heapq
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
 from footgrid import sinks, streaming
-from footgrid.operators import geometry
+from footgrid.functions import params, tags
+from footgrid.operators import geometry, walk
 from footgrid.plans import report
+from footgrid.sources import geojson
 
 
 def test_frames_have_a_folder_and_a_year_for_each_step(spark, tmp_path):
@@ -63,3 +68,97 @@ def test_steps_are_counted_as_they_arrive(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.step, r.built, r.ratio) for r in spark.table("steps").collect()} == {(0, 1, 0.25), (1, 2, 0.5)}
+
+
+SHAPES = (
+    '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"x"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[4.04,0],[4,4],[0,4],[0,0]]]}},'
+    '{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1.56,2.5]}},{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":[[0,0],[0.01,0.02]]}}]}'
+)
+
+
+def test_collections_are_written_snapped_and_read_back(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("extents", "extents_north", "built"):
+        (tmp_path / "in" / f"{name}.geojson").write_text(SHAPES)
+    (tmp_path / "in" / "_cache.geojson").write_text("{}")
+    (tmp_path / "in" / "own.qgz").write_text("")
+    assert {(r.extent, r.geom_type) for r in geojson.extents(spark, str(tmp_path / "in")).collect()} == {(e, g) for e in ("main", "north") for g in ("Polygon", "Point", "LineString")}
+    assert {r.path.rsplit("/", 1)[1] for r in geojson.archive_files(spark, str(tmp_path / "in")).collect()} == {"extents.geojson", "extents_north.geojson", "built.geojson"}
+    geojson.write_collections(geojson.features(spark, str(tmp_path / "in" / "*.geojson")), str(tmp_path / "out"), {"crs": "EPSG:27700"}, per_file=1)
+    back = geojson.features(spark, str(tmp_path / "out")).collect()
+    # The line collapses; what is left keeps its dataset, names and places.
+    assert sorted((r.dataset, r.geom_type) for r in back) == [(d, g) for d in ("built", "extents", "extents_north") for g in ("Point", "Polygon")]
+    assert {(p.x, p.y) for r in back if r.geom_type == "Polygon" for p in r.rings[0]} == {(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)}
+    assert {json.loads(r.value)["metadata"]["crs"] for r in spark.read.text(str(tmp_path / "out")).select("value").collect()} == {"EPSG:27700"}
+
+
+def test_hulls_hold_all_points_and_turn_one_way(spark):
+    rng = random.Random(3)
+    points = [(float(rng.randrange(40)), float(rng.randrange(40))) for _ in range(400)] + [(5.0, 5.0)] * 3 + [(None, 1.0)]
+    df = spark.createDataFrame(points, "x double, y double")
+    hull = [(r.x, r.y) for r in geometry.convex_hull(df.repartition(5)).orderBy("ord").collect()]
+    cross = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    whole = set(points[:-1])
+    # Brute force: a corner is a point that has all others on one side of a line to the next corner.
+    for a, b, c in zip(hull, hull[1:] + hull[:1], hull[2:] + hull[:2]):
+        assert a in whole and cross(a, b, c) > 0 and all(cross(a, b, p) >= 0 for p in whole)
+    wide = [(r.x, r.y) for r in geometry.buffered_hull(df, 10.0).orderBy("ord").collect()]
+    assert all(9.9 < min(_to_segment(p, a, b) for a, b in zip(hull, hull[1:] + hull[:1])) < 10.0001 for p in wide)
+    assert geometry.convex_hull(df.limit(0)).count() == 0
+    assert [(r.x, r.y) for r in geometry.convex_hull(spark.createDataFrame([(1.0, 2.0)] * 3, "x double, y double")).collect()] == [(1.0, 2.0)]
+
+
+def _to_segment(p, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+
+def test_thinner_lines_stay_close(spark):
+    rng = random.Random(5)
+    line = [(i * 3.0, rng.uniform(-8, 8)) for i in range(200)]
+    ring = [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    rows = spark.createDataFrame([("line", [line]), ("ring", [ring]), ("none", None)], "id string, rings array<array<struct<x:double,y:double>>>")
+    thin = {r.id: r.rings and [(p.x, p.y) for p in r.rings[0]] for r in geometry.simplified(rows, 6.0).collect()}
+    assert thin["none"] is None and thin["ring"][0] == thin["ring"][-1] and len(thin["ring"]) >= 4
+    kept = thin["line"]
+    assert kept[0] == line[0] and kept[-1] == line[-1] and len(kept) < 150
+    assert all(min(_to_segment(p, a, b) for a, b in zip(kept, kept[1:])) <= 6.0 + 1e-9 for p in line)
+
+
+def test_walks_stop_early_and_keep_to_straight_steps(spark):
+    rng = random.Random(7)
+    state = {(r, c): rng.choice((0, 0, 0, 1, -1)) for r in range(14) for c in range(14)}
+    sources = [p for p in state if rng.random() < 0.1]
+    cells = spark.createDataFrame([(r, c, s, (r, c) in sources) for (r, c), s in state.items()], "r int, c int, state int, seed boolean")
+    for rook, stop in ((True, None), (False, 2), (True, 1)):
+        want = set()
+        for source in sources:
+            found, best, heap = {source} if state[source] == 1 else set(), {source: 0.0}, [(0.0, source)]
+            while heap:
+                d, (r, c) = heapq.heappop(heap)
+                if d > best[r, c]:
+                    continue
+                for dr in (-1, 0, 1):
+                    for dc in (-1, 0, 1):
+                        p, step = (r + dr, c + dc), math.sqrt(2) if dr and dc else 1.0
+                        if (dr, dc) == (0, 0) or (rook and dr and dc) or p not in state or d + step > 4 + 1e-9:
+                            continue
+                        if state[p] == 1:
+                            found.add(p)
+                        if state[p] == 0 and d + step < best.get(p, 99.0) - 1e-9:
+                            best[p] = d + step
+                            heapq.heappush(heap, (d + step, p))
+                if stop and len(found) >= stop:
+                    break
+            want |= {(*source, *p) for p in found}
+        got = walk.reach(cells, F.col("seed"), F.col("state") == 0, F.col("state") == 1, 400.0, 100.0, 5, rook, stop).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_small_rules(spark):
+    assert params.next_folder("runs", set()) == "runs" and params.next_folder("runs", {"runs", "runs_2"}) == "runs_3"
+    row = spark.range(1).select(report.option_record(F.lit("Grown"), F.lit("g"), F.create_map(F.lit("a"), F.lit(1.0)), F.lit(3)).alias("o"), params.run_name(F.lit(" a.tif ")).alias("n"), params.run_name(F.lit("a:b")).alias("bad")).first()
+    assert row.o.label == "Grown" and row.o.n_centres == 3 and row.o.tiers is None and row.n == "a" and row.bad is None
+    layers = spark.createDataFrame([("green", "g"), ("railways", "x"), ("extents", "e")], "dataset string, layer string")
+    assert {(r.slot, r.layer) for r in tags.filled_slots(layers).collect()} == {("green", "g"), ("extents", "e")}
