@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset and everything runs in one process (tests), a temporary folder. Unset on a
+    cluster it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="footgrid-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footgrid.functions import codes, params, tags
+from footgrid.functions.storage import kept
 from footgrid.operators import components as comp, geometry, neighbours as nb, raster, walk
 from footgrid.plans import centres, classify, growth, report, score, tiers
 from footgrid.sources import bridge, geojson
@@ -419,6 +420,12 @@ def _arranged(spark, sf_dir):
     return tiers.arranged(_distances(spark, sf_dir), SHARES, TIERS_KM2)
 
 
+def _tiered(spark, sf_dir):
+    """The plan is written once: its codes and its walks both read it."""
+    plan = kept(_plan(spark, sf_dir), "plan")
+    return tiers.tiered_plan(plan, tiers.arranged(score.distances(plan, G, CENTRE_M, GREEN_M, SPAN_M), SHARES, TIERS_KM2), TIERS_KM2)
+
+
 @query
 def arrange_density(spark, sf_dir):
     return _arranged(spark, sf_dir)
@@ -426,12 +433,12 @@ def arrange_density(spark, sf_dir):
 
 @query
 def tiered_plan(spark, sf_dir):
-    return tiers.tiered_plan(_plan(spark, sf_dir), _arranged(spark, sf_dir), TIERS_KM2)
+    return _tiered(spark, sf_dir)
 
 
 @query
 def tier_breakdown(spark, sf_dir):
-    return tiers.breakdown(tiers.tiered_plan(_plan(spark, sf_dir), _arranged(spark, sf_dir), TIERS_KM2), TIERS_KM2, G)
+    return tiers.breakdown(_tiered(spark, sf_dir), TIERS_KM2, G)
 
 
 def _member_scores(spark, sf_dir):

@@ -14,7 +14,7 @@ def write_frames(frames: DataFrame, path: str, first_year: int) -> None:
     """Classes by step (scenario, step, r, c, cls), a folder for each step, with the year in which the step is valid."""
     year = lambda d: F.make_date(F.col("step") + first_year + d, F.lit(1), F.lit(1))
     dated = frames.withColumn("valid_from", year(0)).withColumn("valid_to", year(1))
-    dated.repartition("scenario", "step").sortWithinPartitions("r", "c").write.mode("overwrite").partitionBy("scenario", "step").parquet(path)
+    dated.hint("rebalance", F.col("scenario"), F.col("step")).sortWithinPartitions("r", "c").write.mode("overwrite").partitionBy("scenario", "step").parquet(path)
 
 
 def write_bands(surfaces: DataFrame, path: str) -> None:
@@ -31,7 +31,8 @@ def write_layers(features: DataFrame, path: str) -> DataFrame:
     """Features, a folder for each dataset, written aside first and then put in place of the old ones; gives the number of each."""
     spark = features.sparkSession
     aside = f"{path.rstrip('/')}.new"
-    features.repartition("dataset").write.mode("overwrite").partitionBy("dataset").parquet(aside)
+    # A dataset that is larger than a task should hold is split over several files.
+    features.hint("rebalance", F.col("dataset")).write.mode("overwrite").partitionBy("dataset").parquet(aside)
     _replace(spark, aside, path)
     return spark.read.parquet(path).groupBy("dataset").count()
 
@@ -58,7 +59,7 @@ def write_params(rows: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """line_no, line as one text file: a report is a page long."""
+    """line_no, line as one text file: a report is a page long (its lines are those of options and centres' summaries, not of cells)."""
     lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
 

@@ -162,3 +162,16 @@ def test_small_rules(spark):
     assert row.o.label == "Grown" and row.o.n_centres == 3 and row.o.tiers is None and row.n == "a" and row.bad is None
     layers = spark.createDataFrame([("green", "g"), ("railways", "x"), ("extents", "e")], "dataset string, layer string")
     assert {(r.slot, r.layer) for r in tags.filled_slots(layers).collect()} == {("green", "g"), ("extents", "e")}
+
+
+def test_each_area_serves_what_its_own_walk_reaches(spark):
+    rng = random.Random(11)
+    rows = [(r, c, rng.choice((0, 1, 1, 2)), 7 * (r // 6) + c // 6 if rng.random() < 0.12 else None) for r in range(22) for c in range(19)]
+    cells = spark.createDataFrame(rows, "r int, c int, plan int, area long")
+    for_area = lambda tile: {tuple(r) for r in walk.served_by_area(cells, F.col("area"), F.col("plan") == 2, F.col("plan") == 0, 300.0, 100.0, tile).collect()}
+    areas = cells.where("area IS NOT NULL").select("area").distinct()
+    every = cells.withColumnRenamed("area", "own").crossJoin(areas)  # a small fixture
+    field = walk.walk_field(every, F.coalesce(F.col("own") == F.col("area"), F.lit(False)), F.col("plan") == 0, 300.0, 100.0, ("area",))
+    served = field.join(cells.where("plan = 2").select("r", "c"), ["r", "c"]).groupBy("area").agg(F.count("*").alias("n"), F.sum("n_orth").alias("o"), F.sum("n_diag").alias("d"))
+    want = {tuple(r) for r in served.collect()}
+    assert {x for x in for_area(5) if x[1]} == {x for x in for_area(64) if x[1]} == want
