@@ -212,7 +212,8 @@ def personal_spans(found: DataFrame, model: Boosted | None, keep: tuple[str, ...
     if model is None or model.threshold > 1:
         none = F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int>>)")
         return rows.select(*keep, *[f"base_{k}" for k in BASE], "base", none.alias("added"))
-    chosen = lambda c, kind: F.transform(F.filter(c, lambda s: free(s, "base") & (model.score(s) >= model.threshold)), lambda s: short(s, kind))
+    # The score comes first: only the few spans that it selects are held against the others.
+    chosen = lambda c, kind: F.transform(F.filter(c, lambda s: (model.score(s) >= model.threshold) & free(s, "base")), lambda s: short(s, kind))
     rows = rows.select("*", chosen("secrets", "secret").alias("s"), chosen("numbers", "number").alias("n"))
     numbers = F.array_distinct(F.filter("n", lambda s: free(s, "s")))
     return rows.select(*keep, *[f"base_{k}" for k in BASE], "base", F.concat(F.array_sort("s"), F.array_sort(numbers)).alias("added"))
@@ -238,10 +239,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     spans = personal_spans(found, trained(found, found.count()), keep)
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = spans.withColumn("_order", order)
-    step = """aggregate(_order, named_struct('pos', 0, 'out', CAST(array() AS array<string>)),
-        (acc, s) -> named_struct('pos', greatest(acc.pos, s.end), 'out', CASE WHEN s.start < acc.pos THEN acc.out
-            ELSE concat(acc.out, array(substring(text, acc.pos + 1, s.start - acc.pos), concat('<', upper(s.kind), '>'))) END),
-        acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1)))"""
+    # Finished pieces are kept in parts, so that adding one copies no long array.
+    piece = "concat(substring(text, acc.pos + 1, s.start - acc.pos), '<', upper(s.kind), '>')"
+    step = f"""aggregate(_order, named_struct('pos', 0, 'part', CAST(array() AS array<string>), 'done', CAST(array() AS array<array<string>>)),
+        (acc, s) -> CASE WHEN s.start < acc.pos THEN named_struct('pos', greatest(acc.pos, s.end), 'part', acc.part, 'done', acc.done) ELSE named_struct(
+            'pos', greatest(acc.pos, s.end),
+            'part', CASE WHEN size(acc.part) >= {PART} THEN array({piece}) ELSE concat(acc.part, array({piece})) END,
+            'done', CASE WHEN size(acc.part) >= {PART} THEN concat(acc.done, array(acc.part)) ELSE acc.done END) END,
+        acc -> concat(array_join(flatten(acc.done), ''), array_join(acc.part, ''), substring(text, acc.pos + 1)))"""
     text = F.when(F.size("_order") > 0, F.expr(step)).otherwise(F.col("text"))
     column = lambda c: text if c == "text" else F.col(c) if c == "doc_id" else F.col("doc").getField(f"c{others.index(c)}")
     return spans.select(*[column(c).alias(c) for c in docs.columns])
