@@ -186,21 +186,6 @@ def test_members_do_not_depend_on_batches_or_partitions(spark):
         growth.ensemble(cells, small(), 5, [0], most_cells=10)
 
 
-@pytest.mark.parametrize("mode", ["placed", "minimal"])
-def test_every_home_is_within_the_walk_of_a_centre(mode):
-    rnd = np.random.default_rng(3)
-    plan = np.zeros((60, 60), int)
-    plan[5:25, 5:25], plan[35:55, 30:55], plan[rnd.integers(5, 25, 4), rnd.integers(5, 25, 4)] = 2, 2, 3
-    r = centres.Refiner(plan, 100.0, 800.0)
-    points = r.refined(mode)
-    assert not r.stranded(points).any()
-    assert {r.settlement[p] for p in points} == set(np.unique(r.settlement[r.new]))
-    if mode == "minimal":
-        assert len(points) <= len(centres.Refiner(plan, 100.0, 800.0).refined("placed"))
-    out = r.optimised(mode)
-    assert ((out == 3) <= (plan > 1)).all() and (out == 3).sum() > 0
-
-
 def test_params_are_checked():
     for bad in ({"block_m": 0}, {"walk_m": 50.0}, {"shares": (0.5, 0.5, 0.5)}, {"densities_km2": (1.0, 2.0, 3.0)}, {"build": 1.5}, {"target": 0}):
         with pytest.raises(ValueError):
