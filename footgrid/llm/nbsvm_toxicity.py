@@ -5,12 +5,10 @@ either end, hashed to ``2**BITS`` places, each present or not. From all labelled
 training rows come, for each place, the numbers of toxic and of other documents
 that hold it. The logarithm of the ratio of the two (smoothed) rates scales
 the feature. A place whose two rates differ by less than ``LEAST_Z`` standard errors
-says nothing about the label and is scaled to zero, and so are all but the
-``MOST_PLACES`` places that say most (parameters of ``trained``, 0 and ``2**BITS`` for no cut; held-out recall and
-false alarms were 1.000 and 0.0003 with this cut, 1.000 and 0 without ``MOST_PLACES``, 0.991 and 0 without either
-and a third of the sample, over 4100 labelled rows). A logistic regression with a
-ridge penalty is then fitted on the scaled features of a sample of the training rows,
-of about ``sample_rows`` rows (a documented bound: rows are taken by a hash
+says nothing about the label and is scaled to zero (a parameter of ``trained``, 0 for no cut). A text's
+features are divided by the square root of their number, so that long texts don't gather chance matches. A logistic
+regression with a ridge penalty, both labels weighing the same in all, is then fitted on the scaled features of a
+sample of the training rows, of about ``sample_rows`` rows (a documented bound: rows are taken by a hash
 of doc_id below a cut-off), and scores every whole text.
 
 Null and empty texts have only the features of the two spaces and get a score too.
@@ -34,11 +32,16 @@ from footgrid.llm.common import encoded, written
 BITS = 18
 SIZES = (3, 4, 5, 6)
 LEAST_Z = 4.0
-MOST_PLACES = 4096
 SMOOTHING = 1.0
-SAMPLE_ROWS = 12_000
-RIDGE = 1e-3
+SAMPLE_ROWS = 6000
+RIDGE = 1e-2
 STEPS = 400
+#: Steps end where none of the gradient's parts is larger.
+SETTLED = 1e-6
+#: Brings a text of this many features to the weight of its bare sum.
+FEATURES = 1000
+#: Entries multiplied at once.
+ENTRIES = 1 << 20
 SLICE = 1 << 12
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -95,52 +98,79 @@ def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return by_label[1], by_label[0], int(docs[1]), int(docs[0])
 
 
-def log_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, least_z: float = LEAST_Z, most_places: int = MOST_PLACES) -> np.ndarray:
-    """Naive Bayes log-count ratio of each place; 0 where the rates hardly differ, and where others tell more."""
+def log_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, least_z: float = LEAST_Z) -> np.ndarray:
+    """Naive Bayes log-count ratio of each place; 0 where the rates hardly differ."""
     p, q = toxic / n_toxic, other / n_other
     pooled = (toxic + other) / (n_toxic + n_other)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_toxic + 1 / n_other))
     ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((other + SMOOTHING) / (n_other + 2 * SMOOTHING))
-    z = np.abs(p - q) / error
-    least = max(least_z, float(np.partition(z, -most_places)[-most_places]))
-    return np.where(z >= least, ratio, 0.0)
+    return np.where(np.abs(p - q) / error >= least_z, ratio, 0.0)
 
 
-def fitted(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on present features scaled by ``ratios``, by accelerated gradient steps."""
+def damped(n):
+    """The factor of a text with ``n`` distinct features."""
+    return np.sqrt(FEATURES / np.maximum(n, 1))
+
+
+class Rows:
+    """Texts as lists of places; products with vectors go through them in parts."""
+
+    def __init__(self, rows: list[np.ndarray], factor: np.ndarray, scale: np.ndarray):
+        self.scale, self.n, self.factor = scale, len(rows), factor
+        self.parts, first, size = [], 0, 0
+        for i, r in enumerate(rows):
+            size += len(r)
+            if size >= ENTRIES or i + 1 == len(rows):
+                self.parts.append((first, i + 1, np.concatenate(rows[first : i + 1]), np.array([len(r) for r in rows[first : i + 1]])))
+                first, size = i + 1, 0
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        w, out = self.scale * v, np.zeros(self.n)
+        for a, b, col, count in self.parts:
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), count), w[col], b - a)
+        return out * self.factor
+
+    def gathered(self, g: np.ndarray) -> np.ndarray:
+        out, g = np.zeros(len(self.scale)), g * self.factor
+        for a, b, col, count in self.parts:
+            out += np.bincount(col, np.repeat(g[a:b], count), len(out))
+        return out * self.scale
+
+
+def fitted(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, ratios: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on present features scaled by ``ratios``, by accelerated gradient steps.
+
+    ``rows``: places of each text with a ratio; ``sizes``: all its places."""
     used = np.flatnonzero(ratios)
-    scale = ratios[used]
-    of = np.zeros(len(ratios), np.int64)
+    of = np.zeros(len(ratios), np.int32)
     of[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    col = of[np.concatenate(rows)].astype(np.int32) if len(row) else np.zeros(0, np.int32)
-    value = scale.astype(np.float32)[col]
-    n = len(rows)
+    x, n = Rows([of[r] for r in rows], damped(sizes), ratios[used]), len(rows)
     share = min(max(float(labels.mean()), 1 / (2 * n)), 1 - 1 / (2 * n))
-    weight = np.where(labels == 1, np.sqrt((1 - share) / share), 1.0)  # a rare label counts more, though not as much as the other in all
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
     # The largest curvature, by power iteration, gives the step.
     v, curvature = np.ones(len(used)) / max(1.0, np.sqrt(len(used))), 0.0
-    for _ in range(30):
-        u = np.bincount(col, value * np.bincount(row, value * v[col], n)[row], len(used))
+    for _ in range(20):
+        u = x.gathered(weight * x.times(v))
         curvature = float(np.sqrt((u * u).sum()))
         v = u / max(curvature, 1e-12)
-    step = 1 / (1.1 * (curvature + n) / (4 * n) + ridge)
-    step /= weight.max()
+    step = 1 / (1.1 * (curvature + 1) / 4 + ridge)
     w, b = np.zeros(len(used)), 0.0
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(row, value * vw[col], n) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight / n
-        gw, gb = np.bincount(col, value * g[row], len(used)) + ridge * vw, g.sum()
+        z = x.times(vw) + vb
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
+        gw, gb = x.gathered(g) + ridge * vw, g.sum()
         nw, nb, nt = vw - step * gw, vb - step * gb, (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
+        if max(abs(gb), float(np.abs(gw).max(initial=0.0))) < SETTLED:
+            break
     out = np.zeros(len(ratios))
-    out[used] = w * scale
+    out[used] = w * ratios[used]
     return out, float(b)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_z: float = LEAST_Z, most_places: int = MOST_PLACES) -> tuple[np.ndarray, float]:
+def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_z: float = LEAST_Z) -> tuple[np.ndarray, float]:
     """Weights by place and intercept, learnt from the rows that are not held out."""
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out())
     # Labels grow with the documents, so they are never broadcast.
@@ -150,18 +180,21 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     if not n_toxic or not n_other:
         share = min(max(n_toxic / max(1, n_toxic + n_other), 1e-9), 1 - 1e-9)
         return none, float(np.log(share / (1 - share)))
-    ratios = log_ratios(toxic, other, n_toxic, n_other, least_z, most_places)
+    ratios = log_ratios(toxic, other, n_toxic, n_other, least_z)
     cut = min(1 << 20, -(-sample_rows * (1 << 20) // (n_toxic + n_other)))
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, used = np.zeros(1 << BITS, np.int64), ratios != 0
         for batch in batches:
-            found = [(at := places(d, mark))[used[at]].astype("<i4").tobytes() for d in encoded(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "places"])
+            found = [places(d, mark) for d in encoded(batch)]
+            held = [at[used[at]].astype("<i4").tobytes() for at in found]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([len(at) for at in found], pa.int32()), pa.array(held, pa.binary())], ["toxic", "size", "places"])
 
-    rows = sample.select("text", "toxic").mapInArrow(present, "toxic int, places binary").collect()  # about sample_rows rows
-    return fitted([np.frombuffer(r.places, dtype="<i4") for r in rows], np.array([r.toxic for r in rows], dtype=float), ratios) if rows else (none, 0.0)
+    rows = sample.select("text", "toxic").mapInArrow(present, "toxic int, size int, places binary").collect()  # about sample_rows rows
+    if not rows:
+        return none, 0.0
+    return fitted([np.frombuffer(r.places, dtype="<i4") for r in rows], np.array([r.size for r in rows]), np.array([r.toxic for r in rows], dtype=float), ratios)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, intercept: float, column: str = "score") -> DataFrame:
@@ -171,7 +204,8 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, column: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            z = np.array([float(small[places(d, mark)].sum(dtype=np.float64)) for d in encoded(batch)]) + intercept
+            found = [places(d, mark) for d in encoded(batch)]
+            z = np.array([float(small[at].sum(dtype=np.float64)) * float(damped(len(at))) for at in found]) + intercept
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, column])
 
