@@ -9,12 +9,12 @@ The rest are candidates: base spans that fail their rule, secrets and numbers. A
 span has features of its format (length, shares of digits, capitals and letters, separators,
 hexadecimal or not) and of its context (a quote or a space before
 it). Gradient-boosted trees learn from weak labels: base spans that pass or fail
-their rules, and secrets with or without a known prefix or an assigned name before them. Neither the rules' sums
+their rules, and secrets and numbers with or without an assigned name (secrets: or a known prefix) before them. Neither the rules' sums
 nor the names and prefixes are features, so the trees can't restate the labels: they learn how
-such data look, and find those without a name too. The threshold is calibrated
-on all documents that the trees haven't seen: the least at which ``LEAST_PRECISION`` of the
-spans above are labelled personal. Candidates at or above it that overlap no kept base
-span are added under their own kinds (a failed base span as ``number``).
+such data look, and find those without a name too. Secrets and numbers have a threshold each, calibrated on
+the candidates of all documents that the trees haven't seen (never on base spans that pass, which are kept
+anyway): the least at which ``LEAST_PRECISION`` of the candidates above are labelled personal. Candidates at or
+above it that overlap no kept base span are added under their own kinds (a failed base span as ``number``).
 
 Positions come from the texts between matches, so no span is searched for twice. The trees
 are turned into one SQL expression; a document's spans are found, scored and joined in its own row,
@@ -119,7 +119,7 @@ def _described(kind: str, s: Column) -> Column:
     elif kind == "secret":
         label = F.when(named & assigned | prefixed, 1.0).otherwise(0.0)
     else:
-        label = F.lit(None).cast("double")
+        label = F.when(named & assigned, 1.0).otherwise(0.0)
     values = {
         "length": length.cast("double"), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "letters": share("[^A-Za-z]"), "separators": share("[A-Za-z0-9]"),
         "hexadecimal": match.rlike("^[0-9a-f]+$").cast("double"), "quoted": before.rlike("[\"'`]$").cast("double"), "spaced": before.rlike("[ \\t\\n]$").cast("double"),
@@ -137,10 +137,10 @@ def proposed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 class Boosted:
-    """Trees as nested conditions, their weights, and the calibrated threshold."""
+    """Trees as nested conditions, their weights, and the calibrated threshold of each kind (2: none is precise enough)."""
 
-    def __init__(self, trees: list, weights: list[float], threshold: float):
-        self.trees, self.weights, self.threshold = trees, weights, threshold
+    def __init__(self, trees: list, weights: list[float], thresholds: dict[str, float]):
+        self.trees, self.weights, self.thresholds = trees, weights, thresholds
 
     def score(self, s: Column) -> Column:
         """Likelihood that a described span is personal."""
@@ -173,23 +173,24 @@ def trained(found: DataFrame, n_docs: int, sample_rows: int = SAMPLE_ROWS, round
     cut = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, n_docs)))
     # Half of the sample is seen by the trees; the spans of all other documents calibrate the threshold.
     seen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut) & (F.xxhash64("doc_id", F.lit(1)) % 2 == 0)
-    spans = found.select(seen.alias("seen"), F.explode(F.concat(*PATTERNS)).alias("s")).select("seen", "s.*").where("label IS NOT NULL")
+    spans = found.select(seen.alias("seen"), F.explode(F.concat(*PATTERNS)).alias("s")).select("seen", "s.*")
     spans = written(spans, "spans")
     labels = {r["label"] for r in spans.where("seen").select("label").distinct().collect()}  # two values at most
     if len(labels) < 2:
         return None
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(spans.where("seen"))
     model = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, seed=9, maxMemoryInMB=64).fit(table.select("label", "features"))
-    boosted = Boosted([_tree(t._call_java("rootNode")) for t in model.trees], [float(w) for w in model.treeWeights], 2.0)
+    boosted = Boosted([_tree(t._call_java("rootNode")) for t in model.trees], [float(w) for w in model.treeWeights], {"secret": 2.0, "number": 2.0})
     score = boosted.score(F.struct(*[F.col(f).alias(f) for f in FEATURES]))
-    bins = spans.where("NOT seen").groupBy(F.floor(score * 50).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 51 bins
-    good = n = 0
-    for r in sorted(bins, reverse=True):
-        good, n = good + r["good"], n + r["n"]
-        if r["bin"] < 25:
-            break
-        if good >= LEAST_PRECISION * n:
-            boosted.threshold = r["bin"] / 50
+    candidate = F.col("kind").isin("secret", "number") | (F.col("label") == 0.0)
+    kind = F.when(F.col("kind") == "secret", "secret").otherwise("number").alias("kind")
+    bins = spans.where(~F.col("seen") & candidate).groupBy(kind, F.floor(score * 50).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 51 bins of two kinds
+    good, n = dict.fromkeys(boosted.thresholds, 0.0), dict.fromkeys(boosted.thresholds, 0)
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        good[r["kind"]] += r["good"]
+        n[r["kind"]] += r["n"]
+        if r["bin"] >= 25 and good[r["kind"]] >= LEAST_PRECISION * n[r["kind"]]:
+            boosted.thresholds[r["kind"]] = r["bin"] / 50
     return boosted
 
 
@@ -209,11 +210,11 @@ def personal_spans(found: DataFrame, model: Boosted | None, keep: tuple[str, ...
         apart = lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])
         return ~F.exists(others[0], apart)
 
-    if model is None or model.threshold > 1:
+    if model is None or min(model.thresholds.values()) > 1:
         none = F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int>>)")
         return rows.select(*keep, *[f"base_{k}" for k in BASE], "base", none.alias("added"))
     # The score comes first: only the few spans that it selects are held against the others.
-    chosen = lambda c, kind: F.transform(F.filter(c, lambda s: (model.score(s) >= model.threshold) & free(s, "base")), lambda s: short(s, kind))
+    chosen = lambda c, kind: F.transform(F.filter(c, lambda s: (model.score(s) >= model.thresholds[kind]) & free(s, "base")), lambda s: short(s, kind))
     rows = rows.select("*", chosen("secrets", "secret").alias("s"), chosen("numbers", "number").alias("n"))
     numbers = F.array_distinct(F.filter("n", lambda s: free(s, "s")))
     return rows.select(*keep, *[f"base_{k}" for k in BASE], "base", F.concat(F.array_sort("s"), F.array_sort(numbers)).alias("added"))
