@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders made inside each open ``cleared`` block, the innermost last.
+_made: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system classes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the step folders made inside; what is still needed then is written outside the block
+    from a table that the block leaves behind (``leave``)."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            deleted(spark, path)
+
+
+def leave(df: DataFrame, name: str) -> DataFrame:
+    """``written``, but not deleted with the open block."""
+    own = _made.pop() if _made else None
+    try:
+        path = new_folder(df.sparkSession, name)
+    finally:
+        if own is not None:
+            _made.append(own)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

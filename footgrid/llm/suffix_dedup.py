@@ -49,6 +49,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from footgrid.llm.common import new_folder, sha256_hex, written
+from footgrid.llm.common import cleared, leave, new_folder, sha256_hex, written
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,9 @@ class Unit:
     gram: int
     block: int
     words: bool = False
+    #: Units merged at once, and of a shard at most.
+    batch: int = 1 << 20
+    shard: int = 1 << 18
 
     def __post_init__(self):
         if self.length % self.block or self.length < 2 * self.block or self.starts & (self.starts - 1) or self.length < self.starts + self.gram:
@@ -90,13 +94,13 @@ class Unit:
 
 
 BYTES = Unit(400, 256, 24, 100)
-WORDS = Unit(51, 32, 4, 17, words=True)
+WORDS = Unit(51, 32, 4, 17, words=True, batch=1 << 18, shard=1 << 16)
+#: Shards of a merge at least, where it has as many segments.
+LEAST_SHARDS = 4
 #: How much narrower the records of a hot bucket get each time.
 NARROWER = 16
 #: Windows hashed at once: their places fit the low 20 bits.
 CHUNK = (1 << 19) - 1024
-BATCH_BYTES = 1 << 20
-SHARD_UNITS = 256 << 10
 BUCKET_UNITS = 256 << 10
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -281,7 +285,7 @@ def repeated_in(segments: list[np.ndarray], owned: np.ndarray, weight: np.ndarra
     inner = np.flatnonzero(place >= block)
     before[inner] = symbols[inner - stride[inner]]
     del hashes, real, inner, used
-    cut = np.searchsorted(segment, np.flatnonzero(np.diff(base // shard_units)) + 1)
+    cut = np.searchsorted(segment, np.flatnonzero(np.diff(base // min(shard_units, -(-total // LEAST_SHARDS)))) + 1)
     edges = [0, *cut.tolist(), len(symbols)]
     rounds = length // block
     orders = [a + sorted_suffixes(symbols[a:b], left[a:b], stride[a:b], rounds, block) for a, b in zip(edges, edges[1:])]
@@ -301,7 +305,9 @@ def repeated_in(segments: list[np.ndarray], owned: np.ndarray, weight: np.ndarra
     return segment[starts[first]], place[starts[first]], place[starts[last]] + length
 
 
-def _runs_of(unit: Unit, batch_bytes: int, shard_units: int):
+def _runs_of(unit: Unit, batch_units: int, shard_units: int):
+    wide = 8 if unit.words else 1
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -314,11 +320,11 @@ def _runs_of(unit: Unit, batch_bytes: int, shard_units: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "segment_id", "shift", "segment", "owned", "n"))):
-                if size >= batch_bytes and held[-1][0] != row[0]:
+                if size >= batch_units and held[-1][0] != row[0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[3]) // wide
         if held:
             yield done(held)
 
@@ -370,19 +376,23 @@ def text_id(column="text"):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-def distinct_texts(docs: DataFrame, least_bytes: int) -> DataFrame:
+@contextmanager
+def distinct_texts(docs: DataFrame, least_bytes: int) -> Iterator[DataFrame]:
     """Texts that can hold a string, once each, with their number: a table in the
-    shared folder bucketed by ``t``, so that joins on it don't move the texts again."""
+    shared folder bucketed by ``t``, so that joins on it don't move the texts again. It is dropped at the end."""
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = docs.where(F.octet_length("text") >= least_bytes).select(text_id().alias("t"), F.col("text").cast("binary").alias("body"))
     texts = long.groupBy("t").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
     texts.write.option("path", new_folder(spark, "texts")).option("compression", "zstd").bucketBy(n, "t").saveAsTable(name)
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
-def repeated_starts(texts: DataFrame, unit: Unit, width: int = 0, bucket_units: int = BUCKET_UNITS, batch_bytes: int = BATCH_BYTES, shard_units: int = SHARD_UNITS) -> DataFrame:
+def repeated_starts(texts: DataFrame, unit: Unit, width: int = 0, bucket_units: int = BUCKET_UNITS, batch_units: int = 0, shard_units: int = 0) -> DataFrame:
     """``t``, ``start`` and ``end``: runs of units that repeated strings cover; runs of one text may overlap."""
     width, length = width or unit.starts, unit.length
     known = width < unit.starts
@@ -404,12 +414,12 @@ def repeated_starts(texts: DataFrame, unit: Unit, width: int = 0, bucket_units:
     segments = written(segments, "segments")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usual = segments.where("NOT hot").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    runs = usual.mapInArrow(_runs_of(unit, batch_bytes, shard_units), "bucket long, segment_id long, shift int, start int, end int")
+    runs = usual.mapInArrow(_runs_of(unit, batch_units or unit.batch, shard_units or unit.shard), "bucket long, segment_id long, shift int, start int, end int")
     large = segments.where("hot")
     if not large.isEmpty():
         names = ("bucket", "segment_id", "shift")
         named = large.select(F.concat_ws(":", *names).cast("binary").alias("t"), "n", F.col("segment").alias("body"), "shift", "owned")
-        again = repeated_starts(named, unit, max(1, width // NARROWER), bucket_units, batch_bytes, shard_units)
+        again = repeated_starts(named, unit, max(1, width // NARROWER), bucket_units, batch_units, shard_units)
         name = F.split(F.col("t").cast("string"), ":")
         runs = runs.union(again.select(*[name[i].cast("int" if c == "shift" else "long").alias(c) for i, c in enumerate(names)], "start", "end"))
     runs = written(runs, "runs")
@@ -479,9 +489,10 @@ def _counted(spans: DataFrame, unit: Unit) -> DataFrame:
 def repeated_spans(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS, **tuning) -> DataFrame:
     """For each document: bytes, bytes removed, maximal removed runs, digest of the rest; and the number and the
     words of its passages that repeat by ``passages``, which may be shorter than a string of ``unit``."""
-    texts = distinct_texts(docs, min(unit.least_bytes, passages.least_bytes))
-    removed = written(_kept(texts, repeated_runs(texts, unit, **tuning), unit).drop("kept"), "removed")
-    counted = written(_counted(repeated_runs(texts, passages, **tuning), passages), "passages")
+    spark = docs.sparkSession
+    with cleared(spark), distinct_texts(docs, min(unit.least_bytes, passages.least_bytes)) as texts:
+        removed = leave(_kept(texts, repeated_runs(texts, unit, **tuning), unit).drop("kept"), "removed")
+        counted = leave(_counted(repeated_runs(texts, passages, **tuning), passages), "passages")
     base = docs.select("doc_id", text_id().alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("own_sha256"))
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passages", "n_passage_words")]
     # One join for the documents, whose copies share a key that it can split.
@@ -491,15 +502,15 @@ def repeated_spans(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS,
 
 def without_repeats(docs: DataFrame, unit: Unit = BYTES, **tuning) -> DataFrame:
     """The documents without what repeated strings cover; a character that a removed run cuts through goes whole."""
-    texts = distinct_texts(docs, unit.least_bytes)
-    kept = _kept(texts, repeated_runs(texts, unit, **tuning), unit).select("t", "kept")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(bodies, pa.string())], ["t", "kept"])
 
-    kept = written(kept.mapInArrow(clean, "t binary, kept string"), "kept")
+    with cleared(docs.sparkSession), distinct_texts(docs, unit.least_bytes) as texts:
+        kept = _kept(texts, repeated_runs(texts, unit, **tuning), unit).select("t", "kept")
+        kept = leave(kept.mapInArrow(clean, "t binary, kept string"), "kept")
     # The documents' own columns travel in one, so that none of their names can clash.
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
     out = own.withColumn("t", text_id(F.col("doc.text"))).join(kept, "t", "left")
