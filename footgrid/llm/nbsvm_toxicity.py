@@ -33,9 +33,9 @@ BITS = 18
 SIZES = (3, 4, 5, 6)
 LEAST_Z = 4.0
 SMOOTHING = 1.0
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 RIDGE = 1e-2
-STEPS = 400
+STEPS = 120
 #: Steps end where none of the gradient's parts is larger.
 SETTLED = 1e-6
 #: Brings a text of this many features to the weight of its bare sum.
@@ -115,14 +115,17 @@ def damped(n):
 class Rows:
     """Texts as lists of places; products with vectors go through them in parts."""
 
-    def __init__(self, rows: list[np.ndarray], factor: np.ndarray, scale: np.ndarray):
-        self.scale, self.n, self.factor = scale, len(rows), factor
-        self.parts, first, size = [], 0, 0
-        for i, r in enumerate(rows):
-            size += len(r)
-            if size >= ENTRIES or i + 1 == len(rows):
-                self.parts.append((first, i + 1, np.concatenate(rows[first : i + 1]), np.array([len(r) for r in rows[first : i + 1]])))
-                first, size = i + 1, 0
+    def __init__(self, rows: list[np.ndarray], factor: np.ndarray, scale: np.ndarray, of: np.ndarray):
+        """``of``: the number of each place among those with a ratio. ``rows`` is emptied, so that one copy is held."""
+        self.scale, self.n, self.factor, self.parts = scale, len(rows), factor, []
+        held, size, first = [], 0, len(rows)
+        while rows:
+            held.append(of[rows.pop()])
+            size += len(held[-1])
+            if size >= ENTRIES or not rows:
+                held.reverse()
+                self.parts.append((first - len(held), first, np.concatenate(held), np.array([len(r) for r in held])))
+                first, held, size = first - len(held), [], 0
 
     def times(self, v: np.ndarray) -> np.ndarray:
         w, out = self.scale * v, np.zeros(self.n)
@@ -144,7 +147,8 @@ def fitted(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, ratios
     used = np.flatnonzero(ratios)
     of = np.zeros(len(ratios), np.int32)
     of[used] = np.arange(len(used))
-    x, n = Rows([of[r] for r in rows], damped(sizes), ratios[used]), len(rows)
+    n = len(rows)
+    x = Rows(rows, damped(sizes), ratios[used], of)
     share = min(max(float(labels.mean()), 1 / (2 * n)), 1 - 1 / (2 * n))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
     # The largest curvature, by power iteration, gives the step.
@@ -191,10 +195,14 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             held = [at[used[at]].astype("<i4").tobytes() for at in found]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([len(at) for at in found], pa.int32()), pa.array(held, pa.binary())], ["toxic", "size", "places"])
 
-    rows = sample.select("text", "toxic").mapInArrow(present, "toxic int, size int, places binary").collect()  # about sample_rows rows
-    if not rows:
+    found: list[np.ndarray] = []
+    kinds = []
+    for toxic, size, held in sample.select("text", "toxic").mapInArrow(present, "toxic int, size int, places binary").toLocalIterator():  # about sample_rows rows
+        found.append(np.frombuffer(held, dtype="<i4"))
+        kinds.append((toxic, size))
+    if not found:
         return none, 0.0
-    return fitted([np.frombuffer(r.places, dtype="<i4") for r in rows], np.array([r.size for r in rows]), np.array([r.toxic for r in rows], dtype=float), ratios)
+    return fitted(found, np.array([n for _, n in kinds]), np.array([t for t, _ in kinds], dtype=float), ratios)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, intercept: float, column: str = "score") -> DataFrame:
