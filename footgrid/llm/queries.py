@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footgrid.llm import line_crf, media_source, nbsvm_toxicity, pii_boost, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index
+from footgrid.llm import conversation_trie, embedding_tiles, line_crf, media_source, nbsvm_toxicity, pii_boost, prefix_bpe, simhash_bits, sos_packing, suffix_dedup, token_counts, warc_index, weighted_lloyd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bits.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_tiles.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector."""
+    return weighted_lloyd.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_index": op2_warc_index,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nbsvm_toxicity": op8_nbsvm_toxicity,
     "op9_pii_boost": op9_pii_boost,
     "op10_simhash_bits": op10_simhash_bits,
+    "op11_embedding_tiles": op11_embedding_tiles,
+    "op12_weighted_lloyd": op12_weighted_lloyd,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: The others are not expressible in SQL; tests hold each against a brute-force version.
