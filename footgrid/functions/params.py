@@ -96,26 +96,48 @@ def nearest_preset(runs: Column) -> Column:
 
 #: Presets and the dials that each one sets.
 PRESETS = {
-    "base": {}, "compact": {"dispersal": "off"}, "dispersed": {"dispersal": "aggressive"}, "dense": {"high": 8000.0}, "sparse": {"high": 4000.0},
-    "short_walk": {"centre_walk_m": 600.0}, "long_walk": {"centre_walk_m": 1000.0},
-}
+    "baseline": {},
+    "walk400": {"centre_walk_m": 400.0},
+    "walk1600": {"centre_walk_m": 1600.0},
+    "compact": {"dispersal": "off"},
+    "dispersed": {"dispersal": "aggressive"},
+    "denser": {"shares": (0.5, 0.3, 0.2)},
+    "fewest": {"centre_mode": "minimal"},
+}
+#: Fixed value: how centres are placed where no preset says otherwise.
+CENTRE_MODE = "placed"
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v.get("dispersal"), v.get("high"), v.get("centre_walk_m")) for k, v in PRESETS.items()], "preset string, dispersal string, high double, centre_walk_m double")
+    """preset, and o_dispersal, o_shares, o_centre_walk_m, o_centre_mode: null where it leaves a dial as it is."""
+    rows = [(k, v.get("dispersal"), v.get("shares"), v.get("centre_walk_m"), v.get("centre_mode")) for k, v in PRESETS.items()]
+    return spark.createDataFrame(rows, "preset string, o_dispersal string, o_shares array<double>, o_centre_walk_m double, o_centre_mode string")
 
 
 def expanded(scenarios: DataFrame, overrides: DataFrame) -> DataFrame:
-    """scenario, preset, dispersal, high, centre_walk_m, p_isolated, block_m for every scenario and preset. Where
-    a scenario's dispersal is off already, the compact preset stands for the moderate one. Previews have at most 150 cells a side."""
-    every = scenarios.crossJoin(F.broadcast(overrides.select("preset", *[F.col(k).alias(f"o_{k}") for k in ("dispersal", "high", "centre_walk_m")])))  # seven presets
+    """scenario, preset, dispersal, p_high, p_medium, p_low, centre_walk_m, centre_mode, p_isolated, block_m for every scenario
+    (with its dispersal, shares, centre_walk_m, grid_size_m, span_m) and preset. Where a scenario's dispersal is off already, a preset ``moderate``
+    stands for ``compact``. Previews have at most 150 cells a side."""
+    every = scenarios.crossJoin(F.broadcast(overrides))  # seven presets
     swap = (F.col("preset") == "compact") & (F.col("dispersal") == "off")
-    dispersal = F.when(swap, "moderate").otherwise(F.coalesce("o_dispersal", "dispersal"))
     isolated = F.create_map(*[F.lit(x) for kv in DISPERSAL.items() for x in kv])[F.col("dispersal")]
-    out = every.select("scenario", "preset", dispersal.alias("dispersal"), F.coalesce("o_high", "high").alias("high"), F.coalesce("o_centre_walk_m", "centre_walk_m").alias("centre_walk_m"), preview_block(F.col("grid_size_m"), F.col("span_m")).alias("block_m"))
+    share = lambda i, k: F.coalesce(F.get("o_shares", F.lit(i)), k).alias(k)
+    out = every.select(
+        "scenario", F.when(swap, "moderate").otherwise(F.col("preset")).alias("preset"), F.when(swap, "moderate").otherwise(F.coalesce("o_dispersal", "dispersal")).alias("dispersal"),
+        *[share(i, k) for i, k in enumerate(("p_high", "p_medium", "p_low"))], F.coalesce("o_centre_walk_m", "centre_walk_m").alias("centre_walk_m"), F.coalesce("o_centre_mode", F.lit(CENTRE_MODE)).alias("centre_mode"),
+        preview_block(F.col("grid_size_m"), F.col("span_m")).alias("block_m"),
+    )
     return out.withColumn("p_isolated", isolated)
 
 
+def least_settlements(runs: DataFrame) -> DataFrame:
+    """id, mean_km2, least_cells: the mean density of three tiers (d_*) by their shares (p_*), and the cells that ``people`` fill at it on blocks
+    of ``block_m``, rounded, at least one: the smallest settlement worth keeping."""
+    mean = F.col("p_high") * F.col("d_high") + F.col("p_medium") * F.col("d_medium") + F.col("p_low") * F.col("d_low")
+    cells = F.greatest(F.lit(1), F.bround(F.col("people") / (mean * F.col("block_m") * F.col("block_m") / 1e6)).cast("long"))
+    return runs.select("id", F.round(mean, 6).alias("mean_km2"), cells.cast("long").alias("least_cells"))
+
+
 def tier_check(rows: DataFrame) -> DataFrame:
     """id, message, total, mean of texts of three densities (d_*) and three shares (p_*)."""
     n = {k: F.expr(f"try_cast({k} AS double)") for k in ("d_high", "d_medium", "d_low", "p_high", "p_medium", "p_low")}

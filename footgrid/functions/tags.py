@@ -44,6 +44,7 @@ WALK_ONLY = ("footway", "path", "cycleway", "steps", "track", "service")
 #: The run's input that each dataset fills; those of other datasets are left to the user.
 INPUT_SLOTS = {"extents": "extents", "built": "built", "green": "green", "unbuildable": "unbuildable", "centres": "centre_seeds", "stops": "transit_stops", "stations": "stations"}
 
+#: Fixed value: a pair of the format, two quoted texts with an arrow; a backslash keeps what follows it.
 _PAIR = r'"((?:[^"\\]|\\.)*)"\s*=>\s*"((?:[^"\\]|\\.)*)"'
 
 
@@ -133,10 +134,21 @@ def selectors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, dataset string, selector string")
 
 
-def query_texts(spark: SparkSession, south: float, west: float, north: float, east: float) -> DataFrame:
-    """dataset, ql: the query of each dataset, and of all together (``all``), each selector once, in order."""
-    one = selectors(spark)
+def query_texts(areas: DataFrame) -> DataFrame:
+    """area, dataset, ql for each of ``areas`` (area, south, west, north, east): the query of each dataset, and of all together
+    (``all``), each selector once, in order."""
+    one = selectors(areas.sparkSession)
     every = one.groupBy("selector").agg(F.min("ord").alias("ord")).select("ord", F.lit("all").alias("dataset"), "selector")
-    box = f"({south},{west},{north},{east})"
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "selector"))), lambda s: F.concat(F.lit("  "), s["selector"], F.lit(f"{box};"))), "\n")
-    return one.union(every).groupBy("dataset").agg(F.concat(F.lit("[out:xml][timeout:60];\n(\n"), body, F.lit("\n);\n(._;>;);\nout body;\n")).alias("ql"))
+    listed = one.union(every).groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("ord", "selector"))).alias("s"))  # ten rows
+    box = F.concat(F.lit("("), F.concat_ws(",", *[F.col(k).cast("string") for k in ("south", "west", "north", "east")]), F.lit(");"))
+    body = F.array_join(F.transform("s", lambda x: F.concat(F.lit("  "), x["selector"], F.col("box"))), "\n")
+    both = areas.select("area", box.alias("box")).crossJoin(F.broadcast(listed))
+    return both.select("area", "dataset", F.concat(F.lit("[out:xml][timeout:60];\n(\n"), body, F.lit("\n);\n(._;>;);\nout body;\n")).alias("ql"))
+
+
+def catalogue(routed_features: DataFrame) -> DataFrame:
+    """ord, dataset, label, kind, n of all datasets in display order, with the features that were routed to each."""
+    spark = routed_features.sparkSession
+    known = spark.createDataFrame([(i, d, *CATALOGUE[d]) for i, d in enumerate(ORDER)], "ord int, dataset string, label string, kind string")
+    counts = routed_features.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, "dataset", "left").select("ord", "dataset", "label", "kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

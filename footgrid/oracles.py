@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from footgrid.functions import params, tags
+
 _OFFSETS = "offs(dr, dc, s, g) AS (VALUES (1,-1,0,1),(1,0,1,0),(1,1,0,1),(0,1,1,0),(-1,1,0,1),(-1,0,1,0),(-1,-1,0,1),(0,-1,1,0))"
 _ROWS = "nr AS (SELECT count(*) // 100 AS n FROM orders)"
 _CELLS = """raw AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, o_custkey AS k, o_totalprice AS p,
@@ -86,24 +88,10 @@ def _bad(k: str) -> str:
     return f'("{k}" > 0 AND "{k}" < 4 AND coalesce({k}_end, 9) <> -1)'
 
 
-#: The selectors as they stand in the tag table; grouping, order and repeats are the query's own work.
-_QL = {  # as the selectors are defined; w: way, r: relation, n: node
-    "built": ['wr["landuse"~"^(residential|commercial|retail)$"]'],
-    "green": ['wr["leisure"~"^(park|garden|recreation_ground|nature_reserve)$"]', 'wr["landuse"~"^(grass|meadow|forest|recreation_ground|village_green)$"]', 'wr["natural"~"^(wood|scrub|grassland|heath)$"]'],
-    "centres": ['wr["landuse"~"^(retail|commercial)$"]'],
-    "industrial": ['wr["landuse"="industrial"]'],
-    "streets": ['w["highway"]'],
-    "railways": ['w["railway"~"^(rail|light_rail|subway|tram)$"]'],
-    "stops": ['n["highway"="bus_stop"]', 'n["public_transport"~"^(stop_position|platform)$"]'],
-    "stations": ['n["railway"~"^(station|halt|tram_stop)$"]', 'n["public_transport"="station"]'],
-    "unbuildable": [
-        'wr["natural"="water"]', 'wr["waterway"~"^(riverbank|dock)$"]', 'wr["aeroway"~"^(aerodrome|apron|terminal|runway|helipad)$"]', 'wr["landuse"~"^(military|quarry|landfill|industrial)$"]', 'wr["military"]',
-        'w["highway"~"^(motorway|motorway_link|trunk|trunk_link|primary|primary_link)$"]', 'w["railway"~"^(rail|light_rail|subway|tram)$"]', 'w["waterway"~"^(river|canal|stream)$"]',
-    ],
-}
-_ELEMENT = {"w": "way", "r": "relation", "n": "node"}
-_FLAT = [(d, _ELEMENT[e] + x[x.index("[") :]) for d, xs in _QL.items() for x in xs for e in x[: x.index("[")]]
-_SELECTORS = ", ".join(f"({i}, '{d}', '{q}')" for i, (d, q) in enumerate(_FLAT))
+_sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{list(v)}::DOUBLE[]" if isinstance(v, tuple) else f"{v}::DOUBLE"
+_PRESETS = ", ".join(f"('{k}', {_sql(v.get('dispersal'))}, {_sql(v.get('shares'))}, {_sql(v.get('centre_walk_m'))}, {_sql(v.get('centre_mode'))})" for k, v in params.PRESETS.items())
+_SELECTORS = ", ".join(f"({i}, '{d}', '{q}')" for i, (d, q) in enumerate((d, q) for d in tags.ORDER for q in tags.dataset_selectors(d)))
+_CATALOGUE = ", ".join(f"({i}, '{d}', '{tags.CATALOGUE[d][0]}', '{tags.CATALOGUE[d][1]}')" for i, d in enumerate(tags.ORDER))
 _KINDS = ", ".join(
     f"({k}, '{d}', '{kind}')"
     for k, found in enumerate(
@@ -177,8 +165,14 @@ ORACLE_SQL: dict[str, str] = {
         {'key': 'grid_size_m', 'value': CAST(CAST(k * 5 + 25 AS DOUBLE) AS VARCHAR), 'status': 'ok'}, {'key': 'build_prob', 'value': CASE WHEN k % 4 <> 0 THEN '0.25' END, 'status': CASE WHEN k % 4 = 0 THEN 'malformed' ELSE 'ok' END},
         {'key': 'max_iterations', 'value': CAST(k + 50 AS VARCHAR), 'status': 'ok'}, {'key': 'ensemble', 'value': CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, 'status': 'ok'}, {'key': 'unknown_' || k % 3, 'value': NULL, 'status': 'ignored'}]) AS x FROM n WHERE k % 6 <> 5 AND k % 7 <> 6)
         SELECT k AS doc, x.key AS key, x.value AS value, x.status AS status FROM f UNION ALL SELECT k, 'schema', NULL, 'error' FROM n WHERE k % 6 = 5 OR k % 7 = 6""",
-    "params_diff": "WITH o AS (SELECT r_name AS key, CAST(r_regionkey * 10 AS VARCHAR) AS v FROM region), n AS (SELECT CASE WHEN n_nationkey < 5 THEN ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][n_nationkey + 1] ELSE n_name END AS key, CAST(n_nationkey * CASE WHEN n_nationkey % 2 = 0 THEN 10 ELSE 11 END AS VARCHAR) AS v FROM nation WHERE n_nationkey < 7) SELECT coalesce(o.key, n.key) AS key, o.v AS old, n.v AS new FROM o FULL JOIN n ON o.key = n.key WHERE o.v IS DISTINCT FROM n.v",
-    "preset_expand": "WITH s AS (SELECT n_name AS scenario, CASE WHEN n_nationkey % 3 = 0 THEN 'off' ELSE 'moderate' END AS d, CAST(n_nationkey * 100 + 5000 AS DOUBLE) AS h, n_nationkey * 700 + 3000 AS span FROM nation), p(preset, od, oh, ow) AS (VALUES ('base', NULL, NULL, NULL), ('compact', 'off', NULL, NULL), ('dispersed', 'aggressive', NULL, NULL), ('dense', NULL, 8000, NULL), ('sparse', NULL, 4000, NULL), ('short_walk', NULL, NULL, 600), ('long_walk', NULL, NULL, 1000)), e AS (SELECT scenario, preset, CASE WHEN preset = 'compact' AND d = 'off' THEN 'moderate' ELSE coalesce(od, d) END AS dispersal, CAST(coalesce(oh, h) AS DOUBLE) AS high, CAST(coalesce(ow, 800) AS DOUBLE) AS centre_walk_m, CAST(greatest(25, ceil(span / 150.0::DOUBLE / 5) * 5) AS DOUBLE) AS block_m FROM s, p) SELECT *, CAST(CASE dispersal WHEN 'off' THEN 0 WHEN 'moderate' THEN 0.0001 ELSE 0.04 END AS DOUBLE) AS p_isolated FROM e",
+    "params_diff": "WITH o AS (SELECT r_name AS key, CAST(r_regionkey * 10 AS VARCHAR) AS v FROM region), n AS (SELECT CASE WHEN n_nationkey < 5 THEN ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][n_nationkey + 1] ELSE n_name END AS key, CAST(n_nationkey * CASE WHEN n_nationkey % 2 = 0 THEN 10 ELSE 11 END AS VARCHAR) AS v FROM nation) SELECT coalesce(o.key, n.key) AS key, o.v AS old, n.v AS new FROM o FULL JOIN n ON o.key = n.key WHERE o.v IS DISTINCT FROM n.v",
+    "preset_expand": f"""WITH s AS (SELECT c_name AS scenario, CASE c_custkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'moderate' ELSE 'aggressive' END AS d, CAST(c_custkey % 5 * 100 + 600 AS DOUBLE) AS w, c_custkey % 40 * 700 + 3000 AS span FROM customer),
+      p(preset, od, os, ow, om) AS (VALUES {_PRESETS}),
+      e AS (SELECT scenario, CASE WHEN preset = 'compact' AND d = 'off' THEN 'moderate' ELSE preset END AS preset, CASE WHEN preset = 'compact' AND d = 'off' THEN 'moderate' ELSE coalesce(od, d) END AS dispersal,
+        coalesce(os[1], 0.25) AS p_high, coalesce(os[2], 0.25) AS p_medium, coalesce(os[3], 0.5) AS p_low, coalesce(ow, w) AS centre_walk_m, coalesce(om, '{params.CENTRE_MODE}') AS centre_mode, CAST(greatest(25, ceil(span / 150.0::DOUBLE / 5) * 5) AS DOUBLE) AS block_m FROM s, p)
+      SELECT *, CAST(CASE dispersal WHEN 'off' THEN 0 WHEN 'moderate' THEN 0.0001 ELSE 0.04 END AS DOUBLE) AS p_isolated FROM e""",
+    "least_settlements": """WITH m AS (SELECT p_partkey AS id, 0.25 * 6000::DOUBLE + 0.25 * 3000::DOUBLE + 0.5 * 1000::DOUBLE AS mean, CAST(p_size * 37 AS DOUBLE) AS people, CAST(p_partkey % 4 * 25 + 25 AS DOUBLE) AS b FROM part)
+      SELECT id, round(mean, 6) AS mean_km2, greatest(1, CAST(round_even(people / (mean * b * b / 1e6::DOUBLE), 0) AS BIGINT)) AS least_cells FROM m""",
     "density_check": "WITH r AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 4 THEN 6000.0::DOUBLE END AS h, CAST(n_nationkey * 300 AS DOUBLE) AS m, CASE WHEN n_nationkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS pm FROM nation) SELECT id, CASE WHEN h IS NULL THEN 'not a number' WHEN NOT (h > m AND m > 1000) THEN 'densities must fall' WHEN abs(0.2::DOUBLE + pm + 0.5::DOUBLE - 1) > 1e-3 THEN 'shares must sum to 1' ELSE '' END AS message, CASE WHEN h IS NOT NULL THEN round(0.2::DOUBLE + pm + 0.5::DOUBLE, 6) END AS total, CASE WHEN h IS NOT NULL THEN round(0.2::DOUBLE * h + pm * m + 0.5::DOUBLE * 1000, 6) END AS mean FROM r",
     "frames": f"WITH {_MEMBERS} SELECT member AS step, make_date(member + 2025, 1, 1) AS valid_from, make_date(member + 2026, 1, 1) AS valid_to, CAST(CASE state WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 255 END AS INTEGER) AS cls, count(*) AS n FROM members GROUP BY ALL",
     "osm_hstore": r"""WITH e AS (SELECT event_id AS id, event_id AS n, event_type AS k, user_id % 5 AS u FROM events),
@@ -195,8 +189,10 @@ ORACLE_SQL: dict[str, str] = {
     "options_table": "WITH s AS (SELECT n_regionkey AS k, count(*) AS n, sum(c_custkey % 97)::DOUBLE AS a, sum(c_custkey % 89)::DOUBLE AS b, sum(c_custkey % 5)::DOUBLE AS d FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), m AS (SELECT r_name, s.* FROM region JOIN s ON r_regionkey = k), x AS ("
     + " UNION ALL ".join(f"SELECT {i} AS ord, '{label}' AS metric, r_name, {sql} AS v FROM m" for i, (label, sql) in enumerate(_OPTION_ROWS))
     + ") SELECT ord, metric, " + ", ".join(f"""max(CASE WHEN r_name = '{r}' THEN v END) AS "{r}\"""" for r in _REGIONS) + " FROM x GROUP BY ord, metric",
-    "osm_query_text": f"WITH s(o, dataset, q) AS (VALUES {_SELECTORS}), e AS (SELECT o, dataset, q FROM s UNION ALL SELECT min(o), 'all', q FROM s GROUP BY q) SELECT dataset, '[out:xml][timeout:60];' || chr(10) || '(' || chr(10) || string_agg('  ' || q || '(1.5,2.5,3.5,4.5);', chr(10) ORDER BY o) || chr(10) || ');' || chr(10) || '(._;>;);' || chr(10) || 'out body;' || chr(10) AS ql FROM e GROUP BY dataset",
-    "osm_way_coords": "WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS way_id, o_orderkey AS k, (SELECT count(*) FROM events) AS n FROM orders), p AS (SELECT way_id, pos, id FROM w, LATERAL (VALUES (0, k % n), (1, (k * 3 + 1) % n), (2, (k * 7 + 2) % n), (3, CASE WHEN k % 2 = 0 THEN k % n ELSE (k + 5) % n END)) v(pos, id)), q AS (SELECT way_id, pos, user_id, event_id FROM p JOIN events ON event_id = id WHERE event_id % 7 <> 0) SELECT way_id, count(*) AS n_pts, count(*) >= 4 AND arg_min(user_id, pos) = arg_max(user_id, pos) AND arg_min(event_id, pos) = arg_max(event_id, pos) AS closed FROM q GROUP BY way_id HAVING count(*) >= 2",
+    "osm_query_text": f"""WITH s(o, dataset, q) AS (VALUES {_SELECTORS}), e AS (SELECT o, dataset, q FROM s UNION ALL SELECT min(o), 'all', q FROM s GROUP BY q),
+      a AS (SELECT s_suppkey AS area, '(' || concat_ws(',', CAST(CAST(s_suppkey % 60 + 0.5 AS DOUBLE) AS VARCHAR), CAST(CAST(s_suppkey * 7 % 170 + 0.25 AS DOUBLE) AS VARCHAR), CAST(CAST(s_suppkey % 60 + 1.5 AS DOUBLE) AS VARCHAR), CAST(CAST(s_suppkey * 7 % 170 + 1.25 AS DOUBLE) AS VARCHAR)) || ');' AS box FROM supplier)
+      SELECT area, dataset, '[out:xml][timeout:60];' || chr(10) || '(' || chr(10) || string_agg('  ' || q || box, chr(10) ORDER BY o) || chr(10) || ');' || chr(10) || '(._;>;);' || chr(10) || 'out body;' || chr(10) AS ql FROM e, a GROUP BY area, dataset""",
+    "osm_way_coords": "WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS way_id, o_orderkey AS k, (SELECT count(*) * 10 // 9 FROM events) AS n FROM orders), p AS (SELECT way_id, pos, id FROM w, LATERAL (VALUES (0, k % n), (1, (k * 3 + 1) % n), (2, (k * 7 + 2) % n), (3, CASE WHEN k % 2 = 0 THEN k % n ELSE (k + 5) % n END)) v(pos, id)), q AS (SELECT way_id, pos, user_id, event_id FROM p JOIN events ON event_id = id) SELECT way_id, count(*) AS n_pts, count(*) >= 4 AND arg_min(user_id, pos) = arg_max(user_id, pos) AND arg_min(event_id, pos) = arg_max(event_id, pos) AS closed FROM q GROUP BY way_id HAVING count(*) >= 2",
     "feature_measures": f"WITH {_BOXES} SELECT pid, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0) + 2 * (y1 - y0) AS outline, CAST(CASE WHEN y0 / 400 - 10 >= 0 THEN 32600 ELSE 32700 END + floor((x0 / 50 - 90 + 180) / 6) % 60 + 1 AS INTEGER) AS epsg FROM boxes",
     "clip_difference": "SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 < 8 AND o_custkey % 3 <> 0",
     "barrier_corridors": f"WITH {_CELLS}, {_ROWS}, l AS (SELECT p_partkey AS fid, p_partkey * 37 % 9000 AS x0, p_partkey * 53 % (n * 100) AS y0, 10.0::DOUBLE * p_size AS dx, 7.0::DOUBLE * p_size AS dy, n FROM part, nr), d AS (SELECT fid, r, c, x0, y0, dx, dy, (c + 0.5) * 100.0::DOUBLE AS px, n * 100.0::DOUBLE - (r + 0.5) * 100.0::DOUBLE AS py FROM l, grid), t AS (SELECT *, greatest(0, least(1, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS u FROM d) SELECT fid, r, c FROM t WHERE sqrt((px - x0 - u * dx) ** 2 + (py - y0 - u * dy) ** 2) <= 150",
@@ -204,7 +200,8 @@ ORACLE_SQL: dict[str, str] = {
     "stage_codes": f"WITH {_CELLS} SELECT r, c, CAST(CASE WHEN origin = 1 THEN 7 WHEN origin = 0 THEN 8 WHEN state = -1 THEN 255 ELSE state END AS INTEGER) AS code FROM grid",
     "likelihood_shown": f"WITH {_MEMBERS}, p AS (SELECT r, c, round(avg((state = 1)::INT), 6) AS p FROM members GROUP BY r, c) SELECT r, c, round(0.3 + 0.7 * p, 6) AS opacity FROM p WHERE p > 0.04",
     "ensemble_presets": "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey * 5 <= 30 THEN 10 WHEN n_nationkey * 5 <= 75 THEN 50 ELSE 100 END AS INTEGER) AS runs FROM nation",
-    "dataset_catalogue": "SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind FROM (VALUES (0, 'built', 'Built (residential fabric)', 'polygon'), (1, 'green', 'Green space', 'polygon'), (2, 'centres', 'Centres', 'polygon'), (3, 'industrial', 'Industrial land', 'polygon'), (4, 'streets', 'Street network', 'line'), (5, 'railways', 'Railways', 'line'), (6, 'stops', 'Public-transport stops', 'point'), (7, 'stations', 'Rail / tram stations', 'point'), (8, 'unbuildable', 'Unbuildable (water, airports, military, industrial)', 'polygon')) t(ord, dataset, label, kind)",
+    "dataset_catalogue": f"""WITH t(u, dataset, kind) AS (VALUES {_KINDS}), n AS (SELECT dataset, count(*) AS n FROM events JOIN t ON user_id % 23 = u AND kind = CASE event_id % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'line' ELSE 'polygon' END GROUP BY dataset),
+      c(ord, dataset, label, kind) AS (VALUES {_CATALOGUE}) SELECT CAST(ord AS INTEGER) AS ord, dataset, label, kind, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (dataset)""",
     "elevation_heights": "WITH t AS (SELECT p_partkey % 7 - 3 AS y, p_partkey % 10 AS a, p_partkey % 9 AS b, CAST(max(p_partkey) AS DOUBLE) AS h FROM part GROUP BY ALL) SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, coalesce(h, 0) AS h FROM orders LEFT JOIN t ON o_orderkey % 7 - 3 = y AND o_orderkey % 5 = 2 AND o_orderkey % 10 = a AND o_orderkey % 9 = b",
     "extent_guard": "SELECT n_nationkey AS id, n_nationkey * 3 + 1 AS rows, 40 - n_nationkey AS cols, CAST(50 AS DOUBLE) AS block_m, (n_nationkey * 3 + 1) * 50 > 800 AND (40 - n_nationkey) * 50 > 800 AS ok FROM nation",
     "inner_row_points": f"WITH {_BOXES}, b AS (SELECT pid, CAST(ceil((n * 100 - y1) / 100 - 0.5) AS INTEGER) AS r0, CAST(ceil((n * 100 - y0) / 100 - 0.5) AS INTEGER) - 1 AS r1, CAST(ceil(x0 / 100 - 0.5) AS INTEGER) AS c0, CAST(ceil(x1 / 100 - 0.5) AS INTEGER) - 1 AS c1, y0, y1, n FROM boxes, nr), k AS (SELECT pid, CAST(floor((n * 100 - y1) / 100 - 0.5) AS INTEGER) + 1 AS r0, CAST(floor((n * 100 - y0) / 100 - 0.5) AS INTEGER) AS r1, c0, c1 FROM b) SELECT pid, CAST(floor((r0 + r1) / 2.0) AS INTEGER) AS r, CAST(floor((c0 + c1) / 2.0) AS INTEGER) AS c FROM k WHERE r0 <= r1 AND c0 <= c1",

@@ -178,26 +178,36 @@ KIND_TAGS = (
 )
 
 
-@query
-def osm_route_kinds(spark, sf_dir):
-    """Features by dataset where each dataset takes its own kind of geometry."""
+def _kinds(spark, sf_dir):
+    """Features with one tag each, of all three kinds, routed."""
     pairs = F.array(*[F.create_map(F.lit(k), F.lit(v)) for k, v in KIND_TAGS])
     kinds = F.array(*map(F.lit, ("point", "line", "polygon")))
     e = bridge.table(spark, sf_dir, "events").select(F.get(pairs, F.col("user_id") % len(KIND_TAGS)).alias("tags"), F.get(kinds, F.col("event_id") % 3).alias("kind"))
-    return tags.routed(e, "kind").groupBy("dataset", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return tags.routed(e, "kind")
+
+
+@query
+def osm_route_kinds(spark, sf_dir):
+    """Features by dataset where each dataset takes its own kind of geometry."""
+    return _kinds(spark, sf_dir).groupBy("dataset", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def osm_query_text(spark, sf_dir):
-    return tags.query_texts(spark, 1.5, 2.5, 3.5, 4.5)
+    """The map queries of a box for each supplier."""
+    k = F.col("s_suppkey")
+    south, west = k % 60 + 0.5, k * 7 % 170 + 0.25
+    areas = bridge.table(spark, sf_dir, "supplier").select(k.alias("area"), south.cast("double").alias("south"), west.cast("double").alias("west"), (south + 1).cast("double").alias("north"), (west + 1).cast("double").alias("east"))
+    return tags.query_texts(areas)
 
 
 @query
 def osm_way_coords(spark, sf_dir):
     from footgrid.sources import osm
 
-    nodes = bridge.table(spark, sf_dir, "events").where("event_id % 7 <> 0").select(F.col("event_id").cast("string").alias("id"), (F.col("user_id") / 10.0).alias("lon"), (F.col("event_id") / 100.0).alias("lat"))
-    k, n = F.col("o_orderkey"), bridge.table(spark, sf_dir, "events").count()
+    nodes = bridge.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), (F.col("user_id") / 10.0).alias("lon"), (F.col("event_id") / 100.0).alias("lat"))
+    # References of the last tenth of the numbers have no node.
+    k, n = F.col("o_orderkey"), F.lit(bridge.table(spark, sf_dir, "events").count() * 10 // 9)
     refs = F.array(k % n, (k * 3 + 1) % n, (k * 7 + 2) % n, F.when(k % 2 == 0, k % n).otherwise((k + 5) % n))
     ways = bridge.table(spark, sf_dir, "orders").select(k.cast("string").alias("way_id"), F.transform(refs, lambda x: x.cast("string")).alias("refs"))
     return osm.way_coordinates(ways, nodes).select("way_id", F.size("points").cast("long").alias("n_pts"), osm.is_closed(F.col("points")).alias("closed"))
@@ -513,14 +523,19 @@ def params_diff(spark, sf_dir):
     r = bridge.table(spark, sf_dir, "region")
     n = bridge.table(spark, sf_dir, "nation")
     old = r.select(F.col("r_name").alias("key"), (F.col("r_regionkey") * 10).cast("string").alias("value"))
-    new = n.where("n_nationkey < 7").select(F.when(F.col("n_nationkey") < 5, F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), F.col("n_nationkey") + 1)).otherwise(F.col("n_name")).alias("key"), (F.col("n_nationkey") * F.when(F.col("n_nationkey") % 2 == 0, 10).otherwise(11)).cast("string").alias("value"))
+    new = n.select(F.when(F.col("n_nationkey") < 5, F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), F.col("n_nationkey") + 1)).otherwise(F.col("n_name")).alias("key"), (F.col("n_nationkey") * F.when(F.col("n_nationkey") % 2 == 0, 10).otherwise(11)).cast("string").alias("value"))
     return params.changed(old, new)
 
 
 @query
 def preset_expand(spark, sf_dir):
-    n = F.col("n_nationkey")
-    scenarios = bridge.table(spark, sf_dir, "nation").select(F.col("n_name").alias("scenario"), F.when(n % 3 == 0, "off").otherwise("moderate").alias("dispersal"), (n * 100 + 5000).cast("double").alias("high"), F.lit(800.0).alias("centre_walk_m"), F.lit(25.0).alias("grid_size_m"), (n * 700 + 3000).cast("double").alias("span_m"))
+    """A scenario for each customer, with every preset."""
+    k = F.col("c_custkey")
+    dial = lambda v, name: v.cast("double").alias(name)
+    scenarios = bridge.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("scenario"), F.get(F.array(*map(F.lit, params.DISPERSAL)), k % 3).alias("dispersal"), dial(F.lit(0.25), "p_high"), dial(F.lit(0.25), "p_medium"), dial(F.lit(0.5), "p_low"),
+        dial(k % 5 * 100 + 600, "centre_walk_m"), dial(F.lit(25), "grid_size_m"), dial(k % 40 * 700 + 3000, "span_m"),
+    )
     return params.expanded(scenarios, params.presets(spark))
 
 
@@ -531,6 +546,15 @@ def density_check(spark, sf_dir):
     return params.tier_check(rows)
 
 
+@query
+def least_settlements(spark, sf_dir):
+    """The smallest settlement of a run for each part."""
+    k = F.col("p_partkey")
+    dial = lambda v, name: v.cast("double").alias(name)
+    runs = bridge.table(spark, sf_dir, "part").select(k.alias("id"), *[dial(F.lit(d), f"d_{t}") for t, d in zip(params.TIERS, TIERS_KM2)], *[dial(F.lit(p), f"p_{t}") for t, p in zip(params.TIERS, (0.25, 0.25, 0.5))], dial(F.col("p_size") * 37, "people"), dial(k % 4 * 25 + 25, "block_m"))
+    return params.least_settlements(runs)
+
+
 @query
 def ensemble_presets(spark, sf_dir):
     n = bridge.table(spark, sf_dir, "nation")
@@ -539,8 +563,8 @@ def ensemble_presets(spark, sf_dir):
 
 @query
 def dataset_catalogue(spark, sf_dir):
-    """The datasets in display order."""
-    return spark.createDataFrame([(i, d, *tags.CATALOGUE[d]) for i, d in enumerate(tags.ORDER)], "ord int, dataset string, label string, kind string")
+    """The datasets in display order, with their features."""
+    return tags.catalogue(_kinds(spark, sf_dir))
 
 
 @query
