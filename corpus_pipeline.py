@@ -9,11 +9,14 @@ passes through all stages.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footgrid.llm import nbsvm_toxicity, pii_boost, simhash_bits, sos_packing, suffix_dedup
 from footgrid.llm.common import new_folder
 
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text, if the table has both."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -44,12 +47,29 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sos_packing.packed(docs)
 
 
+#: Python workers are reused from stage to stage; with these they give arrays of over 4 MB back to the system at once,
+#: where they would otherwise keep the most that any stage has used.
+LEAN = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def _lean(stage):
+    """``stage`` with workers that give memory back; what the session sets itself stays."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in LEAN.items():
+            spark.sparkContext.environment.setdefault(name, value)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("simhash_near_dedup", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
-    ("pii", personal_data),
-    ("packing", packing),
+    ("toxicity", _lean(toxicity)),
+    ("simhash_near_dedup", _lean(near_duplicates)),
+    ("suffix_array_dedup", _lean(repeated_passages)),
+    ("pii", _lean(personal_data)),
+    ("packing", _lean(packing)),
 ]
 
 #: Stages of this kind cannot be written in SQL; tests/llm/test_pipeline.py holds the rows of all five against a brute-force version.
