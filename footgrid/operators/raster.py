@@ -123,25 +123,50 @@ def slopes(heights: DataFrame, block: float) -> DataFrame:
     return g.select("r", "c", F.degrees(F.atan(F.hypot("gx", "gy"))).alias("degrees"))
 
 
-def slope_bands(slope: DataFrame, bands: tuple[int, ...] = (15, 20, 25, 30)) -> DataFrame:
+#: Slopes, in degrees, above which land is told apart.
+SLOPE_BANDS = (15, 20, 25, 30)
+
+
+def steeper(slope: DataFrame, bands: tuple[int, ...] = SLOPE_BANDS) -> DataFrame:
+    """r, c, band: the cells steeper than each band."""
+    return slope.select("r", "c", "degrees", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band")).where("degrees > band").select("r", "c", "band")
+
+
+def slope_bands(slope: DataFrame, bands: tuple[int, ...] = SLOPE_BANDS) -> DataFrame:
     """r, band, c_from, c_to: stretches of a row's cells steeper than each band."""
-    steep = slope.select("r", "c", "degrees", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band")).where("degrees > band")
+    steep = steeper(slope, bands)
     island = F.col("c") - F.row_number().over(W.partitionBy("r", "band").orderBy("c"))
     return steep.withColumn("i", island).groupBy("r", "band", "i").agg(F.min("c").alias("c_from"), F.max("c").alias("c_to")).select("r", "band", "c_from", "c_to")
 
 
 def buffered_line_cells(edges: DataFrame, cells: DataFrame, block: float, x_min: float, y_max: float, width: float) -> DataFrame:
-    """fid, r, c of the cells whose centres lie within ``width`` of a line's edges (fid, x0, y0, x1, y1)."""
-    low = lambda a, b, m: F.floor((F.least(a, b) - width - m) / block).cast("int")
-    high = lambda a, b, m: F.floor((F.greatest(a, b) + width - m) / block).cast("int")
+    """fid, r, c of the cells whose centres lie within ``width`` of a line's edges (fid, x0, y0, x1, y1).
+
+    Row by row: what lies within ``width`` of an edge is convex, so a row holds one stretch of it, which ends on one of the
+    round ends or of the two sides. Only cells of that stretch are made, never the edge's box."""
     r_from, r_to = F.floor((y_max - F.greatest("y0", "y1") - width) / block).cast("int"), F.floor((y_max - F.least("y0", "y1") + width) / block).cast("int")
-    box = edges.select("*", F.explode(F.sequence(r_from, r_to)).alias("r")).select("*", F.explode(F.sequence(low("x0", "x1", x_min), high("x0", "x1", x_min))).alias("c"))
-    px, py = x_min + (F.col("c") + 0.5) * block, y_max - (F.col("r") + 0.5) * block
+    y = y_max - (F.col("r") + 0.5) * block
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length = F.hypot(dx, dy)
+    half = lambda i: F.sqrt(F.lit(width * width) - (y - F.col(f"y{i}")) * (y - F.col(f"y{i}")))  # noqa: E731  null or not a number off the round end
+    ends = [F.when(F.abs(y - F.col(f"y{i}")) <= width, F.col(f"x{i}") + sign * half(i)) for i in "01" for sign in (-1, 1)]
+
+    def side(sign: int) -> Column:
+        """Where the row meets the side at the right (or left) hand."""
+        ax, ay = F.col("x0") + sign * width * dy / length, F.col("y0") - sign * width * dx / length
+        t = (y - ay) / F.nullif(dy, F.lit(0.0))
+        return F.when((length > 0) & t.between(0, 1), ax + t * dx)
+
+    at = [*ends, side(1), side(-1)]
+    # A hair's breadth more, for what rounding may lose; the distance decides.
+    rows = edges.select("*", F.explode(F.sequence(r_from, r_to)).alias("r")).withColumn("a", F.least(*at) - 1e-6 * block).withColumn("b", F.greatest(*at) + 1e-6 * block)
+    first, last = F.ceil((F.col("a") - x_min) / block - 0.5).cast("int"), F.floor((F.col("b") - x_min) / block - 0.5).cast("int")
+    near = rows.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("c"))
+    px = x_min + (F.col("c") + 0.5) * block
     square = dx * dx + dy * dy
-    t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x0")) * dx + (py - F.col("y0")) * dy) / square)))
-    near = F.hypot(px - F.col("x0") - t * dx, py - F.col("y0") - t * dy) <= width
-    return box.where(near).select("fid", "r", "c").distinct().join(cells.select("r", "c"), ["r", "c"], "left_semi").select("fid", "r", "c")
+    t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x0")) * dx + (y - F.col("y0")) * dy) / square)))
+    within = F.hypot(px - F.col("x0") - t * dx, y - F.col("y0") - t * dy) <= width
+    return near.where(within).select("fid", "r", "c").distinct().join(cells.select("r", "c"), ["r", "c"], "left_semi").select("fid", "r", "c")
 
 
 def large_enough_extent(grids: DataFrame, walk_m: float) -> DataFrame:

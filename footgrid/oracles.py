@@ -111,6 +111,28 @@ _OPTION_ROWS = [
 _REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
+_STEEP = """h AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, CAST(o_custkey % 61 AS DOUBLE) AS h FROM orders), d AS (SELECT r, c, h, lag(h) OVER x AS a, lead(h) OVER x AS b, lag(h) OVER y AS e, lead(h) OVER y AS f FROM h WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)), s AS (SELECT r, c, degrees(atan(sqrt((CASE WHEN a IS NULL THEN (b - h) / 30 WHEN b IS NULL THEN (h - a) / 30 ELSE (b - a) / 60 END) ** 2 + (CASE WHEN e IS NULL THEN (f - h) / 30 WHEN f IS NULL THEN (h - e) / 30 ELSE (f - e) / 60 END) ** 2))) AS deg FROM d),
+  steep AS (SELECT r, c, band FROM s, (VALUES (15), (20), (25), (30)) b(band) WHERE deg > band)"""
+#: What a triangle under a falling line shares with a square: a rectangle up to where the line enters the square, then a trapezoid.
+_CLIPS = f"""{_ROWS}, p AS (SELECT p_partkey AS fid, p_partkey * 37 % 9000 AS x, p_partkey * 53 % (n * 100 - 600) AS y, p_size * 20 AS s FROM part, nr),
+  q AS (SELECT s_suppkey AS other, s_suppkey % 9 * 1000 + 100 AS qx, s_suppkey // 9 * 1000 + 50 AS qy, s_suppkey % 7 * 50 + 500 AS qs FROM supplier),
+  o AS (SELECT fid, other, greatest(x, qx) AS xl, least(x + s, qx + qs) AS xr, greatest(y, qy) AS low, qy + qs AS high, x + y + s AS d FROM p JOIN q ON x < qx + qs AND qx < x + s AND y < qy + qs AND qy < y + s),
+  e AS (SELECT *, greatest(xl, d - high) AS a, least(xr, d - low) AS b FROM o WHERE xl < xr AND low < high),
+  clips AS (SELECT fid, other, greatest(0, least(xr, d - high) - xl) * (high - low) + CASE WHEN b > a THEN ((d - a - low) + (d - b - low)) / 2.0 * (b - a) ELSE 0 END AS area FROM e)"""
+
+
+def _slabs(name: str, x: str, y: str) -> str:
+    """CTEs: for each slab between neighbouring ends along ``x``, the land of the rectangles and its width times the number of stretches along ``y``."""
+    return f"""{name}s AS (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM (SELECT {x}0 AS v FROM boxes UNION SELECT {x}1 FROM boxes)),
+  {name}m AS (SELECT v, w, {y}0 AS lo, {y}1 AS hi, max({y}1) OVER (PARTITION BY v ORDER BY {y}0, {y}1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {name}s JOIN boxes ON {x}0 <= v AND {x}1 >= w),
+  {name} AS (SELECT sum((w - v) * greatest(0, hi - greatest(lo, coalesce(seen, lo)))) AS land, sum((w - v) * CASE WHEN seen IS NULL OR lo > seen THEN 1 ELSE 0 END) AS runs FROM {name}m)"""
+
+
+#: Sides without a neighbour; rings by the count of cells, of pairs side by side and of blocks of four: what is left of one is holes.
+_OUTLINES = """nb AS (SELECT l.band, l.root, count(e.r) AS e, count(f.r) AS f, count(g.r) AS g, count(*) AS n FROM l
+    LEFT JOIN l e ON e.band = l.band AND e.r = l.r AND e.c = l.c + 1 LEFT JOIN l f ON f.band = l.band AND f.r = l.r + 1 AND f.c = l.c
+    LEFT JOIN l g ON g.band = l.band AND g.r = l.r + 1 AND g.c = l.c + 1 AND e.r IS NOT NULL AND f.r IS NOT NULL GROUP BY ALL),
+  outlines AS (SELECT band, CAST(root // 4294967296 AS INTEGER) AS root_r, CAST(root % 4294967296 AS INTEGER) AS root_c, n AS cells, 4 * n - 2 * (e + f) AS sides, 2 - (n - e - f + g) AS rings FROM nb)"""
 ORACLE_SQL: dict[str, str] = {
     "grid_align": f"WITH {_BOXES} SELECT CAST((ceil(max(y1) / 100) - floor(min(y0) / 100)) AS BIGINT) AS rows, CAST((ceil(max(x1) / 100) - floor(min(x0) / 100)) AS BIGINT) AS cols, CAST(floor(min(x0) / 100) * 100 AS DOUBLE) AS x_min, CAST(ceil(max(y1) / 100) * 100 AS DOUBLE) AS y_max FROM boxes",
     "grid_dense": f"WITH {_ROWS} SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, (c + 0.5) * 100.0::DOUBLE AS x, n * 100.0::DOUBLE - (r + 0.5) * 100.0::DOUBLE AS y FROM nr, unnest(range(nr.n)) a(r), unnest(range(100)) b(c)",
@@ -121,7 +143,13 @@ ORACLE_SQL: dict[str, str] = {
     "points_to_cells": f"WITH {_ROWS}, p AS (SELECT event_id AS point_id, event_id * 137 % 12000 - 900 AS x, user_id * 211 % (n * 100 + 500) AS y, n FROM events, nr), q AS (SELECT point_id, n, CAST(floor((n * 100 - y) / 100) AS INTEGER) AS r, CAST(floor(x / 100) AS INTEGER) AS c FROM p) SELECT point_id, r, c FROM q WHERE r >= 0 AND r < n AND c >= 0 AND c < 100",
     "seed_snap": f"WITH {_CELLS}, {_SEEDS}, f AS (SELECT s.ord, greatest(abs(g.r - s.r), abs(g.c - s.c)) AS ring, (g.r - s.r) ** 2 + (g.c - s.c) ** 2 AS d2, g.r, g.c FROM seeds s JOIN grid g ON g.state <> -1 AND g.r BETWEEN s.r - 3 AND s.r + 3 AND g.c BETWEEN s.c - 3 AND s.c + 3), b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ord ORDER BY ring, d2, r, c) = 1) SELECT ord, b.r, b.c, CASE WHEN b.r IS NULL THEN 'dropped' WHEN row_number() OVER (PARTITION BY b.r, b.c ORDER BY ord) > 1 THEN 'duplicate' WHEN ring = 0 THEN 'kept' ELSE 'snapped' END AS status FROM seeds LEFT JOIN b USING (ord)",
     "nearest_built": f"WITH {_CELLS}, {_SEEDS}, f AS (SELECT s.ord, greatest(abs(g.r - s.r), abs(g.c - s.c)) AS ring, (g.r - s.r) ** 2 + (g.c - s.c) ** 2 AS d2, g.r, g.c FROM seeds s JOIN grid g ON g.state = 1 AND g.r BETWEEN s.r - 8 AND s.r + 8 AND g.c BETWEEN s.c - 8 AND s.c + 8) SELECT ord, r, c FROM f QUALIFY row_number() OVER (PARTITION BY ord ORDER BY ring, d2, r, c) = 1",
-    "slope_bands": "WITH h AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c, CAST(o_custkey % 61 AS DOUBLE) AS h FROM orders), d AS (SELECT r, c, h, lag(h) OVER x AS a, lead(h) OVER x AS b, lag(h) OVER y AS e, lead(h) OVER y AS f FROM h WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)), s AS (SELECT r, c, degrees(atan(sqrt((CASE WHEN a IS NULL THEN (b - h) / 30 WHEN b IS NULL THEN (h - a) / 30 ELSE (b - a) / 60 END) ** 2 + (CASE WHEN e IS NULL THEN (f - h) / 30 WHEN f IS NULL THEN (h - e) / 30 ELSE (f - e) / 60 END) ** 2))) AS deg FROM d), t AS (SELECT r, c, band, c - row_number() OVER (PARTITION BY r, band ORDER BY c) AS i FROM s, (VALUES (15), (20), (25), (30)) b(band) WHERE deg > band) SELECT r, band, min(c) AS c_from, max(c) AS c_to FROM t GROUP BY r, band, i",
+    "slope_bands": f"WITH {_STEEP}, t AS (SELECT r, c, band, c - row_number() OVER (PARTITION BY r, band ORDER BY c) AS i FROM steep) SELECT r, band, min(c) AS c_from, max(c) AS c_to FROM t GROUP BY r, band, i",
+    "valid_rings": "WITH p AS (SELECT p_partkey AS fid, p_size * 20 AS s FROM part) SELECT fid, CAST(2 AS BIGINT) AS rings, CAST(s * s * CASE fid % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 ELSE 0.75 END AS DOUBLE) AS area FROM p",
+    "clip_polygons": f"WITH {_CLIPS} SELECT fid, other, CAST(area AS DOUBLE) AS area FROM clips WHERE area > 0",
+    "cut_polygons": f"WITH {_CLIPS}, c AS (SELECT fid, sum(area) AS gone FROM clips GROUP BY fid) SELECT fid, CAST(s * s / 2.0 - coalesce(gone, 0) AS DOUBLE) AS area FROM p LEFT JOIN c USING (fid) WHERE s * s / 2.0 > coalesce(gone, 0)",
+    "layer_union": f"WITH {_BOXES}, {_slabs('up', 'x', 'y')}, {_slabs('along', 'y', 'x')} SELECT CAST(up.land AS DOUBLE) AS area, CAST(2 * (up.runs + along.runs) AS DOUBLE) AS outline FROM up, along",
+    "built_outlines": f"WITH RECURSIVE {_OFFSETS}, {_CELLS}, m AS (SELECT 1 AS band, r, c FROM grid WHERE state = 1), {_labels('l', 'm', False, 'band')}, {_OUTLINES} SELECT * EXCLUDE (band) FROM outlines",
+    "slope_band_polygons": f"WITH RECURSIVE {_OFFSETS}, {_STEEP}, m AS (SELECT band, r, c FROM steep), {_labels('l', 'm', False, 'band')}, {_OUTLINES} SELECT * FROM outlines",
     "nbr_counts": f"WITH {_OFFSETS}, {_CELLS}, n AS (SELECT g.r, g.c, x.s FROM grid g, offs x JOIN grid m ON m.r = g.r + x.dr AND m.c = g.c + x.dc WHERE m.state = 1) SELECT g.r, g.c, CAST(coalesce(sum(n.s), 0) AS BIGINT) AS rook_n, count(n.s) AS queen_n FROM grid g LEFT JOIN n ON n.r = g.r AND n.c = g.c GROUP BY g.r, g.c",
     "ring_runs": f"WITH o(i, dr, dc) AS (VALUES (0,1,-1),(1,1,0),(2,1,1),(3,0,1),(4,-1,1),(5,-1,0),(6,-1,-1),(7,0,-1)), {_CELLS}, t AS (SELECT g.r, g.c, string_agg(CASE WHEN m.state > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS f FROM grid g JOIN o ON true JOIN grid m ON m.r = g.r + o.dr AND m.c = g.c + o.dc GROUP BY g.r, g.c), u AS (SELECT r, c, f, list_filter(string_split(f, '0'), lambda x: x <> '') AS p, length(f) = 8 AND f LIKE '1%1' AND f LIKE '%0%' AS w FROM t) SELECT r, c, CAST(length(replace(f, '0', '')) AS INTEGER) AS total, CAST(greatest(coalesce(list_max(list_transform(p, lambda x: length(x))), 0), CASE WHEN w THEN length(p[1]) + length(p[-1]) ELSE 0 END) AS INTEGER) AS longest, CAST(len(p) - CASE WHEN w THEN 1 ELSE 0 END AS INTEGER) AS runs FROM u",
     "green_spans": f'WITH {_GREEN_SPANS} SELECT r, c, "left", "right", up, down, left_end, right_end, up_end, down_end FROM spans WHERE state = 0',

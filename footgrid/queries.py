@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footgrid.functions import codes, params, tags
 from footgrid.functions.storage import kept
-from footgrid.operators import components as comp, geometry, neighbours as nb, raster, walk
+from footgrid.operators import components as comp, geometry, neighbours as nb, polygons, raster, walk
 from footgrid.plans import centres, classify, growth, report, score, tiers
 from footgrid.sources import bridge, geojson
 
@@ -86,11 +86,14 @@ def nearest_built(spark, sf_dir):
     return raster.nearest_built(bridge.seeds(spark, sf_dir), bridge.cells(spark, sf_dir).where("state = 1"), 8)
 
 
+def _heights(spark, sf_dir):
+    orders = bridge.table(spark, sf_dir, "orders")
+    return orders.select(F.expr("o_orderkey div 100").cast("int").alias("r"), (F.col("o_orderkey") % 100).cast("int").alias("c"), (F.col("o_custkey") % 61).cast("double").alias("h"))
+
+
 @query
 def slope_bands(spark, sf_dir):
-    orders = bridge.table(spark, sf_dir, "orders")
-    heights = orders.select(F.expr("o_orderkey div 100").cast("int").alias("r"), (F.col("o_orderkey") % 100).cast("int").alias("c"), (F.col("o_custkey") % 61).cast("double").alias("h"))
-    return raster.slope_bands(raster.slopes(heights, 30.0))
+    return raster.slope_bands(raster.slopes(_heights(spark, sf_dir), 30.0))
 
 
 @query
@@ -141,6 +144,112 @@ def inner_row_points(spark, sf_dir):
     return raster.inner_row_points(raster.burned(raster.box_edges(boxes), float(G), 0.0, float(bridge.n_rows(spark, sf_dir) * G)))
 
 
+# Polygons
+
+
+def _loops(frame: DataFrame, *loops: list[tuple]) -> DataFrame:
+    """fid and the edges, in metres, of closed loops of corners (pairs of columns)."""
+    sides = [(*a, *b) for loop in loops for a, b in zip(loop, [*loop[1:], loop[0]])]
+    edges = F.array(*[F.struct(*[(v if not isinstance(v, (int, float)) else F.lit(v)).cast("double").alias(n) for v, n in zip(e, polygons.ENDS)]) for e in sides])
+    return frame.select("fid", F.explode(edges).alias("e")).select("fid", "e.*")
+
+
+def _square(x, y, w, h):
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+
+
+def _placed(spark, sf_dir):
+    """fid, x, y, s of a place and a size for each part."""
+    k = F.col("p_partkey")
+    return bridge.table(spark, sf_dir, "part").select(k.alias("fid"), (k * 37 % 9000).alias("x"), (k * 53 % (bridge.n_rows(spark, sf_dir) * G - 600)).alias("y"), (F.col("p_size") * 20).alias("s"))
+
+
+def _triangles(spark, sf_dir):
+    """Right-angled triangles, a corner at the lower left."""
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    return polygons.snapped(_loops(_placed(spark, sf_dir), [(x, y), (x + s, y), (x, y + s)]))
+
+
+def _supplier_squares(spark, sf_dir):
+    """Squares that don't overlap, one for each supplier."""
+    k = F.col("s_suppkey")
+    at = bridge.table(spark, sf_dir, "supplier").select(k.alias("fid"), (k % 9 * 1000 + 100).alias("x"), (F.expr("s_suppkey div 9") * 1000 + 50).alias("y"), (k % 7 * 50 + 500).alias("s"))
+    return polygons.snapped(_loops(at, _square(F.col("x"), F.col("y"), F.col("s"), F.col("s"))))
+
+
+@query
+def valid_rings(spark, sf_dir):
+    """Land inside rings that cross themselves: bow-ties, squares that overlap, squares with a spike and a hole."""
+    at = _placed(spark, sf_dir)
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    kind = F.col("fid") % 3
+    edges = _loops(at.where(kind == 0), [(x, y), (x + s, y + s), (x + s, y), (x, y + s)])
+    edges = edges.union(_loops(at.where(kind == 1), _square(x, y, s, s), _square(x + s / 2, y + s / 2, s, s)))
+    edges = edges.union(_loops(at.where(kind == 2), [(x, y), (x + s, y), (x + s, y + s / 2), (x + 3 * s, y + s / 2), (x + s, y + s / 2), (x + s, y + s), (x, y + s)], _square(x + s / 4, y + s / 4, s / 2, s / 2)))
+    linked = kept(polygons.rings(polygons.valid(polygons.snapped(edges)), ("fid",)), "rings")
+    return polygons.ring_measures(linked, ("fid",)).groupBy("fid").agg(F.count(F.lit(1)).alias("rings"), (F.sum("area2") / 2e6).cast("double").alias("area"))
+
+
+@query
+def clip_polygons(spark, sf_dir):
+    """What triangles share with squares, pair by pair."""
+    shared = polygons.clipped(_triangles(spark, sf_dir), _supplier_squares(spark, sf_dir))
+    return shared.groupBy("fid", "other").agg((polygons.twice_area() / 2e6).cast("double").alias("area"))
+
+
+@query
+def cut_polygons(spark, sf_dir):
+    """What squares leave of triangles, whole."""
+    left = polygons.cut_out(_triangles(spark, sf_dir), _supplier_squares(spark, sf_dir))
+    return left.groupBy("fid").agg((polygons.twice_area() / 2e6).cast("double").alias("area"))
+
+
+@query
+def cut_fragments(spark, sf_dir):
+    """Connected parts that squares leave of triangles, those worth keeping; no SQL, held against a brute-force version in the tests."""
+    left = polygons.cut_out(_triangles(spark, sf_dir), _supplier_squares(spark, sf_dir))
+    return polygons.large_parts(left, ("fid",), geometry.LEAST_AREA).select("fid", "area", "rings")
+
+
+@query
+def layer_union(spark, sf_dir):
+    """The land that all rectangles cover, overlapping or not, and the length of its outline."""
+    layer = polygons.merged_layer(polygons.snapped(raster.box_edges(bridge.boxes(spark, sf_dir)).withColumnRenamed("pid", "fid")))
+    length = F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))) / 1000.0
+    return layer.agg((polygons.twice_area() / 2e6).cast("double").alias("area"), length.alias("outline"))
+
+
+def _outlined(cells, keys=()):
+    """keys, root_r, root_c, cells, sides, rings of each connected part (by sides) of cells."""
+    k = [*keys, "root"]
+    labels = comp.components(cells, False, keys)
+    linked = kept(polygons.rings(polygons.dissolved(polygons.cell_edges(labels, k), k), k), "rings")
+    found = polygons.ring_measures(linked, k).groupBy(*k).agg((F.sum("area2") / 2).cast("long").alias("cells"), F.sum("edges").alias("sides"), F.count(F.lit(1)).alias("rings"))
+    return found.select(*keys, F.shiftright("root", 32).cast("int").alias("root_r"), (F.col("root") % (1 << 32)).cast("int").alias("root_c"), "cells", "sides", "rings")
+
+
+@query
+def built_outlines(spark, sf_dir):
+    """Built land as polygons: area, sides and rings (holes too) of each part."""
+    return _outlined(bridge.cells(spark, sf_dir).where("state = 1"))
+
+
+@query
+def slope_band_polygons(spark, sf_dir):
+    """Land steeper than each band, as polygons."""
+    return _outlined(raster.steeper(raster.slopes(_heights(spark, sf_dir), 30.0)), ("band",))
+
+
+@query
+def line_corridors(spark, sf_dir):
+    """Area of the polygons within 15 m of lines of two stretches; no SQL, held against a brute-force version in the tests."""
+    x, y, s = F.col("x").cast("double"), F.col("y").cast("double"), F.col("s").cast("double")
+    ends = [(x, y, x + s, y + s / 2), (x + s, y + s / 2, x + s / 3, y + 2 * s)]
+    edges = _placed(spark, sf_dir).select("fid", F.explode(F.array(*[F.struct(*[v.alias(n) for v, n in zip(e, polygons.ENDS)]) for e in ends])).alias("e")).select("fid", "e.*")
+    around = polygons.widened(polygons.snapped(edges), 15.0 * polygons.STEPS)
+    return around.groupBy("fid").agg(F.round(polygons.twice_area() / 2e6, 1).cast("double").alias("area"))
+
+
 # Tagged map features
 
 
