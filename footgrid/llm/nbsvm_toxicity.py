@@ -191,9 +191,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, used = np.zeros(1 << BITS, np.int64), ratios != 0
         for batch in batches:
-            found = [places(d, mark) for d in encoded(batch)]
-            held = [at[used[at]].astype("<i4").tobytes() for at in found]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([len(at) for at in found], pa.int32()), pa.array(held, pa.binary())], ["toxic", "size", "places"])
+            held = [(len(at := places(d, mark)), at[used[at]].astype("<i4").tobytes()) for d in encoded(batch)]  # one text's places at a time
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())], ["toxic", "size", "places"])
 
     found: list[np.ndarray] = []
     kinds = []
@@ -212,8 +211,8 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, column: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            found = [places(d, mark) for d in encoded(batch)]
-            z = np.array([float(small[at].sum(dtype=np.float64)) * float(damped(len(at))) for at in found]) + intercept
+            # One text's places at a time: those of a whole batch would be hundreds of MB.
+            z = np.array([float(small[at := places(d, mark)].sum(dtype=np.float64)) * float(damped(len(at))) for d in encoded(batch)]) + intercept
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, column])
 
