@@ -1,10 +1,13 @@
-"""Neighbourhoods, rings, spans, window sums and disks, by equi-joins on shifted keys and windows."""
+"""Neighbourhoods, rings and disks by equi-joins on shifted keys; spans and window sums on tiles."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from footgrid.functions.codes import ring
+from footgrid.operators.tiles import TILE, grid_of, on_tiles
 
 
 def neighbours(cells: DataFrame, queen: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -42,20 +45,33 @@ def ring_runs(cells: DataFrame, member: Column) -> DataFrame:
     return slots.select("r", "c", total.alias("total"), longest.alias("longest"), n.alias("runs"))
 
 
-def green_spans(cells: DataFrame) -> DataFrame:
+def _carried(cells: DataFrame, line: str, along: str, back: str, on: str, tile: int) -> DataFrame:
+    """``cells`` with ``_back`` and ``_on``: the nearest stop (at, state) before and after each along its line, and the line's ends there.
+
+    A segmented scan: stops are looked up within a tile's stretch of the line; what a stretch doesn't hold is carried over from the
+    stretches before and after it, of which a line has one row each."""
+    stop = F.when(F.col("state") != 0, F.struct(F.col(along).alias("at"), F.col("state").alias("state")))
+    dealt = cells.withColumn("_t", F.floor(F.col(along) / tile).cast("int"))
+    rows = W.partitionBy(line, "_t").orderBy(along)
+    near = dealt.withColumn("_b", F.last(stop, True).over(rows.rowsBetween(W.unboundedPreceding, -1))).withColumn("_a", F.first(stop, True).over(rows.rowsBetween(1, W.unboundedFollowing)))
+    at = F.when(F.col("state") != 0, F.col(along))
+    parts = dealt.groupBy(line, "_t").agg(F.max_by(stop, at).alias("last"), F.min_by(stop, at).alias("first"), F.min(along).alias("low"), F.max(along).alias("high"))
+    order = W.partitionBy(line).orderBy("_t")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    whole = W.partitionBy(line)
+    carry = parts.select(line, "_t", F.last("last", True).over(before).alias("_cb"), F.first("first", True).over(after).alias("_ca"), F.min("low").over(whole).alias("_low"), F.max("high").over(whole).alias("_high"))
+    both = near.join(carry, [line, "_t"])
+    span = lambda own, over, edge: F.coalesce(F.abs(F.col(along) - F.coalesce(own, over)["at"]) - 1, F.abs(F.col(along) - F.col(edge))).cast("int")
+    ends = [F.coalesce(a, b)["state"].alias(f"{n}_end") for n, a, b in ((back, F.col("_b"), F.col("_cb")), (on, F.col("_a"), F.col("_ca")))]
+    return both.select(*cells.columns, span(F.col("_b"), F.col("_cb"), "_low").alias(back), span(F.col("_a"), F.col("_ca"), "_high").alias(on), *ends)
+
+
+def green_spans(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """Runs of green from each cell to the nearest other state in the four directions: ``left``,
     ``right``, ``up``, ``down`` (the cell itself not counted) and what ends each (null: the grid's edge)."""
-    stop = F.col("state") != 0
-    out = cells.select("r", "c", "state")
-    ends = {"left": ("r", "c", 1), "right": ("r", "c", -1), "up": ("c", "r", 1), "down": ("c", "r", -1)}
-    for name, (line, along, sign) in ends.items():
-        w = W.partitionBy(line).orderBy(F.col(along) if sign > 0 else F.col(along).desc()).rowsBetween(W.unboundedPreceding, -1)
-        last = F.last(F.when(stop, F.struct(F.col(along).alias("at"), F.col("state").alias("state"))), ignorenulls=True).over(w)
-        edge = F.first(F.col(along)).over(W.partitionBy(line).orderBy(F.col(along) if sign > 0 else F.col(along).desc()).rowsBetween(W.unboundedPreceding, 0))
-        out = out.withColumn(f"_{name}", last).withColumn(f"_e{name}", edge)
-    at = {"left": "c", "right": "c", "up": "r", "down": "r"}
-    spans = [F.coalesce(F.abs(F.col(at[k]) - F.col(f"_{k}.at")) - 1, F.abs(F.col(at[k]) - F.col(f"_e{k}"))).cast("int").alias(k) for k in ends]
-    return out.select("r", "c", "state", *spans, *[F.col(f"_{k}.state").alias(f"{k}_end") for k in ends])
+    across = _carried(cells.select("r", "c", "state"), "r", "c", "left", "right", tile)
+    names = ("left", "right", "up", "down")
+    return _carried(across, "c", "r", "up", "down", tile).select("r", "c", "state", *names, *[f"{k}_end" for k in names])
 
 
 def span_admissible(spans: DataFrame, least_cells: float) -> DataFrame:
@@ -64,11 +80,19 @@ def span_admissible(spans: DataFrame, least_cells: float) -> DataFrame:
     return spans.select("r", "c", (~(bad("left") | bad("right") | bad("up") | bad("down"))).alias("ok"))
 
 
-def box_sum(cells: DataFrame, value: Column, radius: int) -> DataFrame:
-    """r, c, s: sum over the (2 radius + 1)-wide square, clamped at the edges; two separable windows."""
-    across = F.sum(value).over(W.partitionBy("r").orderBy("c").rangeBetween(-radius, radius))
-    down = F.sum("s").over(W.partitionBy("c").orderBy("r").rangeBetween(-radius, radius))
-    return cells.select("r", "c", across.alias("s")).select("r", "c", down.cast("long").alias("s"))
+def box_sum(cells: DataFrame, value: Column, radius: int, tile: int = TILE) -> DataFrame:
+    """r, c, s: sum over the (2 radius + 1)-wide square, clamped at the edges; tiles with a halo of the radius, by running sums."""
+    width = 2 * radius + 1
+
+    def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+        values = np.pad(grid_of(rows, r0, c0, "v", radius, 0, np.int64, tile), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        sums = values[width:, width:] - values[:-width, width:] - values[width:, :-width] + values[:-width, :-width]
+        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+        own = (r >= r0) & (r < r0 + tile) & (c >= c0) & (c < c0 + tile)
+        r, c = r[own], c[own]
+        return pd.DataFrame({"r": r, "c": c, "s": sums[r - r0, c - c0]})
+
+    return on_tiles(cells.select("r", "c", F.coalesce(value, F.lit(0)).cast("long").alias("v")), work, "r int, c int, s long", radius, (), tile)
 
 
 def disk(radius: int) -> Column:

@@ -123,6 +123,42 @@ def test_interior_points(spark):
         assert (got.r, got.c) == centres.inner_point(g.astype(bool))
 
 
+@pytest.mark.parametrize("tile", [4, 7, 256])
+@pytest.mark.parametrize("queen", [True, False])
+def test_inner_points_across_tiles(spark, tile, queen):
+    """As of each component's own mask, whatever the tiles; parts that touch at corners only, too."""
+    rng = np.random.default_rng(tile)
+    grid = (rng.random((40, 33)) < 0.85).astype(int)
+    grid[5:32, 8:30] = 1
+    grid[20, :] = 0
+    labels = comp.components(frame(spark, grid).where("state = 1"), queen)
+    got = {r.root: (r.r, r.c) for r in centres.interior_points(labels, tile).collect()}
+    rows = labels.toPandas()
+    assert set(got) == set(rows["root"])
+    for root, own in rows.groupby("root"):
+        mask = np.zeros((40, 33), bool)
+        mask[own["r"], own["c"]] = True
+        assert got[root] == centres.inner_point(mask)
+
+
+@pytest.mark.parametrize("tile", [3, 5, 256])
+def test_spans_and_box_sums_across_tiles(spark, tile):
+    rng = np.random.default_rng(2)
+    grid = rng.choice([-1, 0, 0, 0, 0, 0, 1], (17, 23))
+    grid[3] = 0
+    cells = frame(spark, grid)
+    for r in nb.green_spans(cells, tile).collect():
+        for name, dr, dc in (("left", 0, -1), ("right", 0, 1), ("up", -1, 0), ("down", 1, 0)):
+            n, a, b = 0, r.r + dr, r.c + dc
+            while 0 <= a < 17 and 0 <= b < 23 and grid[a, b] == 0:
+                n, a, b = n + 1, a + dr, b + dc
+            assert (r[name], r[f"{name}_end"]) == (n, int(grid[a, b]) if 0 <= a < 17 and 0 <= b < 23 else None)
+    sums = {(r.r, r.c): r.s for r in nb.box_sum(cells.where("NOT (r = 4 AND c = 4)"), (F.col("state") == 1).cast("int"), 2, tile).collect()}
+    left = grid.copy()
+    left[4, 4] = 0
+    assert sums == {(a, b): int((left[max(0, a - 2) : a + 3, max(0, b - 2) : b + 3] == 1).sum()) for a in range(17) for b in range(23) if (a, b) != (4, 4)}
+
+
 def test_likelihood_of_two_members(spark):
     rows = [(m, r, c, s) for m, g in enumerate(([[1, 0], [0, 2]], [[1, 0], [1, 2]])) for r, line in enumerate(g) for c, s in enumerate(line)]
     got = {(r.r, r.c): (r.p_built, r.p_green) for r in growth.likelihood(spark.createDataFrame(rows, "member int, r int, c int, state int")).collect()}
