@@ -250,6 +250,9 @@ ORACLE_SQL: dict[str, str] = {
 }
 _ROOK = "offs(dr, dc, s, g) AS (VALUES (1,0,1,0),(0,1,1,0),(-1,0,1,0),(0,-1,1,0))"
 ORACLE_SQL["reach_rook"] = ORACLE_SQL["reach_mask"].replace(_OFFSETS, _ROOK)
+ORACLE_SQL["walk_sql"] = ORACLE_SQL["walk_blocked"]
+ORACLE_SQL["block_labels"] = f"""WITH RECURSIVE {_OFFSETS}, {_CELLS}, m AS (SELECT r // 16 * 1000 + c // 16 AS band, r, c FROM grid WHERE state = 1), {_labels('l', 'm', True, 'band')}
+  SELECT r, c, CAST(root // 4294967296 AS INTEGER) AS first_r, CAST(root % 4294967296 AS INTEGER) AS first_c FROM l"""
 #: A source's walked cells look about in the order of their lengths; what is seen up to the third built cell's turn counts.
 ORACLE_SQL["reach_first"] = (
     ORACLE_SQL["reach_mask"].partition(", h AS (")[0]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footgrid.functions import codes, params, tags
+from footgrid.functions import codes, params, table_functions, tags
 from footgrid.functions.storage import kept
 from footgrid.operators import components as comp, geometry, neighbours as nb, polygons, raster, walk
 from footgrid.plans import centres, classify, growth, report, score, tiers
@@ -393,6 +393,22 @@ def walk_blocked(spark, sf_dir):
     return f.select("r", "c", "n_orth", "n_diag", F.round("dist", 6).alias("dist"))
 
 
+@query
+def walk_sql(spark, sf_dir):
+    """``walk_blocked`` by a table function in SQL."""
+    table_functions.registered(spark)
+    table_functions.tiled(_seeded(spark, sf_dir), F.col("seed"), F.col("state") != -1, CENTRE_M, G).createOrReplaceTempView("footgrid_tiles")
+    return spark.sql(f"SELECT r, c, n_orth, n_diag, round(length * {float(G)}D, 6) AS dist FROM walk_tiles(TABLE(SELECT * FROM footgrid_tiles) PARTITION BY (tr, tc), {CENTRE_M / G}D, 256)")
+
+
+@query
+def block_labels(spark, sf_dir):
+    """Built parts within blocks of 16 by 16 cells, by a table function in SQL."""
+    table_functions.registered(spark)
+    bridge.cells(spark, sf_dir).where("state = 1").selectExpr("r div 16 AS br", "c div 16 AS bc", "r", "c").createOrReplaceTempView("footgrid_blocks")
+    return spark.sql("SELECT r, c, first_r, first_c FROM label_tiles(TABLE(SELECT * FROM footgrid_blocks) PARTITION BY (br, bc), true)")
+
+
 @query
 def reach_mask(spark, sf_dir):
     return walk.reach(_seeded(spark, sf_dir), F.col("seed"), F.col("state") == 0, F.col("state") >= 0, 400.0, G)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 POINT, LINE, POLYGON, MULTI = "array<double>", "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """dataset (the file's name, or the folder's as ``write_collections`` writes it), fid, geom_type, rings (arrays of x, y), props of every feature of the
-    FeatureCollections at ``path`` (a file, folder or pattern). Features without coordinates are skipped; no features is no rows."""
-    found = spark.read.text(path, wholetext=True)
-    name = F.col("dataset").cast("string") if "dataset" in found.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    body = found.select("value", name.alias("dataset"))
-    shape = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
-    rows = body.select("dataset", F.posexplode(F.from_json("value", shape)["features"]).alias("fid", "f"))
+#: What ends a piece of a collection that is read by ranges: the mark of a feature.
+_MARK = '"Feature"'
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """dataset, fid, geom_type, rings, props of features ``f`` (a struct)."""
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     line = lambda a: F.transform(a, xy)
@@ -27,6 +25,42 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.size("rings") > 0)
 
 
+FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+
+
+def _named(found: DataFrame) -> Column:
+    return F.col("dataset").cast("string") if "dataset" in found.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+
+
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """dataset (the file's name, or the folder's as ``write_collections`` writes it), fid, geom_type, rings (arrays of x, y), props of every feature of the
+    FeatureCollections at ``path`` (a file, folder or pattern). Features without coordinates are skipped; no features is no rows. A task
+    reads a whole file, whatever the order of its keys; ``feature_ranges`` reads large ones."""
+    found = spark.read.text(path, wholetext=True)
+    body = found.select("value", _named(found).alias("dataset"))
+    return _parsed(body.select("dataset", F.posexplode(F.from_json("value", f"struct<features:array<{FEATURE}>>")["features"]).alias("fid", "f")))
+
+
+def feature_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The same of large collections: Spark's text reader splits a file by bytes, so that many tasks read one.
+
+    A piece goes from one feature's mark to the next one's, whatever the blanks and line breaks; a feature's ``type`` comes before its properties and geometry,
+    as writers put it, and the mark is no value of anything else: a piece that is no feature then is an error, not a lost row. ``fid`` counts a file's features: those of the
+    ranges before, and the place within its own range."""
+    found = spark.read.option("lineSep", _MARK).text(path)
+    pieces = found.select("value", _named(found).alias("dataset"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    # The first piece of a file is what comes before its features.
+    counts = pieces.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = counts.withColumn("before", F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)))
+    placed = pieces.join(before, ["file", "start"]).withColumn("fid", (F.col("row") - F.col("first") + F.coalesce("before", F.lit(0)) - 1).cast("int")).where("fid >= 0")
+    # The head of the next feature, or the collection's end, is cut off; what is left is closed as an object.
+    body = F.regexp_replace("value", r"[\s,]*\{[^{}\[\]]*\"type\"\s*:\s*$", "")
+    f = F.from_json(F.concat(F.lit('{"type":"Feature"'), body), FEATURE, {"mode": "PERMISSIVE"})
+    bad = f["geometry"].isNull() & ~F.col("value").rlike(r"\"geometry\"\s*:\s*null")
+    checked = F.when((F.col("fid") >= 0) & bad, F.raise_error(F.concat(F.lit("no feature: "), F.col("file"), F.lit(" "), F.left("value", F.lit(80))))).otherwise(f)
+    return _parsed(placed.select("dataset", "fid", checked.alias("f")))
+
+
 def extents(spark: SparkSession, folder: str) -> DataFrame:
     """The features of every ``extents*.geojson`` of a folder, with ``extent``: the rest of the file's name, ``main`` where there is none."""
     found = features(spark, f"{folder.rstrip('/')}/extents*.geojson")

@@ -8,6 +8,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from footgrid import sinks, streaming
@@ -175,3 +176,29 @@ def test_each_area_serves_what_its_own_walk_reaches(spark):
     served = field.join(cells.where("plan = 2").select("r", "c"), ["r", "c"]).groupBy("area").agg(F.count("*").alias("n"), F.sum("n_orth").alias("o"), F.sum("n_diag").alias("d"))
     want = {tuple(r) for r in served.collect()}
     assert {x for x in for_area(5) if x[1]} == {x for x in for_area(64) if x[1]} == want
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_ranges_of_a_collection_give_its_features(spark, tmp_path, indent):
+
+    def shape(i):
+        at = [i, i + 0.5]
+        kinds = [("Point", at), ("LineString", [at, [0, 1]]), ("Polygon", [[at, [0, 1], [5, 5], at]]), ("MultiPolygon", [[[at, [0, 1], [5, 5], at]], [[at, [9, 1], [5, 5], at]]])]
+        return None if i % 11 == 7 else dict(zip(("type", "coordinates"), kinds[i % 4]))
+
+    for name, n in (("large", 300), ("one", 1), ("none", 0)):
+        every = [{"type": "Feature", "id": i, "properties": {"name": f"é {{ ] }} \\\"Feature\\\" {i}", "long": "x" * (i % 50)}, "geometry": shape(i)} for i in range(n)]
+        (tmp_path / f"{name}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": every, "crs": "none"}, indent=indent, ensure_ascii=False))
+    rows = lambda df: sorted((r.dataset, r.fid, r.geom_type, str(r.rings), str(r.props)) for r in df.collect())
+    want = rows(geojson.features(spark, str(tmp_path)))
+    assert len(want) == 300 - 27 + 1
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            ranged = geojson.feature_ranges(spark, str(tmp_path))
+            assert rows(ranged) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":"Feature"},"geometry":{"type":"Point","coordinates":[1,2]}}]}')
+    with pytest.raises(Exception, match="no feature"):
+        geojson.feature_ranges(spark, str(tmp_path / "bad.geojson")).collect()
