@@ -37,7 +37,7 @@ from footgrid.llm.common import written
 GROUP, MOST_HEAD = 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
 #: Turns of a subtrie that one task builds at most, and of a bucket of subtries about.
-OVERSIZED, BUCKET_ROWS = 4096, 50_000
+OVERSIZED, BUCKET_ROWS = 512, 50_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 NODE = "gid binary, top boolean, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends string"
 COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
