@@ -326,3 +326,32 @@ def merged_layer(edges: DataFrame, tile: int = TILE) -> DataFrame:
     """Boundary (ends) of the union of all features (fid, directed edges) of a layer, overlapping or not."""
     layer = edges.select(*ENDS)
     return overlay(layer, layer.where("false"), "union", (), tile)
+
+
+def polygon_edges(features: DataFrame, key: str = "fid") -> DataFrame:
+    """Valid directed edges (key, ends) of the polygons among features with ``rings`` in metres, repaired by the even-odd rule."""
+    from footgrid.operators.raster import ring_edges
+
+    return valid(snapped(ring_edges(features.where(F.col("geom_type").contains("Polygon")), key)), (key,))
+
+
+def repaired(features: DataFrame, key: str = "fid") -> DataFrame:
+    """``features`` with valid rings for their polygons; those that enclose nothing are dropped, lines and points stay."""
+    own = as_features(kept(rings(polygon_edges(features, key), (key,)), "rings"), (key,))
+    polygon = F.col("geom_type").contains("Polygon")
+    fixed = features.where(polygon).drop("rings").join(own, key).select(*features.columns)
+    return features.where(~polygon).unionByName(fixed)
+
+
+def extracted(features: DataFrame, area: DataFrame, within: float = 6.0, least_m2: float = 1500.0) -> DataFrame:
+    """fid, part, area, rings: the polygons of ``features`` repaired, clipped to an area's (valid edges, fid), thinned so that nothing moves farther than
+    ``within`` metres, repaired again, and their connected parts of ``least_m2`` at least."""
+    from footgrid.operators.geometry import simplified
+
+    inside = clipped(polygon_edges(features), area).select("fid", *ENDS)
+    thin = simplified(as_features(kept(rings(inside, ("fid",)), "rings")).withColumn("geom_type", F.lit("Polygon")), within)
+    linked = kept(rings(polygon_edges(thin), ("fid",)), "rings")
+    split = parts(linked, ("fid",))
+    large = split.groupBy("part").agg((F.sum("area2") / (2.0 * STEPS * STEPS)).cast("double").alias("area")).where(F.col("area") >= least_m2)
+    own = linked.join(split.select("ring", "part").join(large, "part"), "ring")
+    return as_features(own.select("fid", "part", "area", "ring", "pos", *ENDS), ("fid", "part", "area"))

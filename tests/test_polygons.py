@@ -211,3 +211,22 @@ def test_corridors_along_lines(spark):
             near = min(far(e, x, y) for e in own)
             if abs(near - 100) > 2:
                 assert winding(got[fid], x, y) == int(near < 100)
+
+
+def test_features_are_repaired_and_extracted(spark):
+    def ring(*at):
+        return [(float(x), float(y)) for x, y in [*at, at[0]]]
+
+    bow, spiked = ring((0, 0), (100, 100), (100, 0), (0, 100)), ring((0, 0), (200, 0), (200, 100), (900, 100), (200, 100), (200, 200), (0, 200))
+    wavy = ring(*[(i * 10, (i % 2) * 2) for i in range(30)], (290, 300), (0, 300))
+    rows = [(1, "Polygon", [bow], "a"), (2, "Polygon", [spiked], "b"), (3, "LineString", [[(0.0, 0.0), (5.0, 5.0)]], "c"), (4, "Polygon", [ring((1, 1), (5, 5))], "d"), (5, "Polygon", [wavy], "e")]
+    table = spark.createDataFrame(rows, "fid long, geom_type string, rings array<array<struct<x:double,y:double>>>, name string")
+    fixed = {r.fid: r for r in pg.repaired(table).collect()}
+    assert set(fixed) == {1, 2, 3, 5} and fixed[3].rings == [[(0.0, 0.0), (5.0, 5.0)]] and fixed[2].name == "b"
+    shoelace = lambda rings: sum(p.x * q.y - q.x * p.y for ring in rings for p, q in zip(ring, ring[1:])) / 2
+    assert len(fixed[1].rings) == 2 and shoelace(fixed[1].rings) == 5000 and shoelace(fixed[2].rings) == 40_000 and len(fixed[2].rings[0]) == 5
+    area = frame(spark, edges_of(9, [(0, 0), (100_000, 0), (100_000, 250_000), (0, 250_000)]))
+    got = [(r.fid, r.area, len(r.rings)) for r in pg.extracted(table, area).collect()]
+    # The bow-tie's halves meet in a point: two parts of 2500; the wavy side is laid straight within 6 m.
+    assert sorted(got)[:3] == [(1, 2500.0, 1), (1, 2500.0, 1), (2, 20_000.0, 1)] and len(got) == 4
+    assert abs(sorted(got)[3][1] - 24_900) <= 600
