@@ -22,7 +22,10 @@ def with_tiles(cells: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
 
 
 def on_tiles(cells: DataFrame, work: Callable[[pd.DataFrame, int, int], pd.DataFrame], schema: str, halo: int, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
-    """``work(rows, r0, c0)`` for every tile and key; ``schema`` names its result's columns (with the keys first)."""
+    """``work(rows, r0, c0)`` for every tile and key; ``schema`` names its result's columns (with the keys first).
+
+    A tile's work is out of proportion to its bytes, so the session's number of shuffle partitions is kept, not merged by bytes."""
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         *own, tr, tc = key
@@ -31,7 +34,7 @@ def on_tiles(cells: DataFrame, work: Callable[[pd.DataFrame, int, int], pd.DataF
             out.insert(0, k, v)
         return out
 
-    return with_tiles(cells, halo, tile).groupBy(*keys, "tr", "tc").applyInPandas(run, schema)
+    return with_tiles(cells, halo, tile).repartition(n, *keys, "tr", "tc").groupBy(*keys, "tr", "tc").applyInPandas(run, schema)
 
 
 def grid_of(rows: pd.DataFrame, r0: int, c0: int, column: str, halo: int, fill, dtype, tile: int = TILE) -> np.ndarray:
