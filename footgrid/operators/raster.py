@@ -55,6 +55,15 @@ def burned_all_touched(edges: DataFrame, block: float, x_min: float, y_max: floa
     return burned(edges, block, x_min, y_max, keys).union(passed).distinct()
 
 
+def snapshot(cells: DataFrame, layers: DataFrame) -> DataFrame:
+    """r, c, state, origin, seed of a grid (r, c) as layers (layer, r, c: cells that ``built``, ``green``, ``unbuildable`` and ``centres`` cover)
+    leave it: built land stays built, whatever else lies on it, and only centres on built land are seeds."""
+    on = layers.groupBy("r", "c").agg(*[F.coalesce(F.bool_or(F.col("layer") == k), F.lit(False)).alias(k) for k in ("built", "green", "unbuildable", "centres")])
+    state = F.when(F.col("built"), 1).when(F.col("unbuildable"), -1).otherwise(0)
+    origin = F.when(F.col("built"), 1).when(F.col("green"), 0).otherwise(-1)
+    return cells.select("r", "c").join(on, ["r", "c"], "left").select("r", "c", state.alias("state"), origin.alias("origin"), F.coalesce(F.col("built") & F.col("centres"), F.lit(False)).alias("seed"))
+
+
 def box_edges(boxes: DataFrame) -> DataFrame:
     """The four edges of rectangles pid, x0, y0, x1, y1."""
     corners = [("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0")]

@@ -199,6 +199,18 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT scenario, CASE WHEN preset = 'compact' AND d = 'off' THEN 'moderate' ELSE preset END AS preset, CASE WHEN preset = 'compact' AND d = 'off' THEN 'moderate' ELSE coalesce(od, d) END AS dispersal,
         coalesce(os[1], 0.25) AS p_high, coalesce(os[2], 0.25) AS p_medium, coalesce(os[3], 0.5) AS p_low, coalesce(ow, w) AS centre_walk_m, coalesce(om, '{params.CENTRE_MODE}') AS centre_mode, CAST(greatest(25, ceil(span / 150.0::DOUBLE / 5) * 5) AS DOUBLE) AS block_m FROM s, p)
       SELECT *, CAST(CASE dispersal WHEN 'off' THEN 0 WHEN 'moderate' THEN 0.0001 ELSE 0.04 END AS DOUBLE) AS p_isolated FROM e""",
+    "snapshot_grid": f"""WITH {_BOXES}, grid AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS r, CAST(o_orderkey % 100 AS INTEGER) AS c FROM orders),
+      hit AS (SELECT r, c, bool_or(pid % 4 = 0) AS b, bool_or(pid % 4 = 1) AS g, bool_or(pid % 4 = 2) AS u, bool_or(pid % 4 = 3) AS m FROM grid, nr, boxes WHERE (c + 0.5) * 100 >= x0 AND (c + 0.5) * 100 < x1 AND n * 100 - (r + 0.5) * 100 >= y0 AND n * 100 - (r + 0.5) * 100 < y1 GROUP BY r, c)
+      SELECT r, c, CAST(CASE WHEN b THEN 1 WHEN u THEN -1 ELSE 0 END AS INTEGER) AS state, CAST(CASE WHEN b THEN 1 WHEN g THEN 0 ELSE -1 END AS INTEGER) AS origin, coalesce(b AND m, false) AS seed FROM grid LEFT JOIN hit USING (r, c)""",
+    "parameter_lines": """WITH p AS (SELECT p_partkey AS id, p_partkey % 4 * 25 + 25 AS b, p_size AS s, p_retailprice * 100 AS target, [0, 0.0001, 0.04, p_size / 1000.0::DOUBLE][CAST(p_partkey % 4 AS INTEGER) + 1]::DOUBLE AS iso FROM part),
+      t AS (SELECT *, s * 2750.0::DOUBLE * (b * b) / 1e6::DOUBLE AS people FROM p)
+      SELECT id, CAST(unnest(range(12)) AS INTEGER) AS line_no, unnest(['  Grid size             : ' || b || ' m', '  Max iterations        : ' || s * 10, '  Target population     : ' || format('{:,}', CAST(round_even(target, 0) AS BIGINT)),
+        '  Build probability     : ' || regexp_replace(printf('%.6f', s / 100.0::DOUBLE), '\.?0+$', ''), '  Dispersed development : ' || CASE round(iso, 4) WHEN 0 THEN 'Off' WHEN 0.0001 THEN 'Moderate' WHEN 0.04 THEN 'Aggressive' ELSE regexp_replace(printf('%.6f', iso), '\.?0+$', '') END,
+        '  Centre walk           : ' || CASE id % 3 WHEN 0 THEN 600 ELSE id % 3 * 400 END || ' m', '  Green walk            : ' || CASE id % 2 WHEN 0 THEN 600 ELSE 300 END || ' m', '  Min green span        : ' || s * 10 || ' m',
+        '  Density               : high 6,000 (25%), med 3,000 (25%), low 1,000 (50%) /km²; mean 2,750', '  Min settlement        : ~' || format('{:,}', CAST(round_even(people, 0) AS BIGINT)) || ' people (' || s || ' cells)',
+        '  Optimise centres      : ' || CASE id % 2 WHEN 0 THEN 'on' ELSE 'off' END, '  Ensemble              : ' || id % 5 * 10 || ' run(s)']) AS line FROM t""",
+    "file_lines": """WITH f AS (SELECT l_orderkey AS run, l_linenumber AS ord, 'plan_' || l_partkey || '.tif' AS name, 'option ' || l_returnflag AS label FROM lineitem)
+      SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY ord, name, label) - 1 AS INTEGER) AS line_no, '  ' || rpad(name, CAST(max(length(name)) OVER (PARTITION BY run) AS INTEGER), ' ') || '  ' || label AS line FROM f""",
     "least_settlements": """WITH m AS (SELECT p_partkey AS id, 0.25 * 6000::DOUBLE + 0.25 * 3000::DOUBLE + 0.5 * 1000::DOUBLE AS mean, CAST(p_size * 37 AS DOUBLE) AS people, CAST(p_partkey % 4 * 25 + 25 AS DOUBLE) AS b FROM part)
       SELECT id, round(mean, 6) AS mean_km2, greatest(1, CAST(round_even(people / (mean * b * b / 1e6::DOUBLE), 0) AS BIGINT)) AS least_cells FROM m""",
     "density_check": "WITH r AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 4 THEN 6000.0::DOUBLE END AS h, CAST(n_nationkey * 300 AS DOUBLE) AS m, CASE WHEN n_nationkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS pm FROM nation) SELECT id, CASE WHEN h IS NULL THEN 'not a number' WHEN NOT (h > m AND m > 1000) THEN 'densities must fall' WHEN abs(0.2::DOUBLE + pm + 0.5::DOUBLE - 1) > 1e-3 THEN 'shares must sum to 1' ELSE '' END AS message, CASE WHEN h IS NOT NULL THEN round(0.2::DOUBLE + pm + 0.5::DOUBLE, 6) END AS total, CASE WHEN h IS NOT NULL THEN round(0.2::DOUBLE * h + pm * m + 0.5::DOUBLE * 1000, 6) END AS mean FROM r",

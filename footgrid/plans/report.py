@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def percent(v: Column) -> Column:
@@ -95,6 +95,47 @@ def header_lines(run: DataFrame) -> DataFrame:
     return run.select(F.posexplode(lines).alias("line_no", "line"))
 
 
+#: Labels of the parameter lines in order, and the words for usual probabilities of an isolated centre.
+PARAMETER_LABELS = (
+    "Grid size", "Max iterations", "Target population", "Build probability", "Dispersed development", "Centre walk", "Green walk", "Min green span", "Density", "Min settlement", "Optimise centres", "Ensemble",
+)
+DISPERSED = {0.0: "Off", 0.0001: "Moderate", 0.04: "Aggressive"}
+
+
+def _plain(v: Column) -> Column:
+    """A number with at most six decimals, without trailing zeros."""
+    return F.when(v.isNotNull(), F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", ""))
+
+
+def parameter_lines(runs: DataFrame) -> DataFrame:
+    """id, line_no, line: the dials of each run, one to a line.
+
+    ``runs``: id, block_m, iterations, target, build, isolated, walk_m, centre_walk_m and green_walk_m (null or 0: ``walk_m``), span_m, d_ and p_ of
+    high, medium and low, least_cells, optimise, members. A null dial is ``-``."""
+    mean = sum((F.col(f"p_{t}") * F.col(f"d_{t}") for t in ("high", "medium", "low")), F.lit(0.0))
+    people = F.col("least_cells") * mean * (F.col("block_m") * F.col("block_m")) / 1e6
+    metres = lambda v: F.concat(F.bround(v).cast("long").cast("string"), F.lit(" m"))
+    walk = lambda k: metres(F.coalesce(F.when(F.col(k) != 0, F.col(k)), F.col("walk_m")))
+    tier = lambda name, t: F.concat(F.lit(f"{name} "), number(F.col(f"d_{t}")), F.lit(" ("), percent(F.col(f"p_{t}")), F.lit(")"))
+    isolated = F.create_map(*[F.lit(x) for kv in DISPERSED.items() for x in kv])[F.round("isolated", 4)]
+    values = (
+        metres(F.col("block_m")), F.col("iterations").cast("string"), number(F.col("target")), _plain(F.col("build")), F.coalesce(isolated, _plain(F.col("isolated"))), walk("centre_walk_m"), walk("green_walk_m"),
+        metres(F.col("span_m")), F.concat(F.concat_ws(", ", tier("high", "high"), tier("med", "medium"), tier("low", "low")), F.lit(" /km²; mean "), number(mean)),
+        F.concat(F.lit("~"), number(people), F.lit(" people ("), F.col("least_cells").cast("string"), F.lit(" cells)")), F.when(F.col("optimise"), "on").when(~F.col("optimise"), "off"), F.concat(F.col("members").cast("string"), F.lit(" run(s)")),
+    )
+    lines = F.array(*[F.concat(F.lit(f"  {label:<22}: "), F.coalesce(v, F.lit("-"))) for label, v in zip(PARAMETER_LABELS, values)])
+    return runs.select("id", F.posexplode(lines).alias("line_no", "line"))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """run, line_no, line: the files (run, ord, name, label) of each run, names as wide as the run's longest; the report itself is to be one of
+    them. Lines are in the order of ``ord``, then of names; a null name is ``-``, a null label empty."""
+    files = files.withColumn("name", F.coalesce("name", F.lit("-")))
+    widths = files.groupBy("run").agg(F.max(F.length("name")).alias("width"))
+    line_no = F.row_number().over(W.partitionBy("run").orderBy("ord", "name", "label")) - 1
+    return files.join(widths, "run").select("run", line_no.alias("line_no"), F.concat(F.lit("  "), F.rpad("name", F.col("width"), F.lit(" ")), F.lit("  "), F.coalesce("label", F.lit(""))).alias("line"))
+
+
 def audit_sentence(summary: DataFrame) -> DataFrame:
     """One line on all centre areas."""
     n = lambda c: number(F.col(c))

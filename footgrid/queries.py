@@ -733,6 +733,36 @@ def frames(spark, sf_dir):
 # Small rules of runs and layers
 
 
+@query
+def snapshot_grid(spark, sf_dir):
+    """The grid as four layers of rectangles leave it."""
+    names = F.array(*map(F.lit, ("built", "green", "unbuildable", "centres")))
+    layers = burn_boxes(spark, sf_dir).select(F.get(names, (F.col("pid") % 4).cast("int")).alias("layer"), "r", "c")
+    return raster.snapshot(bridge.cells(spark, sf_dir), layers)
+
+
+@query
+def parameter_lines(spark, sf_dir):
+    """The dials of a run for each part, as lines of a report."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    dial = lambda v, name: v.cast("double").alias(name)
+    isolated = F.get(F.array(F.lit(0.0), F.lit(1e-4), F.lit(0.04), size / 1000), (k % 4).cast("int"))
+    runs = bridge.table(spark, sf_dir, "part").select(
+        k.alias("id"), dial(k % 4 * 25 + 25, "block_m"), (size * 10).alias("iterations"), dial(F.col("p_retailprice") * 100, "target"), dial(size / 100, "build"), isolated.alias("isolated"), dial(F.lit(600), "walk_m"),
+        dial(F.when(k % 3 > 0, k % 3 * 400), "centre_walk_m"), dial(k % 2 * 300, "green_walk_m"), dial(size * 10, "span_m"), *[dial(F.lit(d), f"d_{t}") for t, d in zip(params.TIERS, TIERS_KM2)],
+        *[dial(F.lit(p), f"p_{t}") for t, p in zip(params.TIERS, (0.25, 0.25, 0.5))], size.alias("least_cells"), (k % 2 == 0).alias("optimise"), (k % 5 * 10).alias("members"),
+    )
+    return report.parameter_lines(runs)
+
+
+@query
+def file_lines(spark, sf_dir):
+    """A run's files for each order, one a line item."""
+    name = F.concat(F.lit("plan_"), F.col("l_partkey"), F.lit(".tif"))
+    files = bridge.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("ord"), name.alias("name"), F.concat(F.lit("option "), F.col("l_returnflag")).alias("label"))
+    return report.file_lines(files)
+
+
 @query
 def burn_rings(spark, sf_dir):
     """Cells of slanted polygons."""

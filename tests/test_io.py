@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from footgrid import sinks, streaming
 from footgrid.functions import params, tags
-from footgrid.operators import geometry, walk
+from footgrid.operators import geometry, raster, walk
 from footgrid.plans import report
 from footgrid.sources import geojson
 
@@ -202,3 +202,24 @@ def test_ranges_of_a_collection_give_its_features(spark, tmp_path, indent):
     (tmp_path / "bad.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":"Feature"},"geometry":{"type":"Point","coordinates":[1,2]}}]}')
     with pytest.raises(Exception, match="no feature"):
         geojson.feature_ranges(spark, str(tmp_path / "bad.geojson")).collect()
+
+
+def test_parameter_and_file_lines(spark):
+    dials = "id int, block_m double, iterations int, target double, build double, isolated double, walk_m double, centre_walk_m double, green_walk_m double, span_m double, d_high double, d_medium double, d_low double, p_high double, p_medium double, p_low double, least_cells int, optimise boolean, members int"
+    full = (1, 50.0, 20, 12000.0, 0.3, 0.0001, 600.0, 800.0, 0.0, 100.0, 6000.0, 3000.0, 1000.0, 0.25, 0.25, 0.5, 4, True, 10)
+    rows = spark.createDataFrame([full, (2, *[None] * 18)], dials)
+    lines = {(x.id, x.line_no): x.line for x in report.parameter_lines(rows).collect()}
+    assert len(lines) == 24 and all(len(x.split(": ", 1)[0]) == 24 for x in lines.values())
+    assert [lines[1, i].split(": ", 1)[1] for i in (2, 3, 4, 5, 6, 9)] == ["12,000", "0.3", "Moderate", "800 m", "600 m", "~28 people (4 cells)"]
+    assert lines[2, 3].endswith(": -") and lines[2, 9].endswith(": -")
+    files = spark.createDataFrame([(1, 1, "b.tif", "two"), (1, 0, "long.json", "one"), (1, 1, "b.tif", None), (2, 0, None, "x")], "run int, ord int, name string, label string")
+    assert [(x.run, x.line_no, x.line) for x in report.file_lines(files).orderBy("run", "line_no").collect()] == [(1, 0, "  long.json  one"), (1, 1, "  b.tif      "), (1, 2, "  b.tif      two"), (2, 0, "  -  x")]
+    assert report.file_lines(files.where("false")).count() == 0 and report.parameter_lines(rows.where("false")).count() == 0
+
+
+def test_a_snapshot_keeps_built_land(spark):
+    cells = spark.createDataFrame([(0, c) for c in range(6)], "r int, c int")
+    on = [("built", 0), ("unbuildable", 0), ("centres", 0), ("green", 1), ("unbuildable", 1), ("centres", 2), ("green", 3), ("built", 3), ("built", 3), (None, 4), ("other", 5)]
+    layers = spark.createDataFrame([(k, 0, c) for k, c in on], "layer string, r int, c int")
+    got = {x.c: (x.state, x.origin, x.seed) for x in raster.snapshot(cells, layers).collect()}
+    assert got == {0: (1, 1, True), 1: (-1, 0, False), 2: (0, -1, False), 3: (1, 1, False), 4: (0, -1, False), 5: (0, -1, False)}
