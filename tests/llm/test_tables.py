@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from footgrid.llm import nbsvm_toxicity, warc_index
+from footgrid.llm import line_crf, nbsvm_toxicity, warc_index
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +88,15 @@ def test_empty_documents_pass_through(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_quality_of_documents_that_the_field_was_not_trained_on(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{k}.parquet") for k in ("documents", "labels"))
+    known = labels.where("quality IS NOT NULL")
+    field = line_crf.trained(docs, known.where("crc32(cast(doc_id AS string)) % 2 <> 0"))
+    got = line_crf.line_quality(docs, field).join(known.where("crc32(cast(doc_id AS string)) % 2 = 0"), "doc_id").select("quality", "base_failed", "kept").collect()
+    bad, good = [r for r in got if r.quality == 0], [r for r in got if r.quality == 1 and not r.base_failed]
+    assert len(bad) > 15 and len(good) > 100
+    assert sum(r.kept for r in bad) <= 0.1 * len(bad)
+    assert sum(r.kept for r in good) >= 0.95 * len(good)
