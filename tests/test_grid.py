@@ -222,6 +222,33 @@ def test_members_do_not_depend_on_batches_or_partitions(spark):
         growth.ensemble(cells, small(), 5, [0], most_cells=10)
 
 
+def test_tiles_grow_what_one_task_would(spark):
+    rng = np.random.default_rng(4)
+    state = np.where(rng.random((40, 34)) < 0.1, -1, 0)
+    state[4:12, 3:11], state[30:36, 20:30], state[20, 5], state[8, 30] = 1, 1, 2, 2
+    df = frame(spark, state).withColumn("origin", F.when(F.col("state") == 2, 2).when((F.col("r") + F.col("c")) % 11 == 0, 0).otherwise(-1)).where("r <> 7 OR c <> 20")
+    origin = np.full(state.shape, -1)
+    for x in df.collect():
+        origin[x.r, x.c] = x.origin
+    state[7, 20] = -1
+    p = small(3)
+    got = growth.ensemble(df.withColumn("r", F.col("r") + 5), p, 5, [2], tile=15).collect()
+    g = growth.Growth(state, origin, p, growth._seed(5, 2))
+    g.run()
+    assert len(got) == 40 * 34 - 1 and {x.steps for x in got} == {g.step_no} and {x.population for x in got} == {g.population}
+    assert all((x.state, x.density) == (g.state[x.r - 5, x.c], g.density[x.r - 5, x.c]) for x in got)
+    assert (g.state == 2).sum() > (state == 2).sum() and (g.state == 1).sum() > (state == 1).sum() + 50
+
+
+def test_footprints_are_walks():
+    open_ = np.random.default_rng(8).random((9, 11)) < 0.7
+    side = 2 * 4 + 1
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(open_, 4), (side, side)).reshape(-1, side, side)
+    start = np.zeros(windows.shape, bool)
+    start[:, 4, 4] = True
+    assert (growth.footprints(open_, 4, 4.5).reshape(windows.shape) == (walk.relaxed(start, windows, 4.5)[0] < walk.FAR)).all()
+
+
 def test_params_are_checked():
     for bad in ({"block_m": 0}, {"walk_m": 50.0}, {"shares": (0.5, 0.5, 0.5)}, {"densities_km2": (1.0, 2.0, 3.0)}, {"build": 1.5}, {"target": 0}):
         with pytest.raises(ValueError):
