@@ -61,12 +61,15 @@ def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def _cuts(edges: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
-    """``id``, ``x``, ``y``: places strictly inside an edge where another edge of its group meets it."""
+    """``id``, ``x``, ``y``, ``off``: places strictly inside an edge where another edge of its group meets it, and whether they are beside its line. Pairs without a
+    ``bent`` edge are left out: they were compared before.
+
+    Pairs that meet in several tiles are compared in each; only the cuts are dealt on, not the pairs."""
     k = list(keys)
-    spread = passed_tiles(edges.select("id", *k, *ENDS), tile)
-    one, two = (spread.select(*k, "tx", "ty", *[F.col(c).alias(f"{p}_{c}") for c in ("id", *ENDS)]) for p in "pq")
+    spread = passed_tiles(edges.select("id", "bent", *k, *ENDS), tile)
+    one, two = (spread.select(*k, "tx", "ty", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "bent", *ENDS)]) for p in "pq")
     box = " AND ".join(f"least(p_{a}0, p_{a}1) <= greatest(q_{a}0, q_{a}1) AND least(q_{a}0, q_{a}1) <= greatest(p_{a}0, p_{a}1)" for a in "xy")
-    pairs = one.join(two, [*k, "tx", "ty"]).where(f"p_id < q_id AND {box}").dropDuplicates(["p_id", "q_id"])
+    pairs = one.hint("merge").join(two, [*k, "tx", "ty"]).where(f"p_id < q_id AND (p_bent OR q_bent) AND {box}")  # no broadcast: each edge is many rows
     c = F.col
     ax, ay, bx, by = c("p_x1") - c("p_x0"), c("p_y1") - c("p_y0"), c("q_x1") - c("q_x0"), c("q_y1") - c("q_y0")
     wx, wy = c("q_x0") - c("p_x0"), c("q_y0") - c("p_y0")
@@ -76,28 +79,36 @@ def _cuts(edges: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     ends = [F.struct(c(f"{e}_x{i}").alias("x"), c(f"{e}_y{i}").alias("y")) for e in "pq" for i in "01"]
     # On one line: each other's ends; else the one place where both are.
     places = F.when((d == 0) & (aside == 0), F.array(*ends)).when(t.between(0, 1) & u.between(0, 1), F.array(meet))
-    met = pairs.select(F.array("p_id", "q_id").alias("ids"), F.explode(places).alias("m")).select(F.explode("ids").alias("id"), "m.*").distinct()
-    own = edges.select("id", *ENDS).join(met, "id")
+    own = [F.struct(c(f"{e}_id").alias("id"), *[c(f"{e}_{n}").alias(n) for n in ENDS]) for e in "pq"]
+    met = pairs.select(F.explode(places).alias("m"), *[o.alias(e) for o, e in zip(own, "pq")]).select("m.*", F.explode(F.array("p", "q")).alias("e")).select("x", "y", "e.*")
     inside = "x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1)"
-    return own.where(f"{inside} AND NOT (x = x0 AND y = y0) AND NOT (x = x1 AND y = y1)").select("id", "x", "y")
+    off = _cross(c("x1") - c("x0"), c("y1") - c("y0"), c("x") - c("x0"), c("y") - c("y0")) != 0
+    return met.where(f"{inside} AND NOT (x = x0 AND y = y0) AND NOT (x = x1 AND y = y1)").select("id", "x", "y", off.alias("off")).distinct()
 
 
 def noded(edges: DataFrame, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
-    """The edges, with all their columns, cut where they meet others of their group."""
+    """The edges, with all their columns, cut where they meet others of their group.
+
+    Pieces of an edge whose cuts all lie on its line meet nothing that it didn't, so a further round is for edges that were bent by rounding, and for what meets them."""
     others = [c for c in edges.columns if c not in ENDS]
-    now = edges
+    now = edges.withColumn("bent", F.lit(True))
     for _ in range(MOST_ROUNDS):
-        # Numbered once they are written, so that numbers stay.
-        now = kept(kept(now, "edges").withColumn("id", F.monotonically_increasing_id()), "numbered")
-        cuts, seen = kept_and_seen(_cuts(now, keys, tile), F.count(F.lit(1)).alias("n"), name="cuts")
+        # Numbered as they are written, so that numbers stay.
+        now = kept(now.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        cuts, seen = kept_and_seen(_cuts(now, keys, tile), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("off").cast("long")), F.lit(0)).alias("off"), name="cuts")
         if not seen["n"]:
-            return now.drop("id")
-        along = (F.col("x") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y1") - F.col("y0"))
-        ends = now.select("id", F.explode(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in "01"])).alias("m")).select("id", "m.*")
-        stops = now.join(cuts.union(ends), "id")
-        w = W.partitionBy("id").orderBy(along, "x", "y")
-        pieces = stops.select(*others, F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
-        now = pieces.where("x1 IS NOT NULL")
+            return now.drop("id", "bent")
+        # The cuts of an edge are gathered; each edge is then split in its own row.
+        stops = cuts.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("stops"), F.bool_or("off").alias("off"))
+        split = now.drop("bent").join(stops, "id", "left")
+        far = lambda p: (p["x"] - F.col("x0")) * (F.col("x1") - F.col("x0")) + (p["y"] - F.col("y0")) * (F.col("y1") - F.col("y0"))
+        ends = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in "01"])
+        placed = F.transform(F.concat(ends, F.coalesce("stops", F.array().cast("array<struct<x: bigint, y: bigint>>"))), lambda p: F.struct(far(p).alias("along"), p["x"].alias("x"), p["y"].alias("y")))
+        line = split.select(*others, F.coalesce("off", F.lit(False)).alias("bent"), F.array_sort(placed).alias("s"))
+        steps = F.explode(F.expr("zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> struct(a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1))"))
+        now = line.select(*others, "bent", steps.alias("e")).select(*others, "e.*", "bent")
+        if not seen["off"]:
+            return kept(now.drop("bent"), "noded")
     raise ArithmeticError(f"edges still meet after {MOST_ROUNDS} rounds of cuts")
 
 
@@ -112,9 +123,9 @@ def _unordered(pieces: DataFrame, *columns: Column | str) -> DataFrame:
     return pieces.select(*columns, pick("x0", "x1").alias("x0"), pick("y0", "y1").alias("y0"), pick("x1", "x0").alias("x1"), pick("y1", "y0").alias("y1"), F.when(ahead, 1).otherwise(-1).alias("sign"))
 
 
-def _depths(pieces: DataFrame, edges: DataFrame, keys: Sequence[str], sums: Sequence[str], tile: int) -> DataFrame:
-    """``pieces`` (keys, ends) with ``over_*``: how often the edges (keys, ends, a weight in each of ``sums``) of their group cover what is just above
-    their middle, or just to the right of it where they are upright. Pieces and edges point right, or up.
+def _depths(edges: DataFrame, keys: Sequence[str], sums: Sequence[str], tile: int) -> DataFrame:
+    """Edges (keys, ends, a weight in each of ``sums``), each once, with ``over_*``: how often the edges of their group cover what is just above
+    their middle, or just to the right of it where they are upright. Edges point right, or up.
 
     No path leaves a tile: it goes from the tile's upper left corner along its upper side and down to the middle. The
     corners' own depths are running sums down the left sides of a column of tiles. Coordinates are doubled and made odd, so that no end lies on a
@@ -127,22 +138,22 @@ def _depths(pieces: DataFrame, edges: DataFrame, keys: Sequence[str], sums: Sequ
     side = lambda x, y: c("dx") * (y - c("y0")) - c("dy") * (x - c("x0"))  # noqa: E731  over zero on the left of the edge
     crosses = (c("x0") < left) & (left < c("x1")) & (side(left, top) > 0) & (side(left, bottom) <= 0)
     nets = spread.where(crosses).groupBy(*k, "tx", "ty").agg(*[(-F.sum(n)).alias(f"net_{n}") for n in sums])
-    middle = pieces.select(*k, *ENDS, (c("x0") + c("x1") + 1).alias("mx"), (c("y0") + c("y1") + 1).alias("my"))
+    middle = edges.select(*k, *sums, *ENDS, (c("x0") + c("x1") + 1).alias("mx"), (c("y0") + c("y1") + 1).alias("my"))
     middle = middle.withColumn("tx", _floor(c("mx"), size)).withColumn("ty", _floor(c("my"), size))
     tiles = nets.union(middle.select(*k, "tx", "ty", *[F.lit(0).cast("long") for _ in sums])).groupBy(*k, "tx", "ty").agg(*[F.sum(f"net_{n}").alias(f"net_{n}") for n in sums])
     above = W.partitionBy(*k, "tx").orderBy(c("ty").desc()).rowsBetween(W.unboundedPreceding, -1)
     corners = tiles.select(*k, "tx", "ty", *[F.coalesce(F.sum(f"net_{n}").over(above), F.lit(0)).alias(f"corner_{n}") for n in sums])
-    both = middle.withColumnsRenamed({e: f"own_{e}" for e in ENDS}).join(spread, [*k, "tx", "ty"], "left")
+    both = middle.withColumnsRenamed({e: f"own_{e}" for e in (*ENDS, *sums)}).join(spread, [*k, "tx", "ty"], "left")
     up = F.when(c("dy") > 0, 1).otherwise(-1)
     past = side(left, top) * up
     along = (F.least("y0", "y1") < top) & (top < F.greatest("y0", "y1")) & ((past > 0) | (past == 0) & (c("dx") * up < 0)) & (side(c("mx"), top) * up <= 0)
     turn = side(c("mx"), top)
     down = (c("x0") <= c("mx")) & (c("mx") < c("x1")) & ((turn > 0) | (turn == 0) & (c("dy") < 0)) & (side(c("mx"), c("my")) < 0)
     step = F.when(along, -up).otherwise(0) - F.when(down, 1).otherwise(0)
-    own = [f"own_{e}" for e in ENDS]
+    own = [f"own_{e}" for e in (*ENDS, *sums)]
     met = both.groupBy(*k, "tx", "ty", *own).agg(*[F.sum(F.coalesce(step * c(n), F.lit(0))).alias(f"over_{n}") for n in sums])
     found = met.join(corners, [*k, "tx", "ty"])
-    return found.select(*k, *[c(f"own_{e}").alias(e) for e in ENDS], *[(c(f"over_{n}") + c(f"corner_{n}")).alias(f"over_{n}") for n in sums])
+    return found.select(*k, *[c(f"own_{e}").alias(e) for e in (*ENDS, *sums)], *[(c(f"over_{n}") + c(f"corner_{n}")).alias(f"over_{n}") for n in sums])
 
 
 def _directed(pieces: DataFrame, inside_left: Column, keys: Sequence[str]) -> DataFrame:
@@ -156,7 +167,7 @@ def valid(edges: DataFrame, keys: Sequence[str] = ("fid",), tile: int = TILE) ->
     k = list(keys)
     pieces = _unordered(noded(edges.select(*k, *ENDS), k, tile), *k).groupBy(*k, *ENDS).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
     pieces = kept(pieces.withColumn("n", F.lit(1).cast("long")), "pieces")
-    over = _depths(pieces, pieces, k, ["n"], tile)
+    over = _depths(pieces, k, ["n"], tile)
     # Of an upright piece it is the right side that was counted.
     return _directed(over, F.pmod(F.col("over_n") + F.expr("CAST(x0 = x1 AS INT)"), F.lit(2)) == 1, k)
 
@@ -172,10 +183,10 @@ def overlay(a: DataFrame, b: DataFrame, how: str, keys: Sequence[str] = ("fid",)
     both = a.select(*k, *ENDS, F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(*k, *ENDS, F.lit(0).alias("a"), F.lit(1).alias("b")))
     pieces = _unordered(noded(both, k, tile), *k, "a", "b")
     own = kept(pieces.groupBy(*k, *ENDS).agg(F.sum(F.col("a") * F.col("sign")).alias("a"), F.sum(F.col("b") * F.col("sign")).alias("b")).where("a <> 0 OR b <> 0"), "pieces")
-    over = _depths(own, own, k, ["a", "b"], tile)
+    over = _depths(own, k, ["a", "b"], tile)
     # Of an upright piece it is the right side that was counted; its inside is on its left.
     at = {s: [f"over_{n} + {f} * {n} AS {s}_{n}" for n in "ab"] for s, f in (("left", "CAST(x0 = x1 AS INT)"), ("right", "(CAST(x0 = x1 AS INT) - 1)"))}
-    sides = over.join(own, [*k, *ENDS]).selectExpr(*k, *ENDS, *at["left"], *at["right"])
+    sides = over.selectExpr(*k, *ENDS, *at["left"], *at["right"])
     left, right = (F.expr(RULES[how].format(s)) for s in ("left", "right"))
     return _directed(sides.where(left != right), left, k)
 
@@ -236,7 +247,7 @@ def _next(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def rings(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, ``ring``, ``pos`` (from 0), ends: directed edges linked to rings, numbered along each."""
     k = list(keys)
-    own = kept(kept(edges.select(*k, *ENDS), "edges").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    own = kept(edges.select(*k, *ENDS).withColumn("id", F.monotonically_increasing_id()), "numbered")
     steps = kept(_next(own, k), "steps")
     # The least number on each ring: each round looks twice as far ahead.
     now, before = steps.select("id", F.col("after").alias("to"), F.least("id", "after").alias("ring")), None

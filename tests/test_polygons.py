@@ -230,3 +230,13 @@ def test_features_are_repaired_and_extracted(spark):
     # The bow-tie's halves meet in a point: two parts of 2500; the wavy side is laid straight within 6 m.
     assert sorted(got)[:3] == [(1, 2500.0, 1), (1, 2500.0, 1), (2, 20_000.0, 1)] and len(got) == 4
     assert abs(sorted(got)[3][1] - 24_900) <= 600
+
+
+def test_exact_cuts_take_one_round_and_rounded_ones_go_on(spark, monkeypatch):
+    calls, cuts = [], pg._cuts
+    monkeypatch.setattr(pg, "_cuts", lambda *a: calls.append(1) or cuts(*a))
+    box = lambda x, y, n: [(x, y, x + n, y), (x + n, y, x + n, y + n), (x + n, y + n, x, y + n), (x, y + n, x, y)]
+    ends = "x0 long, y0 long, x1 long, y1 long"
+    assert pg.noded(spark.createDataFrame([*box(0, 0, 10), *box(5, 5, 10)], ends)).count() == 12 and len(calls) == 1
+    # They meet beside the grid: what is bent there is compared once more.
+    assert pg.noded(spark.createDataFrame([(0, 0, 5, 2), (0, 1, 4, 0)], ends)).count() == 4 and len(calls) == 3
