@@ -14,7 +14,8 @@ def neighbours(cells: DataFrame, queen: bool = True, keep: tuple[str, ...] = ())
     """Each cell with each neighbour in the grid: r, c, columns to ``keep``, slot ``i``, the neighbour's columns with ``n_`` before them."""
     around = cells.select("r", "c", *keep, F.explode(ring(queen)).alias("x")).select("r", "c", *keep, "x.i", (F.col("r") + F.col("x.dr")).alias("n_r"), (F.col("c") + F.col("x.dc")).alias("n_c"))
     others = cells.select(*[F.col(k).alias(f"n_{k}") for k in cells.columns])
-    return around.join(others, ["n_r", "n_c"])
+    # Sizes are judged by the files' bytes, before rows are made of them: without a hint either side may be sent through the driver whole.
+    return around.hint("merge").join(others, ["n_r", "n_c"])
 
 
 def neighbour_counts(cells: DataFrame, member: Column) -> DataFrame:
