@@ -101,7 +101,8 @@ def _nearest(sources: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     around = sources.select("ord", "r", "c", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
     near = around.select("ord", (F.col("r") + F.col("dr")).alias("tr"), (F.col("c") + F.col("dc")).alias("tc"), F.greatest(F.abs("dr"), F.abs("dc")).alias("ring"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    found = near.join(cells.select(F.col("r").alias("tr"), F.col("c").alias("tc")), ["tr", "tc"])
+    # A source is (2 reach + 1) squared rows here, which no size by bytes of files shows: never to be broadcast.
+    found = near.hint("merge").join(cells.select(F.col("r").alias("tr"), F.col("c").alias("tc")), ["tr", "tc"])
     return found.groupBy("ord").agg(F.min(F.struct("ring", "d2", "tr", "tc")).alias("b")).select("ord", F.col("b.ring").alias("ring"), F.col("b.tr").alias("r"), F.col("b.tc").alias("c"))
 
 
@@ -167,6 +168,8 @@ def buffered_line_cells(edges: DataFrame, cells: DataFrame, block: float, x_min:
         return F.when((length > 0) & t.between(0, 1), ax + t * dx)
 
     at = [*ends, side(1), side(-1)]
+    # A file of few bytes is one task, but each edge is many cells: dealt out before they are made.
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *edges.columns)
     # A hair's breadth more, for what rounding may lose; the distance decides.
     rows = edges.select("*", F.explode(F.sequence(r_from, r_to)).alias("r")).withColumn("a", F.least(*at) - 1e-6 * block).withColumn("b", F.greatest(*at) + 1e-6 * block)
     first, last = F.ceil((F.col("a") - x_min) / block - 0.5).cast("int"), F.floor((F.col("b") - x_min) / block - 0.5).cast("int")
@@ -175,7 +178,7 @@ def buffered_line_cells(edges: DataFrame, cells: DataFrame, block: float, x_min:
     square = dx * dx + dy * dy
     t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x0")) * dx + (y - F.col("y0")) * dy) / square)))
     within = F.hypot(px - F.col("x0") - t * dx, y - F.col("y0") - t * dy) <= width
-    return near.where(within).select("fid", "r", "c").distinct().join(cells.select("r", "c"), ["r", "c"], "left_semi").select("fid", "r", "c")
+    return near.where(within).select("fid", "r", "c").distinct().hint("merge").join(cells.select("r", "c"), ["r", "c"], "left_semi").select("fid", "r", "c")
 
 
 def large_enough_extent(grids: DataFrame, walk_m: float) -> DataFrame:

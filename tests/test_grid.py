@@ -222,6 +222,16 @@ def test_members_do_not_depend_on_batches_or_partitions(spark):
         growth.ensemble(cells, small(), 5, [0], most_cells=10)
 
 
+def test_rows_made_of_small_files_are_neither_broadcast_nor_made_in_one_task(spark):
+    cells = frame(spark, np.ones((6, 6), int))
+    seeds = cells.where("r = c").select(F.col("r").alias("ord"), "r", "c")
+    edges = seeds.select(F.col("ord").alias("fid"), *[F.lit(v).alias(n) for v, n in zip((0.0, 0.0, 300.0, 200.0), ("x0", "y0", "x1", "y1"))])
+    near, corridors = raster.nearest_built(seeds, cells, 8), raster.buffered_line_cells(edges, cells, 100.0, 0.0, 600.0, 150.0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in plan(df) for df in (nb.ring_runs(cells, F.col("n_state") > 0), near, corridors))
+    assert "REPARTITION_BY_NUM" in plan(corridors) and near.count() == 6 and corridors.where("fid = 0").count() > 6
+
+
 def test_tiles_grow_what_one_task_would(spark):
     rng = np.random.default_rng(4)
     state = np.where(rng.random((40, 34)) < 0.1, -1, 0)
