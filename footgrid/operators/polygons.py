@@ -11,7 +11,7 @@ layer), so a polygon may have any number of edges and no task holds a whole one:
   that the result has on one side only. Counts come from the edges of the piece's own tile and from running sums over tiles.
 * ``dissolved`` is what edges without an opposite leave of polygons that only adjoin.
 * ``rings`` links edges: of those that leave a place, the next is the first one clockwise from where the last one came, so
-  rings never cross; a ring is named by pointer doubling, in as many rounds as the logarithm of its length.
+  rings never cross; edges near each other are linked to chains at once, and chains by pointer doubling, in as many rounds as the logarithm of their number.
 
 Rings of area over zero are shells, the others holes. A ring may touch itself or others in a point. Parts with an area of zero vanish. Empty tables give no rows."""
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from footgrid.functions.storage import kept, kept_and_seen
@@ -233,38 +234,74 @@ def cell_edges(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.select(*keys, F.explode(F.array(*[F.struct(*[v.alias(n) for v, n in zip(s, ENDS)]) for s in sides])).alias("e")).select(*keys, "e.*")
 
 
-def _next(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``id``, ``after``: for each edge the one that its ring goes on with."""
+def _next(edges: DataFrame, keys: Sequence[str], span: int) -> DataFrame:
+    """``id``, ``after``: for each edge the one that its ring goes on with; ``place``: a number that edges of one group and one square of ``span`` share."""
     k = list(keys)
     angle = lambda a, b: F.atan2((F.col(f"y{b}") - F.col(f"y{a}")).cast("double"), (F.col(f"x{b}") - F.col(f"x{a}")).cast("double"))
-    ends = edges.select(*k, "id", F.col("x1").alias("x"), F.col("y1").alias("y"), angle("1", "0").alias("back"))
+    place = F.xxhash64(*k, _floor(F.col("x0"), span), _floor(F.col("y0"), span))
+    ends = edges.select(*k, "id", place.alias("place"), F.col("x1").alias("x"), F.col("y1").alias("y"), angle("1", "0").alias("back"))
     starts = edges.select(*k, F.col("id").alias("after"), F.col("x0").alias("x"), F.col("y0").alias("y"), angle("0", "1").alias("out"))
     turn = F.col("back") - F.col("out")
     clockwise = F.when(turn <= 1e-15, turn + 6.283185307179586).otherwise(turn)
-    return ends.join(starts, [*k, "x", "y"]).groupBy("id").agg(F.min_by("after", clockwise).alias("after"))
-
-
-def rings(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, ``ring``, ``pos`` (from 0), ends: directed edges linked to rings, numbered along each."""
+    return ends.join(starts, [*k, "x", "y"]).groupBy("id").agg(F.min_by("after", clockwise).alias("after"), F.first("place").alias("place"))
+
+
+def _chained(batches):
+    """Batches of ``id``, ``after`` with each edge's chain (``head``, its first edge, and ``off``, the steps from there), as far as it lies within the batch. A
+    head's row has its chain's ``n`` edges, the edge ``to`` which it goes on, and the least number ``low`` on it, ``low_off`` steps along."""
+    for rows in batches:
+        ids, after = rows["id"].tolist(), rows["after"].tolist()
+        step = dict(zip(ids, after))
+        entered = {x for x in after if x in step}
+        out, seen = [], set()
+        # Chains from edges that none of the batch leads to; then rings that lie within it, from their least number.
+        for head in (*(x for x in ids if x not in entered), *sorted(entered)):
+            if head in seen:
+                continue
+            chain, x = [], head
+            while x in step and x not in seen:
+                seen.add(x)
+                chain.append(x)
+                x = step[x]
+            low = min(chain)
+            out.append((head, head, 0, len(chain), x, low, chain.index(low)))
+            out.extend((y, head, i, None, None, None, None) for i, y in enumerate(chain) if i)
+        columns = ["id", "head", "off", "n", "to", "low", "low_off"]
+        yield pd.DataFrame({c: pd.array([x[i] for x in out], dtype="Int64") for i, c in enumerate(columns)})
+
+
+def rings(edges: DataFrame, keys: Sequence[str] = (), span: int = 10 * TILE) -> DataFrame:
+    """keys, ``ring``, ``pos`` (from 0), ends: directed edges linked to rings, numbered along each.
+
+    Edges near each other (in a square of ``span``) are dealt together and linked to chains batch by batch; only chains that lead out of their batch are
+    linked on by pointer doubling."""
     k = list(keys)
     own = kept(edges.select(*k, *ENDS).withColumn("id", F.monotonically_increasing_id()), "numbered")
-    steps = kept(_next(own, k), "steps")
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = _next(own, k, span).repartition(n, "place").sortWithinPartitions("place").select("id", "after")
+    linked = kept(near.mapInPandas(_chained, "id long, head long, off long, n long, to long, low long, low_off long"), "chains")
+    chains = linked.where("n IS NOT NULL").select("id", "to", "low", "low_off", "n")
+    whole, steps = chains.where("id = to"), chains.where("id <> to")
     # The least number on each ring: each round looks twice as far ahead.
-    now, before = steps.select("id", F.col("after").alias("to"), F.least("id", "after").alias("ring")), None
+    now, before = steps.select("id", "to", F.col("low").alias("ring")), None
     now, seen = kept_and_seen(now, F.sum(F.col("ring").cast("decimal(38,0)")).alias("s"), name="rings")
     while seen["s"] != before:
         before = seen["s"]
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
         now, seen = kept_and_seen(now.join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring")), F.sum(F.col("ring").cast("decimal(38,0)")).alias("s"), name="rings")
-    # Steps that are left to the ring's first edge, looked up in the same way.
-    rank = steps.join(now.select("id", "ring"), "id").select("id", "ring", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("to"), F.lit(1).cast("long").alias("left"))
+    # Steps that are left to the chain that holds the ring's first edge, looked up in the same way.
+    named = kept(steps.join(now.select("id", "ring"), "id"), "named")
+    first = named.where("low = ring").select("ring", F.col("id").alias("first"), "low_off")
+    rank = named.drop("low", "low_off").join(first, "ring").select("id", "ring", "low_off", F.when(F.col("to") != F.col("first"), F.col("to")).alias("to"), F.col("n").alias("left"))
     rank, seen = kept_and_seen(rank, F.count("to").alias("n"), name="ranks")
     while seen["n"]:
         ahead = rank.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        rank, seen = kept_and_seen(rank.join(ahead, "to", "left").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")), F.count("to").alias("n"), name="ranks")
+        rank, seen = kept_and_seen(rank.join(ahead, "to", "left").select("id", "ring", "low_off", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")), F.count("to").alias("n"), name="ranks")
     size = rank.groupBy("ring").agg(F.max("left").alias("size"))
-    placed = rank.join(size, "ring").select("id", "ring", (F.col("size") - F.col("left")).alias("pos"))
-    return own.join(placed, "id").select(*k, "ring", "pos", *ENDS)
+    placed = rank.join(size, "ring").select(F.col("id").alias("head"), "ring", "size", (F.col("size") - F.col("left") - F.col("low_off")).alias("at"))
+    placed = placed.union(whole.select("id", F.col("low").alias("ring"), F.col("n").alias("size"), -F.col("low_off")))
+    numbered = linked.select("id", "head", "off").join(placed, "head").select("id", "ring", F.pmod(F.col("at") + F.col("off"), F.col("size")).alias("pos"))
+    return own.join(numbered, "id").select(*k, "ring", "pos", *ENDS)
 
 
 def twice_area() -> Column:

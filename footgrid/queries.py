@@ -223,7 +223,7 @@ def _outlined(cells, keys=()):
     """keys, root_r, root_c, cells, sides, rings of each connected part (by sides) of cells."""
     k = [*keys, "root"]
     labels = comp.components(cells, False, keys)
-    linked = kept(polygons.rings(polygons.dissolved(polygons.cell_edges(labels, k), k), k), "rings")
+    linked = kept(polygons.rings(polygons.dissolved(polygons.cell_edges(labels, k), k), k, 64), "rings")
     found = polygons.ring_measures(linked, k).groupBy(*k).agg((F.sum("area2") / 2).cast("long").alias("cells"), F.sum("edges").alias("sides"), F.count(F.lit(1)).alias("rings"))
     return found.select(*keys, F.shiftright("root", 32).cast("int").alias("root_r"), (F.col("root") % (1 << 32)).cast("int").alias("root_c"), "cells", "sides", "rings")
 

@@ -240,3 +240,26 @@ def test_exact_cuts_take_one_round_and_rounded_ones_go_on(spark, monkeypatch):
     assert pg.noded(spark.createDataFrame([*box(0, 0, 10), *box(5, 5, 10)], ends)).count() == 12 and len(calls) == 1
     # They meet beside the grid: what is bent there is compared once more.
     assert pg.noded(spark.createDataFrame([(0, 0, 5, 2), (0, 1, 4, 0)], ends)).count() == 4 and len(calls) == 3
+
+
+def test_rings_are_numbered_alike_whatever_batches_chain_them(spark):
+    box = lambda x, n: [e for i in range(n) for e in ((x + i, 0, x + i + 1, 0), (x + i + 1, 9, x + i, 9))] + [(x + n, 0, x + n, 9), (x, 9, x, 0)]
+    edges = spark.createDataFrame([*box(0, 5), *box(20, 2), *box(40, 9)], "x0 long, y0 long, x1 long, y1 long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    try:
+        for batch, span in (("3", 7), (was, 1000)):
+            spark.conf.set(size, batch)
+            found = {}
+            for x in pg.rings(edges, (), span).collect():
+                found.setdefault(x.ring, []).append((x.pos, x.x0, x.y0, x.x1, x.y1))
+            assert sorted(map(len, found.values())) == [6, 12, 20]
+            for ring in map(sorted, found.values()):
+                assert [e[0] for e in ring] == list(range(len(ring))) and all(a[3:] == b[1:3] for a, b in zip(ring, [*ring[1:], ring[0]]))
+    finally:
+        spark.conf.set(size, was)
+    import pandas as pd
+
+    # A ring that lies within a batch is done there; nothing is left to link on.
+    done = next(pg._chained([pd.DataFrame({"id": [1, 2, 3], "after": [2, 3, 1]})])).dropna()
+    assert [(x.id, x.to, x.n, x.low) for x in done.itertuples()] == [(1, 1, 3, 1)]
