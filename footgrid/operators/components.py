@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from footgrid.functions.codes import QUEEN, ROOK, ring
 from footgrid.functions.storage import kept, kept_and_seen
-from footgrid.operators.tiles import TILE, grid_of, on_tiles
+from footgrid.operators.tiles import TILE, framed, grid_of, on_tiles, own_rows
 
 SHIFT = 32
+#: A component of fewer cells is seen whole within as many steps of each of its cells, so a halo tells it; for more, components are labelled.
+MOST_SEEN = 64
 
 
 def local_labels(mask: np.ndarray, queen: bool) -> np.ndarray:
@@ -90,8 +92,34 @@ def numbered(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return labels.join(ranked, [*k, "root"]).select(*k, "r", "c", "root", "label")
 
 
-def large_components(cells: DataFrame, least: int, queen: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+def sizes(mask: np.ndarray, queen: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's component within one array (-1 outside) and the cells of each."""
+    label = local_labels(mask, queen)
+    return label, np.bincount(label[mask], minlength=mask.size)
+
+
+def large(mask: np.ndarray, least: int, queen: bool) -> np.ndarray:
+    """The cells in components of at least ``least`` cells; right where ``least`` cells or more from the array's edge."""
+    label, size = sizes(mask, queen)
+    return mask & (size[label] >= least)
+
+
+def large_components(cells: DataFrame, least: int, queen: bool = False, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """keys, r, c of the cells in components of at least ``least`` cells."""
-    labels = components(cells, queen, keys)
+    if least <= MOST_SEEN:
+        own = cells.select(*keys, "r", "c")
+
+        def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+            mine = own_rows(rows, r0, c0, tile)
+            if not mine.any():
+                return rows.loc[mine, ["r", "c"]]
+            r, c, shape = framed(rows)
+            mask, at = np.zeros(shape, bool), (rows["r"].to_numpy() - r, rows["c"].to_numpy() - c)
+            mask[at] = True
+            return rows.loc[mine & large(mask, least, queen)[at], ["r", "c"]]
+
+        named = "".join(f"{x} {own.schema[x].dataType.simpleString()}, " for x in keys)
+        return on_tiles(own, work, named + "r int, c int", least, keys, tile)
+    labels = components(cells, queen, keys, tile)
     big = labels.groupBy(*keys, "root").count().where(F.col("count") >= least).select(*keys, "root")
     return labels.join(big, [*keys, "root"], "left_semi").select(*keys, "r", "c")

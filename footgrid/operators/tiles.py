@@ -42,3 +42,15 @@ def grid_of(rows: pd.DataFrame, r0: int, c0: int, column: str, halo: int, fill,
     out = np.full((tile + 2 * halo, tile + 2 * halo), fill, dtype=dtype)
     out[rows["r"].to_numpy() - r0 + halo, rows["c"].to_numpy() - c0 + halo] = rows[column].to_numpy()
     return out
+
+
+def framed(rows: pd.DataFrame) -> tuple[int, int, tuple[int, int]]:
+    """First row, first column and shape of the box about a tile's rows; a grid may be narrower than a tile."""
+    r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    return int(r.min()), int(c.min()), (int(np.ptp(r)) + 1, int(np.ptp(c)) + 1)
+
+
+def own_rows(rows: pd.DataFrame, r0: int, c0: int, tile: int = TILE) -> np.ndarray:
+    """Which rows are a tile's own, not its halo's."""
+    r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    return (r >= r0) & (r < r0 + tile) & (c >= c0) & (c < c0 + tile)

@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footgrid.functions.codes import BUILT_CODES, CENTRE_CODES
-from footgrid.operators.components import components, large_components
+from footgrid.operators.components import MOST_SEEN, components, large, large_components, sizes
+from footgrid.operators.tiles import TILE, framed, on_tiles, own_rows
 
 
-def state_to_plan(states: DataFrame, block_m: float, span_m: float, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, r, c, plan from state and origin: unbuildable land is none; fixed green and green in rook
-    components of enough cells are green, other green none; urban cells are built."""
+def _schema(cells: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"{x} {cells.schema[x].dataType.simpleString()}" for x in columns)
+
+
+def state_to_plan(states: DataFrame, block_m: float, span_m: float, keys: Sequence[str] = (), also: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """keys, r, c, plan from state and origin, and the columns ``also``: unbuildable land is none; fixed green and green in rook
+    components of enough cells are green, other green none; urban cells are built.
+
+    Where components of enough cells are small, tiles with a halo of as many cells tell them and nothing is joined."""
     least = max(1, round((span_m / block_m) ** 2))
-    parks = large_components(states.where("state = 0"), least, False, keys).withColumn("park", F.lit(True))
     code = F.when(F.col("state") == -1, 0).when((F.col("origin") == 0) | F.col("park"), 1).when(F.col("state") > 0, 2).otherwise(0)
-    return states.join(parks, [*keys, "r", "c"], "left").select(*keys, "r", "c", code.cast("int").alias("plan"))
+    if least > MOST_SEEN:
+        parks = large_components(states.where("state = 0"), least, False, keys, tile).withColumn("park", F.lit(True))
+        return states.join(parks, [*keys, "r", "c"], "left").select(*keys, "r", "c", code.cast("int").alias("plan"), *also)
+    carried = [x for x in dict.fromkeys(("state", "origin", *also))]
+    own = states.select(*keys, "r", "c", *carried)
+
+    def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+        mine = own_rows(rows, r0, c0, tile)
+        if not mine.any():
+            return rows.loc[mine, ["r", "c", *carried]].assign(park=False)
+        r, c, shape = framed(rows)
+        mask, at = np.zeros(shape, bool), (rows["r"].to_numpy() - r, rows["c"].to_numpy() - c)
+        mask[at] = rows["state"].to_numpy() == 0
+        return rows.loc[mine, ["r", "c", *carried]].assign(park=large(mask, least, False)[at][mine])
+
+    found = on_tiles(own, work, _schema(own, [*keys, "r", "c", *carried]) + ", park boolean", least, keys, tile)
+    return found.select(*keys, "r", "c", code.cast("int").alias("plan"), *also)
 
 
 def marked_existing(plan: DataFrame, centre: Column, old_centre: Column, old_built: Column) -> DataFrame:
@@ -44,12 +68,32 @@ def shown_likelihood(surfaces: DataFrame, least: float = 0.04) -> DataFrame:
     return surfaces.where(F.col("p_built") > least).select("r", "c", F.round(0.30 + 0.70 * F.col("p_built"), 6).alias("opacity"))
 
 
-def pruned(plan: DataFrame, least: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Settlements (queen components of urban cells) of fewer than ``max(least, 4)`` cells that hold nothing old become green."""
-    k = list(keys)
-    labels = components(plan.where(F.col("plan").isin(*BUILT_CODES)), True, k)
+def pruned(plan: DataFrame, least: int, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """Settlements (queen components of urban cells) of fewer than ``max(least, 4)`` cells that hold nothing old become green.
+
+    So small a settlement lies within a halo of as many cells; where that would be wide, settlements are labelled and joined."""
+    k, least = list(keys), max(least, 4)
+    if least <= MOST_SEEN:
+        others = [x for x in plan.columns if x not in (*k, "r", "c")]
+        own = plan.select(*k, "r", "c", *others)
+
+        def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+            mine = own_rows(rows, r0, c0, tile)
+            if not mine.any():
+                return rows.loc[mine, ["r", "c", *others]].assign(gone=False)
+            r, c, shape = framed(rows)
+            mask, old, at, code = np.zeros(shape, bool), np.zeros(shape, bool), (rows["r"].to_numpy() - r, rows["c"].to_numpy() - c), rows["plan"]
+            mask[at], old[at] = code.isin(BUILT_CODES), code.isin((4, 5))
+            label, size = sizes(mask, True)
+            held = np.bincount(label[old], minlength=mask.size)
+            gone = mask & (size[label] < least) & (held[label] == 0)
+            return rows.loc[mine, ["r", "c", *others]].assign(gone=gone[at][mine])
+
+        found = on_tiles(own, work, _schema(own, own.columns) + ", gone boolean", least, k, tile)
+        return found.withColumn("plan", F.when(F.col("gone"), 1).otherwise(F.col("plan")).cast("int")).select(*plan.columns)
+    labels = components(plan.where(F.col("plan").isin(*BUILT_CODES)), True, k, tile)
     urban = plan.join(labels, [*k, "r", "c"])
-    small = urban.groupBy(*k, "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("plan").isin(4, 5)).alias("old")).where((F.col("n") < max(least, 4)) & ~F.col("old")).select(*k, "root")
+    small = urban.groupBy(*k, "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("plan").isin(4, 5)).alias("old")).where((F.col("n") < least) & ~F.col("old")).select(*k, "root")
     gone = labels.join(small, [*k, "root"], "left_semi").select(*k, "r", "c", F.lit(True).alias("gone"))
     return plan.join(gone, [*k, "r", "c"], "left").withColumn("plan", F.when(F.col("gone"), 1).otherwise(F.col("plan")).cast("int")).drop("gone")
 
@@ -73,7 +117,7 @@ def centre_areas(plan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def raw_plan(states: DataFrame, block_m: float, span_m: float) -> DataFrame:
     """r, c, plan of a member as it grew (r, c, state, origin), before any clean-up: its own centres shown, old fabric marked."""
-    coded = state_to_plan(states, block_m, span_m).join(states.select("r", "c", "state", "origin"), ["r", "c"])
+    coded = state_to_plan(states, block_m, span_m, also=("state", "origin"))
     shown = coded.withColumn("plan", F.when(F.col("state") == 2, 3).otherwise(F.col("plan")))
     return marked_existing(shown, F.lit(False), F.lit(False), F.col("origin") == 1).select("r", "c", "plan")
 

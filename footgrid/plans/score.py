@@ -7,24 +7,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from footgrid.functions.codes import BUILT_CODES, CENTRE_CODES
 from footgrid.functions.storage import kept
-from footgrid.operators.components import large_components
+from footgrid.operators.components import MOST_SEEN, large, large_components
 from footgrid.operators.neighbours import neighbours
-from footgrid.operators.walk import ROOT2, served_by_area, walk_field
+from footgrid.operators.tiles import TILE, framed, on_tiles, own_rows
+from footgrid.operators.walk import FAR, ROOT2, relaxed, served_by_area, steps_within, walk_field
 from footgrid.plans.classify import centre_areas
 
 
-def distances(plan: DataFrame, block_m: float, centre_m: float, green_m: float, span_m: float, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, r, c, plan, centre_dist, green_dist: walks to a centre and to a park large enough, over all cells but those of code 0."""
+def distances(plan: DataFrame, block_m: float, centre_m: float, green_m: float, span_m: float, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """keys, r, c, plan, park, centre_dist, green_dist: walks to a centre and to a park large enough, over all cells but those of code 0.
+
+    Where a large enough park is of few cells, a tile with a halo of a walk and of as many cells tells its parks and walks both ways, so that
+    cells are shuffled once and never joined."""
     k = list(keys)
     bound = max(centre_m, green_m)
     least = max(1, round((span_m / block_m) ** 2))
-    parks = large_components(plan.where("plan = 1"), least, False, k).withColumn("park", F.lit(True))
+    if least <= MOST_SEEN:
+        reach, limit = steps_within(bound, block_m), bound / block_m
+        own = plan.select(*k, "r", "c", "plan")
+
+        def work(rows: pd.DataFrame, r0: int, c0: int) -> pd.DataFrame:
+            mine = own_rows(rows, r0, c0, tile)
+            if not mine.any():
+                return rows.loc[mine, ["r", "c", "plan"]].assign(park=False, centre_dist=0.0, green_dist=0.0)
+            r, c, shape = framed(rows)
+            codes, at = np.zeros(shape, np.int64), (rows["r"].to_numpy() - r, rows["c"].to_numpy() - c)
+            codes[at] = rows["plan"]
+            park = large(codes == 1, least, False)
+            at = (at[0][mine], at[1][mine])
+            out = rows.loc[mine, ["r", "c", "plan"]].assign(park=park[at])
+            for name, start in (("centre_dist", np.isin(codes, CENTRE_CODES)), ("green_dist", park)):
+                s, d = (x[at] for x in relaxed(start, codes != 0, limit))
+                out[name] = np.where(s < FAR, float(block_m) * (s + d * ROOT2), np.nan)
+            return out
+
+        named = "".join(f"{x} {own.schema[x].dataType.simpleString()}, " for x in k)
+        found = on_tiles(own, work, named + "r int, c int, plan int, park boolean, centre_dist double, green_dist double", reach + least, k, tile)
+        return found.select(*k, "r", "c", "plan", "park", *[F.nullif(F.col(x), F.lit(float("nan"))).alias(x) for x in ("centre_dist", "green_dist")])
+    parks = large_components(plan.where("plan = 1"), least, False, k, tile).withColumn("park", F.lit(True))
     marked = kept(plan.join(parks, [*k, "r", "c"], "left").select(*k, "r", "c", "plan", F.coalesce("park", F.lit(False)).alias("park")), "parks")
-    field = lambda target, name: walk_field(marked, target, F.col("plan") == 0, bound, block_m, k).select(*k, "r", "c", F.col("dist").alias(name))
+    field = lambda target, name: walk_field(marked, target, F.col("plan") == 0, bound, block_m, k, tile).select(*k, "r", "c", F.col("dist").alias(name))
     to_centre, to_green = field(F.col("plan").isin(*CENTRE_CODES), "centre_dist"), field(F.col("park"), "green_dist")
     return marked.join(to_centre, [*k, "r", "c"], "left").join(to_green, [*k, "r", "c"], "left").select(*k, "r", "c", "plan", "park", "centre_dist", "green_dist")
 

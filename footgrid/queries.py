@@ -446,7 +446,7 @@ def classify_cells(spark, sf_dir):
 def _plan(spark, sf_dir):
     """The bridge's plan: coded, with origin and density."""
     grid = bridge.plan(spark, sf_dir)
-    coded = classify.state_to_plan(grid, G, SPAN_M).join(grid, ["r", "c"])
+    coded = classify.state_to_plan(grid, G, SPAN_M, also=("state", "origin", "density", "old_centre"))
     marked = classify.marked_existing(coded, F.col("state") == 2, F.col("old_centre"), F.col("origin") == 1)
     return marked.select("r", "c", "plan", "origin", "density")
 
@@ -578,9 +578,9 @@ def tier_breakdown(spark, sf_dir):
 
 def _member_plans(spark, sf_dir):
     """The ensemble's states coded as plans, members taken by a stride of two, three at most."""
-    states = growth.strided(bridge.members(spark, sf_dir), "member", 7, 3).join(bridge.cells(spark, sf_dir).select("r", "c", "origin"), ["r", "c"])
-    coded = classify.state_to_plan(states, G, SPAN_M, ("member",))
-    return coded.join(states.select("member", "r", "c", "state"), ["member", "r", "c"]).select("member", "r", "c", F.when(F.col("state") == 2, 3).otherwise(F.col("plan")).alias("plan"))
+    states = growth.strided(bridge.members(spark, sf_dir), "member", 7, 3)
+    coded = classify.state_to_plan(states, G, SPAN_M, ("member",), ("state",))
+    return coded.select("member", "r", "c", F.when(F.col("state") == 2, 3).otherwise(F.col("plan")).alias("plan"))
 
 
 def _scored_members(plan):
@@ -843,7 +843,7 @@ def raw_pre_plan(spark, sf_dir):
     """The plan of the best member before any clean-up."""
     best = growth.best_member(_member_scores(spark, sf_dir)).select("member")
     states = bridge.members(spark, sf_dir).join(F.broadcast(best), "member", "left_semi")  # one row
-    return classify.raw_plan(states.join(bridge.cells(spark, sf_dir).select("r", "c", "origin"), ["r", "c"]).select("r", "c", "state", "origin"), G, SPAN_M)
+    return classify.raw_plan(states.select("r", "c", "state", "origin"), G, SPAN_M)
 
 
 @query

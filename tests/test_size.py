@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from footgrid.plans import growth
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from footgrid.operators import components as comp
+from footgrid.plans import classify, growth, score
 from footgrid.sources import bridge
 
 
@@ -30,3 +35,38 @@ def test_members_shuffle_cells_and_line_items_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def _members(spark, seed: int, names: tuple[str, ...], *levels) -> pd.DataFrame:
+    """Two members' random grids of 41 by 30 cells, some missing, that start at no tile's corner."""
+    rnd, parts = np.random.default_rng(seed), []
+    for m in (1, 2):
+        r, c = (x.ravel() + 5 for x in np.indices((41, 30)))
+        part = pd.DataFrame({"member": m, "r": r, "c": c} | {n: rnd.choice(v, len(r), p=p) for n, (v, p) in zip(names, levels)})
+        parts.append(part[rnd.random(len(part)) < 0.95])
+    return spark.createDataFrame(pd.concat(parts)).select(*[F.col(k).cast("int") for k in ("member", "r", "c", *names)])
+
+
+def test_tiles_tell_what_labels_tell_without_joins(spark, monkeypatch):
+    """Coding, pruning and distances within a halo's tiles against labelled components; and cells are shuffled once."""
+    states = _members(spark, 1, ("state", "origin"), ((-1, 0, 1, 2), (0.1, 0.45, 0.4, 0.05)), ((-1, 0, 1), (0.8, 0.1, 0.1))).cache()
+    plans = _members(spark, 2, ("plan",), ((0, 1, 2, 3, 4, 5), (0.5, 0.3, 0.14, 0.03, 0.02, 0.01))).cache()
+    k = ("member",)
+    works = {
+        "large": lambda: comp.large_components(states.where("state = 0"), 7, False, k, 8),
+        "coded": lambda: classify.state_to_plan(states, 100.0, 300.0, k, ("origin",), 8),
+        "pruned": lambda: classify.pruned(plans, 6, k, 8),
+        "distances": lambda: score.distances(plans, 100.0, 500.0, 300.0, 300.0, k, 8).select("*"),
+    }
+    short = {name: f() for name, f in works.items()}
+    for df in short.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(comp, "MOST_SEEN", 0)
+    monkeypatch.setattr(classify, "MOST_SEEN", 0)
+    monkeypatch.setattr(score, "MOST_SEEN", 0)
+    for name, f in works.items():
+        long = f()
+        got, want = (sorted(map(tuple, df.select(long.columns).collect()), key=str) for df in (short[name], long))
+        assert got == want and len(want) > 100, name
+    assert short["distances"].where("isnan(centre_dist) OR isnan(green_dist)").count() == 0 < short["distances"].where("centre_dist IS NULL").count()
