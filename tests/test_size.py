@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from footgrid.operators import components as comp
-from footgrid.plans import classify, growth, score
+from footgrid.plans import centres, classify, growth, score
 from footgrid.sources import bridge
 
 
@@ -70,3 +70,12 @@ def test_tiles_tell_what_labels_tell_without_joins(spark, monkeypatch):
         got, want = (sorted(map(tuple, df.select(long.columns).collect()), key=str) for df in (short[name], long))
         assert got == want and len(want) > 100, name
     assert short["distances"].where("isnan(centre_dist) OR isnan(green_dist)").count() == 0 < short["distances"].where("centre_dist IS NULL").count()
+
+
+def test_rounds_of_centres_read_packed_tiles_not_cells(spark):
+    cells = spark.createDataFrame([(r, c, 3 if (r, c) == (4, 4) else 2) for r in range(9) for c in range(9)], "r int, c int, plan int")
+    of = centres.Settlements(cells, 100.0, 200.0, 16)
+    points = of.points(3, centres.OWN)
+    for rows in (of._moved(points), of._walks(points)):
+        assert not [x for x in rows.inputFiles() if "/ground-" in x]
+    assert of._lost(points).count() == 81 - 13 and of._lost(points, points).count() == 0
