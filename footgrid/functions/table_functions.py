@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
-from pyspark.sql.functions import udtf
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import arrow_udtf
 
 from footgrid.operators.components import local_labels
 from footgrid.operators.tiles import TILE, with_tiles
@@ -26,55 +27,67 @@ def tiled(cells: DataFrame, target: Column, open_: Column, bound_m: float, block
     return with_tiles(marked, steps_within(bound_m, block_m), tile).select("tr", "tc", "r", "c", "target", "open")
 
 
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+
 class _Collected:
-    """A partition's rows as arrays."""
+    """A partition's rows, which come as slices of Arrow batches."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
+        self.batches: list[pa.RecordBatch] = []
 
-    def array(self, k: int, kind=np.int64) -> np.ndarray:
-        return np.array([row[k] for row in self.rows], dtype=kind)
+    def arrays(self, *names: str) -> list[np.ndarray]:
+        rows = pa.Table.from_batches(self.batches)
+        return [rows[k].to_numpy() for k in names]
 
 
-@udtf(returnType="r int, c int, n_orth int, n_diag int, length double")
+@arrow_udtf(returnType="r int, c int, n_orth int, n_diag int, length double")
 class WalkTiles(_Collected):
     """Shortest walks, in blocks, from the targets of a tile and its halo to its own cells."""
 
-    def eval(self, row: Row, bound: float, tile: int):
-        self.at, self.bound, self.tile = (row["tr"], row["tc"]), float(bound), tile
-        self.rows.append((row["r"], row["c"], row["target"], row["open"]))
+    def eval(self, rows: pa.RecordBatch, bound: pa.Array, tile: pa.Array):
+        if not self.batches:
+            self.at, self.bound, self.tile = (rows["tr"][0].as_py(), rows["tc"][0].as_py()), float(bound[0].as_py()), tile[0].as_py()
+        self.batches.append(rows)
 
-    def terminate(self) -> Iterator[tuple]:
-        if not self.rows:
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if not self.batches:
+            return
+        r, c, target, open_ = self.arrays("r", "c", "target", "open")
+        # A grid may be narrower than a tile: only the box about the rows is walked.
+        r_min, c_min = r.min(), c.min()
+        start, walkable = (np.zeros((np.ptp(r) + 1, np.ptp(c) + 1), bool) for _ in range(2))
+        start[r - r_min, c - c_min], walkable[r - r_min, c - c_min] = target.astype(bool), open_.astype(bool)
+        r0, c0 = (max(0, k * self.tile - low) for k, low in zip(self.at, (r_min, c_min)))
+        r1, c1 = (max(0, (k + 1) * self.tile - low) for k, low in zip(self.at, (r_min, c_min)))
+        if not start.any() or not start[r0:r1, c0:c1].size:
             return
-        halo, tile = int(np.floor(self.bound + 1e-9)), self.tile
-        r0, c0 = self.at[0] * tile, self.at[1] * tile
-        a, b = self.array(0) - r0 + halo, self.array(1) - c0 + halo
-        start, open_ = (np.zeros((tile + 2 * halo,) * 2, bool) for _ in range(2))
-        start[a, b], open_[a, b] = self.array(2, bool), self.array(3, bool)
-        s, d = (x[halo : halo + tile, halo : halo + tile] for x in relaxed(start, open_, self.bound))
-        for i, j in np.argwhere(s < FAR).tolist():
-            yield i + r0, j + c0, int(s[i, j]), int(d[i, j]), float(s[i, j] + d[i, j] * ROOT2)
+        s, d = (x[r0:r1, c0:c1] for x in relaxed(start, walkable, self.bound))
+        i, j = np.nonzero(s < FAR)
+        s, d = s[i, j], d[i, j]
+        yield _batch(r=(i + r0 + r_min).astype(np.int32), c=(j + c0 + c_min).astype(np.int32), n_orth=s, n_diag=d, length=s + d * ROOT2)
 
 
-@udtf(returnType="r int, c int, first_r int, first_c int")
+@arrow_udtf(returnType="r int, c int, first_r int, first_c int")
 class LabelTiles(_Collected):
     """The first cell, in row-major order, of each cell's component within its partition; by eight directions, or four if ``queen`` is false."""
 
-    def eval(self, row: Row, queen: bool):
-        self.queen = queen
-        self.rows.append((row["r"], row["c"]))
+    def eval(self, rows: pa.RecordBatch, queen: pa.Array):
+        self.queen = queen[0].as_py()
+        self.batches.append(rows)
 
-    def terminate(self) -> Iterator[tuple]:
-        if not self.rows:
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if not self.batches:
             return
-        r, c = self.array(0), self.array(1)
+        r, c = self.arrays("r", "c")
+        r_min, c_min = r.min(), c.min()
         mask = np.zeros((np.ptp(r) + 1, np.ptp(c) + 1), bool)
-        mask[r - r.min(), c - c.min()] = True
+        mask[r - r_min, c - c_min] = True
         first = local_labels(mask, self.queen)
-        width = mask.shape[1]
-        for i, j in np.argwhere(mask).tolist():
-            yield i + int(r.min()), j + int(c.min()), int(first[i, j] // width + r.min()), int(first[i, j] % width + c.min())
+        i, j = np.nonzero(mask)
+        found = {"r": i + r_min, "c": j + c_min, "first_r": first[i, j] // mask.shape[1] + r_min, "first_c": first[i, j] % mask.shape[1] + c_min}
+        yield _batch(**{k: v.astype(np.int32) for k, v in found.items()})
 
 
 def registered(spark: SparkSession) -> None:

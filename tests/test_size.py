@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from footgrid.operators import components as comp
+from footgrid.functions import table_functions
+from footgrid.operators import components as comp, walk
 from footgrid.plans import centres, classify, growth, score
 from footgrid.sources import bridge
 
@@ -79,3 +81,61 @@ def test_rounds_of_centres_read_packed_tiles_not_cells(spark):
     for rows in (of._moved(points), of._walks(points)):
         assert not [x for x in rows.inputFiles() if "/ground-" in x]
     assert of._lost(points).count() == 81 - 13 and of._lost(points, points).count() == 0
+
+
+def _flooded(cells: set) -> dict:
+    """The first cell of each cell's component by eight directions, found one by one."""
+    first: dict = {}
+    for at in sorted(cells):
+        todo = [at] if at not in first else []
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in cells and (r, c) not in first:
+                first[r, c] = at
+                todo += [(r + y, c + x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    return first
+
+
+def test_table_functions_take_batches_not_rows(spark):
+    """Tiles of several batches and batches of several tiles, at negative rows, with missing cells and null marks; and tables without a row."""
+    rnd = np.random.default_rng(23)
+    rows = [(r, c, bool(rnd.random() < 0.04) if rnd.random() < 0.9 else None, bool(rnd.random() < 0.7)) for r in range(-30, 23) for c in range(3, 29) if rnd.random() < 0.95]
+    cells = spark.createDataFrame(rows, "r int, c int, target boolean, open boolean")
+    table_functions.registered(spark)
+    table_functions.tiled(cells, F.col("target"), F.col("open"), 450.0, 100.0, 16).createOrReplaceTempView("test_tiles")
+    cells.where("open").selectExpr("CAST(floor(r / 8) AS INT) AS br", "CAST(floor(c / 8) AS INT) AS bc", "r", "c").createOrReplaceTempView("test_blocks")
+    walked = lambda where: spark.sql(f"SELECT * FROM walk_tiles(TABLE(SELECT * FROM test_tiles WHERE {where}) PARTITION BY (tr, tc), 4.5, 16)")
+    labelled = lambda where: spark.sql(f"SELECT * FROM label_tiles(TABLE(SELECT * FROM test_blocks WHERE {where}) PARTITION BY (br, bc), true)")
+    want = walk.walk_field(cells, F.col("target"), ~F.col("open"), 450.0, 100.0, tile=16).collect()
+    firsts = {}
+    for block in {(r // 8, c // 8) for r, c, _, _ in rows}:
+        firsts |= _flooded({(r, c) for r, c, _, open_ in rows if open_ and (r // 8, c // 8) == block})
+    for size in ("7", "200", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got, labels = walked("true").collect(), labelled("true").collect()
+            assert walked("r > 99").collect() == labelled("r > 99").collect() == walked("NOT target").collect() == []
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((x.r, x.c, x.n_orth, x.n_diag) for x in got) == sorted((x.r, x.c, x.n_orth, x.n_diag) for x in want) and len(want) > 500
+        assert all(abs(x.length - x.n_orth - x.n_diag * 2**0.5) < 1e-12 for x in got)
+        assert {(x.r, x.c): (x.first_r, x.first_c) for x in labels} == firsts and len(labels) == len(firsts) > 500
+    for df in (walked("true"), labelled("true")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
+
+
+def test_a_tile_walks_the_box_about_its_rows(monkeypatch):
+    shapes = []
+    monkeypatch.setattr(table_functions, "relaxed", lambda start, *a: shapes.append(start.shape) or walk.relaxed(start, *a))
+
+    def tile_of(tr: int, tc: int, cells: list) -> list:
+        work = table_functions.WalkTiles.func()
+        for r, c, target in cells:
+            row = {"tr": [tr], "tc": [tc], "r": [r], "c": [c], "target": [target], "open": [True]}
+            work.eval(pa.RecordBatch.from_pydict(row), pa.array([2.0]), pa.array([256]))
+        return [tuple(x.values()) for batch in work.terminate() for x in batch.to_pylist()]
+
+    cells = [(r, c, (r, c) == (255, 1)) for r in range(254, 259) for c in range(3)]
+    assert sorted(x[:2] for x in tile_of(1, 0, cells)) == [(256, 0), (256, 1), (256, 2), (257, 1)]
+    assert tile_of(1, -1, cells) == [] == tile_of(0, 0, [(0, 0, False)]) and shapes == [(5, 3)]
