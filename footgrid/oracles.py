@@ -54,7 +54,7 @@ _COVER = """count(*) AS built_cells, round(avg((coalesce(cd <= 800, false))::INT
     round(avg(CASE WHEN cd <= 800 THEN cd ELSE 1600 END), 4) AS centre_access, round(avg(CASE WHEN gd <= 400 THEN gd ELSE 800 END), 4) AS green_access,
     round(avg(CASE WHEN cd <= 800 THEN cd END), 4) AS centre_walk_mean, round(avg(CASE WHEN gd <= 400 THEN gd END), 4) AS green_walk_mean,
     round(0.5 * (avg(CASE WHEN cd <= 800 THEN cd ELSE 1600 END) + avg(CASE WHEN gd <= 400 THEN gd ELSE 800 END)), 4) AS access_cost"""
-_MEMBER_SCORES = f"""{_OFFSETS}, {_MEMBERS}, ms AS (SELECT * FROM members WHERE member IN (1, 3, 5)), mgreen AS (SELECT member, r, c FROM ms WHERE state = 0), {_labels("ml", "mgreen", False, "member")},
+_MEMBER_SCORES, _SOME_MEMBER_SCORES = (f"""{_OFFSETS}, {_MEMBERS}, ms AS (SELECT * FROM members{which}), mgreen AS (SELECT member, r, c FROM ms WHERE state = 0), {_labels("ml", "mgreen", False, "member")},
   mpark AS (SELECT member, r, c FROM ml WHERE (member, root) IN (SELECT (member, root) FROM ml GROUP BY member, root HAVING count(*) >= 16)),
   mplan AS (SELECT m.member, m.r, m.c, CASE WHEN state = 2 THEN 3 WHEN state = -1 THEN 0 WHEN origin = 0 OR p.r IS NOT NULL THEN 1 WHEN state > 0 THEN 2 ELSE 0 END AS plan FROM ms m LEFT JOIN mpark p USING (member, r, c)),
   mg2 AS (SELECT member, r, c FROM mplan WHERE plan = 1), {_labels("ml2", "mg2", False, "member")},
@@ -63,7 +63,7 @@ _MEMBER_SCORES = f"""{_OFFSETS}, {_MEMBERS}, ms AS (SELECT * FROM members WHERE
   mtg AS (SELECT p.member, p.r, p.c, q.r IS NOT NULL AS target, plan <> 0 AS open FROM mplan p LEFT JOIN mp2 q USING (member, r, c)), {_walk("mwg", "mtg", 8, "member")},
   mdist AS (SELECT p.member, plan, CASE WHEN a.o < 1000000 THEN 100.0::DOUBLE * (a.o + a.d * sqrt(2.0)) END AS cd, CASE WHEN b.o < 1000000 THEN 100.0::DOUBLE * (b.o + b.d * sqrt(2.0)) END AS gd
     FROM mplan p JOIN mwc a USING (member, r, c) JOIN mwg b USING (member, r, c)),
-  scores AS (SELECT member, {_COVER} FROM mdist WHERE plan IN (2, 3, 4, 5) GROUP BY member)"""
+  scores AS (SELECT member, {_COVER} FROM mdist WHERE plan IN (2, 3, 4, 5) GROUP BY member)""" for which in ("", " WHERE member IN (1, 3, 5)"))
 #: Walks of centre areas, each with its own targets.
 _AUDIT = f"""{_PLAN}, cen AS (SELECT r, c FROM plan WHERE plan IN (3, 5)), {_labels("cl", "cen", True)},
   areas AS (SELECT root, cl.r, cl.c, plan FROM cl JOIN plan USING (r, c)),
@@ -186,7 +186,7 @@ ORACLE_SQL: dict[str, str] = {
     "tiered_plan": f"WITH RECURSIVE {_ARRANGED} SELECT r, c, CAST(code AS INTEGER) AS code FROM coded",
     "tier_breakdown": f"WITH RECURSIVE {_ARRANGED}, k AS (SELECT CASE WHEN code IN (6, 9) THEN 'low' WHEN code IN (7, 10) THEN 'medium' ELSE 'high' END AS tier, code, CASE WHEN code IN (6, 9) THEN 10 WHEN code IN (7, 10) THEN 30 ELSE 60 END AS e FROM coded WHERE code >= 6) SELECT coalesce(tier, 'total') AS tier, count(*) FILTER (code <= 8) AS built_cells, count(*) FILTER (code >= 9) AS centre_cells, CAST(sum(e) AS DOUBLE) AS population FROM k GROUP BY ROLLUP (tier)",
     "select_member": f"WITH RECURSIVE {_MEMBER_SCORES} SELECT member, access_cost FROM scores ORDER BY access_cost NULLS LAST, member LIMIT 1",
-    "options_pivot": f"WITH RECURSIVE {_MEMBER_SCORES}, u AS (SELECT member, metric, value FROM (SELECT member, centre_coverage, green_coverage, served_coverage, access_cost FROM scores) UNPIVOT (value FOR metric IN (centre_coverage, green_coverage, served_coverage, access_cost))) SELECT metric, max(value) FILTER (member = 1) AS m1, max(value) FILTER (member = 3) AS m3, max(value) FILTER (member = 5) AS m5 FROM u GROUP BY metric",
+    "options_pivot": f"WITH RECURSIVE {_SOME_MEMBER_SCORES}, u AS (SELECT member, metric, value FROM (SELECT member, centre_coverage, green_coverage, served_coverage, access_cost FROM scores) UNPIVOT (value FOR metric IN (centre_coverage, green_coverage, served_coverage, access_cost))) SELECT metric, max(value) FILTER (member = 1) AS m1, max(value) FILTER (member = 3) AS m3, max(value) FILTER (member = 5) AS m5 FROM u GROUP BY metric",
     "tiers_rollup": f"WITH {_CELLS} SELECT coalesce(t, 'total') AS tier, count(*) AS cells, sum(density) AS population FROM (SELECT density, CASE density WHEN 60 THEN 'high' WHEN 30 THEN 'medium' ELSE 'low' END AS t FROM grid WHERE density > 0) GROUP BY ROLLUP (t)",
     "fixed_table": "WITH t AS (SELECT n_name AS a, r_name AS b, CAST(n_nationkey AS VARCHAR) AS d FROM nation JOIN region ON n_regionkey = r_regionkey), w AS (SELECT CAST(greatest(max(length(a)), 4) AS INTEGER) AS wa, CAST(greatest(max(length(b)), 6) AS INTEGER) AS wb, CAST(greatest(max(length(d)), 1) AS INTEGER) AS wd FROM t) SELECT CAST(0 AS INTEGER) AS line_no, rtrim(rpad('name', wa, ' ') || '  ' || lpad('region', wb, ' ') || '  ' || lpad('n', wd, ' ')) AS line FROM w UNION ALL SELECT 1, repeat('-', wa + wb + wd + 4) FROM w UNION ALL SELECT CAST(row_number() OVER (ORDER BY a) + 1 AS INTEGER), rtrim(rpad(a, wa, ' ') || '  ' || lpad(b, wb, ' ') || '  ' || lpad(d, wd, ' ')) FROM t, w",
     "params_load": """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation), f AS (SELECT k, unnest([{'key': 'name', 'value': n_name, 'status': 'ok'},

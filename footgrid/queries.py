@@ -576,9 +576,8 @@ def tier_breakdown(spark, sf_dir):
     return tiers.breakdown(_tiered(spark, sf_dir), TIERS_KM2, G)
 
 
-def _member_plans(spark, sf_dir):
-    """The ensemble's states coded as plans, members taken by a stride of two, three at most."""
-    states = growth.strided(bridge.members(spark, sf_dir), "member", 7, 3)
+def _member_plans(states):
+    """The states of an ensemble's members coded as plans."""
     coded = classify.state_to_plan(states, G, SPAN_M, ("member",), ("state",))
     return coded.select("member", "r", "c", F.when(F.col("state") == 2, 3).otherwise(F.col("plan")).alias("plan"))
 
@@ -588,7 +587,7 @@ def _scored_members(plan):
 
 
 def _member_scores(spark, sf_dir):
-    return _scored_members(_member_plans(spark, sf_dir))
+    return _scored_members(_member_plans(bridge.members(spark, sf_dir)))
 
 
 @query
@@ -600,13 +599,15 @@ def select_member(spark, sf_dir):
 def select_placed_member(spark, sf_dir):
     """The member whose plan has the shortest walks once small settlements are gone and centres are placed, all members in one set of jobs;
     no SQL, held against each member alone in the tests."""
-    placed = centres.keyed_variants(_member_plans(spark, sf_dir), "member", ("placed",), G, CENTRE_M, 12)
+    placed = centres.keyed_variants(_member_plans(growth.strided(bridge.members(spark, sf_dir), "member", 7, 3)), "member", ("placed",), G, CENTRE_M, 12)
     return growth.best_member(_scored_members(kept(placed.select("member", "r", "c", "plan"), "placed"))).select("member", "access_cost")
 
 
 @query
 def options_pivot(spark, sf_dir):
-    scores = _member_scores(spark, sf_dir).select(F.concat(F.lit("m"), F.col("member").cast("string")).alias("option"), "centre_coverage", "green_coverage", "served_coverage", "access_cost")
+    """The scores of three members, taken by a stride of two, side by side."""
+    scores = _scored_members(_member_plans(growth.strided(bridge.members(spark, sf_dir), "member", 7, 3)))
+    scores = scores.select(F.concat(F.lit("m"), F.col("member").cast("string")).alias("option"), "centre_coverage", "green_coverage", "served_coverage", "access_cost")
     return report.options_pivot(scores, "option", ["centre_coverage", "green_coverage", "served_coverage", "access_cost"], ["m1", "m3", "m5"])
 
 

@@ -334,3 +334,24 @@ def test_the_options_table_keeps_its_rows(spark):
     rows = {r.metric: r.x for r in report.options_table(metrics, "option", ["x"], 2000.0).collect()}
     assert len(rows) == 16 and rows["population accommodated"] == "1,234" and rows["share of target"] == "62%"
     assert {rows["mean walk, served homes: centre (m)"], rows["compactness"], rows["green coverage"]} == {"-"}
+
+
+def test_every_member_is_scored_and_may_be_best(spark, tmp_path):
+    """The second of seven members alone has a centre: it is found, by the SQL too."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    sf_dir = str(tmp_path)
+    orders = [(k, k % 7, "O", 2e5, "3-MEDIUM") for k in range(400)]
+    items = [(k, m, "N" if m != 2 or k != 110 else "R") for m in range(1, 8) for k in (110, 111, 210)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").coalesce(1).write.parquet(f"{sf_dir}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{sf_dir}/lineitem.parquet")
+    with duckdb.connect() as db:
+        for name in ("orders", "lineitem"):
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet/*.parquet'")
+        sql = {name: db.sql(e.oracle_sql()[name]).fetchall() for name in ("select_member", "raw_pre_plan")}
+    best = [tuple(x) for x in e.queries()["select_member"](spark, sf_dir).collect()]
+    assert best == sql["select_member"] and best[0][0] == 2
+    plan = sorted(tuple(x) for x in e.queries()["raw_pre_plan"](spark, sf_dir).collect())
+    assert plan == sorted(sql["raw_pre_plan"]) and (1, 10, 3) in plan and len(plan) == 400
