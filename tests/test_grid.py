@@ -336,8 +336,8 @@ def test_the_options_table_keeps_its_rows(spark):
     assert {rows["mean walk, served homes: centre (m)"], rows["compactness"], rows["green coverage"]} == {"-"}
 
 
-def test_every_member_is_scored_and_may_be_best(spark, tmp_path):
-    """The second of seven members alone has a centre: it is found, by the SQL too."""
+def test_every_member_is_scored_and_may_be_best(spark, tmp_path, monkeypatch):
+    """The second of seven members alone has a centre: it is found, by the SQL too, with centres as they grew or (were they placed so) placed."""
     import duckdb
 
     import __spark_entry__ as e
@@ -355,3 +355,5 @@ def test_every_member_is_scored_and_may_be_best(spark, tmp_path):
     assert best == sql["select_member"] and best[0][0] == 2
     plan = sorted(tuple(x) for x in e.queries()["raw_pre_plan"](spark, sf_dir).collect())
     assert plan == sorted(sql["raw_pre_plan"]) and (1, 10, 3) in plan and len(plan) == 400
+    monkeypatch.setattr(centres, "keyed_variants", lambda plans, *_: plans.withColumn("mode", F.lit("placed")))
+    assert [tuple(x) for x in e.queries()["select_placed_member"](spark, sf_dir).collect()] == best
