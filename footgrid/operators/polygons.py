@@ -22,8 +22,10 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from footgrid.functions.storage import kept, kept_and_seen
+from footgrid.operators import united
 
 #: Grid steps of a metre.
 STEPS = 1000
@@ -32,6 +34,8 @@ TILE = 200 * STEPS
 #: Rounded cuts can meet an edge that their line missed; this many rounds is more than was ever seen.
 MOST_ROUNDS = 8
 ENDS = ("x0", "y0", "x1", "y1")
+#: Most edges of a group whose capsules are united within a batch; least side of a capsule for that, in grid steps.
+MOST_UNITED, LEAST_SIDE = 32, 4
 
 
 def snapped(edges: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -364,10 +368,29 @@ def capsules(edges: DataFrame, width: float, quarter: int = 8) -> DataFrame:
     return closed.select(*others, F.explode(sides).alias("e")).select(*others, "e.*").where("x0 <> x1 OR y0 <> y1")
 
 
-def widened(edges: DataFrame, width: float, keys: Sequence[str] = ("fid",), quarter: int = 8, tile: int = TILE) -> DataFrame:
-    """Boundary of what lies within ``width`` of lines' edges (keys, ends): the union of the capsules of all edges of a group."""
-    around = capsules(edges.select(*keys, *ENDS), width, quarter)
-    return overlay(around, around.where("false"), "union", keys, tile)
+def widened(edges: DataFrame, width: float, keys: Sequence[str] = ("fid",), quarter: int = 8, tile: int = TILE, most: int = MOST_UNITED) -> DataFrame:
+    """Boundary of what lies within ``width`` of lines' edges (keys, ends): the union of the capsules of all edges of a group.
+
+    Groups of up to ``most`` edges are united batch by batch, so their lines are shuffled, not their capsules' sides; larger ones are cut and counted as tables.
+    Edges without a key belong to no group and are left out."""
+    k = list(keys)
+    lines = edges.select(*k, *ENDS).dropna(subset=k) if k else edges.select(*ENDS)
+
+    def as_tables(some: DataFrame) -> DataFrame:
+        around = capsules(some, width, quarter)
+        return overlay(around, around.where("false"), "union", k, tile)
+
+    # Sides must be long enough for rounding to leave a capsule's own apart.
+    if not k or 2 * width * math.sin(math.pi / (4 * quarter)) < LEAST_SIDE:
+        return as_tables(lines)
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = W.partitionBy(*k).orderBy(*ENDS)
+    counted = lines.repartition(n, *k).select("*", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
+    schema = StructType([f for f in lines.schema if f.name in k] + [StructField(e, LongType()) for e in ENDS])
+    small = counted.where(F.col("n") <= most).mapInArrow(lambda batches: united.widened(batches, k, width, quarter, MOST_ROUNDS), schema)
+    if lines.groupBy(*k).count().where(F.col("count") > most).isEmpty():
+        return small
+    return small.union(as_tables(counted.where(F.col("n") > most).drop("i", "n")))
 
 
 def merged_layer(edges: DataFrame, tile: int = TILE) -> DataFrame:

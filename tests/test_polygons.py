@@ -263,3 +263,29 @@ def test_rings_are_numbered_alike_whatever_batches_chain_them(spark):
     # A ring that lies within a batch is done there; nothing is left to link on.
     done = next(pg._chained([pd.DataFrame({"id": [1, 2, 3], "after": [2, 3, 1]})])).dropna()
     assert [(x.id, x.to, x.n, x.low) for x in done.itertuples()] == [(1, 1, 3, 1)]
+
+
+def test_corridors_of_few_lines_are_united_in_batches_as_tables_do(spark, monkeypatch):
+    """Crossing, touching, equal, opposite and far lines; groups that batches break, one too large for a batch's work, edges without a key; no table of sides is written for small groups."""
+    rng = random.Random(41)
+    at = lambda: rng.randrange(-3000, 3000)
+    lines = [(f, at(), at(), at(), at()) for f, n in ((1, 1), (2, 2), (3, 3), (4, 5), (5, 9), (None, 4)) for _ in range(n)]
+    lines += [(6, 0, 0, 900, 300), (6, 0, 0, 900, 300), (6, 900, 300, 0, 0), (7, 0, 0, 500, 0), (7, 500, 0, 500, 1000), (7, 100, 0, 800, 0), (8, 0, 0, 10, 10), (8, 9000, 0, 9000, 9)]
+    lines = spark.createDataFrame([(f, x0, y0 + 7 * 10**9, x1, y1 + 7 * 10**9) for f, x0, y0, x1, y1 in lines], "fid long, x0 long, y0 long, x1 long, y1 long")
+    found = lambda df: {r.fid: r for r in df.groupBy("fid").agg((pg.twice_area() / 2).cast("double").alias("area"), F.count("x0").alias("n")).collect()}
+    want = found(pg.widened(lines, 400, most=0))
+    overlays, tables = [], pg.overlay
+    monkeypatch.setattr(pg, "overlay", lambda *a: overlays.append(1) or tables(*a))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    try:
+        for batch, most, n in (("2", 32, 0), (was, 32, 0), ("7", 5, 1)):
+            spark.conf.set(size, batch)
+            got = pg.widened(lines, 400, most=most)
+            assert len(overlays) == n and got.groupBy("fid", "x0", "y0").count().join(got.groupBy("fid", F.col("x1").alias("x0"), F.col("y1").alias("y0")).count(), ["x0", "y0", "count"]).count() > 300
+            assert set(found(got)) == set(want) == set(range(1, 9))
+            # Which of two edges a crossing is reckoned along is open: it may be a step of the grid aside.
+            assert all(abs(r.area - want[f].area) <= 40_000 and abs(r.n - want[f].n) <= 4 for f, r in found(got).items())
+    finally:
+        spark.conf.set(size, was)
+    assert pg.widened(lines.where("fid > 99"), 400).count() == 0
